@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinset.llm import simhash
+from kinset.llm import decontam, linerules, lm, simhash, toxicity
 from kinset.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,29 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @_query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op8_benchmark_decontamination"] = decontam.ORACLE
+
+
+@_query
+def op9_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.judged(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_line_quality_rules"] = linerules.ORACLE
+
+
+@_query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.query(table(spark, sf_dir, "documents"))
