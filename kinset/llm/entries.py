@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinset.llm import decontam, linerules, lm, simhash, toxicity
+from kinset.llm import decontam, linerules, lm, mixing, simhash, tokencount, toxicity
 from kinset.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.query(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_mix_sources"] = mixing.ORACLE
