@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinset.llm import decontam, linerules, lm, mixing, simhash, tokencount, toxicity
+from kinset.llm import decontam, linerules, lm, mixing, simhash, surrogates, tokencount, toxicity, warc
 from kinset.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,16 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_mix_sources"] = mixing.ORACLE
+
+
+@_query
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.query(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op4_warc_capture_index"] = warc.ORACLE
