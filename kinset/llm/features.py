@@ -64,6 +64,7 @@ _LEET_MAP = bt.LOWER.copy()
 for _a, _b in LEET.items():
     _LEET_MAP[ord(_a)] = ord(_b)
 _MASK = _marks("*#@$%")
+_TRAIL = _marks(".,;:!?\"')")
 
 
 def _shares(count: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -118,7 +119,9 @@ def statistics(slab: bt.Slab) -> np.ndarray:
         pair_again, _ = _earlier(bt.chain(h[:-1], h[1:]), plain_text[:-1])
         pair[1:] = pair_again & (plain_text[1:] == plain_text[:-1])
     lo, hi, line_first = slab.lines()
-    in_line = _per_word(np.isin(np.arange(len(buf)), start), lo, hi) if len(buf) else np.zeros(len(lo), np.int64)
+    begins = np.zeros(len(buf), bool)
+    begins[start] = True
+    in_line = _per_word(begins, lo, hi)
     has = in_line > 0
     line_text = np.repeat(np.arange(slab.n), np.diff(line_first))
     line_again = np.zeros(len(lo), bool)
@@ -203,6 +206,8 @@ def lexicon_features(slab: bt.Slab, table: np.ndarray, weight: np.ndarray) -> np
         near[:-d] |= reader[d:] & (text[d:] == text[:-d])
     # disguised words: a plain insult once signs are read as letters, though not before
     whole_start, whole_end, whole_first = slab.words(bt.NOT_SPACE)
+    for _ in range(3):  # what closes a clause is no part of a word
+        whole_end = whole_end - ((whole_end - whole_start > 1) & _TRAIL[slab.buf[whole_end - 1]])
     leet = _LEET_MAP[slab.buf]
     fold = bt.Hasher(leet)(whole_start, whole_end)
     as_is = hasher(whole_start, whole_end)
