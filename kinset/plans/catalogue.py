@@ -1,14 +1,14 @@
-"""Registry of the engine's queries and of the SQL that states the same result."""
+"""All queries of the engine, by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from kinset.plans import function_queries, similarity_queries
+from kinset.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship", "function_queries", "similarity_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["str5_shingles"](spark, sf_dir)
