@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from kinset.functions.expressions import let
 
@@ -23,7 +24,7 @@ def normalize_ascii(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_unicode(text: pd.Series) -> pd.Series:
     """NFKC and case folding before the ASCII rule; accents are dropped with their letters."""
     folded = text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())

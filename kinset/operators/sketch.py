@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from kinset.functions import hashing as H
 
 
+#: Slots that are made side by side in one aggregate at most; more would outgrow generated code.
+WIDE_SLOTS = 32
+
+
 def coordinates(k: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("coord")
 
@@ -29,6 +33,11 @@ def minhash(sets: DataFrame, k: int, seed: int = 42, domain: str = H.MINHASH, sh
     shared: hash distinct elements once and join. Without it every row is hashed where it
     stands, which moves less where few sets share elements.
     """
+    if not shared and k <= WIDE_SLOTS:
+        # one aggregate with k minima: no row is multiplied by k
+        least = [F.min(H.hex_to_ordered(H.minhash_rank(F.col("element"), F.lit(c), seed, domain))).alias(f"r{c}") for c in range(k)]
+        wide = sets.groupBy("set_id").agg(*least)
+        return wide.select("set_id", F.posexplode(F.array(*[F.col(f"r{c}") for c in range(k)])).alias("coord", "rank")).select("set_id", F.col("coord").cast("bigint").alias("coord"), "rank")
     if shared:
         ranks = element_ranks(sets.select("element").distinct(), k, seed, domain)
         rows = sets.join(ranks, "element")

@@ -131,8 +131,9 @@ def str4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT doc_id, count(*) AS n_shingles, count(DISTINCT s) AS n_distinct, min({top(sha(H.FEATURE, 'encode(s)', zero=True))}) AS least_feature
 FROM (SELECT doc_id, array_to_string(w[i:i + 4], chr(31)) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents))) GROUP BY doc_id""")
 def str5_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.shingles(T.tokens(F.coalesce("text", F.lit(""))))).alias("s"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_shingles"), F.countDistinct("s").alias("n_distinct"), F.min(H.feature_hash(F.col("s"))).alias("least_feature"))
+    s = T.shingles(T.tokens(F.coalesce("text", F.lit(""))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"), F.array_distinct(s).alias("d")).where(F.size("s") > 0)
+    return rows.select("doc_id", F.size("s").cast("bigint").alias("n_shingles"), F.size("d").cast("bigint").alias("n_distinct"), F.array_min(F.transform("d", lambda x: H.feature_hash(x))).alias("least_feature"))
 
 
 _SUBJECT = "(CASE turn % 4 WHEN 0 THEN 'Re: ' WHEN 1 THEN 'RE[2]: Fwd: ' WHEN 2 THEN 'fw:' ELSE '' END || substr(coalesce(text, ''), 1, 40))"
