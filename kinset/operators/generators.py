@@ -33,14 +33,17 @@ def sampled(spark: SparkSession, universe: int, keep: int, seed: int) -> DataFra
     return spark.range(universe).withColumn("rank", rank).orderBy("rank", "id").limit(keep).select(F.col("id").alias("element"), "rank")
 
 
-def threshold_grid(spark: SparkSession, n: int = 1000, slots: tuple[int, ...] = (64, 128, 256, 512), m: int = 64) -> DataFrame:
-    """(k, grid_index, target, inter, uni): 21 points within 0.10 of each k's boundary."""
-    k = F.col("k")
-    rows = spark.createDataFrame([(x,) for x in slots], "k bigint").withColumn("grid_index", F.explode(F.sequence(F.lit(-10), F.lit(10))))
-    tau = F.ceil(k * 0.59375)
-    centre = (tau / k - 1.0 / m) / (1.0 - 1.0 / m)
-    rows = rows.withColumn("target", centre + F.col("grid_index") / 100.0)
-    return rows.withColumn("inter", target_intersection(F.lit(n), F.col("target"), "floor")).withColumn("uni", F.lit(2 * n) - F.col("inter"))
+#: Matches that decide, by number of slots (fixed values).
+GRID_TAU = {64: 38, 128: 76, 256: 153, 512: 307}
+
+
+def threshold_grid(spark: SparkSession, n: int = 1000, m: int = 64) -> DataFrame:
+    """(k, tau, grid_index, target, inter, uni): 21 points within 0.10 of each k's boundary."""
+    rows = spark.createDataFrame(list(GRID_TAU.items()), "k bigint, tau bigint").withColumn("grid_index", F.explode(F.sequence(F.lit(-10), F.lit(10))))
+    centre = (F.col("tau") / F.col("k") - 1.0 / m) / (1.0 - 1.0 / m)
+    rows = rows.withColumn("target", F.least(F.lit(1.0), F.greatest(F.lit(0.0), centre + 0.01 * F.col("grid_index"))))
+    inter = F.floor(n * (2.0 * F.col("target") / (1.0 + F.col("target")))).cast("bigint")
+    return rows.withColumn("inter", inter).withColumn("uni", F.lit(2 * n) - F.col("inter"))
 
 
 def rotation(methods: Column, seed: Column) -> Column:

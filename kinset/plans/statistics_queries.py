@@ -148,7 +148,7 @@ def ag23_failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.failure_histogram(D.simulate(spark, 64, 3, 8, 200))
 
 
-@query("WITH g AS (SELECT k, i AS grid_index, (ceil(k * 0.59375::DOUBLE) / k - 1.0::DOUBLE / 64) / (1.0::DOUBLE - 1.0::DOUBLE / 64) + i / 100.0::DOUBLE AS target FROM (SELECT unnest([64, 128, 256, 512])::BIGINT AS k), (SELECT unnest(range(-10, 11))::INT AS i)) SELECT k, grid_index, round(target, 9) AS target, floor(2.0 * 1000 * target / (1.0 + target))::BIGINT AS inter, 2000 - floor(2.0 * 1000 * target / (1.0 + target))::BIGINT AS uni FROM g")
+@query("WITH g AS (SELECT k, tau, i AS grid_index, least(1.0, greatest(0.0, (tau / k - 1.0::DOUBLE / 64) / (1.0::DOUBLE - 1.0::DOUBLE / 64) + 0.01::DOUBLE * i))::DOUBLE AS target FROM (VALUES (64::BIGINT, 38::BIGINT), (128, 76), (256, 153), (512, 307)) v(k, tau), (SELECT unnest(range(-10, 11))::INT AS i)), h AS (SELECT *, floor(1000 * (2.0::DOUBLE * target / (1.0 + target)))::BIGINT AS inter FROM g) SELECT k, tau, grid_index, round(target, 9) AS target, inter, 2000 - inter AS uni FROM h")
 def gen4_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.threshold_grid(spark), "target")
 

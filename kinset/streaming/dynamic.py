@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType
 
 APPLIED, STALE, FUTURE = "applied", "stale_epoch", "future_epoch"
 
@@ -62,7 +63,7 @@ def stream(events: DataFrame, by: list[str], d: int, time: str = "ts") -> DataFr
     Rows of a batch are applied in order of seq. Events later than the frame's watermark
     are dropped by Spark where one is set; that rule is ours.
     """
-    schema = events.select(*by).schema.add("ranks", "array<string>").add("rebuild", "boolean").add("ops", "bigint")
+    schema = events.select(*by).schema.add("ranks", ArrayType(StringType())).add("rebuild", BooleanType()).add("ops", LongType())
     state = "ranks array<string>, rebuild boolean, ops bigint"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
