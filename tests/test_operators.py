@@ -171,3 +171,54 @@ def test_encodings(spark):
         K.digits(F.lit(1), 32)
     r = spark.range(1).select(K.onehot_decoded(K.onehot(F.array(F.lit(3), F.lit(0), F.lit(2)), 4), 4)).first()
     assert r[0] == [3, 0, 2]
+
+
+def test_parameters():
+    from fractions import Fraction
+
+    from kinset.operators import parameters as A
+
+    p = A.Parameters()
+    assert (p.feature_dim, p.ring_dim, p.depth) == (8192, 8192, 1)
+    assert p.plaintext_mod % (2 * p.ring_dim) == 1 and A.is_prime(p.plaintext_mod) and p.plaintext_mod > p.k
+    assert A.Parameters(sqrt=True).feature_dim == 128 * 16
+    for bad in ({"k": 0}, {"m": 1}, {"m": 32, "sqrt": True}, {"tau": 129}, {"security": "x"}):
+        with pytest.raises(ValueError):
+            A.Parameters(**bad)
+    for degree in (16, 32, 64, 128, 256, 512):
+        s = A.polynomial_shape(degree)
+        assert (s.step - 1) ** 2 < degree + 1 <= s.step**2 and (s.chunks - 1) * s.step <= degree < s.chunks * s.step
+    assert A.sanitizer_bits(40, 1 << 20, 8192, 30, 8) == {"query": 60, "coefficient": 73, "flood": 111}
+    assert A.exact_jaccard("0.250") == Fraction(1, 4) and A.exact_jaccard("1") == 1
+    for bad in ("", ".5", "1.", "1.01", "-0", "0.1.2", "0." + "1" * 19):
+        with pytest.raises(ValueError):
+            A.exact_jaccard(bad)
+    q = A.plaintext_modulus(16, 64)
+    coefficients = A.threshold_polynomial(16, 7, q)
+    assert [A.horner(coefficients, v, q) for v in range(17)] == [int(v >= 7) for v in range(17)]
+
+
+def test_protocol_methods(spark):
+    from kinset.operators import protocols as M
+
+    rows = [(1, 1), (1, 1), (1, 2), (2, 2), (2, 3)]
+    s = spark.createDataFrame(rows, "set_id long, element long")
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    assert {(r.a, r.b): r.jaccard for r in M.exact(s, pairs).collect()} == {(1, 2): 1 / 3, (3, 4): 1.0}
+    # the repeated element counts in the union of the indicator method
+    assert {(r.a, r.b): r.jaccard for r in M.indicator(10)(s, pairs).collect()} == {(1, 2): 1 / 4, (3, 4): 1.0}
+    for method in (M.minhash_intersection(64), M.bucketed(64, 64)):
+        assert abs(method(s, pairs).first().jaccard - 1 / 3) < 0.3
+    assert M.at_least(16, 64, 1)(s, pairs).first().decision in (True, False)
+
+
+def test_balanced_prefix(spark):
+    def pick(labels, keep):
+        df = spark.createDataFrame(list(enumerate(labels)), "row_pos long, label int")
+        return sorted(r.row_pos for r in P.balanced_prefix(df, keep).collect())
+
+    assert pick([0, 0, 0, 0, 1, 1, 1, 1], 5) == [0, 1, 4, 5, 6]
+    assert pick([0, 0, 1, 1, 1, 1, 1], 6) == [0, 1, 2, 3, 4, 5]
+    assert pick([0, 0, 0, 0, 0, 1, 1], 6) == [0, 1, 2, 3, 5, 6]
+    assert pick([0, 0, 0, 0, 1], 4) == [0, 1, 2, 3]
+    assert pick([0, 1, 0], 3) == [0, 1, 2]
