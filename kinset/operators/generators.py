@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinset.functions import hashing as H
+from kinset.operators.threshold import jaccard_of_tau, sigma
 
 ROUNDING = ("half_down", "floor", "half_up", "truncate")
 
@@ -50,3 +51,23 @@ def rotation(methods: Column, seed: Column) -> Column:
     """methods in the cyclic order that a trial's seed gives."""
     n = F.size(methods)
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(methods, ((seed % n + i) % n + 1).cast("int")))
+
+
+def threshold_sweep(spark: SparkSession, slots: tuple[int, ...] = (16, 32, 64, 128, 256, 512), m: int = 64, points: int = 21) -> DataFrame:
+    """(k, tau, point, target, overlap): points evenly within three deviations of the boundary.
+
+    tau is 0.6 k, cut; targets stay in 0.02..0.98; overlap is the share of a set in both.
+    """
+    rows = spark.createDataFrame([(k, k * 6 // 10) for k in slots], "k bigint, tau bigint").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    centre = jaccard_of_tau(F.col("tau"), F.col("k"), m)
+    z = 3.0 * (2.0 * F.col("point") / (points - 1) - 1.0)
+    target = F.greatest(F.lit(0.02), F.least(F.lit(0.98), centre + z * sigma(centre, F.col("k"), m)))
+    return rows.withColumn("target", target).withColumn("overlap", 2.0 * F.col("target") / (1.0 + F.col("target")))
+
+
+def signature_pattern(spark: SparkSession, k: int, kind: str, seed: int = 42) -> DataFrame:
+    """(coord, a, b): two signatures that match everywhere ('all'), nowhere ('none') or by hash ('random')."""
+    rank = lambda side: H.hex_to_signed(H.rank_hex(H.TRIAL, F.lit(seed.to_bytes(8, "big")), H.be64(F.col("id")), F.lit(side))).bitwiseAND(F.lit((1 << 62) - 1))
+    a = rank(b"a")
+    b = {"all": a, "none": a.bitwiseXOR(F.lit(1)), "random": rank(b"b")}[kind]
+    return spark.range(k).select(F.col("id").alias("coord"), a.alias("a"), b.alias("b"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def jaccard_of_tau(tau: Column, k: Column, m: int) -> Column:
@@ -39,6 +43,12 @@ def binomial_survival(k: Column, tau: Column, p: Column) -> Column:
     return F.when(tau <= 0, 1.0).when(tau > k, 0.0).when(p <= 0, 0.0).when(p >= 1, 1.0).otherwise(whole)
 
 
+@F.pandas_udf(DoubleType())
+def gaussian_error(z: pd.Series) -> pd.Series:
+    """0.5 * erfc(z / sqrt(2)), for which Spark has no function."""
+    return z.map(lambda x: None if pd.isna(x) else 0.5 * math.erfc(x / math.sqrt(2)))
+
+
 def candidates(values: DataFrame, j: str) -> DataFrame:
     """Distinct values and the midpoints of neighbours, as threshold."""
     one = values.select(F.col(j).alias("threshold")).distinct()

@@ -153,6 +153,11 @@ def gen4_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.threshold_grid(spark), "target")
 
 
+@query("WITH g AS (SELECT k, k * 6 // 10 AS tau, i AS point, ((k * 6 // 10) / k - 1.0::DOUBLE / 64) / (1.0::DOUBLE - 1.0::DOUBLE / 64) AS j FROM (SELECT unnest([16, 32, 64, 128, 256, 512])::BIGINT AS k), (SELECT unnest(range(21))::INT AS i)), s AS (SELECT *, 1.0::DOUBLE / 64 + (1.0::DOUBLE - 1.0::DOUBLE / 64) * j AS p FROM g), t AS (SELECT *, greatest(0.02, least(0.98, j + 3.0::DOUBLE * (2.0::DOUBLE * point / 20 - 1.0) * sqrt(p * (1 - p) / k) / (1.0::DOUBLE - 1.0::DOUBLE / 64)))::DOUBLE AS target FROM s) SELECT k, tau, point, round(target, 9) AS target, round(2.0 * target / (1.0 + target), 9) AS overlap FROM t")
+def gen9_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.threshold_sweep(spark), "target", "overlap")
+
+
 @query(f"SELECT i AS element, {top(sha(H.DOCUMENT, be64('9'), be64('i')))} AS rank FROM range(20000) t(i) ORDER BY rank, i LIMIT 100")
 def tk6_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.sampled(spark, 20_000, 100, 9)

@@ -222,3 +222,10 @@ def test_balanced_prefix(spark):
     assert pick([0, 0, 0, 0, 0, 1, 1], 6) == [0, 1, 2, 3, 5, 6]
     assert pick([0, 0, 0, 0, 1], 4) == [0, 1, 2, 3]
     assert pick([0, 1, 0], 3) == [0, 1, 2]
+
+
+def test_patterns_and_gaussian_error(spark):
+    share = lambda kind: G.signature_pattern(spark, 200, kind).agg(F.avg((F.col("a") % 64 == F.col("b") % 64).cast("double"))).first()[0]
+    assert share("all") == 1 and share("none") == 0 and 0 <= share("random") < 0.1
+    rows = spark.createDataFrame([(0.0,), (1.96,), (None,)], "z double").select(R.gaussian_error("z").alias("e")).collect()
+    assert rows[0].e == 0.5 and rows[1].e == pytest.approx(0.0249979, abs=1e-6) and rows[2].e is None
