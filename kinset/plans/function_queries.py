@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinset.functions import hashing as H
 from kinset.functions import text as T
-from kinset.plans.registry import query, table
+from kinset.plans.registry import query, spread, table
 
 
 def be64(x: str) -> str:
@@ -132,7 +132,9 @@ def str4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT doc_id, array_to_string(w[i:i + 4], chr(31)) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents))) GROUP BY doc_id""")
 def str5_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = T.shingles(T.tokens(F.coalesce("text", F.lit(""))))
-    rows = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"), F.array_distinct(s).alias("d")).where(F.size("s") > 0)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # the array is made once and then taken apart: a filter on it would make it again
+    rows = docs.select("doc_id", s.alias("s")).select("doc_id", "s", F.array_distinct("s").alias("d")).where(F.size("s") > 0)
     return rows.select("doc_id", F.size("s").cast("bigint").alias("n_shingles"), F.size("d").cast("bigint").alias("n_distinct"), F.array_min(F.transform("d", lambda x: H.feature_hash(x))).alias("least_feature"))
 
 

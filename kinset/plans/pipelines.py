@@ -9,20 +9,11 @@ from kinset.functions import hashing as H
 from kinset.functions import text as T
 from kinset.operators import similarity as S
 from kinset.plans.function_queries import WORDS, be32, be64, sha, top
-from kinset.plans.registry import query, table
+from kinset.plans.registry import query, spread, table
 
 SLOTS, M = 16, 64
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over the session's cores where its files give fewer splits than half of them.
-
-    A small table is one row group, so one task; a large one is left as it is read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
-
-
 def document_sets(docs: DataFrame) -> DataFrame:
     """(set_id, element): distinct features of the documents' 5-token shingles.
 

@@ -24,3 +24,13 @@ def query(sql: str | None = None) -> Callable:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over the session's cores where it comes from fewer files than there are cores.
+
+    A small table is one file of one row group, so one task, however it is split; work on
+    its texts would run on one core. A table of many files stays as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
