@@ -40,6 +40,8 @@ BLOCK_LINES = 256
 READ_GAP = 1 << 16
 READ_BYTES = 8 << 20
 LEVEL = 1
+#: Records that a task reads back, on average.
+RECORDS_A_TASK = 16_384
 #: Rows (of some 100 bytes) that are broadcast at most.
 BROADCAST_ROWS = 100_000
 
@@ -285,10 +287,12 @@ def read_back(directory: DataFrame, folder: str, id_type: str) -> DataFrame:
             yield _read(fs, root, todo)
 
     out = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
-    blocks = directory.select("file", "offset", "length").repartition(partitions_for(spark, 0, 1))
+    # stated numbers of tasks: index lines are few bytes, what they stand for is not
+    parts = partitions_for(spark, directory.count() * BLOCK_LINES, RECORDS_A_TASK)
+    blocks = directory.select("file", "offset", "length").repartition(parts)
     span = F.floor(F.col("offset") / READ_BYTES)
     where = blocks.mapInArrow(lines, "file string, offset long, length long")
-    got = where.repartition("file", span).sortWithinPartitions("file", "offset").mapInArrow(records, out)
+    got = where.repartition(parts, "file", span).sortWithinPartitions("file", "offset").mapInArrow(records, out)
     return got.select(F.col("page_id").cast(id_type), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type))
 
 
