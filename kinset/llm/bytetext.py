@@ -1,7 +1,7 @@
 """Vectorised views of Arrow text columns: UTF-8 bytes, words, lines and their hashes.
 
 Python strings are never made here. A text column is taken as its byte buffer, cut into
-slabs of a few MB (a longer text is a slab of its own), and all per-character work is
+slabs of a MB (a longer text is a slab of its own), and all per-character work is
 numpy over the slab. The delimiters of every word rule used are ASCII, so byte rules
 equal code-point rules on UTF-8.
 """
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
