@@ -52,10 +52,6 @@ PHRASES = (
     "skip to content",
     "back to top",
     "powered by",
-    "licensed under",
-    "public license",
-    "apache license",
-    "mit license",
     "copyright (c)",
     "lorem ipsum",
 )
