@@ -4,7 +4,8 @@ Detection. One pattern of named kinds, tried in the order of ``KINDS`` at each p
 secrets (a value after a word such as token, key, password; known key prefixes), e-mail
 addresses, IBANs, social security numbers, card numbers, phone numbers, IPv4 addresses,
 MAC addresses, and personal names that follow a form of address or begin with a known
-given name.
+given name, with initials, particles and up to seven words, in upper case too. Words of a
+name that stand alone elsewhere in the same document are replaced as in the name.
 
 Surrogates. An entity is its kind and its canonical form (names and addresses without case,
 numbers without separators), so one person or number is one entity wherever it stands. Its
@@ -25,6 +26,8 @@ entities are dealt out by value; texts are dealt out once, by document.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,14 +61,37 @@ FAMILY = {
     "greek": ("Αλ Βελ Γερ Δαλ Ελ Καλ Λαμ Μαρ Νικ Παλ Σαλ Τερ".split(), "α ε ι ο αν ερ".split(), "άκης ίδης όπουλος ούδης ιάδης έας ακος".split()),
 }
 
-_WORD = r"\p{Lu}[\p{L}\p{M}'’\-]*[\p{Ll}\p{M}]"
-_ALL_TITLES = "|".join(t for kind in TITLES.values() for t in kind)
-_ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+#: Words inside family names, and words behind a name that are not of it (fixed values).
+PARTICLES = "van von der den ter ten zu zur de del della di da do dos das du la le bin ibn al el y".split()
+SUFFIXES = "Jr Jnr Snr II III IV".split()
+FUNCTION = "The This That These Those There And But For From With When While Where What Who How Why He She They We You It Its His Her In On At Of To By As If Is Was Are Were Has Had Der Die Das Und Ein Eine Ist Er Sie Le La Les Des Une Un Est Et Il Elle El Los Las Una Es".split()
+
+
+def _words(words: list[str]) -> str:
+    """Any of the words, as given or in upper case, with those of one first letter together."""
+    bare = lambda w: "".join(c for c in unicodedata.normalize("NFD", w.upper()) if not unicodedata.combining(c))
+    forms, by = {f for w in words for f in (w, w.upper(), *([bare(w)] if "Ͱ" <= w[0] <= "Ͽ" else []))}, {}
+    for w in sorted(forms, key=lambda w: (-len(w), w)):
+        by.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by.items())) + ")"
+
+
+_LETTER = r"[\p{L}\p{M}]"
+# an 's at the end is not of the word
+_JOINED = rf"(?:['’\-](?![sS](?!{_LETTER})){_LETTER}+)"
+_WORD = rf"\p{{Lu}}(?:{_LETTER}+|(?=['’])){_JOINED}{{0,4}}"
+_ALL_TITLES = _words([t for kind in TITLES.values() for t in kind])
+_ALL_GIVEN = _words([n for names in GIVEN.values() for n in names])
 
 _GAP = "[ \u00A0]{1,2}"
 _EDGE = r"(?<![\p{L}\p{N}])"
 _STOP = r"(?![\p{L}\p{N}])"
 
+_PARTICLE = f"(?:{'|'.join(w for p in PARTICLES for w in (p, p.capitalize(), p.upper()))})"
+# initials and particles before a word of a name
+_LINK = rf"(?:{_GAP}(?:(?:\p{{Lu}}\.){{1,4}}|\p{{Lu}}|{_PARTICLE})(?={_GAP})){{0,4}}"
+_NAME = rf"{_EDGE}(?=\p{{Lu}})(?:{_ALL_TITLES}\.?(?:{_GAP}{_ALL_TITLES}\.?){{0,2}}|{_ALL_GIVEN}(?:-{_LETTER}+){{0,3}}){_LINK}{_GAP}{_WORD}(?:{_LINK}{_GAP}(?!(?:{_ALL_TITLES}|{_words(FUNCTION)})(?!{_LETTER})){_WORD}){{0,6}}{_STOP}"
+
 #: (kind, pattern) in order of precedence.
 KINDS = (
     ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+\-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?\.)+\p{L}{2,}"),
@@ -76,7 +102,7 @@ KINDS = (
     ("phone", r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})" + _STOP),
     ("ip", r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])"),
     ("mac", r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{2}[:\-]){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:])"),
-    ("name", rf"{_EDGE}(?=\p{{Lu}})(?:(?:{_ALL_TITLES})\.?{_GAP}{_WORD}(?:{_GAP}(?!(?:{_ALL_TITLES})\b){_WORD}){{0,2}}|(?:{_ALL_GIVEN}){_GAP}{_WORD}){_STOP}"),
+    ("name", _NAME),
     # what stands behind a word such as password; the rest tells the value's place only
     ("secret", r"(?<=(?i:key|secret|token|password|passwd|pwd|auth)[\"']{0,1}\s{0,3}[=:]\s{0,3}[\"']{0,1})(?=[A-Za-z0-9_\-+/.=]*[0-9])[A-Za-z0-9_\-+/.=]{7,}[A-Za-z0-9_\-+/=]"),
 )
@@ -85,10 +111,6 @@ PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 GUARD = rf"[0-9@]|{dict(KINDS)['name']}"
 
 
-def _any(words: list[str]) -> str:
-    return f"^(?:{'|'.join(words)})$"
-
-
 def entities_of(text: Column) -> Column:
     """The texts of all entities, in order."""
     return F.when(text.rlike(GUARD), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -102,20 +124,30 @@ def _kind(raw: Column) -> Column:
 
 
 def _name_parts(raw: Column) -> Column:
-    """A name as parts (kind, raw): forms of address and spaces have no kind."""
+    """A name as parts (kind, raw, fixed): forms of address, particles and spaces have no kind.
+
+    Initials have none either, as there are too few to tell all apart: their letters, in
+    fixed, are drawn by family name.
+    """
     words = F.regexp_extract_all(raw, F.lit("[^ \u00A0]+|[ \u00A0]+"), F.lit(0))
-    titles = "|".join(f"(?:{t})\\.?" for kind in TITLES.values() for t in kind)
-    plain = lambda w: w.rlike("^[ \u00A0]+$|^(?:" + titles + ")$")
-    last = F.size(words) - 1
-    title = lambda g: F.exists(words, lambda w: w.rlike("^(?:" + "|".join(TITLES[g]) + ")\\.?$"))
+    titles = _words([t for kind in TITLES.values() for t in kind])
+    rest = "|".join((*PARTICLES, *SUFFIXES))
+    initial = lambda w: w.rlike(r"^(?:(?:\p{Lu}\.)+|\p{Lu})$")
+    plain = lambda w: w.rlike(f"^[ \u00A0]+$|^{titles}\\.?$|^(?i:{rest})$") | initial(w)
+    # a name of particles only, as Mr Le, is a name all the same
+    own = F.filter(words, lambda w: ~plain(w))
+    last = F.when(F.size(own) > 0, F.size(words) - F.array_position(F.reverse(words), F.try_element_at(own, F.lit(-1)))).otherwise(F.size(words) - 1)
+    family = F.lower(F.element_at(words, (last + 1).cast("int")))
+    title = lambda g: F.exists(words, lambda w: w.rlike(f"^{_words(TITLES[g])}\\.?$"))
     of_title = F.when(title("f"), "f").when(title("m"), "m").otherwise("n")
 
     def part(w: Column, i: Column) -> Column:
         script = F.when(w.rlike("\\p{IsCyrillic}"), "cyrillic").when(w.rlike("\\p{IsGreek}"), "greek").otherwise("latin")
-        women, men = ([n for (_, g), names in GIVEN.items() if g == x for n in names] for x in "fm")
-        gender = F.when(w.rlike(_any(women)), "f").when(w.rlike(_any(men)), "m").otherwise(of_title)
-        kind = F.when(plain(w), F.lit(None)).when(i == last, F.concat_ws(":", F.lit("family"), script)).otherwise(F.concat_ws(":", F.lit("given"), script, gender))
-        return F.struct(kind.alias("kind"), w.alias("raw"))
+        women, men = (_words([n for (_, g), names in GIVEN.items() if g == x for n in names]) for x in "fm")
+        gender = F.when(w.rlike(f"^{women}$"), "f").when(w.rlike(f"^{men}$"), "m").otherwise(of_title)
+        kind = F.when(i == last, F.concat_ws(":", F.lit("family"), script)).when(plain(w), F.lit(None)).otherwise(F.concat_ws(":", F.lit("given"), script, gender))
+        fixed = F.when(initial(w) & (i != last), F.upper(_same_shape(F.lower(w), F.lit("initial"), family)))
+        return F.struct(kind.alias("kind"), w.alias("raw"), fixed.alias("fixed"))
 
     return F.transform(words, part)
 
@@ -200,6 +232,21 @@ def _surrogate(kind: Column, canon: Column, attempt: int) -> Column:
     return out.otherwise(shape)
 
 
+def _as_name(raw: Column, surrogate: Column) -> Column:
+    upper = (F.upper(raw) == raw) & (F.lower(raw) != raw) & (F.length(raw) > 1)
+    return F.when(upper, F.upper(surrogate)).otherwise(F.replace(F.initcap(F.replace(surrogate, F.lit("-"), F.lit("- "))), F.lit("- "), F.lit("-")))
+
+
+def _mentions(gap: Column, names: Column) -> Column:
+    """The pieces (old, new) of a text between entities: words that names (canon to surrogate) holds are new."""
+    pieces = lambda t, joint: F.regexp_extract_all(t, F.lit(rf"[\p{{L}}\p{{M}}\p{{N}}]+{joint}|[^\p{{L}}\p{{M}}\p{{N}}]+"), F.lit(0))
+    of = lambda w: F.when(w.rlike(r"^\p{Lu}"), _as_name(w, F.try_element_at(names, F.lower(w))))
+    # of a joined word that is no name, each part may be one
+    within = lambda w: F.when(w.rlike("['’\\-]"), F.array_join(F.transform(pieces(w, ""), lambda x: F.coalesce(of(x), x)), "")).otherwise(w)
+    words = pieces(gap, rf"{_JOINED}*")
+    return F.transform(words, lambda w: F.struct(w.alias("old"), F.coalesce(of(w), within(w)).alias("new")))
+
+
 def _formatted(kind: Column, raw: Column, surrogate: Column) -> Column:
     """The surrogate in the format of an occurrence: its separators, its case."""
     upper = (F.upper(raw) == raw) & (F.lower(raw) != raw)
@@ -207,8 +254,7 @@ def _formatted(kind: Column, raw: Column, surrogate: Column) -> Column:
     kept = lambda i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda c: c.rlike("[A-Za-z0-9]")))
     filled = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substr(surrogate, kept(i), F.lit(1))).otherwise(c)), "")
     filled = F.when(upper, F.upper(filled)).otherwise(filled)
-    name = F.when(upper & (F.length(raw) > 1), F.upper(surrogate)).otherwise(F.replace(F.initcap(F.replace(surrogate, F.lit("-"), F.lit("- "))), F.lit("- "), F.lit("-")))
-    return F.when(kind.isin("iban", "ssn", "card", "phone", "mac"), filled).when(kind.startswith("given") | kind.startswith("family"), name).when((kind == "email") & upper, F.upper(surrogate)).otherwise(surrogate)
+    return F.when(kind.isin("iban", "ssn", "card", "phone", "mac"), filled).when(kind.startswith("given") | kind.startswith("family"), _as_name(raw, surrogate)).when((kind == "email") & upper, F.upper(surrogate)).otherwise(surrogate)
 
 
 def surrogate_table(entities: DataFrame) -> DataFrame:
@@ -242,19 +288,28 @@ def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = F.struct(F.col(id_col).cast("string").alias("id"), F.sha2(text, 256).alias("text"))
     found = docs.where(has).select(key.alias("__key"), F.posexplode(entities_of(text)).alias("__at", "raw"))
     found = found.withColumn("kind", _kind(F.col("raw")))
-    parts = F.when(F.col("kind") == "name", _name_parts(F.col("raw"))).otherwise(F.array(F.struct("kind", "raw")))
-    found = found.select("__key", "__at", F.posexplode(parts).alias("__part", "p")).select("__key", "__at", "__part", "p.kind", "p.raw")
+    parts = F.when(F.col("kind") == "name", _name_parts(F.col("raw"))).otherwise(F.array(F.struct("kind", "raw", F.lit(None).cast("string").alias("fixed"))))
+    found = found.select("__key", "__at", F.posexplode(parts).alias("__part", "p")).select("__key", "__at", "__part", "p.*")
     found = stored(found.withColumn("canon", _canonical(F.col("kind"), F.col("raw"))), "found")
     table = surrogate_table(found.where("kind IS NOT NULL").select("kind", "canon").distinct())
-    named = found.join(table, ["kind", "canon"], "left").withColumn("new", F.coalesce(_formatted(F.col("kind"), F.col("raw"), F.col("surrogate")), F.col("raw")))
+    named = found.join(table, ["kind", "canon"], "left").withColumn("new", F.coalesce(_formatted(F.col("kind"), F.col("raw"), F.col("surrogate")), "fixed", "raw"))
     # all parts of one text, put together in order; equal rows repeat parts, a set keeps one
-    lists = named.groupBy("__key").agg(F.sort_array(F.collect_set(F.struct("__at", "__part", "new"))).alias("__parts"))
-    gaps = F.split(text, PATTERN)
+    part = F.col("kind").startswith("given") | F.col("kind").startswith("family")
+    word = part & ~F.col("canon").isin([w.lower() for w in (*FUNCTION, *PARTICLES)])
+    lists = named.groupBy("__key").agg(
+        F.sort_array(F.collect_set(F.struct("__at", "__part", "new"))).alias("__parts"),
+        # a word that is a given and a family name stands alone as a family name
+        F.sort_array(F.collect_set(F.when(word, F.struct("canon", "kind", "surrogate")))).alias("__names"),
+    )
+    only = F.filter("__names", lambda x, i: (i == 0) | (F.try_element_at(F.col("__names"), i)["canon"] != x["canon"]))
+    names = F.map_from_entries(F.transform(only, lambda x: F.struct(x["canon"], x["surrogate"])))
+    pieces = F.transform(F.split(text, PATTERN), lambda g: F.when(F.size("__names") > 0, _mentions(g, F.col("__map"))).otherwise(F.array(F.struct(g.alias("old"), g.alias("new")))))
     of = lambda i: F.array_join(F.transform(F.filter("__parts", lambda p: p["__at"] == i), lambda p: p["new"]), "")
-    text_of = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, of(i))), "")
+    text_of = F.array_join(F.transform("__gaps", lambda g, i: F.concat(F.array_join(F.transform(g, lambda x: x["new"]), ""), of(i))), "")
+    alone = F.aggregate("__gaps", F.lit(0), lambda n, g: n + F.size(F.filter(g, lambda x: x["old"] != x["new"])))
     plain = docs.where(~has).withColumn("__entities", F.lit(0))
-    changed = docs.where(has).withColumn("__key", key).join(lists, "__key")
-    changed = changed.withColumn("__entities", F.size(gaps) - 1).withColumn("__new", text_of)
+    changed = docs.where(has).withColumn("__key", key).join(lists.withColumn("__map", names), "__key").withColumn("__gaps", pieces)
+    changed = changed.withColumn("__entities", F.size("__gaps") - 1 + alone).withColumn("__new", text_of)
     changed = changed.select(*[F.col("__new").alias(c) if c == text_col else F.col(c) for c in docs.columns], "__entities")
     return plain.unionByName(changed)
 

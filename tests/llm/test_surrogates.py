@@ -90,3 +90,23 @@ def test_replaced_keeps_columns(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert got[1].n_chars == len(got[1].text) and "10.20.30.40" not in got[1].text and got[2].n_chars == 3
     assert surrogates.replaced(d.limit(0)).collect() == []
+
+
+def test_whole_names_and_later_mentions(spark):
+    whole = ["John F. Kennedy", "John Fitzgerald Kennedy", "Dr. John F. Kennedy", "JOHN SMITH", "DR. SMITH", "Mr. van der Berg", "Anna de la Cruz", "Anna-Lena Meyer", "Charles O'Neill", "PETER O'NEILL", "José María Álvarez del Manzano"]
+    for name in whole:
+        assert [m.group() for m in PATTERN.finditer(f"so {name} went")] == [name]
+    assert PATTERN.search("Emily Carter's house").group() == "Emily Carter"
+    texts = [f"so {name}'s dog; it" for name in whole]
+    texts.append("We met Emily Carter. The Carter-led team, Carter's own; CARTER, and Emily left. carter Carterson The end")
+    texts.append("No one here is Carter.")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.query(docs).collect()}
+    for k, name in enumerate(whole):
+        left = set(regex.findall(r"\p{L}{4,}", got[k].text)) & set(regex.findall(r"\p{L}{4,}", name))
+        assert not left, (name, got[k].text)
+        assert regex.fullmatch(r"so .*'s dog; it", got[k].text) and got[k].n_entities == 1
+    given, family = regex.match(r"We met (\S+) (\S+)\. ", got[len(whole)].text).groups()
+    assert "Carter" not in family and got[len(whole)].n_entities == 5
+    assert got[len(whole)].text == f"We met {given} {family}. The {family}-led team, {family}'s own; {family.upper()}, and {given} left. carter Carterson The end"
+    assert got[len(whole) + 1].text == texts[-1] and got[len(whole) + 1].n_entities == 0
