@@ -92,6 +92,10 @@ _PARTICLE = f"(?:{'|'.join(w for p in PARTICLES for w in (p, p.capitalize(), p.u
 _LINK = rf"(?:{_GAP}(?:(?:\p{{Lu}}\.){{1,4}}|\p{{Lu}}|{_PARTICLE})(?={_GAP})){{0,4}}"
 _NAME = rf"{_EDGE}(?=\p{{Lu}})(?:{_ALL_TITLES}\.?(?:{_GAP}{_ALL_TITLES}\.?){{0,2}}|{_ALL_GIVEN}(?:-{_LETTER}+){{0,3}}){_LINK}{_GAP}{_WORD}(?:{_LINK}{_GAP}(?!(?:{_ALL_TITLES}|{_words(FUNCTION)})(?!{_LETTER})){_WORD}){{0,6}}{_STOP}"
 
+# cheap and true wherever the long look behind is: most places fail here
+_BEHIND = r"(?<=[=:\s\"'])(?<=[=:]\s{0,3}[\"']{0,1})"
+_SIGN = r"[!#-%*+\-./0-9:=?@A-Z^_`a-z~]"
+
 #: (kind, pattern) in order of precedence.
 KINDS = (
     ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+\-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?\.)+\p{L}{2,}"),
@@ -104,11 +108,13 @@ KINDS = (
     ("mac", r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{2}[:\-]){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:])"),
     ("name", _NAME),
     # what stands behind a word such as password; the rest tells the value's place only
-    ("secret", r"(?<=(?i:key|secret|token|password|passwd|pwd|auth)[\"']{0,1}\s{0,3}[=:]\s{0,3}[\"']{0,1})(?=[A-Za-z0-9_\-+/.=]*[0-9])[A-Za-z0-9_\-+/.=]{7,}[A-Za-z0-9_\-+/=]"),
+    ("secret", _BEHIND + r"(?<=(?i:key|secret|token|password|passwd|pwd|auth)[\"']{0,1}\s{0,3}[=:]\s{0,3}[\"']{0,1})(?=[A-Za-z0-9_\-+/.=]*[0-9])[A-Za-z0-9_\-+/.=]{7,}[A-Za-z0-9_\-+/=]"),
+    # behind a word for passwords any value with four letters or digits is one
+    ("secret", _BEHIND + rf"(?<=(?i:password|passwd|pwd)[\"']{{0,1}}\s{{0,3}}[=:]\s{{0,3}}[\"']{{0,1}})(?=(?:{_SIGN}*[A-Za-z0-9]){{4}}){_SIGN}+(?<![.:!?])"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 #: A text without a match of this has no entity.
-GUARD = rf"[0-9@]|{dict(KINDS)['name']}"
+GUARD = "|".join(("[0-9@]", *(f"(?:{p})" for k, p in KINDS if k in ("name", "secret", "mac"))))
 
 
 def entities_of(text: Column) -> Column:
@@ -118,7 +124,7 @@ def entities_of(text: Column) -> Column:
 
 def _kind(raw: Column) -> Column:
     out = F.when(raw.rlike(f"^(?:{KINDS[0][1]})$"), "email")
-    for kind, pattern in KINDS[1:-1]:
+    for kind, pattern in KINDS[1:-2]:
         out = out.when(raw.rlike(f"^(?:{pattern})$"), kind)
     return out.otherwise("secret")
 

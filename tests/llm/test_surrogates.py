@@ -110,3 +110,17 @@ def test_whole_names_and_later_mentions(spark):
     assert "Carter" not in family and got[len(whole)].n_entities == 5
     assert got[len(whole)].text == f"We met {given} {family}. The {family}-led team, {family}'s own; {family.upper()}, and {given} left. carter Carterson The end"
     assert got[len(whole) + 1].text == texts[-1] and got[len(whole) + 1].n_entities == 0
+
+
+def test_secrets_without_digits(spark):
+    secrets = ["AKIA" + "QWERTYUIASDFGHJK", "xoxb-" + "abcdefghij-klmno", "sk-" + "abcdefghijklmnopqrstuv", "ghp_" + "abcdefghijklmnopqrstuvwxyzabcdefghij", "AB:CD:EF:AB:CD:EF", "a" * 40]
+    values = {"password: correcthorsebattery": "correcthorsebattery", "pwd=abc123": "abc123", "Password='p!ss~word'": "p!ss~word", "passwd = letmein.": "letmein"}
+    texts = [f"it is {s} here" for s in secrets] + [f"its {s}" for s in values]
+    texts += ["password: ***", "a key: correcthorsebattery", "password\n\nand more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.query(docs).collect()}
+    for k, (text, found) in enumerate(zip(texts, [*secrets, *values.values()], strict=False)):
+        assert got[k].n_entities == 1 and found not in got[k].text, text
+        before, after = text.split(found)
+        assert got[k].text.startswith(before) and got[k].text.endswith(after) and len(got[k].text) == len(text)
+    assert [got[k].text for k in range(len(texts) - 3, len(texts))] == texts[-3:]
