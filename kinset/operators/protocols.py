@@ -24,10 +24,14 @@ def exact(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def indicator(universe: int) -> Method:
-    """Indicator vectors over a universe; sizes are those of the lists, duplicates included."""
+    """Indicator vectors over a universe; sizes are those of the lists, duplicates included.
+
+    An element outside the universe is an error.
+    """
 
     def method(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-        inside = sets.select("set_id", "element").where((F.col("element") >= 0) & (F.col("element") < universe))
+        known = (F.col("element") >= 0) & (F.col("element") < universe)
+        inside = sets.select("set_id", F.when(known, F.col("element")).otherwise(F.raise_error(F.lit("an element outside the universe")).cast(sets.schema["element"].dataType)).alias("element"))
         o = S.overlaps(inside.distinct(), pairs).select("a", "b", "inter")
         n = inside.groupBy("set_id").agg(F.count("*").alias("n"))
         for side in "ab":

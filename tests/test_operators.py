@@ -229,3 +229,13 @@ def test_patterns_and_gaussian_error(spark):
     assert share("all") == 1 and share("none") == 0 and 0 <= share("random") < 0.1
     rows = spark.createDataFrame([(0.0,), (1.96,), (None,)], "z double").select(R.gaussian_error("z").alias("e")).collect()
     assert rows[0].e == 0.5 and rows[1].e == pytest.approx(0.0249979, abs=1e-6) and rows[2].e is None
+
+
+def test_indicator_takes_no_element_outside(spark):
+    from kinset.operators import protocols as M
+
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    for outside in (10, -1, None):
+        s = spark.createDataFrame([(1, 1), (2, 1), (2, outside)], "set_id long, element long")
+        with pytest.raises(Exception, match="outside the universe"):
+            M.indicator(10)(s, pairs).collect()
