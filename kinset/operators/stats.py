@@ -12,6 +12,17 @@ STUDENT_T = (
     2.079613845, 2.073873068, 2.068657610, 2.063898562, 2.059538553, 2.055529439, 2.051830516, 2.048407142, 2.045229642, 2.042272456,
 )
 
+#: The 97.5 % point of the normal distribution.
+NORMAL_Z = 1.959963984540054
+#: Numerators over 1/n, .., 1/n^4 of the expansion of Student's t by degrees of freedom n.
+_z = NORMAL_Z
+STUDENT_SERIES = (
+    (_z**3 + _z) / 4,
+    (5 * _z**5 + 16 * _z**3 + 3 * _z) / 96,
+    (3 * _z**7 + 19 * _z**5 + 17 * _z**3 - 15 * _z) / 384,
+    (79 * _z**9 + 776 * _z**7 + 1482 * _z**5 - 1920 * _z**3 - 945 * _z) / 92160,
+)
+
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, share_percent: int, name: str) -> DataFrame:
     """The value at rank ceil(share * n) of each group, counted with integers.
@@ -50,11 +61,17 @@ def binomial_interval(successes: Column, n: Column) -> tuple[Column, Column, Col
     return some(rate), some(F.greatest(F.lit(0.0), rate - margin)), some(F.least(F.lit(1.0), rate + margin))
 
 
-def t_interval(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, mean, sd and the Student-t interval of groups of 2 to 31 rows; larger groups are an error."""
+def t_interval(df: DataFrame, by: list[str], value: str, beyond: bool = False) -> DataFrame:
+    """n, mean, sd and the Student-t interval of groups of 2 to 31 rows.
+
+    Larger groups are an error, or with beyond get t by its expansion in degrees of freedom.
+    """
     out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     point = F.element_at(F.array(*map(F.lit, STUDENT_T)), F.least(F.greatest(F.col("n") - 1, F.lit(1)), F.lit(len(STUDENT_T))).cast("int"))
-    t = F.when(F.col("n") > len(STUDENT_T) + 1, F.raise_error(F.lit("more rows than the table has degrees of freedom")).cast("double")).otherwise(point)
+    v = (F.col("n") - 1).cast("double")
+    series = sum((F.lit(c) / v**k for k, c in enumerate(STUDENT_SERIES, 1)), F.lit(NORMAL_Z))
+    more = series if beyond else F.raise_error(F.lit("more rows than the table has degrees of freedom")).cast("double")
+    t = F.when(F.col("n") > len(STUDENT_T) + 1, more).otherwise(point)
     margin = t * F.col("sd") / F.sqrt("n")
     return out.withColumn("low", F.when(F.col("n") > 1, F.col("mean") - margin)).withColumn("high", F.when(F.col("n") > 1, F.col("mean") + margin))
 

@@ -43,6 +43,16 @@ def ag18_t_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_custkey", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "low", "high")])
 
 
+_T_SERIES = f"{stats.NORMAL_Z!r}::DOUBLE + " + " + ".join(f"{c!r}::DOUBLE / power((count(*) - 1)::DOUBLE, {k})" for k, c in enumerate(stats.STUDENT_SERIES, 1))
+
+
+@query(f"SELECT o_custkey, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean - t * sd / sqrt(n), 6) AS low, round(mean + t * sd / sqrt(n), 6) AS high FROM (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS sd, CASE WHEN count(*) > 31 THEN {_T_SERIES} WHEN count(*) > 1 THEN ({_T})[count(*) - 1]::DOUBLE END AS t FROM orders GROUP BY 1)")
+def ag18_t_interval_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group; ag18_t_interval has those of up to 31 orders, as its SQL says."""
+    out = stats.t_interval(table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice", beyond=True)
+    return out.select("o_custkey", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "low", "high")])
+
+
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 9) AS r2, count(*) AS n, CASE WHEN regr_r2(l_extendedprice, l_quantity) > 0.5 THEN 'PASS' ELSE 'FAIL' END AS gate, CASE WHEN regr_r2(l_extendedprice, l_quantity) > 0.5 THEN round(regr_slope(l_extendedprice, l_quantity) * 100 + regr_intercept(l_extendedprice, l_quantity), 3) END AS at_100 FROM lineitem GROUP BY 1")
 def ag19_linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fit, and where its gate passes, the extrapolation to 100 (ag31)."""

@@ -239,3 +239,28 @@ def test_indicator_takes_no_element_outside(spark):
         s = spark.createDataFrame([(1, 1), (2, 1), (2, outside)], "set_id long, element long")
         with pytest.raises(Exception, match="outside the universe"):
             M.indicator(10)(s, pairs).collect()
+
+
+def test_t_interval_beyond_the_table(spark):
+    # 97.5 % points from printed tables, for 31, 40, 60 and 120 degrees of freedom
+    points = {32: 2.0395134, 41: 2.0210754, 61: 2.0002978, 121: 1.9799304}
+    rows = spark.createDataFrame([(n, float(i)) for n in (1, 31, *points) for i in range(n)], "g long, x double")
+    got = {r.g: r for r in stats.t_interval(rows, ["g"], "x", beyond=True).collect()}
+    assert len(got) == 6 and got[1].low is None
+    for n, t in ({31: stats.STUDENT_T[29]} | points).items():
+        assert got[n].n == n and (got[n].high - got[n].mean) * math.sqrt(n) / got[n].sd == pytest.approx(t, abs=2e-6)
+
+
+def test_t_interval_query_keeps_large_groups(spark, tmp_path):
+    import duckdb
+
+    from kinset.plans import catalogue
+
+    rows = [(1, float(i)) for i in range(40)] + [(2, 1.0), (2, 4.0), (3, 5.0)]
+    spark.createDataFrame(rows, "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(map(tuple, catalogue.QUERIES["ag18_t_interval_all"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = sorted(con.execute(catalogue.ORACLES["ag18_t_interval_all"]).fetchall())
+    assert [r[:2] for r in got] == [r[:2] for r in want] == [(1, 40), (2, 2), (3, 1)]
+    assert got[0][2:] == pytest.approx(want[0][2:]) and got[1][2:] == pytest.approx(want[1][2:])
