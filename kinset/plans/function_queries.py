@@ -141,11 +141,24 @@ def str5_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUBJECT = "(CASE turn % 4 WHEN 0 THEN 'Re: ' WHEN 1 THEN 'RE[2]: Fwd: ' WHEN 2 THEN 'fw:' ELSE '' END || substr(coalesce(text, ''), 1, 40))"
 
 
-@query(f"SELECT conv_id, turn, array_to_string(regexp_extract_all(regexp_replace(trim(lower({_SUBJECT})), '^(?:(?:re(?:\\[[0-9]+\\])?|fw|fwd):[ \\t]*)+', ''), '[a-z0-9]+'), ' ') AS subject FROM conversations")
+def _canonical(subject: str) -> str:
+    return f"SELECT conv_id, turn, array_to_string(regexp_extract_all(regexp_replace(trim(lower({subject})), '^(?:(?:re(?:\\[[0-9]+\\])?|fw|fwd):[ \\t]*)+', ''), '[a-z0-9]+'), ' ') AS subject FROM conversations"
+
+
+@query(_canonical(_SUBJECT))
 def str6_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first 40 characters, as its SQL says; str6_subject_all has whole texts."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.canonical_subject(F.expr(_SUBJECT)).alias("subject"))
 
 
+_SUBJECT_ALL = "(CASE turn % 4 WHEN 0 THEN 'Re: ' WHEN 1 THEN 'RE[2]: Fwd: ' WHEN 2 THEN 'fw:' ELSE '' END || coalesce(text, ''))"
+
+
+@query(_canonical(_SUBJECT_ALL))
+def str6_subject_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.canonical_subject(F.expr(_SUBJECT_ALL)).alias("subject"))
+
+
 _BODY = "(coalesce(text, '') || chr(10) || '> quoted' || chr(10) || 'after' || chr(10) || CASE turn % 3 WHEN 0 THEN '-----Original Message-----' WHEN 1 THEN 'On Monday, Ann wrote:' ELSE 'no tail' END || chr(10) || 'tail')"
 
 

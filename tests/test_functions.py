@@ -99,3 +99,12 @@ def test_strict_fields(spark):
         assert one(spark, t=t).select(T.strict_unsigned(F.col("t"))).first()[0] == want
     assert one(spark, t="1,5,9").select(T.split_numbers(F.col("t"))).first()[0] == [1, 5, 9]
     assert one(spark, t="").select(T.split_numbers(F.col("t"))).first()[0] == []
+
+
+def test_subject_query_takes_whole_texts(spark, tmp_path):
+    from kinset.plans import catalogue
+
+    text = "re: " + "word " * 30 + "\nlast"
+    spark.createDataFrame([(1, 0, text), (1, 1, None)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.subject for r in catalogue.QUERIES["str6_subject_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: "word " * 30 + "last", 1: ""}
