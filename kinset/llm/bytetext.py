@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLAB_BYTES = 1 << 20
 
@@ -34,25 +35,6 @@ ALNUM[0x80:] = True
 LEADS = np.ones(256, dtype=bool)
 LEADS[0x80:0xC0] = False
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INVERSE = pow(_P, -1, 1 << 64)
-_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, and doubled as longer texts come."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLAB_BYTES + 1)
-        steps = np.full(size, base, dtype=np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if n <= SLAB_BYTES + 1:
-            _powers[base] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     x = x ^ (x >> np.uint64(30))
@@ -70,27 +52,89 @@ def chain(*parts: np.ndarray) -> np.ndarray:
     return out
 
 
-class Hasher:
-    """64-bit hashes of any byte ranges of a buffer, by one prefix sum over it."""
+#: Ranges of up to this many bytes are hashed side by side, longer ones one by one.
+SHORT = 64
+_STEP = np.uint64(0xA24BAED4963EE407)
+
+
+class Bytes:
+    """A buffer read in words of 8 bytes from any position."""
 
     def __init__(self, buf: np.ndarray):
-        n = len(buf)
-        terms = _BYTE[buf]
-        terms *= _power(_P, n)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(terms, out=self.sums[1:])
-        self.inverse = _power(_P_INVERSE, n + 1)
+        padded = np.zeros(len(buf) + 8, np.uint8)
+        padded[: len(buf)] = buf
+        self.raw = padded
+        self.words = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+    def at(self, where: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The 8 bytes from each position on; those past `left` bytes are 0."""
+        out = self.words[where]
+        few = np.flatnonzero(left < 8)
+        out[few] &= (np.uint64(1) << (left[few] * 8).astype(np.uint64)) - np.uint64(1)
+        return out
+
+
+def same_bytes(a: Bytes, a_start: np.ndarray, a_end: np.ndarray, b: Bytes, b_start: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether the ranges of a and b hold equal bytes, range by range."""
+    size = a_end - a_start
+    equal = size == b_end - b_start
+    left = np.flatnonzero(equal)
+    for k in range(0, SHORT, 8):
+        left = left[size[left] > k]
+        if not len(left):
+            return equal
+        n = size[left] - k
+        good = a.at(a_start[left] + k, n) == b.at(b_start[left] + k, n)
+        equal[left[~good]] = False
+        left = left[good]
+    for i in left[size[left] > SHORT].tolist():
+        equal[i] = np.array_equal(a.raw[a_start[i] : a_end[i]], b.raw[b_start[i] : b_end[i]])
+    return equal
+
+
+class Hasher:
+    """64-bit hashes of any byte ranges of a buffer.
+
+    Ranges of up to SHORT bytes go through a non-linear finaliser for every 8 bytes, all
+    ranges side by side; longer ones are hashed by XXH64. Nothing of the size of the buffer
+    is kept but a copy of it.
+    """
+
+    def __init__(self, buf: np.ndarray, seed: int = 0):
+        self.bytes = Bytes(buf)
+        self.seed = seed
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inner = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        return mix(inner + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        size = end - start
+        out = mix(size.astype(np.uint64) * _STEP + np.uint64(self.seed))
+        left = np.flatnonzero((size > 0) & (size <= SHORT))
+        k = 0
+        while len(left):
+            out[left] = mix((out[left] + _STEP) ^ self.bytes.at(start[left] + k, size[left] - k))
+            k += 8
+            left = left[size[left] > k]
+        raw = self.bytes.raw
+        for i in np.flatnonzero(size > SHORT).tolist():
+            out[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]], self.seed)
+        return out
+
+    def exact(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of the ranges, equal where and only where their bytes are equal."""
+        seed = self.seed
+        while True:
+            _, first, at = np.unique(Hasher.__call__(self, start, end), return_index=True, return_inverse=True)
+            of = first[at]
+            if same_bytes(self.bytes, start, end, self.bytes, start[of], end[of]).all():
+                self.seed = seed
+                return at
+            # two different ranges met in one hash: another seed tells them apart
+            self.seed += 1
 
 
 def text_hash(word: str) -> np.uint64:
     """The hash that Hasher gives a range with these bytes."""
     raw = np.frombuffer(word.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    with np.errstate(over="ignore"):
-        return Hasher(raw)(np.array([0]), np.array([len(raw)]))[0]
+    return Hasher(raw)(np.array([0]), np.array([len(raw)]))[0]
 
 
 @dataclass
@@ -139,8 +183,11 @@ class Slab:
 
     def per_text(self, mask: np.ndarray) -> np.ndarray:
         """How many of the bytes marked in mask each text holds."""
-        sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-        return sums[self.off[1:]] - sums[self.off[:-1]]
+        if len(mask) > 256 * self.n:
+            # few texts: a count of each is cheaper than sums at all positions
+            return np.array([np.count_nonzero(mask[a:b]) for a, b in zip(self.off[:-1].tolist(), self.off[1:].tolist())], np.int64)
+        sums = running(mask)
+        return (sums[self.off[1:]] - sums[self.off[:-1]]).astype(np.int64)
 
 
 def _flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -167,6 +214,13 @@ def slabs(column: pa.Array | pa.ChunkedArray, limit: int = SLAB_BYTES) -> Iterat
         lo = hi
 
 
+def running(mask: np.ndarray) -> np.ndarray:
+    """How many bytes are marked before each position; 4 bytes a position where that will do."""
+    out = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
+    np.cumsum(mask, out=out[1:])
+    return out
+
+
 def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values over the segments first[i]..first[i+1]; empty segments give 0."""
     sums = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)])

@@ -72,22 +72,23 @@ def _shares(count: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 
 def _per_word(marked: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0], np.cumsum(marked, dtype=np.int64)])
-    return sums[end] - sums[start]
+    sums = bt.running(marked)
+    return (sums[end] - sums[start]).astype(np.int64)
 
 
-def _earlier(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per key: whether its text had it before, and how many of it the text has."""
-    both = bt.chain(keys, text.astype(np.uint64))
-    order = np.argsort(both, kind="stable")
-    s = both[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    size = np.diff(np.append(np.flatnonzero(new), len(s)))
-    again, count = np.empty(len(s), bool), np.empty(len(s), np.int64)
-    again[order] = ~new
-    count[order] = np.repeat(size, size)
-    return again, count
+def _earlier(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of the columns: whether an equal row came before, and how many are equal.
+
+    Rows are grouped by a hash of their values and then compared with the first of the group.
+    """
+    columns = [c.astype(np.uint64) for c in columns]
+    _, first, at, size = np.unique(bt.chain(*columns), return_index=True, return_inverse=True, return_counts=True)
+    of = first[at]
+    if not all(np.array_equal(c[of], c) for c in columns):
+        _, first, at, size = np.unique(np.stack(columns, axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+        at = at.ravel()
+        of = first[at]
+    return of != np.arange(len(of)), size[at]
 
 
 def statistics(slab: bt.Slab) -> np.ndarray:
@@ -172,7 +173,7 @@ def stem_hashes(slab: bt.Slab) -> tuple[np.ndarray, list[np.ndarray], np.ndarray
     start, end, first = slab.words(bt.ALNUM, lower)
     hasher = bt.Hasher(lower)
     leads = np.flatnonzero(bt.LEADS[lower])
-    rank = np.concatenate([[0], np.cumsum(bt.LEADS[lower], dtype=np.int64)])
+    rank = bt.running(bt.LEADS[lower])
     leads = np.concatenate([leads, np.full(max(STEMS) + 1, len(lower), np.int64)])
     out = []
     for k in STEMS:

@@ -7,11 +7,12 @@ word is no line for the rules and stays where it is. A line with a word fails as
   marks (3 at least, one for every third word), or fewer than 4 words without a closing
   sign at the end;
 * navigation: separators ``| > » • ·`` (2 at least, one for every third word);
-* boilerplate: one of ``PHRASES`` stands in it (A-Z lower-cased), or an earlier line of the
-  text is equal to it.
+* boilerplate: one of ``PHRASES`` or ``LICENCE`` stands in it (A-Z lower-cased), or an
+  earlier line of the text is equal to it, byte by byte.
 
 A document is kept unless it has fewer than 10 words, more than a fifth of its words stand
 in repeated 5-word windows, or its failing lines hold more than ``MAX_LOST`` of its words.
+Lines that fail for a licence notice only are removed, but not held against the document.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ PHRASES = (
     "copyright (c)",
     "lorem ipsum",
 )
+#: Licence notices: their lines go too, but a text with one is not the worse for it.
+LICENCE = ("licensed under", "public license", "apache license", "mit license")
 
 _SIGNS = _marks("#*$%&|<>")
 _CODE = _marks("#*$%&<>")
@@ -88,7 +91,7 @@ class Lines:
         is_word = bt.NOT_SPACE[buf]
         self.word_chars = slab.per_text(is_word & bt.LEADS[buf])
         self.n_symbols = slab.per_text(_SIGNS[buf])
-        self.n_repeat_words = self._repeated(hasher(start, end), text, first)
+        self.n_repeat_words = self._repeated(hasher.exact(start, end), text, first)
         lo, hi, self.line_first = slab.lines()
         self.lo, self.hi = lo, hi
         begins = np.zeros(len(buf), bool)
@@ -97,32 +100,33 @@ class Lines:
         self.has = w > 0
         line_text = np.repeat(np.arange(slab.n), np.diff(self.line_first))
         again = np.zeros(len(lo), bool)
-        again[self.has] = _earlier(hasher(lo[self.has], hi[self.has]), line_text[self.has])[0]
+        again[self.has] = _earlier(hasher.exact(lo[self.has], hi[self.has]), line_text[self.has])[0]
         self.n_dup_lines = bt.segment_sums(again.astype(np.int64), self.line_first)
         bars = _BARS[buf]
         for sign in _WIDE_BARS:
             bars |= _at(buf, sign)
         bars, code, shouts = (_per_word(x, lo, hi) for x in (bars, _CODE[buf], buf == 33))
-        self.fails = self.has & (
+        junk = self.has & (
             again
             | ((bars >= 2) & (3 * bars >= w))
             | ((code >= 3) & (2 * code >= w))
             | ((shouts >= 3) & (3 * shouts >= w))
             | ((w < 4) & ~self._closed(end, first, lo, hi))
-            | self._phrases(lo)
+            | self._phrases(lo, PHRASES)
         )
+        self.fails = junk | (self.has & self._phrases(lo, LICENCE))
         self.lost = bt.segment_sums(np.where(self.fails, w, 0), self.line_first)
+        held = bt.segment_sums(np.where(junk, w, 0), self.line_first)
         self.base_failed = (self.n_words < MIN_WORDS) | (100 * self.n_repeat_words > MAX_REPEATED_PERCENT * self.n_words)
-        self.kept = ~self.base_failed & (100 * self.lost <= MAX_LOST * self.n_words)
+        self.kept = ~self.base_failed & (100 * held <= MAX_LOST * self.n_words)
 
     def _repeated(self, h: np.ndarray, text: np.ndarray, first: np.ndarray) -> np.ndarray:
         n = len(h) - WINDOW + 1
         if n < 1:
             return np.zeros(self.slab.n, np.int64)
         inside = text[:n] == text[WINDOW - 1 :]
-        windows = bt.chain(*(h[i : i + n] for i in range(WINDOW)))
         many = np.zeros(n, bool)
-        many[inside] = _earlier(windows[inside], text[:n][inside])[1] > 1
+        many[inside] = _earlier(text[:n][inside], *(h[i : i + n][inside] for i in range(WINDOW)))[1] > 1
         cover = np.zeros(len(h) + 1, np.int64)
         cover[:n] += many
         cover[WINDOW : WINDOW + n] -= many
@@ -141,10 +145,10 @@ class Lines:
         out[self.has] = good
         return out
 
-    def _phrases(self, lo: np.ndarray) -> np.ndarray:
+    def _phrases(self, lo: np.ndarray, phrases: tuple[str, ...]) -> np.ndarray:
         out = np.zeros(len(lo), bool)
         lower = bt.LOWER[self.slab.buf].tobytes()
-        for phrase in PHRASES:
+        for phrase in phrases:
             raw = phrase.encode()
             at = lower.find(raw)
             while at >= 0:
@@ -207,7 +211,8 @@ def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def _oracle() -> str:
     word = "'[^\\x20\\x09-\\x0D]+'"
     lower = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    phrases = " OR ".join(f"contains({lower}, '{p}')" for p in PHRASES)
+    phrases, licence = (" OR ".join(f"contains({lower}, '{p}')" for p in x) for x in (PHRASES, LICENCE))
+    junk = "again OR (bars >= 2 AND 3 * bars >= n) OR (code >= 3 AND 2 * code >= n) OR (shouts >= 3 AND 3 * shouts >= n) OR (n < 4 AND NOT closed) OR boiler"
     count = lambda signs: f"len(regexp_extract_all(line, '{signs}'))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -217,13 +222,13 @@ rep AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(p, p + 5))
 l AS (SELECT r, k, lines[k] AS line FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT r, string_split(text, chr(10)) AS lines FROM d))),
 lw AS (SELECT r, k, line, len(regexp_extract_all(line, {word})) AS n FROM l),
 m AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS again, {count('[|>»•·]')} AS bars, {count('[#*$%&<>]')} AS code, {count('!')} AS shouts,
-  regexp_matches(line, '[.!?:;,"'')\\]…”»。][\\x20\\x09-\\x0D]*$') AS closed, ({phrases}) AS boiler FROM lw WHERE n > 0),
+  regexp_matches(line, '[.!?:;,"'')\\]…”»。][\\x20\\x09-\\x0D]*$') AS closed, ({phrases}) AS boiler, ({licence}) AS notice FROM lw WHERE n > 0),
 s AS (SELECT r, sum(CASE WHEN again THEN 1 ELSE 0 END)::BIGINT AS dups,
-  sum(CASE WHEN again OR (bars >= 2 AND 3 * bars >= n) OR (code >= 3 AND 2 * code >= n) OR (shouts >= 3 AND 3 * shouts >= n) OR (n < 4 AND NOT closed) OR boiler THEN n ELSE 0 END)::BIGINT AS lost FROM m GROUP BY r),
+  sum(CASE WHEN {junk} OR notice THEN n ELSE 0 END)::BIGINT AS lost, sum(CASE WHEN {junk} THEN n ELSE 0 END)::BIGINT AS held FROM m GROUP BY r),
 b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-  coalesce(dups, 0) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost_words FROM w LEFT JOIN rep USING (r) LEFT JOIN s USING (r))
+  coalesce(dups, 0) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost_words, coalesce(held, 0) AS held FROM w LEFT JOIN rep USING (r) LEFT JOIN s USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words) AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words) AND 100 * lost_words <= {MAX_LOST} * n_words AS kept, lost_words FROM b
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words) AND 100 * held <= {MAX_LOST} * n_words AS kept, lost_words FROM b
 """
 
 

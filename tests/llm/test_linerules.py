@@ -26,7 +26,7 @@ def brute(text):
 
 def texts():
     rng = random.Random(4)
-    lines = ["Home | About | Contact", "A plain line of several words stands here.", "one two three four five six seven", "Été » là", "It ends… ", "Too short", "Fine.", "WOW!! SO!! LOUD!! NOW!!", "a### b$$$ c&&&", "", " \t", "We use Cookies on this page.", "x · y · z", "\x0b wide space kept", "“Quoted”"]
+    lines = ["Home | About | Contact", "A plain line of several words stands here.", "one two three four five six seven", "Été » là", "It ends… ", "Too short", "Fine.", "WOW!! SO!! LOUD!! NOW!!", "a### b$$$ c&&&", "", " \t", "We use Cookies on this page.", "Licensed under the MIT License, and so on.", "x · y · z", "\x0b wide space kept", "“Quoted”"]
     out = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randrange(14))), "n", 1) for k in range(120)]
     out += [(200, None, None, None), (201, "", "n", 2), (202, "\n\n", "n", 2), (203, "word " * 30000, "n", 2), (204, " ".join(f"w{i}" for i in range(30000)), "n", 2), (None, "one line only without an end but with ten words here", "n", 2), (201, "", "n", 2)]
     return out
@@ -55,3 +55,38 @@ def test_clean_lines(spark):
 
 def test_empty_table(spark):
     assert linerules.judged(frame(spark, [])).collect() == []
+
+
+def twins(n=2048):
+    """Two different words of which every polynomial hash modulo a power of two is equal."""
+    s = "a"
+    while len(s) < n:
+        s = "".join({"a": "ab", "b": "ba"}[c] for c in s)
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_lines_with_like_hashes_are_different(spark, monkeypatch):
+    a, b = twins()
+    rows = [(1, f"{a}\n{b}", "n", 1), (2, f"{a}\n{b}\n{a}", "n", 1)]
+    assert [r.n_dup_lines for r in linerules.judged(frame(spark, rows)).collect()] == [0, 1]
+
+
+def test_hashes_that_meet_are_told_apart(monkeypatch):
+    import numpy as np
+
+    from kinset.llm import bytetext as bt
+
+    mix = bt.mix
+    buf = np.frombuffer(b"aa bb aa cc dd bb", np.uint8)
+    start = np.array([0, 3, 6, 9, 12, 15])
+    # as long as the seed is small, all ranges meet in one hash
+    monkeypatch.setattr(bt.Hasher, "__call__", lambda self, s, e: np.zeros(len(s), np.uint64) if self.seed < 2 else mix(self.bytes.at(s, e - s)))
+    got = bt.Hasher(buf).exact(start, start + 2)
+    assert len(set(got.tolist())) == 4 and got[0] == got[2] and got[1] == got[5]
+
+
+def test_licence_lines_go_and_the_text_stays(spark):
+    text = "Licensed under the Apache License, version 2 and so on and on here.\nGood text."
+    row = linerules.judged(frame(spark, [(1, text, "n", 1)])).first()
+    assert row.kept and row.lost_words == 13
+    assert linerules.clean_lines(frame(spark, [(1, text, "n", 1)])).first().text == "Good text."
