@@ -23,25 +23,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: the one that spark.checkpoint.dir names.
 
-    Only where the session names none (tests on one machine), a temporary one is set.
+    Only where the session names none and all runs on one machine (tests), a temporary one
+    is set. On a cluster that is an error: executors would not see the folder.
     """
     found = spark.sparkContext.getCheckpointDir()
     if found:
         return found
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="kinset-")
         atexit.register(shutil.rmtree, named, True)
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
 
 
+def uri(folder: str) -> str:
+    """The folder with its scheme, as file system libraries want it."""
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinset_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what `stored` wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._kinset_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    mark = "__"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 def ship(spark: SparkSession) -> None:

@@ -16,20 +16,25 @@ checked against ``MODEL_WORDS``; a larger benchmark is done in several passes of
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinset.llm import bytetext as bt
-from kinset.llm.common import ship
+from kinset.llm.common import shared_dir, ship, stored, uri
 
 WINDOW = 10
-#: Words of the items of one automaton: some 300 MB at most in a task.
-MODEL_WORDS = 1_000_000
+#: Words of the items of one automaton, about: some 300 MB in a task.
+MODEL_WORDS = 200_000
+#: Bytes of text that are held while several automata pass over them.
+HELD_BYTES = 16 << 20
 
 
 class SuffixAutomaton:
@@ -107,69 +112,95 @@ class SuffixAutomaton:
             yield state, n
 
 
-def _word_hashes(slab: bt.Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    lower = bt.LOWER[slab.buf]
-    start, end, first = slab.words(bt.ALNUM, lower)
-    return bt.Hasher(lower)(start, end), start, end, first
+@dataclass
+class Words:
+    """A slab's words: byte ranges in the lower-cased bytes, each text's first, hit marks."""
+
+    slab: bt.Slab
+
+    def __post_init__(self) -> None:
+        self.lower = bt.LOWER[self.slab.buf]
+        self.start, self.end, self.first = self.slab.words(bt.ALNUM, self.lower)
+        self.hit = np.zeros(len(self.start), bool)
+        #: by text of the slab, the ids of the items that occur
+        self.items: dict[int, set[str | None]] = {}
 
 
 @dataclass
 class Model:
-    """What a task needs: the automaton, its vocabulary and pairs, and the windows."""
+    """An automaton over the items of a part, its vocabulary and pairs, and the windows."""
 
     automaton: SuffixAutomaton
-    vocabulary: np.ndarray
+    seed: int
+    hashes: np.ndarray
+    spelled: bytes
+    bounds: np.ndarray
     pairs: np.ndarray
     singles: np.ndarray
     shortest: int
     least: int
-    ids: list[str]
+    ids: list[str | None]
     windows: dict[int, list[tuple[int, int]]]
+    _bytes: bt.Bytes | None = field(default=None, repr=False)
 
     @classmethod
-    def of(cls, items: list[tuple[str, str | None]], window: int = WINDOW) -> Model:
+    def of(cls, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Model:
         """items: (id, text); ids may repeat, null texts have no words."""
-        column = pa.array([t for _, t in items], pa.string())
-        hashes = [h[first[i] : first[i + 1]] for s in bt.slabs(column) for h, _, _, first in [_word_hashes(s)] for i in range(s.n)]
-        vocabulary = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
-        words = [np.searchsorted(vocabulary, h) for h in hashes]
+        texts = [[w.tobytes() for w in np.split(x.lower, np.stack([x.start, x.end], axis=1).ravel())[1::2]] if len(x.start) else [] for x in (Words(s) for _, t in items for s in bt.slabs(pa.array([t], pa.string())))]
+        words = sorted({w for t in texts for w in t})
+        joined = np.frombuffer(b"".join(words), np.uint8)
+        bounds = np.cumsum([0, *map(len, words)])
+        seed, hashes = -1, np.zeros(2, np.uint64)
+        while seed < 0 or len(np.unique(hashes)) < len(words):
+            seed += 1
+            hashes = bt.Hasher(joined, seed)(bounds[:-1], bounds[1:])
+        order = np.argsort(hashes)
+        number = {words[k]: n for n, k in enumerate(order.tolist())}
+        lists = [[number[w] for w in t] for t in texts]
         automaton = SuffixAutomaton()
-        for k, w in enumerate(words):
-            automaton.add(k, w.tolist())
-        size = len(vocabulary)
-        pairs = np.unique(np.concatenate([*(w[:-1] * size + w[1:] for w in words), np.zeros(0, np.int64)]))
-        need = [min(len(w), window) for w in words]
-        windows = automaton.windows(need)
-        singles = np.unique(np.array([w[0] for w in words if len(w) == 1], np.int64))
+        for k, w in enumerate(lists):
+            automaton.add(k, w)
+        size = len(words)
+        pairs = np.unique(np.array([a * size + b for w in lists for a, b in zip(w, w[1:])], np.int64))
+        need = [min(len(w), window) for w in lists]
         some = [n for n in need if n]
-        return cls(automaton, vocabulary, pairs, singles, min((n for n in some if n > 1), default=0), min(some, default=1), [i for i, _ in items], windows)
-
-    def hits(self, slab: bt.Slab) -> tuple[np.ndarray, np.ndarray, list[tuple[int, set[int]]], np.ndarray, np.ndarray]:
-        """Of a slab: each text's first word, hit words, (text, items) that occur, word ranges."""
-        h, start, end, first = _word_hashes(slab)
-        at = bt.found_in(h, self.vocabulary)
-        hit = np.zeros(len(h), dtype=bool)
-        found: dict[int, set[int]] = {}
-        size = len(self.vocabulary)
-        go = np.zeros(len(h), dtype=bool)
-        if self.shortest and len(h) > 1:
+        singles = np.unique(np.array([w[0] for w in lists if len(w) == 1], np.int64))
+        ranges = np.stack([bounds[:-1], bounds[1:]])[:, order]
+        return cls(automaton, seed, hashes[order], joined.tobytes(), ranges, pairs, singles, min((n for n in some if n > 1), default=0), min(some, default=1), [i for i, _ in items], automaton.windows(need))
+
+    def _numbers(self, words: Words) -> np.ndarray:
+        """Each word's number in the vocabulary, -1 where it is none of it."""
+        hasher = bt.Hasher(words.lower, self.seed)
+        at = bt.found_in(hasher(words.start, words.end), self.hashes)
+        known = np.flatnonzero(at >= 0)
+        if self._bytes is None:
+            self._bytes = bt.Bytes(np.frombuffer(self.spelled, np.uint8))
+        start, end = self.bounds[:, at[known]]
+        at[known[~bt.same_bytes(hasher.bytes, words.start[known], words.end[known], self._bytes, start, end)]] = -1
+        return at
+
+    def mark(self, words: Words) -> None:
+        """Mark the hit words of a slab and the items that occur in its texts."""
+        at, first, hit = self._numbers(words), words.first, words.hit
+        size = len(self.hashes)
+        go = np.zeros(len(at), dtype=bool)
+        if self.shortest and len(at) > 1:
             joined = (at[:-1] >= 0) & (at[1:] >= 0)
             edges = first[1:-1]
-            edges = edges[(edges > 0) & (edges < len(h))]
+            edges = edges[(edges > 0) & (edges < len(at))]
             joined[edges - 1] = False
             where = np.flatnonzero(joined)
             joined[where] = bt.found_in(at[where] * size + at[where + 1], self.pairs) >= 0
             change = np.diff(np.concatenate([[False], joined, [False]]).astype(np.int8))
             runs = np.stack([np.flatnonzero(change == 1), np.flatnonzero(change == -1) + 1], axis=1)
             for a, b in runs[runs[:, 1] - runs[:, 0] >= self.shortest].tolist():
-                self._stream(at, a, b, first, hit, found)
+                self._stream(at, a, b, first, hit, words.items)
                 go[a:b] = True
         if len(self.singles):
             for p in np.flatnonzero(np.isin(at, self.singles) & ~go).tolist():
-                self._stream(at, p, p + 1, first, hit, found)
-        return first, hit, sorted(found.items()), start, end
+                self._stream(at, p, p + 1, first, hit, words.items)
 
-    def _stream(self, at: np.ndarray, a: int, b: int, first: np.ndarray, hit: np.ndarray, found: dict[int, set[int]]) -> None:
+    def _stream(self, at: np.ndarray, a: int, b: int, first: np.ndarray, hit: np.ndarray, found: dict[int, set[str | None]]) -> None:
         link, length, windows = self.automaton.link, self.automaton.length, self.windows
         text = int(np.searchsorted(first, a, side="right")) - 1
         for p, (state, n) in enumerate(self.automaton.walk(at[a:b].tolist()), a + 1):
@@ -178,48 +209,75 @@ class Model:
                 for item, need in windows.get(state, ()):
                     if need <= n:
                         hit[p - need : p] = True
-                        found.setdefault(text, set()).add(item)
+                        found.setdefault(text, set()).add(self.ids[item])
                 state = link[state]
                 n = length[state] if state > 0 else 0
 
 
-def _items_of(model: Model, found: list[tuple[int, set[int]]], lo: int) -> dict[int, list[str]]:
-    return {lo + text: [model.ids[i] for i in items] for text, items in found}
-
+_held: dict[str, Model] = {}
 
-def _models(items: list[tuple[str, str | None]], window: int) -> list[Model]:
-    out, part, words = [], [], 0
-    for i in items:
-        n = len(i[1] or "") // 2 + 1
-        if part and words + n > MODEL_WORDS:
-            out.append(Model.of(part, window))
-            part, words = [], 0
-        part.append(i)
-        words += n
-    return [*out, Model.of(part, window)]
 
+def _model(path: str) -> Model:
+    """The model of a file; a process keeps the last one."""
+    if path not in _held:
+        _held.clear()
+        fs, name = pafs.FileSystem.from_uri(path)
+        with fs.open_input_stream(name) as f:
+            _held[path] = pickle.loads(f.read())
+    return _held[path]
 
-def read_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[str, str | None]]:
-    """The test items, in order of their id as text; a null id is no id but its text counts."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).collect()
-    return sorted(((r.i, r.t) for r in rows), key=lambda r: (r[0] is None, r[0] or "", r[1] or ""))
 
+def build_models(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> list[str]:
+    """Files in the shared folder, each the pickled Model of a part of the items.
 
-def _scan(items: list[tuple[str, str | None]], window: int):
-    """A function of a text column: (word count, hit count, items, per-slab hit ranges)."""
-    kept: list[Model] = []
-
-    def scan(column: pa.Array):
-        if not kept:
-            kept.extend(_models(items, window))
+    A null id is no id, but its text counts. Without items there is no file.
+    """
+    spark = benchmark.sparkSession
+    ship(spark)
+    words_each, folder = MODEL_WORDS, f"{uri(shared_dir(spark))}/items-{uuid.uuid4().hex}"
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # two bytes a word at least
+    parts = max(1, -(-size // (2 * words_each)))
+    items = items.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["id"].to_pylist(), table["text"].to_pylist()), key=lambda r: (r[0] is None, r[0] or "", r[1] or ""))
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        # each attempt writes a file of its own; the rows name those of one attempt
+        name = uuid.uuid4().hex
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
+            f.write(pickle.dumps(Model.of(rows, window)))
+        return pa.table({"path": [f"{folder}/{name}"]})
+
+    built = stored(items.groupBy("part").applyInArrow(build, "path string"), "models")
+    return sorted(r.path for r in built.collect())
+
+
+def _scan(paths: list[str]):
+    """A function from a text column to its slabs' Words, marked by all models."""
+
+    def scan(column: pa.Array) -> Iterator[Words]:
+        held, size = [], 0
         for slab in bt.slabs(column):
-            all_hits, ids = None, {}
-            for model in kept:
-                first, hit, found, start, end = model.hits(slab)
-                all_hits = hit if all_hits is None else all_hits | hit
-                for k, v in _items_of(model, found, slab.lo).items():
-                    ids.setdefault(k, []).extend(v)
-            yield slab, first, all_hits, ids, start, end
+            words = Words(slab)
+            if len(paths) == 1:
+                _model(paths[0]).mark(words)
+                yield words
+                continue
+            held.append(words)
+            size += len(slab.buf)
+            if size >= HELD_BYTES:
+                yield from passes(held)
+                held, size = [], 0
+        yield from passes(held)
+
+    def passes(held: list[Words]) -> list[Words]:
+        for path in paths if held else ():
+            for words in held:
+                _model(path).mark(words)
+        return held
 
     return scan
 
@@ -231,16 +289,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     counted or listed; an id that several rows bear counts once. Without items, or with
     items without words, nothing is hit. Rows repeat as given.
     """
-    ship(docs.sparkSession)
-    scan = _scan(read_items(benchmark), window)
+    scan = _scan(build_models(benchmark, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, hits, items = [], [], {}
-            for _, first, hit, ids, _, _ in scan(b.column(1)):
-                words.append(np.diff(first))
-                hits.append(bt.segment_sums(hit.astype(np.int64), first))
-                items.update(ids)
+            for x in scan(b.column(1)):
+                words.append(np.diff(x.first))
+                hits.append(bt.segment_sums(x.hit.astype(np.int64), x.first))
+                items.update({x.slab.lo + k: ids for k, ids in x.items.items()})
             names = [sorted({i for i in items.get(k, ()) if i is not None}) for k in range(b.num_rows)]
             none = np.zeros(0, np.int64)
             hits = np.concatenate([*hits, none])
@@ -261,15 +318,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     hit goes whole. Null texts stay null; a column n_chars, where there is one, is set
     anew for the texts that change.
     """
-    ship(docs.sparkSession)
-    scan = _scan(read_items(benchmark), window)
+    scan = _scan(build_models(benchmark, window))
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = b.column(at)
             change: dict[int, str | None] = {}
-            for slab, first, hit, _, start, end in scan(column):
+            for x in scan(column):
+                slab, first, hit, start, end = x.slab, x.first, x.hit, x.start, x.end
                 count = bt.segment_sums(hit.astype(np.int64), first)
                 for k in np.flatnonzero(count).tolist():
                     lo, hi = first[k], first[k + 1]

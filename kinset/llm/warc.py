@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinset.llm.common import partitions_for, shared_dir, ship, stored
+from kinset.llm.common import partitions_for, shared_dir, ship, stored, uri
 
 MIN_PAYLOAD = 100
 FILE_BYTES = 64 << 20
@@ -110,7 +110,7 @@ class _Writer:
     """A file of the shared folder that appears under its name only when it is whole."""
 
     def __init__(self, folder: str, name: str):
-        self.fs, root = pafs.FileSystem.from_uri(folder)
+        self.fs, root = pafs.FileSystem.fromuri(folder)
         self.name, self.path, self.part = name, f"{root}/{name}", f"{root}/.{name}.{uuid.uuid4().hex}"
         self.fs.create_dir(root, recursive=True)
         self.out, self.at = self.fs.open_output_stream(self.part, compression=None), 0
@@ -127,10 +127,6 @@ class _Writer:
         self.fs.move(self.part, self.path)
 
 
-def _uri(folder: str) -> str:
-    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-
-
 _INDEX = "key string, page_id string, file string, offset long, length long, digest string, kind string"
 
 
@@ -155,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     few = same.count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(same) if few else same, (F.col("digest") == F.col("of")) & F.col("long"), "left")
     run = uuid.uuid4().hex[:8]
-    base = _uri(folder)
+    base = uri(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -187,7 +183,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
     by page and offset too, so it may span files.
     """
     spark = captures.sparkSession
-    base = _uri(folder)
+    base = uri(folder)
     run = uuid.uuid4().hex[:8]
     files = partitions_for(spark, captures.count(), 1_000_000)
 
@@ -225,7 +221,7 @@ class CaptureIndex:
 
     def __init__(self, directory: DataFrame, folder: str):
         # one row for BLOCK_LINES captures, read as it is needed in memory: the sparse level
-        self.fs, self.root = pafs.FileSystem.from_uri(_uri(folder))
+        self.fs, self.root = pafs.FileSystem.fromuri(uri(folder))
         self.blocks = directory.orderBy("first_key", "last_key", "file", "offset").collect()
         self.first = [b.first_key for b in self.blocks]
 
@@ -262,10 +258,10 @@ def read_back(directory: DataFrame, folder: str, id_type: str) -> DataFrame:
     those that its record states.
     """
     spark = directory.sparkSession
-    base = _uri(folder)
+    base = uri(folder)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(base)
+        fs, root = pafs.FileSystem.fromuri(base)
         for b in batches:
             for r in b.to_pylist():
                 with fs.open_input_file(f"{root}/{r['file']}") as f:
@@ -275,7 +271,7 @@ def read_back(directory: DataFrame, folder: str, id_type: str) -> DataFrame:
                 yield pa.record_batch([pa.array([x["file"] for x in got]), pa.array([x["offset"] for x in got], pa.int64()), pa.array([x["length"] for x in got], pa.int64())], names=["file", "offset", "length"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(base)
+        fs, root = pafs.FileSystem.fromuri(base)
         todo: list[dict] = []
         for b in batches:
             for r in b.to_pylist():
