@@ -2,14 +2,18 @@
 
 A text of up to ``CHUNK`` bytes is encoded whole. A longer one is encoded in chunks that
 overlap; each chunk's tokens get byte offsets, and two neighbours are spliced at a common
-boundary in their overlap. A boundary counts as common where both chunks end a token, and as
-stable where its sides cannot meet in a token: it stands before a space that follows
-another character, and no piece of the vocabulary has a space after another character
-(checked when the model is loaded). Left of it the earlier chunk's tokens count, right of
-it the later one's. Where an overlap has no such boundary it is widened, at last to the
-rest of the text, which is then encoded whole.
-
-A chunk begins behind a space: the model puts one before every text it encodes.
+boundary in their overlap: left of it the earlier chunk's tokens count, right of it the later
+one's. A boundary is common where both chunks end a token. It is proven stable where no piece
+of the vocabulary holds the two characters that meet there side by side: pieces are merged
+from neighbours, so none can ever reach across, whatever stands further off. (The space is
+one of these characters, so the begin of most words is such a place; the others are breaks
+that the vocabulary lacks, as between many CJK signs, digits, or letters and signs.) Where an
+overlap has no stable boundary it is widened, up to the last splice; where that has none
+either, the chunk's length is doubled and it is encoded anew, so the work stays in proportion
+to the text.
+
+The model puts a space before every text it encodes. A chunk's tokens count only behind a
+stable boundary inside it, which that space does not reach.
 """
 
 from __future__ import annotations
@@ -46,9 +50,11 @@ class PieceCounter:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         #: source bytes of each piece
         self.size = np.array([1 if self.model.is_byte(i) else len(p.replace(_SPACE, " ").encode()) for i, p in enumerate(pieces)])
-        #: whether the text before a space and the rest never meet in a piece, and spaces
-        #: are neither dropped nor added but for the one before the text
-        self.separable = not any(_SPACE in p.lstrip(_SPACE) for p in pieces) and self._bytes(" a  b ") == 7 and self._bytes("ﬁ  ") == len("ﬁ  ".encode()) + 1
+        #: whether the model reads texts as they are, but for the space it puts before them
+        self.separable = self._bytes(" a  b ") == 7 and self._bytes("ﬁ  ") == len("ﬁ  ".encode()) + 1
+        #: the characters that stand side by side in some piece, as one number each
+        joined = "\0".join(p.replace(_SPACE, " ") for i, p in enumerate(pieces) if not self.model.is_byte(i))
+        self.inside = np.unique(_neighbours(joined))
         self.widened = 0
 
     def _bytes(self, text: str) -> int:
@@ -79,43 +85,47 @@ class PieceCounter:
         ends = lo - 1 + np.cumsum(self.size[ids]) if ids else np.array([lo])
         return ends if ends[-1] == hi else None
 
-    @staticmethod
-    def _stable(raw: bytes, lo: int, hi: int) -> np.ndarray:
-        """Boundaries in lo..hi before a space that follows another character."""
-        b = np.frombuffer(raw, np.uint8, hi + 1 - (lo - 1), lo - 1) if hi < len(raw) else np.frombuffer(raw, np.uint8, hi - (lo - 1), lo - 1)
-        return lo + np.flatnonzero((b[1:] == 32) & (b[:-1] != 32))
+    def _stable(self, raw: bytes, lo: int, hi: int) -> np.ndarray:
+        """Proven boundaries behind lo and before hi, two code point boundaries of raw."""
+        text = raw[lo:hi].decode("utf-8")
+        lead = np.frombuffer(raw, np.uint8, hi - lo, lo)
+        at = lo + np.flatnonzero((lead & 0xC0) != 0x80)
+        return at[1:][~np.isin(_neighbours(text), self.inside)]
+
+    def _last_stable(self, raw: bytes, lo: int, hi: int) -> np.ndarray:
+        """Proven boundaries in the least widened overlap before hi that has any, if any."""
+        overlap = self.overlap
+        while True:
+            back = max(lo, self._back(raw, hi - overlap))
+            found = self._stable(raw, back, hi)
+            if len(found) or back == lo:
+                return found
+            self.widened += 1
+            overlap *= 2
 
     def long(self, raw: bytes) -> int:
         """Tokens of a long text."""
-        n, total = len(raw), 0
+        n, total, chunk = len(raw), 0, self.chunk
         lo, counted = 0, -1  # the chunk's begin; tokens that end up to here are counted
-        hi = self._cut(raw, min(self.chunk, n))
+        hi = self._cut(raw, min(chunk, n))
         ends = self._ends(raw, lo, hi)
         while hi < n:
-            overlap, spliced = self.overlap, False
-            while not spliced:
-                back = max(counted, 0, hi - overlap)
-                start = self._behind_space(raw, back, hi)
-                if start is not None and ends is not None:
-                    stop = self._cut(raw, min(hi + self.chunk, n))
-                    later = self._ends(raw, start, stop)
-                    common = np.intersect1d(np.intersect1d(ends, later), self._stable(raw, start + 1, hi)) if later is not None else ()
-                    common = [c for c in common if c > start]
-                    if len(common):
-                        at = common[len(common) // 2]
-                        total += int(np.count_nonzero((ends > counted) & (ends <= at)))
-                        counted, lo, hi, ends, spliced = int(at), start, stop, later, True
-                        continue
-                self.widened += 1
-                if back == max(counted, 0):
-                    # no boundary between what is counted and the chunk's end: lengthen it
-                    hi = self._cut(raw, min(hi + self.chunk, n))
-                    ends = self._ends(raw, lo, hi)
-                    if hi == n:
-                        break
-                    overlap = self.overlap
-                else:
-                    overlap *= 2
+            # a boundary nearer to the chunk's end than to the overlap's: both sides see it
+            found = self._last_stable(raw, max(counted, 0), hi) if ends is not None else ()
+            if len(found):
+                at = int(found[len(found) // 2])
+                start = self._back(raw, max(0, at - self.overlap))
+                stop = self._cut(raw, min(hi + self.chunk, n))
+                later = self._ends(raw, start, stop)
+                if later is not None and at in later and at in ends:
+                    total += int(np.count_nonzero((ends > counted) & (ends <= at)))
+                    counted, lo, hi, ends, chunk = at, start, stop, later, self.chunk
+                    continue
+            # nothing to splice at: twice the length
+            self.widened += 1
+            chunk *= 2
+            hi = self._cut(raw, min(lo + chunk, n))
+            ends = self._ends(raw, lo, hi)
         if ends is None:
             return len(self.model.encode(raw.decode("utf-8"), num_threads=1))
         return total + int(np.count_nonzero(ends > counted))
@@ -128,14 +138,18 @@ class PieceCounter:
         return at
 
     @staticmethod
-    def _behind_space(raw: bytes, lo: int, hi: int) -> int | None:
-        """The first place in lo..hi behind a single space, as the model's own space."""
-        at = raw.find(b" ", max(lo, 1), hi)
-        while at >= 0:
-            if raw[at - 1] != 32 and at + 1 < hi and raw[at + 1] != 32:
-                return at + 1
-            at = raw.find(b" ", at + 1, hi)
-        return None
+    def _back(raw: bytes, at: int) -> int:
+        """The last code point boundary up to at."""
+        at = max(at, 0)
+        while at > 0 and at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at -= 1
+        return at
+
+
+def _neighbours(text: str) -> np.ndarray:
+    """Each pair of characters that meet in a text, as one number."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return points[:-1] << np.uint64(21) | points[1:]
 
 
 def counter(model: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> PieceCounter:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
@@ -25,6 +26,28 @@ def test_spliced_counts_are_the_library_s():
         assert c.widened
 
 
+def test_texts_without_spaces_take_time_in_proportion():
+    import base64
+    import time
+
+    rng = random.Random(3)
+    c = tokencount.PieceCounter(public_tokenizers.path(tokencount.MODEL))
+    for text in ("\n".join(str(rng.randrange(10**9)) for _ in range(200_000)), base64.b64encode(rng.randbytes(1_500_000)).decode(), "".join(rng.choice("日本語中文字符測試的一是不了人我在有他這為之大來以個") for _ in range(600_000)), "a" * 500_000, "ab" * 300_000):
+        began = time.perf_counter()
+        want = len(MODEL.encode(text))
+        whole = time.perf_counter() - began
+        began = time.perf_counter()
+        assert c.counts([text]) == [want]
+        assert time.perf_counter() - began < 4 * whole + 1
+
+
+def test_boundaries_are_where_no_piece_reaches():
+    c = tokencount.PieceCounter(public_tokenizers.path(tokencount.MODEL))
+    raw = "the cat 12é日本\n(x".encode()
+    ends = set((np.cumsum([c.size[i] for i in MODEL.encode(raw.decode())]) - 1).tolist())
+    assert 0 < len(c._stable(raw, 0, len(raw))) and set(c._stable(raw, 0, len(raw)).tolist()) <= ends
+
+
 def test_query(spark):
     rows = [(k, t.replace("\x00", ""), "x") for k, t in enumerate(texts())] + [(None, None, "x"), (7, "long text " * 12000, "x"), (7, "long text " * 12000, "x")]
     got = tokencount.token_counts(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")).collect()
