@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinset.llm.common import stored
+from kinset.llm.common import fresh, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -45,8 +45,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     # a global rank without one global window: ranges in order, then each range's rows
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = stored(sums.repartitionByRange(ranges, "name").withColumn("range", F.spark_partition_id()), "sources")
-    before = ranged.groupBy("range").count()
-    begins = before.alias("a").join(F.broadcast(before.alias("b")), F.col("b.range") < F.col("a.range"), "left").groupBy(F.col("a.range").alias("range")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("begin"))
+    # one row for each of the session's shuffle partitions, so one window over them is small
+    begins = ranged.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
     rank = F.col("begin") + F.row_number().over(Window.partitionBy("range").orderBy("name")) - 1
     kinds = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int"))
     weighed = stored(ranged.join(F.broadcast(begins), "range").select("name", "source_size", kinds.cast("long").alias("weight")), "weights")
@@ -65,29 +65,29 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return weighed.withColumn("target", target).withColumn("rate", rate).withColumn("start", _number(F.concat(F.lit(SEED), F.col("name")))).select("name", "source_size", "target", "rate", "start")
 
 
-def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with one column more, __mix: struct(size, source_size, target, copies).
+def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix: str = "__mix") -> DataFrame:
+    """docs with one column more, mix: struct(size, source_size, target, copies).
 
     A null or empty text has size 0; a null source is a source of its own. Where all sizes
     of a source are 0 it gives no copies. Equal rows may get different numbers of copies,
-    any way round. An empty table stays empty.
+    any way round. An empty table stays empty. Columns of docs stay, whatever they are called.
     """
-    key = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    placed = F.struct(_name(F.col(source_col)).alias("name"), size.alias("size"), F.substring(key, 1, 3).alias("bucket"), key.alias("key"))
-    at = lambda df: df.select("*", placed.alias("__at"))
-    counts = stored(at(docs).groupBy("__at.name", "__at.size", "__at.bucket").count(), "counts")
+    at, key, first, source, k = fresh(docs, "at", "key", "first", "source", "k")
+    digest = F.md5(F.concat(F.lit(SEED), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
+    size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
+    placed = F.struct(_name(docs[source_col]).alias("name"), size.alias("size"), F.substring(digest, 1, 3).alias("bucket"))
+    counts = stored(docs.select(placed.alias("p")).groupBy("p").count().select("p.*", "count"), "counts")
     targets = source_targets(counts.select("name", (F.col("size") * F.col("count")).alias("size")))
     before = lambda *by: F.coalesce(F.sum("count").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = counts.groupBy("name", "size").agg(F.sum("count").alias("count")).withColumn("first", before("name", "size")).select("name", "size", "first")
     buckets = counts.withColumn("inner", before("name", "size", "bucket")).drop("count")
-    begins = buckets.join(sizes, ["name", "size"]).join(targets, "name").select(F.struct("name", "size", "bucket").alias("__key"), (F.col("first") + F.col("inner")).alias("__first"), F.struct("source_size", "target", "rate", "start").alias("__source"))
-    rows = at(docs).withColumn("__key", F.struct("__at.name", "__at.size", "__at.bucket")).join(begins, "__key")
-    k = F.col("__first") + F.row_number().over(Window.partitionBy("__key").orderBy("__at.key")) - 1
-    step = lambda n: F.floor(F.col("__source.rate") * n + F.col("__source.start"))
-    copies = step(F.col("__k") + 1) - step(F.col("__k"))
-    mix = F.struct(F.col("__at.size").alias("size"), "__source.source_size", "__source.target", copies.alias("copies"))
-    return rows.withColumn("__k", k).select(*[F.col(c) for c in docs.columns], mix.alias("__mix"))
+    begins = buckets.join(sizes, ["name", "size"]).join(targets, "name").select(F.struct("name", "size", "bucket").alias(key), (F.col("first") + F.col("inner")).alias(first), F.struct("source_size", "target", "rate", "start").alias(source))
+    rows = docs.select("*", placed.alias(key), digest.alias(at)).join(begins, key)
+    rank = F.col(first) + F.row_number().over(Window.partitionBy(key).orderBy(at)) - 1
+    step = lambda n: F.floor(F.col(source)["rate"] * n + F.col(source)["start"])
+    copies = step(F.col(k) + 1) - step(F.col(k))
+    out = F.struct(F.col(key)["size"].alias("size"), F.col(source)["source_size"].alias("source_size"), F.col(source)["target"].alias("target"), copies.alias("copies"))
+    return rows.withColumn(k, rank).select(*[F.col(f"`{c}`") for c in docs.columns], out.alias(mix))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -98,8 +98,9 @@ def query(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with every row as often as the mix takes it; columns are those of docs."""
-    rows = with_copies(docs, id_col, text_col, source_col)
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix.copies").cast("int")))).select(*docs.columns)
+    mix, copy = fresh(docs, "mix", "copy")
+    rows = with_copies(docs, id_col, text_col, source_col, mix)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(mix)["copies"].cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(documents: str = "documents", columns: str = "doc_id, size, source_size, target, copies * size AS taken, copies") -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kinset.llm import bytetext as bt
 from kinset.llm import features
-from kinset.llm.common import fold_of, ship, stored
+from kinset.llm.common import fold_of, release, ship, stored
 from kinset.llm.learn import FourierMap, Isotonic
 
 THRESHOLD = 0.7
@@ -58,8 +58,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def partition_sums(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """The sum over all rows (x, label) of what `of` gives for a batch of them, size numbers.
 
-    Each partition sends its own sum; FAN_IN of them at a time are added up in a task until
-    the driver gets the last few.
+    Each partition writes its own sum; FAN_IN of them at a time are added up in a task, in as
+    many rounds as it takes until there are no more than FAN_IN, which the driver adds up.
     """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +77,15 @@ def partition_sums(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.nd
                 total += np.frombuffer(raw)
         yield pa.record_batch([pa.array([total.tobytes()])], names=["sums"])
 
-    sums = rows.select("x", "label").mapInArrow(part, "sums binary")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while parts > FAN_IN:
-        parts = -(-parts // FAN_IN)
-        sums = sums.repartition(parts).mapInArrow(add, "sums binary")
-    return np.sum([np.frombuffer(r.sums) for r in sums.collect()] or [np.zeros(size)], axis=0)
+    sums = stored(rows.select("x", "label").mapInArrow(part, "sums binary"), "sums")
+    while (count := sums.count()) > FAN_IN:
+        slots = -(-count // FAN_IN)
+        after = stored(sums.repartition(slots).mapInArrow(add, "sums binary"), "sums")
+        release(sums)
+        sums = after
+    total = np.sum([np.frombuffer(r.sums) for r in sums.collect()] or [np.zeros(size)], axis=0)
+    release(sums)
+    return total
 
 
 class QualityModel:

@@ -9,9 +9,11 @@ so the trie is entered three times, each time below a block on which no error is
 The subtries below all values of a block are dealt out by that value, and in a task all of
 them are traversed together: a frontier of node pairs descends bit by bit, adding up
 differing bits, and a pair goes when its sum passes the budget. A subtrie with very many
-leaves is cut into chunks and every pair of chunks becomes a unit of its own, so one
-crowded value is spread over many tasks and nothing is left out. A unit reports a spanning
-forest of its links, not the links: connectivity stays whole while rows stay linear.
+leaves is entered by more bits: the whole error budget is carried to the bits that are left,
+these are cut into three blocks again, and one of them is free of errors. Each such level
+takes three rows of each fingerprint that is crowded, no matter how many share its value,
+and after four levels so few bits are left that no unit can be crowded. A unit reports a
+spanning forest of its links, not the links: connectivity stays whole while rows stay linear.
 
 Groups: large-star/small-star rounds over the forests, each written to the shared folder.
 """
@@ -26,14 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinset.llm.common import partitions_for, ship, stored
+from kinset.llm.common import fresh, partitions_for, release, ship, stored
 
 SHINGLE = 3
 SEED = 42
 BUDGET = 2
 #: (first bit from the top, bits) of the blocks; one more than the budget.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
-#: Leaves of one unit of the traversal; more are cut into chunks of half as many.
+#: Leaves of one unit of the traversal; a unit with more is entered by more bits. Fewer
+#: bits than this has are never cut.
 UNIT_LEAVES = 8192
 #: Node pairs that descend together.
 FRONTIER = 1 << 19
@@ -150,42 +153,58 @@ def trie_forest(fps: np.ndarray, bounds: np.ndarray, budget: int = BUDGET) -> np
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     if not got:
         return
-    block, unit, fp = (np.concatenate(c) for c in zip(*got))
-    fps = fp.view(np.uint64)
-    order = np.lexsort((fps, unit, block))
-    block, unit, fps = block[order], unit[order], fps[order]
-    new = np.flatnonzero((np.diff(block) != 0) | (np.diff(unit) != 0)) + 1
+    mask, fps = (np.concatenate(c).view(np.uint64) for c in zip(*got))
+    value = mask & fps
+    order = np.lexsort((fps, value, mask))
+    mask, value, fps = mask[order], value[order], fps[order]
+    # two crowded units can lead to one finer unit, by different blocks
+    once = np.ones(len(fps), bool)
+    once[1:] = (mask[1:] != mask[:-1]) | (fps[1:] != fps[:-1])
+    mask, value, fps = mask[once], value[once], fps[once]
+    new = np.flatnonzero((np.diff(mask) != 0) | (np.diff(value) != 0)) + 1
     labels = trie_forest(fps, np.concatenate([[0], new, [len(fps)]]))
     linked = np.flatnonzero(labels != np.arange(len(fps)))
     pairs = np.unique(np.stack([fps[labels[linked]], fps[linked]], axis=1), axis=0) if len(linked) else np.zeros((0, 2), np.uint64)
     yield pa.record_batch([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], names=["a", "b"])
 
 
-def _block(fp: Column, first: int, bits: int) -> Column:
-    return F.shiftrightunsigned(fp, 64 - first - bits).bitwiseAND((1 << bits) - 1)
+def finer(mask: int) -> list[int]:
+    """The masks of one level more: mask and one of the blocks of the bits it leaves."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    n = len(BLOCKS)
+    parts = [rest[len(rest) * i // n : len(rest) * (i + 1) // n] for i in range(n)]
+    return [mask | sum(1 << b for b in part) for part in parts]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def links(fps: DataFrame, n: int) -> DataFrame:
     """(a, b): spanning links among n distinct fingerprints (column fp) at 2 or fewer bits."""
     spark = fps.sparkSession
     ship(spark)
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), *b).alias("value")) for i, b in enumerate(BLOCKS)])).alias("k")).select("fp", "k.block", "k.value")
-    crowded = keyed.groupBy("block", "value").count().where(F.col("count") > UNIT_LEAVES).select("block", "value", F.ceil(F.col("count") / (UNIT_LEAVES // 2)).cast("long").alias("chunks"))
-    unit = F.xxhash64("block", "value", F.least("own", "other"), F.greatest("own", "other"))
-    # crowded values hold over UNIT_LEAVES of the 3n keys each: few, but not bounded, so
-    # how the join runs is left to the planner
-    units = (
-        keyed.join(crowded, ["block", "value"], "left")
-        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select("block", unit.alias("unit"), "fp")
-    )
+    levels, masks = [], [((1 << bits) - 1) << (64 - first - bits) for first, bits in BLOCKS]
+    level = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    value = F.col("mask").bitwiseAND(F.col("fp"))
+    # a unit of few bits holds at most their power of two of distinct fingerprints
+    while 64 - min(m.bit_count() for m in masks) > max(UNIT_LEAVES.bit_length() - 1, 3):
+        crowded = stored(level.groupBy("mask", value.alias("value")).count().where(F.col("count") > UNIT_LEAVES).select("mask", "value"), "crowded")
+        if crowded.isEmpty():
+            break
+        unit = ["mask", "value"]
+        levels.append(level.withColumn("value", value).join(crowded, unit, "left_anti").select("fp", "mask"))
+        below = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(f)) for f in finer(m)]))])
+        inside = level.withColumn("value", value).join(crowded, unit, "left_semi")
+        level = stored(inside.select("fp", F.explode(F.element_at(below, F.col("mask"))).alias("mask")), "finer")
+        masks = sorted({f for m in masks for f in finer(m)})
+    for other in levels:
+        level = level.unionByName(other)
     parts = partitions_for(spark, 3 * n, 2_000_000)
-    return units.repartition(parts, "block", "unit").mapInArrow(_forests, "a long, b long").distinct()
+    return level.select("mask", "fp").repartition(parts, "mask", value).mapInArrow(_forests, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,9 +218,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: each node and its smaller neighbours move to the least of these
         large = stored(large.distinct(), "large")
+        release(now)
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stored(moved.union(small).distinct(), "small")
+        release(large)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
@@ -235,11 +256,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     null id comes last. Columns are those of docs, whatever they are called.
     """
     groups = near_duplicate_groups(docs, id_col, text_col)
+    id_, text_ = fresh(docs, "id", "text")
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("k"))
-    best = stored(best.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__text")), "kept")
-    kept = docs.join(best, F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash(F.col(text_col)) == F.col("__text")), "left_semi")
-    rows = stored(groups.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")), "repeated")
+    best = stored(best.select(F.col("k.doc_id").alias(id_), F.col("k.text_hash").alias(text_)), "kept")
+    same = docs[id_col].eqNullSafe(F.col(id_)) & (text_hash(docs[text_col]) == F.col(text_))
+    kept = docs.join(best, same, "left_semi")
+    rows = stored(groups.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(text_)), "repeated")
     if rows.isEmpty():
         return kept
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash(F.col(text_col)) == F.col("__text"))
+    same = kept[id_col].eqNullSafe(F.col(id_)) & (text_hash(kept[text_col]) == F.col(text_))
     return kept.join(rows, same, "left_anti").unionByName(kept.join(rows, same, "left_semi").dropDuplicates([id_col, text_col]))

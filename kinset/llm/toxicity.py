@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kinset.llm import bytetext as bt
 from kinset.llm import features
-from kinset.llm.common import fold_of, ship
+from kinset.llm.common import fold_of, ship, stored
 from kinset.llm.learn import BoostedTrees, Isotonic
 
 #: Labelled rows that a fit uses at most.
@@ -48,7 +48,9 @@ def labelled_sample(labels: DataFrame, label: str, folds: int = FOLDS, held_out:
 
 def training_texts(docs: DataFrame, sample: DataFrame, id_col: Column, text_col: Column) -> DataFrame:
     """(text, label, part) of the sample's documents; the sample is bounded, so it is broadcast."""
-    return docs.select(id_col.alias("id"), text_col.alias("text")).join(F.broadcast(sample), F.col("id") == F.col("label_id")).select("text", "label", "part")
+    got = docs.select(id_col.alias("id"), text_col.alias("text")).join(F.broadcast(sample), F.col("id") == F.col("label_id")).select("text", "label", "part")
+    # few rows of many files: dealt out evenly before the work on their texts
+    return got.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     """
     ship(docs.sparkSession)
     sample = labelled_sample(labels, label, max_rows=max_rows)
-    texts = training_texts(docs, sample, F.col(id_col), F.col(text_col))
+    # at most max_rows texts, read twice: the documents are read once for them
+    texts = stored(training_texts(docs, sample, F.col(id_col), F.col(text_col)), "training")
     model = ToxicityModel(*learn_lexicon(texts.where("part = 0")))
     width = len(SURFACE) + len(features.LEXICON)
 

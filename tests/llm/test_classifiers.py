@@ -111,3 +111,63 @@ def test_statistics_do_not_depend_on_neighbours():
     assert whole[6][features.LEXICON.index("log_learned")] > 0
     row = np.concatenate([features.lexicon_features(s, table[:0], weight[:0]) for s in bt.slabs(pa.array(["You id1ot, what a m*r*n you are, you idiot and iiidiot"]))])[0]
     assert all(row[features.LEXICON.index(n)] > 0 for n in ("insults", "near_reader", "disguised", "masked", "stretched"))
+
+
+def test_partition_sums_over_many_partitions(spark):
+    """More partial sums than one round takes, against plain sums."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, quality.WIDTH)).astype(np.float32)
+    y = rng.integers(0, 2, 400)
+    rows = spark.createDataFrame([(v.tolist(), int(w)) for v, w in zip(x, y)], "x array<float>, label int").repartition(70)
+    got = quality.partition_sums(rows, lambda a, b: np.concatenate([(a.T @ a).ravel(), a.T @ b]), quality.WIDTH**2 + quality.WIDTH)
+    z = x.astype(np.float64)
+    assert got == pytest.approx(np.concatenate([(z.T @ z).ravel(), z.T @ y]), rel=1e-9)
+
+
+def test_ridge_scores_against_a_plain_solution(spark):
+    """The fit on tables equals normal equations that are solved over all rows at once."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, quality.WIDTH)).astype(np.float32)
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 > 0.3).astype(int)
+    stats = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "doc_id long, x array<float>")
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id long, quality int")
+    model = quality.fit(stats, labels)
+    used = {tuple(r.x) for r in quality.training_rows(stats, labels, "quality").where("NOT calibrates").collect()}
+    mine = np.array([tuple(v.tolist()) in used for v in x])
+    a = x[mine].astype(np.float64)
+    assert model.map.mean == pytest.approx(a.mean(axis=0), abs=1e-9)
+    z = np.hstack([np.cos(np.clip((a - a.mean(axis=0)) / a.std(axis=0), -6, 6) @ model.map.w + model.map.b) * np.sqrt(2 / quality.FEATURES), np.ones((len(a), 1))])
+    ridge = np.eye(quality.FEATURES + 1) * quality.RIDGE
+    ridge[-1, -1] = 1e-6
+    assert z @ model.weights == pytest.approx(z @ np.linalg.solve(z.T @ z + ridge, z.T @ y[mine]), abs=1e-6)
+
+
+def test_trees_against_a_plain_search_of_the_first_split():
+    """The root of the first tree is the cut of greatest gain among all cuts."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (300, 3)).astype(np.float32)
+    y = (x[:, 1] + rng.normal(size=300) > 6).astype(float)
+    model = BoostedTrees(rounds=1, depth=1).fit(x, y)
+    p = (y.sum() + 0.5) / 301
+    g, h = y - p, np.full(300, p * (1 - p))
+    gain = {}
+    for j in range(3):
+        for c in np.unique(x[:, j])[:-1]:
+            left = x[:, j] <= c
+            if min(h[left].sum(), h[~left].sum()) >= 1:
+                gain[j, c] = sum(g[m].sum() ** 2 / (h[m].sum() + 2) for m in (left, ~left))
+    feature, cut, value = model.trees[0]
+    best = max(gain, key=gain.get)
+    assert feature[0] == best[0] and np.floor(cut[0]) == best[1]
+    left = x[:, best[0]] <= best[1]
+    assert value == pytest.approx([0.15 * g[m].sum() / (h[m].sum() + 2) for m in (left, ~left)])
+
+
+def test_isotonic_against_the_min_max_formula():
+    rng = np.random.default_rng(5)
+    x, y = np.arange(40.0), rng.integers(0, 2, 40).astype(float)
+    want = [max(min(y[a : b + 1].mean() for b in range(k, 40)) for a in range(k + 1)) for k in range(40)]
+    iso = Isotonic.fit(x, y)
+    sizes = np.unique(np.round(want, 9), return_counts=True)
+    # a block's value has a pseudo-count each way
+    assert np.sort(iso.y) == pytest.approx([(m * n + 0.1) / (n + 0.2) for m, n in zip(*sizes)], abs=1e-6)

@@ -14,7 +14,7 @@ def rows():
 
 
 def frame(spark, data):
-    return spark.createDataFrame([(*r, "clash") for r in data], "doc_id long, text string, source string, size string")
+    return spark.createDataFrame([(*r, "clash", "k", "a.b", 1.0) for r in data], "doc_id long, text string, source string, size string, __at string, `a.b` string, __mix double")
 
 
 def test_against_sql_and_targets(spark):

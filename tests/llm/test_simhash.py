@@ -47,8 +47,27 @@ def test_trie_forest_is_the_link_graph():
     assert labels.tolist() == want
 
 
+def test_crowded_values_are_split_by_their_bits(spark, monkeypatch):
+    """Fingerprints that all share their first bits, dense and linked in the rest."""
+    rng = random.Random(4)
+    fps = sorted({rng.getrandbits(11) | 0x7FF << 50 for _ in range(400)} | {rng.getrandbits(63) for _ in range(50)})
+    monkeypatch.setattr(simhash, "UNIT_LEAVES", 64)
+    got = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), len(fps))).collect()
+    root = {r.node: r.root for r in got}
+    assert [root.get(f, f) for f in fps] == [fps[g] for g in groups(fps)]
+
+
+def test_finer_blocks_tile_the_rest():
+    masks = [0]
+    for left in (43, 29, 20, 14):
+        masks = [f for m in masks for f in simhash.finer(m)]
+        assert max(64 - m.bit_count() for m in masks) <= left
+    a, b, c = simhash.finer(0xFF)
+    assert a | b | c == 2**64 - 1 and a & b == b & c == 0xFF
+
+
 def docs(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, text string, root string, fp string")
+    return spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, root string, fp string, __id string, __text long")
 
 
 def rows():
@@ -72,7 +91,7 @@ def test_query_against_brute_force(spark, monkeypatch):
     want_fp = [brute(r[1]) for r in data]
     roots = groups(want_fp)
     want = {r[0]: (f"{f:016x}", data[g][0]) for r, f, g in zip(data, want_fp, roots)}
-    for unit in (8192, 4):  # the second cuts crowded subtries into chunks
+    for unit in (8192, 2):  # the second enters crowded subtries by more bits
         monkeypatch.setattr(simhash, "UNIT_LEAVES", unit)
         got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.query(docs(spark, data)).collect()}
         assert got == want
@@ -83,7 +102,7 @@ def test_one_of_each_group_stays(spark):
     roots = groups([brute(r[1]) for r in data])
     data += data[:2] + [(None, "a null id that has a text", None, None)]
     kept = simhash.drop_near_duplicates(docs(spark, data))
-    assert kept.columns == ["doc_id", "text", "root", "fp"]
+    assert kept.columns == ["doc_id", "text", "root", "fp", "__id", "__text"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(data[i][0]) for i in set(roots)] + ["None"])
 
 
