@@ -10,8 +10,11 @@ carry the response's HTTP header (with its length), its digest and its record id
 
 Index. Captures are sorted by their key, the URL with its host reversed, across files; the
 sorted lines are cut into blocks, each a gzip member; a sparse directory holds each block's
-first key, file, offset and length. A lookup searches the directory, reads one block by its
-range, finds the lines in it, and reads the records by their ranges.
+first key, file, offset and length. A lookup finds the index files whose keys enclose the
+wanted one (a row for each million of captures), searches the directory of such a file by
+bisection, reads one block by its range, bisects its lines, and reads the records by their
+ranges. Many lookups run alike: wanted keys are dealt out by index file and searched in
+order, so a block is read once however many of its keys are wanted.
 """
 
 from __future__ import annotations
@@ -110,7 +113,7 @@ class _Writer:
     """A file of the shared folder that appears under its name only when it is whole."""
 
     def __init__(self, folder: str, name: str):
-        self.fs, root = pafs.FileSystem.fromuri(folder)
+        self.fs, root = pafs.FileSystem.from_uri(folder)
         self.name, self.path, self.part = name, f"{root}/{name}", f"{root}/.{name}.{uuid.uuid4().hex}"
         self.fs.create_dir(root, recursive=True)
         self.out, self.at = self.fs.open_output_stream(self.part, compression=None), 0
@@ -216,62 +219,127 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
     return stored(rows.mapInArrow(write, "first_key string, last_key string, file string, offset long, length long, lines long"), "directory")
 
 
+class _Sparse:
+    """Spans (first key, last key, what they span) in order; neighbours share a key at most."""
+
+    def __init__(self, spans: list[tuple[str, str, object]]):
+        self.first, self.last, self.what = ([s[i] for s in spans] for i in range(3))
+
+    def enclosing(self, key: str) -> Iterator[object]:
+        """What may hold the key, found by bisection: one span, more where they share the key."""
+        at = bisect.bisect_left(self.last, key)
+        while at < len(self.first) and self.first[at] <= key:
+            yield self.what[at]
+            at += 1
+
+
+class _Blocks:
+    """The blocks of one index file, searched by key."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, rows: list[tuple[str, str, int, int]]):
+        """rows: (first key, last key, offset, length) of the file's blocks."""
+        self.fs, self.path = fs, path
+        rows = sorted(rows, key=lambda r: r[2])
+        self.sparse = _Sparse([(first, last, (offset, length)) for first, last, offset, length in rows])
+        self.at: object = None
+        self.lines: list[dict] = []
+
+    def captures(self, key: str) -> Iterator[dict]:
+        """The lines with the key, in order; the last block that was read is kept."""
+        for where in self.sparse.enclosing(key):
+            if where != self.at:
+                text = zlib.decompress(_range(self.fs, self.path, *where), 31).decode()
+                self.at, self.lines = where, [json.loads(x) for x in text.splitlines()]
+            lo = bisect.bisect_left(self.lines, key, key=lambda r: r["key"])
+            while lo < len(self.lines) and self.lines[lo]["key"] == key:
+                yield self.lines[lo]
+                lo += 1
+
+
+def _range(fs: pafs.FileSystem, path: str, offset: int, length: int) -> bytes:
+    with fs.open_input_file(path) as f:
+        f.seek(offset)
+        return f.read(length)
+
+
+def index_files(directory: DataFrame) -> _Sparse:
+    """The index files by the keys they span: a row for about a million of captures."""
+    rows = directory.groupBy("file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).collect()
+    return _Sparse(sorted((r["first"], r["last"], r["file"]) for r in rows))
+
+
 class CaptureIndex:
-    """Lookups by URL through the directory's blocks; for single lookups on the driver."""
+    """Lookups by URL, one at a time, on the driver; a directory is read file by file."""
 
     def __init__(self, directory: DataFrame, folder: str):
-        # one row for BLOCK_LINES captures, read as it is needed in memory: the sparse level
-        self.fs, self.root = pafs.FileSystem.fromuri(uri(folder))
-        self.blocks = directory.orderBy("first_key", "last_key", "file", "offset").collect()
-        self.first = [b.first_key for b in self.blocks]
-
-    def _range(self, file: str, offset: int, length: int) -> bytes:
-        with self.fs.open_input_file(f"{self.root}/{file}") as f:
-            f.seek(offset)
-            return zlib.decompress(f.read(length), 31)
+        self.fs, self.root = pafs.FileSystem.from_uri(uri(folder))
+        self.directory, self.files = directory, index_files(directory)
+        self.open: dict[str, _Blocks] = {}
 
     def captures(self, url: str) -> list[dict]:
         """Index lines of a URL's captures, in order."""
-        key = host_key(url)
-        at = max(0, bisect.bisect_left(self.first, key) - 1)
-        out = []
-        while at < len(self.blocks) and self.first[at] <= key:
-            b = self.blocks[at]
-            if b.last_key >= key:
-                lines = [json.loads(x) for x in self._range(b.file, b.offset, b.length).decode().splitlines()]
-                lo = bisect.bisect_left(lines, key, key=lambda r: r["key"])
-                out += lines[lo : bisect.bisect_right(lines, key, key=lambda r: r["key"])]
-            at += 1
+        key, out = host_key(url), []
+        for file in self.files.enclosing(key):
+            if file not in self.open:
+                rows = self.directory.where(F.col("file") == file).select("first_key", "last_key", "offset", "length").collect()
+                self.open = {file: _Blocks(self.fs, f"{self.root}/{file}", [tuple(r) for r in rows])}
+            out += self.open[file].captures(key)
         return out
 
     def payload(self, capture: dict) -> bytes:
         """A response's payload, by one range read."""
-        return parse(self._range(capture["file"], capture["offset"], capture["length"]))[2]
+        return parse(zlib.decompress(_range(self.fs, f"{self.root}/{capture['file']}", capture["offset"], capture["length"]), 31))[2]
+
+
+def wanted_keys(urls: DataFrame) -> DataFrame:
+    """(key): the distinct keys of a column of URLs; null URLs have the empty key."""
+    ship(urls.sparkSession)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array(sorted({host_key(u) for u in b.column(0).to_pylist()}), pa.string())], names=["key"])
+
+    return urls.select(F.col(urls.columns[0]).cast("string")).mapInArrow(keys, "key string").distinct()
 
 
-def read_back(directory: DataFrame, folder: str, id_type: str) -> DataFrame:
-    """Read all records through the index; the digest of op4, one row for each record.
+def find(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """(file, offset, length) of all captures whose key is among the distinct keys."""
+    files, base = index_files(directory), uri(folder)
 
-    Blocks of the index are read by their ranges, their lines are dealt out by archive, and
-    each archive's records are read by ranges that lie close together in one read. Digest
-    and length of a response are computed from the payload that was read; a revisit's are
-    those that its record states.
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(file, key) for key in b.column(0).to_pylist() for file in files.enclosing(key)]
+            yield pa.record_batch([pa.array([g[i] for g in got], pa.string()) for i in range(2)], names=["file", "key"])
+
+    def search(keys: pa.Table, blocks: pa.Table) -> pa.Table:
+        fs, root = pafs.FileSystem.from_uri(base)
+        where: list[list] = [[], [], []]
+        if keys.num_rows:
+            index = _Blocks(fs, f"{root}/{keys['file'][0].as_py()}", list(zip(*(blocks[c].to_pylist() for c in ("first_key", "last_key", "offset", "length")))))
+            for key in sorted(keys["key"].to_pylist()):
+                for c in index.captures(key):
+                    for column, name in zip(where, ("file", "offset", "length")):
+                        column.append(c[name])
+        return pa.table([pa.array(where[0], pa.string()), pa.array(where[1], pa.int64()), pa.array(where[2], pa.int64())], names=["file", "offset", "length"])
+
+    # stated numbers of tasks: keys and blocks are few bytes, what is read for them is not
+    parts = max(1, len(files.what))
+    placed = keys.mapInArrow(place, "file string, key string").repartition(parts, "file").groupBy("file")
+    return placed.cogroup(directory.repartition(parts, "file").groupBy("file")).applyInArrow(search, "file string, offset long, length long")
+
+
+def read_back(keys: DataFrame, directory: DataFrame, folder: str, id_type: str) -> DataFrame:
+    """All captures of the distinct keys, looked up and read; the digest of op4, a row each.
+
+    Records are dealt out by archive and read by ranges, those that lie close together in one
+    read. Length and digest are computed from payloads that were read: a response's own, for
+    a revisit that of the response it refers to, which must be among the keys' captures.
     """
     spark = directory.sparkSession
     base = uri(folder)
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.fromuri(base)
-        for b in batches:
-            for r in b.to_pylist():
-                with fs.open_input_file(f"{root}/{r['file']}") as f:
-                    f.seek(r["offset"])
-                    text = zlib.decompress(f.read(r["length"]), 31).decode()
-                got = [json.loads(x) for x in text.splitlines()]
-                yield pa.record_batch([pa.array([x["file"] for x in got]), pa.array([x["offset"] for x in got], pa.int64()), pa.array([x["length"] for x in got], pa.int64())], names=["file", "offset", "length"])
-
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.fromuri(base)
+        fs, root = pafs.FileSystem.from_uri(base)
         todo: list[dict] = []
         for b in batches:
             for r in b.to_pylist():
@@ -282,34 +350,37 @@ def read_back(directory: DataFrame, folder: str, id_type: str) -> DataFrame:
         if todo:
             yield _read(fs, root, todo)
 
-    out = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
-    # stated numbers of tasks: index lines are few bytes, what they stand for is not
-    parts = partitions_for(spark, directory.count() * BLOCK_LINES, RECORDS_A_TASK)
-    blocks = directory.select("file", "offset", "length").repartition(parts)
+    where = stored(find(keys, directory, folder), "found")
+    parts = partitions_for(spark, where.count(), RECORDS_A_TASK)
     span = F.floor(F.col("offset") / READ_BYTES)
-    where = blocks.mapInArrow(lines, "file string, offset long, length long")
-    got = where.repartition(parts, "file", span).sortWithinPartitions("file", "offset").mapInArrow(records, out)
-    return got.select(F.col("page_id").cast(id_type), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type))
+    out = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, stated string"
+    got = stored(where.repartition(parts, "file", span).sortWithinPartitions("file", "offset").mapInArrow(records, out), "read")
+    # one row for each payload that a revisit can stand for, narrow, and the planner splits
+    # a payload that very many pages revisit
+    first = got.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("of")).agg(F.max("payload_bytes").alias("of_bytes"))
+    again = got.where("record_type = 'revisit'").join(first, F.col("stated") == F.col("of"), "left")
+    wrong = F.col("of_bytes").isNull() | (F.col("of_bytes") != F.col("payload_bytes"))
+    told = F.when(wrong, F.raise_error(F.concat(F.lit("no payload like that of the revisit of page "), "page_id"))).otherwise(F.col("of_bytes")).cast("long")
+    again = again.select("page_id", told.alias("payload_bytes"), F.col("of").alias("payload_digest"), "record_type", "refers_to")
+    rows = got.where("record_type <> 'revisit'").drop("stated").unionByName(again)
+    return rows.select(F.col("page_id").cast(id_type), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type))
 
 
 def _read(fs: pafs.FileSystem, root: str, todo: list[dict]) -> pa.RecordBatch:
     begin = todo[0]["offset"]
-    with fs.open_input_file(f"{root}/{todo[0]['file']}") as f:
-        f.seek(begin)
-        data = f.read(todo[-1]["offset"] + todo[-1]["length"] - begin)
-    ids, sizes, digests, kinds, refers = [], [], [], [], []
+    data = _range(fs, f"{root}/{todo[0]['file']}", begin, todo[-1]["offset"] + todo[-1]["length"] - begin)
+    out: list[list] = [[] for _ in range(6)]
     for r in todo:
         at = r["offset"] - begin
         head, http, payload = parse(zlib.decompress(data[at : at + r["length"]], 31))
-        stated = head["warc-payload-digest"].removeprefix("sha256:")
-        if head["warc-type"] == "response" and (hashlib.sha256(payload).hexdigest() != stated or len(payload) != int(http["content-length"])):
-            raise ValueError(f"record at {r['file']}:{r['offset']} differs from what was written")
-        ids.append(head.get("warc-page-id"))
-        sizes.append(int(http["content-length"]))
-        digests.append(stated)
-        kinds.append(head["warc-type"])
-        refers.append(head.get("warc-refers-to-page-id"))
-    return pa.record_batch([pa.array(ids, pa.string()), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(kinds), pa.array(refers, pa.string())], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        stated, size, own = head["warc-payload-digest"].removeprefix("sha256:"), int(http["content-length"]), None
+        if head["warc-type"] == "response":
+            own = hashlib.sha256(payload).hexdigest()
+            if own != stated or len(payload) != size:
+                raise ValueError(f"record at {r['file']}:{r['offset']} differs from what was written")
+        for column, value in zip(out, (head.get("warc-page-id"), size, own, head["warc-type"], head.get("warc-refers-to-page-id"), stated)):
+            column.append(value)
+    return pa.record_batch([pa.array(c, pa.int64() if i == 1 else pa.string()) for i, c in enumerate(out)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "stated"])
 
 
 def archive(pages: DataFrame, folder: str | None = None, **columns: str) -> tuple[DataFrame, str]:
@@ -320,9 +391,9 @@ def archive(pages: DataFrame, folder: str | None = None, **columns: str) -> tupl
 
 
 def query(pages: DataFrame) -> DataFrame:
-    """The digest of op4, read back from the archives through the index."""
+    """The digest of op4: every page's URL is looked up in the index and its records read."""
     directory, folder = archive(pages.select("page_id", "url", "html"))
-    return read_back(directory, folder, pages.schema["page_id"].dataType.simpleString())
+    return read_back(wanted_keys(pages.select("url")), directory, folder, pages.schema["page_id"].dataType.simpleString())
 
 
 #: The same result in SQL.

@@ -61,3 +61,12 @@ def test_record_is_a_warc_record():
     head, http, payload = warc.parse(zlib.decompress(warc._gzip(raw), 31))
     assert payload == b"abc" and http["content-length"] == "3" and "evil" not in head
     assert warc.host_key("HTTPS://WWW.Example.com:443/A?b#c") == "com,example)/A?b"
+
+
+def test_only_wanted_keys_are_found(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    data = [(k, f"http://h{k % 40}.example.org/", f"<p>{k}</p>" * 30, "c") for k in range(200)]
+    directory, folder = warc.archive(frame(spark, data))
+    urls = spark.createDataFrame([("http://h7.example.org",), ("http://H31.example.org/",), ("http://none.example.org",)], "url string")
+    got = warc.read_back(warc.wanted_keys(urls), directory, folder, "bigint").collect()
+    assert sorted(r.page_id for r in got) == [k for k in range(200) if k % 40 in (7, 31)]
