@@ -1,41 +1,51 @@
 """PII: surrogate generation with DataFrame functions only.
 
 Detection. One pattern of named kinds, tried in the order of ``KINDS`` at each place:
-secrets (a value after a word such as token, key, password; known key prefixes), e-mail
-addresses, IBANs, social security numbers, card numbers, phone numbers, IPv4 addresses,
-MAC addresses, and personal names that follow a form of address or begin with a known
-given name, with initials, particles and up to seven words, in upper case too. Words of a
-name that stand alone elsewhere in the same document are replaced as in the name.
+e-mail addresses, secrets (a value after a word such as token, key, password; known key
+prefixes), IBANs, social security numbers, card numbers, phone numbers, IPv4 and IPv6
+addresses, MAC addresses, and personal names that follow a form of address or begin with a
+known given name, with initials, particles and up to seven words, in upper case too. Words
+of a name that stand alone elsewhere in the same document are replaced as in the name. Every
+repeated group of the pattern is bounded (an address has at most 126 labels of 63 signs and 64
+signs before the @), so the regular expression engine's stack does not grow with the text.
 
 Surrogates. An entity is its kind and its canonical form (names and addresses without case,
-numbers without separators), so one person or number is one entity wherever it stands. Its
-surrogate is made from SHA-256 of a key, the kind, the canonical form and an attempt
-number: digits for digits, letters for letters of the same script and case, the same
-separators; a valid check digit where the original has one; e-mail addresses in reserved
-domains, one for each original domain; names of the same gender and script; octets of an
-address stay octets.
+numbers without separators; a card number has a valid check digit), so one person or number is one entity wherever it stands; an
+e-mail address is two entities, the domain and the part before it. A surrogate is drawn from
+HMAC-SHA-256 under the caller's key of the kind and the canonical form, and an attempt number:
+digits for digits, letters for letters of the same script and case, the same separators; a
+valid check digit where the original has one; domains below reserved ones; names of the same
+gender and script; octets of an address stay octets.
 
 Collisions. All entities of the documents are held in a table. Two entities must not share
-a surrogate, and a surrogate must not be an entity that occurs. Where they do, all but the
-first (by canonical form) take the next attempt, until none collides. Equal entities get
-equal surrogates, different ones different surrogates.
-
-Only documents with an entity are joined with the table of surrogates, and only their
-entities are dealt out by value; texts are dealt out once, by document.
+a surrogate, and a surrogate must not be an entity that occurs (before the @ of an address:
+in the same domain). Where they do, all but the first (by canonical form) take the next
+attempt, until none collides. From attempt ``SAME_LENGTH`` on surrogates get longer by a sign
+each time, so shapes that are too crowded to have a free value resolve too: there is no last
+attempt. Equal entities get equal surrogates, different ones different surrogates.
+
+Only documents with an entity are written and joined with the table of surrogates; all
+others pass as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 import unicodedata
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinset.llm.common import stored
+from kinset.llm.common import fresh, partitions_for, release, stored
 
-KEY = "surrogate-key-1"
-#: Attempts until names, of which there are few, are told apart by a numeral.
-ATTEMPTS = 24
+#: Attempts that keep a surrogate's length.
+SAME_LENGTH = 4
+#: Bytes of text with entities that a task rewrites, on average.
+TASK_BYTES = 4 << 20
+#: Session setting with the key in hexadecimal, for queries that take none.
+KEY_SETTING = "spark.kinset.surrogates.key"
 
 #: Forms of address by gender, in the same languages as the given names (fixed values).
 TITLES = {
@@ -84,53 +94,69 @@ _ALL_TITLES = _words([t for kind in TITLES.values() for t in kind])
 _ALL_GIVEN = _words([n for names in GIVEN.values() for n in names])
 
 _GAP = "[ \u00A0]{1,2}"
+#: What no entity has right before it; stated once, before all kinds.
 _EDGE = r"(?<![\p{L}\p{N}])"
 _STOP = r"(?![\p{L}\p{N}])"
 
 _PARTICLE = f"(?:{'|'.join(w for p in PARTICLES for w in (p, p.capitalize(), p.upper()))})"
 # initials and particles before a word of a name
 _LINK = rf"(?:{_GAP}(?:(?:\p{{Lu}}\.){{1,4}}|\p{{Lu}}|{_PARTICLE})(?={_GAP})){{0,4}}"
-_NAME = rf"{_EDGE}(?=\p{{Lu}})(?:{_ALL_TITLES}\.?(?:{_GAP}{_ALL_TITLES}\.?){{0,2}}|{_ALL_GIVEN}(?:-{_LETTER}+){{0,3}}){_LINK}{_GAP}{_WORD}(?:{_LINK}{_GAP}(?!(?:{_ALL_TITLES}|{_words(FUNCTION)})(?!{_LETTER})){_WORD}){{0,6}}{_STOP}"
+_NAME = rf"(?=\p{{Lu}})(?:{_ALL_TITLES}\.?(?:{_GAP}{_ALL_TITLES}\.?){{0,2}}|{_ALL_GIVEN}(?:-{_LETTER}+){{0,3}}){_LINK}{_GAP}{_WORD}(?:{_LINK}{_GAP}(?!(?:{_ALL_TITLES}|{_words(FUNCTION)})(?!{_LETTER})){_WORD}){{0,6}}{_STOP}"
 
 # cheap and true wherever the long look behind is: most places fail here
 _BEHIND = r"(?<=[=:\s\"'])(?<=[=:]\s{0,3}[\"']{0,1})"
 _SIGN = r"[!#-%*+\-./0-9:=?@A-Z^_`a-z~]"
 
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_HEX = "[0-9A-Fa-f]"
+
 #: (kind, pattern) in order of precedence.
 KINDS = (
-    ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+\-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?\.)+\p{L}{2,}"),
-    ("secret", _EDGE + r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|[0-9a-f]{64}|[0-9A-F]{64}|[0-9a-f]{40}|[0-9A-F]{40})" + _STOP),
-    ("iban", _EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _STOP),
-    ("ssn", r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])"),
-    ("card", _EDGE + r"(?:[0-9]{4}[ \-]?){3}[0-9]{1,7}" + _STOP),
-    ("phone", r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})" + _STOP),
-    ("ip", r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])"),
-    ("mac", r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{2}[:\-]){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:])"),
+    ("email", r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+\-]{0,63}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,61}[\p{L}\p{N}])?\.){1,126}(?:xn--[a-z0-9\-]{1,58}[a-z0-9]|\p{L}{2,63})"),
+    ("secret", r"(?=[Agsx0-9a-fA-F])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|[0-9a-f]{64}|[0-9A-F]{64}|[0-9a-f]{40}|[0-9A-F]{40})" + _STOP),
+    ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _STOP),
+    ("ssn", r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])"),
+    ("card", r"(?:[0-9]{4}[ \-]?){3}[0-9]{1,7}" + _STOP),
+    ("phone", r"(?=[+(0-9])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|(?<!\+)[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})" + _STOP),
+    ("ip", rf"(?=[0-9])(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])"),
+    ("ip6", rf"(?={_HEX}{{1,4}}:)(?<!:)(?:(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}|(?=[0-9A-Fa-f:]{{0,39}}[0-9])(?:{_HEX}{{1,4}}:){{2,6}}(?::{_HEX}{{1,4}}){{1,6}})(?![\p{{L}}\p{{N}}:])"),
+    ("mac", rf"(?={_HEX}{{2}}[:\-])(?<!:)(?:{_HEX}{{2}}[:\-]){{5}}{_HEX}{{2}}(?![\p{{L}}\p{{N}}:])"),
     ("name", _NAME),
     # what stands behind a word such as password; the rest tells the value's place only
     ("secret", _BEHIND + r"(?<=(?i:key|secret|token|password|passwd|pwd|auth)[\"']{0,1}\s{0,3}[=:]\s{0,3}[\"']{0,1})(?=[A-Za-z0-9_\-+/.=]*[0-9])[A-Za-z0-9_\-+/.=]{7,}[A-Za-z0-9_\-+/=]"),
     # behind a word for passwords any value with four letters or digits is one
     ("secret", _BEHIND + rf"(?<=(?i:password|passwd|pwd)[\"']{{0,1}}\s{{0,3}}[=:]\s{{0,3}}[\"']{{0,1}})(?=(?:{_SIGN}*[A-Za-z0-9]){{4}}){_SIGN}+(?<![.:!?])"),
 )
-PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
-#: A text without a match of this has no entity.
-GUARD = "|".join(("[0-9@]", *(f"(?:{p})" for k, p in KINDS if k in ("name", "secret", "mac"))))
+PATTERN = _EDGE + "(?:" + "|".join(f"(?:{p})" for _, p in KINDS) + ")"
 
 
 def entities_of(text: Column) -> Column:
     """The texts of all entities, in order."""
-    return F.when(text.rlike(GUARD), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
 def _kind(raw: Column) -> Column:
+    """The kind of what PATTERN found; null for a number that is no card's, by its check digit."""
     out = F.when(raw.rlike(f"^(?:{KINDS[0][1]})$"), "email")
     for kind, pattern in KINDS[1:-2]:
-        out = out.when(raw.rlike(f"^(?:{pattern})$"), kind)
+        of = F.when(_luhn_sum(F.regexp_replace(raw, "[^0-9]", "")) == 0, kind) if kind == "card" else kind
+        out = out.when(raw.rlike(f"^(?:{pattern})$"), of)
     return out.otherwise("secret")
 
 
-def _name_parts(raw: Column) -> Column:
-    """A name as parts (kind, raw, fixed): forms of address, particles and spaces have no kind.
+def _mail_parts(raw: Column) -> Column:
+    """An e-mail address as parts (kind, raw, fixed, canon): what stands before the @, and the domain."""
+    none, domain = F.lit(None).cast("string"), F.substring_index(raw, "@", -1)
+    part = lambda kind, raw, fixed, canon: F.struct(kind.alias("kind"), raw.alias("raw"), fixed.alias("fixed"), canon.alias("canon"))
+    return F.array(
+        part(F.lit("mail"), F.substring_index(raw, "@", 1), none, F.lower(raw)),
+        part(none, F.lit("@"), F.lit("@"), none),
+        part(F.lit("domain"), domain, none, F.lower(domain)),
+    )
+
+
+def _name_parts(raw: Column, key: bytes) -> Column:
+    """A name as parts (kind, raw, fixed, canon): forms of address, particles and spaces have no kind.
 
     Initials have none either, as there are too few to tell all apart: their letters, in
     fixed, are drawn by family name.
@@ -152,20 +178,35 @@ def _name_parts(raw: Column) -> Column:
         women, men = (_words([n for (_, g), names in GIVEN.items() if g == x for n in names]) for x in "fm")
         gender = F.when(w.rlike(f"^{women}$"), "f").when(w.rlike(f"^{men}$"), "m").otherwise(of_title)
         kind = F.when(i == last, F.concat_ws(":", F.lit("family"), script)).when(plain(w), F.lit(None)).otherwise(F.concat_ws(":", F.lit("given"), script, gender))
-        fixed = F.when(initial(w) & (i != last), F.upper(_same_shape(F.lower(w), F.lit("initial"), family)))
-        return F.struct(kind.alias("kind"), w.alias("raw"), fixed.alias("fixed"))
+        fixed = F.when(initial(w) & (i != last), F.upper(_same_shape(F.lower(w), _hmac(key, F.concat_ws("\u0001", F.lit("initial"), family)))))
+        return F.struct(kind.alias("kind"), w.alias("raw"), fixed.alias("fixed"), F.lower(w).alias("canon"))
 
     return F.transform(words, part)
 
 
+#: Kinds whose canonical form is their letters and digits only.
+NUMBERS = ("iban", "ssn", "card", "phone", "mac")
+
+
 def _canonical(kind: Column, raw: Column) -> Column:
-    numbers = kind.isin("iban", "ssn", "card", "phone", "mac")
-    return F.when(numbers, F.lower(F.regexp_replace(raw, "[^A-Za-z0-9]", ""))).when(kind == "secret", raw).otherwise(F.lower(raw))
+    return F.when(kind.isin(*NUMBERS), F.lower(F.regexp_replace(raw, "[^A-Za-z0-9]", ""))).when(kind == "secret", raw).otherwise(F.lower(raw))
+
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with value computed once, also where `of` uses it for each element of an array."""
+    return F.element_at(F.transform(F.array(value), of), 1)
 
-def _byte(i: Column, *seed: Column) -> Column:
-    """The i-th (from 0) of endless pseudo-random numbers in 0..65535 of a seed."""
-    block = F.sha2(F.concat_ws("\u0001", F.lit(KEY), *seed, F.floor(i / 16).cast("string")), 256)
+
+def _hmac(key: bytes, message: Column) -> Column:
+    """HMAC-SHA-256 of a text, in hexadecimal."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
+def _byte(i: Column, seed: Column) -> Column:
+    """The i-th (from 0) of endless pseudo-random numbers in 0..65535 of a seed, itself secret."""
+    block = F.sha2(F.concat_ws("\u0001", seed, F.floor(i / 16).cast("string")), 256)
     return F.conv(F.substr(block, (4 * (i % 16) + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
 
 
@@ -183,11 +224,16 @@ def _pick(words, at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), (at % len(words) + 1).cast("int"))
 
 
-def _same_shape(text: Column, *seed: Column, hexadecimal: Column | None = None) -> Column:
+def _same_shape(text: Column, seed: Column, hexadecimal: Column | None = None) -> Column:
     """text with every letter and digit drawn anew from its own alphabet."""
+    return _let(seed, lambda s: _drawn(text, s, hexadecimal))
+
 
+def _drawn(text: Column, seed: Column, hexadecimal: Column | None) -> Column:
     def draw(c: Column, i: Column) -> Column:
-        n = _byte(i, *seed)
+        return _let(_byte(i, seed), lambda n: letter(c, n))
+
+    def letter(c: Column, n: Column) -> Column:
         out = F.when(c.rlike(_ALPHABETS[0][0]), F.substr(F.lit(_ALPHABETS[0][1]), n % 10 + 1, F.lit(1)))
         if hexadecimal is not None:
             out = out.when(hexadecimal & c.rlike("[a-f]"), F.substr(F.lit("abcdef"), n % 6 + 1, F.lit(1))).when(hexadecimal & c.rlike("[A-F]"), F.substr(F.lit("ABCDEF"), n % 6 + 1, F.lit(1)))
@@ -210,23 +256,31 @@ def _iban_rest(text: Column) -> Column:
     return F.aggregate(F.transform(F.split(text, ""), number), F.lit(0).cast("long"), lambda a, x: (F.when(F.length(x) == 1, a * 10).otherwise(a * 100) + x.cast("long")) % 97)
 
 
-def _surrogate(kind: Column, canon: Column, attempt: int) -> Column:
-    """The surrogate of a canonical form, canonical itself."""
-    seed = (kind, canon, F.lit(str(attempt)))
-    at = lambda i: _byte(F.lit(i), *seed)
-    shape = _same_shape(canon, *seed)
-    secret = _same_shape(canon, *seed, hexadecimal=canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))
-    domain = F.substring_index(canon, "@", -1)
-    host = F.concat(F.translate(F.substr(F.sha2(F.concat(F.lit(KEY + "domain"), domain), 256), F.lit(1), F.lit(8)), "0123456789", "ghijklmnop"), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "org", "net"))), (F.pmod(F.xxhash64(domain), F.lit(3)) + 1).cast("int")))
-    email = F.concat(_same_shape(F.substring_index(canon, "@", 1), *seed), F.lit("@"), host)
-    body = F.substr(shape, F.lit(1), F.length(canon) - 1)
-    card = F.when(_luhn_sum(canon) == 0, F.concat(body, ((10 - _luhn_sum(F.concat(body, F.lit("0")))) % 10).cast("string"))).otherwise(shape)
-    country, account = F.substr(canon, F.lit(1), F.lit(2)), F.substr(shape, F.lit(5))
-    iban = F.concat(country, F.lpad((98 - _iban_rest(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
-    ip = F.concat_ws(".", (at(0) % 223 + 1).cast("string"), *[(at(i) % 256).cast("string") for i in (1, 2, 3)])
-    mac = F.regexp_replace(F.substr(F.sha2(F.concat_ws("|", F.lit(KEY), *seed), 256), F.lit(1), F.lit(12)), "^", "")
-    out = F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "card", card).when(kind == "iban", iban).when(kind == "ip", ip).when(kind == "mac", mac)
-    out = out.when(kind == "phone", F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(shape, F.lit(2))))
+def _space(kind: Column, canon: Column) -> Column:
+    """Surrogates differ within a space: a kind, and for what stands before an @ its domain."""
+    return F.when(kind == "mail", F.concat(F.lit("mail:"), F.substring_index(canon, "@", -1))).otherwise(F.substring_index(kind, ":", 1))
+
+
+def _surrogate(kind: Column, canon: Column, seed: Column, attempt: int) -> Column:
+    """The surrogate of a canonical form, canonical itself; seed: the entity's HMAC."""
+    seed = F.concat_ws("\u0001", seed, F.lit(str(attempt)))
+    at = lambda i: _byte(F.lit(i), seed)
+    wider = max(0, attempt + 1 - SAME_LENGTH)
+    longer = lambda text, sign: F.concat(text, F.lit(sign * wider))
+    shape = lambda text, sign: _same_shape(longer(text, sign), seed)
+    hexadecimal = canon.rlike("^(?:[0-9a-f:]+|[0-9A-F:]+)$")
+    secret = _same_shape(longer(canon, "0"), seed, hexadecimal)
+    mail = shape(F.substring_index(canon, "@", 1), "a")
+    domain = F.concat(_same_shape(F.lit("a" * (8 + wider)), seed), F.lit(".example."), _pick(("com", "org", "net"), at(1000)))
+    digits = shape(canon, "0")
+    card = _let(digits, lambda d: F.when(_luhn_sum(canon) == 0, _let(F.substr(d, F.lit(1), F.length(d) - 1), lambda body: F.concat(body, ((10 - _luhn_sum(F.concat(body, F.lit("0")))) % 10).cast("string")))).otherwise(d))
+    country = F.substr(canon, F.lit(1), F.lit(2))
+    iban = _let(F.substr(digits, F.lit(5)), lambda account: F.concat(country, F.lpad((98 - _iban_rest(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account))
+    # a fifth octet, only where no address is free
+    ip = F.concat_ws(".", (at(0) % 223 + 1).cast("string"), *[(at(i) % 256).cast("string") for i in range(1, 4 + wider)])
+    mac = F.substr(F.sha2(seed, 256), F.lit(1), F.lit(12 + wider))
+    out = F.when(kind == "mail", mail).when(kind == "domain", domain).when(kind.isin("secret", "ip6"), secret).when(kind == "card", card).when(kind == "iban", iban).when(kind == "ip", ip).when(kind == "mac", mac)
+    out = out.when(kind == "phone", F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(digits, F.lit(2))))
     # names: one word, and more parts with later attempts, so that there are always enough
     more = attempt // 3
     for script, (first, middle, end) in FAMILY.items():
@@ -235,7 +289,7 @@ def _surrogate(kind: Column, canon: Column, attempt: int) -> Column:
         for gender in "fmn":
             pool = [n for (sc, g), names in GIVEN.items() if sc == script and gender in (g, "n") for n in names]
             out = out.when(kind == f"given:{script}:{gender}", F.lower(F.concat_ws("-", *[_pick(pool, at(i)) for i in range(1 + more)])))
-    return out.otherwise(shape)
+    return out.otherwise(digits)
 
 
 def _as_name(raw: Column, surrogate: Column) -> Column:
@@ -245,11 +299,12 @@ def _as_name(raw: Column, surrogate: Column) -> Column:
 
 def _mentions(gap: Column, names: Column) -> Column:
     """The pieces (old, new) of a text between entities: words that names (canon to surrogate) holds are new."""
+    # a bounded number of joints: the engine's stack grows with it
     pieces = lambda t, joint: F.regexp_extract_all(t, F.lit(rf"[\p{{L}}\p{{M}}\p{{N}}]+{joint}|[^\p{{L}}\p{{M}}\p{{N}}]+"), F.lit(0))
     of = lambda w: F.when(w.rlike(r"^\p{Lu}"), _as_name(w, F.try_element_at(names, F.lower(w))))
     # of a joined word that is no name, each part may be one
     within = lambda w: F.when(w.rlike("['’\\-]"), F.array_join(F.transform(pieces(w, ""), lambda x: F.coalesce(of(x), x)), "")).otherwise(w)
-    words = pieces(gap, rf"{_JOINED}*")
+    words = pieces(gap, rf"{_JOINED}{{0,15}}")
     return F.transform(words, lambda w: F.struct(w.alias("old"), F.coalesce(of(w), within(w)).alias("new")))
 
 
@@ -259,79 +314,111 @@ def _formatted(kind: Column, raw: Column, surrogate: Column) -> Column:
     chars = F.split(raw, "")
     kept = lambda i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda c: c.rlike("[A-Za-z0-9]")))
     filled = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substr(surrogate, kept(i), F.lit(1))).otherwise(c)), "")
+    # what a longer surrogate has more stands at the end
+    filled = F.concat(filled, F.substr(surrogate, F.length(F.regexp_replace(raw, "[^A-Za-z0-9]", "")) + 1))
     filled = F.when(upper, F.upper(filled)).otherwise(filled)
-    return F.when(kind.isin("iban", "ssn", "card", "phone", "mac"), filled).when(kind.startswith("given") | kind.startswith("family"), _as_name(raw, surrogate)).when((kind == "email") & upper, F.upper(surrogate)).otherwise(surrogate)
+    cased = _let(chars, lambda r: F.array_join(F.transform(F.split(surrogate, ""), lambda c, i: _let(F.get(r, i), lambda x: F.when((F.upper(x) == x) & (F.lower(x) != x), F.upper(c)).otherwise(c))), ""))
+    out = F.when(kind.isin(*NUMBERS), filled).when(kind.startswith("given") | kind.startswith("family"), _as_name(raw, surrogate))
+    return out.when(kind.isin("mail", "domain", "ip6") & upper, F.upper(surrogate)).when(kind == "mail", cased).otherwise(surrogate)
 
 
-def surrogate_table(entities: DataFrame) -> DataFrame:
+def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, canon, surrogate) for distinct (kind, canon), without collisions."""
-    space = F.substring_index("kind", ":", 1)
-    known = entities.select(space.alias("space"), F.col("canon").alias("s")).distinct()
-    pending, attempt, done = entities, 0, None
+    own = F.when(F.col("kind") == "mail", F.substring_index("canon", "@", 1)).otherwise(F.col("canon"))
+    space, seed = _space(F.col("kind"), F.col("canon")), _hmac(key, F.concat_ws("\u0001", "kind", "canon"))
+    pending = stored(entities.select("kind", "canon", space.alias("space"), own.alias("own"), seed.alias("seed")), "entities")
+    known = pending.select("space", F.col("own").alias("s")).distinct()
+    waiting, attempt, done = pending, 0, None
     while True:
-        tried = stored(pending.select("kind", "canon", space.alias("space"), _surrogate(F.col("kind"), F.col("canon"), attempt).alias("s")), "tried")
+        tried = stored(waiting.select("kind", "canon", "space", "own", "seed", _surrogate(F.col("kind"), F.col("canon"), F.col("seed"), attempt).alias("s")), "tried")
         first = tried.groupBy("space", "s").agg(F.min(F.struct("canon", "kind")).alias("first")).join(known, ["space", "s"], "left_anti")
         if done is not None:
             first = first.join(done.select("space", "s"), ["space", "s"], "left_anti")
-        won = stored(tried.join(first, ["space", "s"]).where(F.struct("canon", "kind") == F.col("first")).drop("first"), "won")
-        done = won if done is None else stored(done.unionByName(won), "done")
-        pending = stored(tried.join(won, ["kind", "canon"], "left_anti").select("kind", "canon"), "pending")
-        if pending.isEmpty():
+        won = stored(tried.join(first, ["space", "s"]).where(F.struct("canon", "kind") == F.col("first")).select("kind", "canon", "space", "s"), "won")
+        done = won if done is None else done.unionByName(won)
+        left = stored(tried.join(won, ["kind", "canon"], "left_anti").drop("s"), "pending")
+        release(tried, *([waiting] if attempt else []))
+        if left.isEmpty():
             return done.select("kind", "canon", F.col("s").alias("surrogate"))
-        attempt += 1
-        if attempt > ATTEMPTS:
-            raise ValueError(f"no free surrogates after {ATTEMPTS} attempts")
+        waiting, attempt = left, attempt + 1
 
 
-def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with surrogates in text_col; one column more, __entities: how many were replaced.
+def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", count: str = "__entities") -> DataFrame:
+    """docs with surrogates in text_col; one column more, count: how many were replaced.
 
-    Null texts stay null and have 0; texts without an entity stay as they are, to the byte.
-    Rows repeat as given; all other columns, whatever they are called, stay.
+    key: who knows it can tell which surrogate an entity has; the same key gives the same
+    draws. Null texts stay null and have 0; texts without an entity stay as they are, to the
+    byte. Rows repeat as given; all other columns, whatever they are called, stay.
     """
-    text = F.col(text_col)
-    has = F.coalesce(text.rlike(GUARD) & text.rlike(PATTERN), F.lit(False))
-    key = F.struct(F.col(id_col).cast("string").alias("id"), F.sha2(text, 256).alias("text"))
-    found = docs.where(has).select(key.alias("__key"), F.posexplode(entities_of(text)).alias("__at", "raw"))
-    found = found.withColumn("kind", _kind(F.col("raw")))
-    parts = F.when(F.col("kind") == "name", _name_parts(F.col("raw"))).otherwise(F.array(F.struct("kind", "raw", F.lit(None).cast("string").alias("fixed"))))
-    found = found.select("__key", "__at", F.posexplode(parts).alias("__part", "p")).select("__key", "__at", "__part", "p.*")
-    found = stored(found.withColumn("canon", _canonical(F.col("kind"), F.col("raw"))), "found")
-    table = surrogate_table(found.where("kind IS NOT NULL").select("kind", "canon").distinct())
+    if len(key) < 16:
+        raise ValueError("the key must have at least 16 bytes")
+    spark = docs.sparkSession
+    row, key_, found_, new, names, map_, gaps, real = fresh(docs, "row", "key", "found", "new", "names", "map", "gaps", "real")
+    text = docs[text_col]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    has = F.coalesce(text.rlike(PATTERN), F.lit(False))
+    # documents with an entity are written, with a number for each row
+    hit = stored(docs.where(has).select(*columns, F.monotonically_increasing_id().alias(row), entities_of(text).alias(found_)), "with-entities")
+    size = hit.agg(F.sum(F.octet_length(hit[text_col]))).first()[0] or 0
+    parts = partitions_for(spark, size, TASK_BYTES)
+    found = hit.select(F.col(row).alias("row"), F.posexplode(found_).alias("at", "raw")).withColumn("kind", _kind(F.col("raw")))
+    whole = F.array(F.struct("kind", "raw", F.lit(None).cast("string").alias("fixed"), _canonical(F.col("kind"), F.col("raw")).alias("canon")))
+    pieces = F.when(F.col("kind") == "name", _name_parts(F.col("raw"), key)).when(F.col("kind") == "email", _mail_parts(F.col("raw"))).otherwise(whole)
+    found = stored(found.select("row", "at", F.posexplode(pieces).alias("part", "p")).select("row", "at", "part", "p.*"), "found")
+    table = surrogate_table(found.where("kind IS NOT NULL").select("kind", "canon").distinct(), key)
     named = found.join(table, ["kind", "canon"], "left").withColumn("new", F.coalesce(_formatted(F.col("kind"), F.col("raw"), F.col("surrogate")), "fixed", "raw"))
-    # all parts of one text, put together in order; equal rows repeat parts, a set keeps one
+    # all parts of an entity, then all entities of a row, put together in order
     part = F.col("kind").startswith("given") | F.col("kind").startswith("family")
     word = part & ~F.col("canon").isin([w.lower() for w in (*FUNCTION, *PARTICLES)])
-    lists = named.groupBy("__key").agg(
-        F.sort_array(F.collect_set(F.struct("__at", "__part", "new"))).alias("__parts"),
+    whole = named.repartition(parts, "row").groupBy("row", "at").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "new"))), lambda p: p["new"]), "").alias("new"),
+        F.collect_list(F.when(word, F.struct("canon", "kind", "surrogate"))).alias("words"),
+        F.max(F.col("kind").isNotNull().cast("int")).alias("real"),
+    )
+    lists = whole.groupBy("row").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda p: p["new"]).alias(new),
         # a word that is a given and a family name stands alone as a family name
-        F.sort_array(F.collect_set(F.when(word, F.struct("canon", "kind", "surrogate")))).alias("__names"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias(names),
+        F.sum("real").cast("int").alias("real"),
     )
-    only = F.filter("__names", lambda x, i: (i == 0) | (F.try_element_at(F.col("__names"), i)["canon"] != x["canon"]))
-    names = F.map_from_entries(F.transform(only, lambda x: F.struct(x["canon"], x["surrogate"])))
-    pieces = F.transform(F.split(text, PATTERN), lambda g: F.when(F.size("__names") > 0, _mentions(g, F.col("__map"))).otherwise(F.array(F.struct(g.alias("old"), g.alias("new")))))
-    of = lambda i: F.array_join(F.transform(F.filter("__parts", lambda p: p["__at"] == i), lambda p: p["new"]), "")
-    text_of = F.array_join(F.transform("__gaps", lambda g, i: F.concat(F.array_join(F.transform(g, lambda x: x["new"]), ""), of(i))), "")
-    alone = F.aggregate("__gaps", F.lit(0), lambda n, g: n + F.size(F.filter(g, lambda x: x["old"] != x["new"])))
-    plain = docs.where(~has).withColumn("__entities", F.lit(0))
-    changed = docs.where(has).withColumn("__key", key).join(lists.withColumn("__map", names), "__key").withColumn("__gaps", pieces)
-    changed = changed.withColumn("__entities", F.size("__gaps") - 1 + alone).withColumn("__new", text_of)
-    changed = changed.select(*[F.col("__new").alias(c) if c == text_col else F.col(c) for c in docs.columns], "__entities")
+    only = F.filter(names, lambda x, i: (i == 0) | (F.try_element_at(F.col(names), i)["canon"] != x["canon"]))
+    lists = lists.withColumn(map_, F.map_from_entries(F.transform(only, lambda x: F.struct(x["canon"], x["surrogate"]))))
+    changed = hit.repartition(parts, row).join(lists.withColumnRenamed("row", key_).withColumnRenamed("real", real), F.col(row) == F.col(key_))
+    split = F.transform(F.split(hit[text_col], PATTERN), lambda g: F.when(F.size(names) > 0, _mentions(g, F.col(map_))).otherwise(F.array(F.struct(g.alias("old"), g.alias("new")))))
+    changed = changed.withColumn(gaps, split)
+    text_of = F.array_join(F.transform(gaps, lambda g, i: F.concat(F.array_join(F.transform(g, lambda x: x["new"]), ""), F.coalesce(F.get(F.col(new), i), F.lit("")))), "")
+    alone = F.aggregate(gaps, F.lit(0), lambda n, g: n + F.size(F.filter(g, lambda x: x["old"] != x["new"])))
+    plain = docs.where(~has).select(*columns, F.lit(0).alias(count))
+    # the text is made last, in place of the old one
+    changed = changed.select(*[text_of.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], (F.col(real) + alone).alias(count))
     return plain.unionByName(changed)
 
 
-def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs with surrogates for the entities in their texts; columns are those of docs.
 
     A column length_col, where there is one, is set anew for texts that change.
     """
-    out = with_surrogates(docs, id_col, text_col)
+    (count,) = fresh(docs, "entities")
+    out = with_surrogates(docs, key, id_col, text_col, count)
     if docs.columns.count(length_col) == 1 and length_col != text_col:
         kind = docs.schema[length_col].dataType
-        out = out.withColumn(length_col, F.when(F.col("__entities") > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
-    return out.select(*docs.columns)
+        out = out.withColumn(length_col, F.when(F.col(count) > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's settings name, or one drawn at random for this session."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if named:
+        return bytes.fromhex(named)
+    sc = spark.sparkContext
+    if not hasattr(sc, "_kinset_surrogates_key"):
+        sc._kinset_surrogates_key = secrets.token_bytes(32)
+    return sc._kinset_surrogates_key
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """The result of op2: doc_id, text with surrogates, n_entities."""
-    return with_surrogates(docs.select("doc_id", "text")).select("doc_id", "text", F.col("__entities").cast("long").alias("n_entities"))
+    """The result of op2: doc_id, text with surrogates, n_entities, under the session's key."""
+    out = with_surrogates(docs.select("doc_id", "text"), session_key(docs.sparkSession))
+    return out.select("doc_id", "text", F.col("__entities").cast("long").alias("n_entities"))
