@@ -31,8 +31,8 @@ def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for personal data and secrets."""
-    return surrogates.replaced(docs)
+    """Texts with surrogates for personal data and secrets, under the session's key."""
+    return surrogates.replaced(docs, surrogates.session_key(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
