@@ -15,28 +15,37 @@ def toks(text):
     return [*WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")), "</s>"]
 
 
-def brute(rows, prior):
-    """Row results by dictionaries, and the model as a function."""
+def brute(rows, priors):
+    """Row results by dictionaries, and the model as a function of context and word."""
     train = [toks(t) for _, t, use in rows if use]
-    uni, bi, ctx = Counter(), Counter(), Counter()
+    seen, ctx = Counter(), Counter()
+    order = len(priors) + 1
     for t in train:
-        for u, w in zip(["<s>", *t], t):
-            uni[w] += 1
-            bi[u, w] += 1
-            ctx[u] += 1
+        t = ["<s>", *t]
+        for i in range(1, len(t)):
+            seen[(t[i],)] += 1
+            for k in range(1, order):
+                if i - k >= 0:
+                    seen[tuple(t[i - k : i + 1])] += 1
+                    ctx[tuple(t[i - k : i])] += 1
+    uni = {g[0]: c for g, c in seen.items() if len(g) == 1}
     n, v = sum(uni.values()), len(uni)
     once, twice = (sum(c == k for c in uni.values()) for k in (1, 2))
     d = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.05
 
-    def p(u, w):
-        base = (uni[w] - d) / n if uni[w] else (d * v / n if n else 1.0)
-        return (bi[u, w] + prior * base) / (ctx[u] + prior)
+    def p(context, w):
+        if not context:
+            return (uni[w] - d) / n if w in uni else (d * v / n if n else 1.0)
+        k = priors[len(context) - 1]
+        return (seen[(*context, w)] + k * p(context[1:], w)) / (ctx[context] + k)
 
     out = []
     for i, t, use in rows:
         t = toks(t)
-        base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t)
-        out.append((i, use, len(t), sum(uni[w] > 0 for w in t), n, base, sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t], t))))
+        base = sum(math.log10((uni.get(w, 0) + 1) / (n + v + 1)) for w in t)
+        padded = ["<s>", *t]
+        whole = sum(math.log10(p(tuple(padded[max(0, j - order + 2) : j + 1]), w)) for j, w in enumerate(t))
+        out.append((i, use, len(t), sum(w in uni for w in t), n, base, whole))
     return out, p, uni
 
 
@@ -47,12 +56,12 @@ def rows():
     return out + [(200, "", True), (201, "never seen words", False), (202, "the cat " * 9000, True), (202, "the cat", True), (202, "the cat", True)]
 
 
-@pytest.mark.parametrize("block_bytes, range_keys", [(1 << 24, 1 << 20), (2000, 5)])
-def test_against_dictionaries(spark, block_bytes, range_keys):
+@pytest.mark.parametrize("block_bytes, range_keys, priors", [(1 << 24, 1 << 20, lm.PRIORS), (9000, 60, (3.0, 0.5)), (9000, 400, (7.0,)), (9000, 400, (5.0, 2.0, 1.0))])
+def test_against_dictionaries(spark, block_bytes, range_keys, priors):
     data = rows()
     df = spark.createDataFrame([(i, t, u, "x") for i, t, u in data] + [(None, None, True, "x")], "doc_id long, text string, train boolean, score string")
-    got = lm.scored(df, F.col("train"), block_bytes=block_bytes, range_keys=range_keys).collect()
-    want, p, uni = brute([*data, (None, None, True)], lm.PRIOR)
+    got = lm.scored(df, F.col("train"), order=len(priors) + 1, priors=priors, block_bytes=block_bytes, range_keys=range_keys).collect()
+    want, p, uni = brute([*data, (None, None, True)], priors)
     key = lambda r: (str(r[0]), r[2])
     for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert g[:5] == w[:5]
@@ -60,11 +69,19 @@ def test_against_dictionaries(spark, block_bytes, range_keys):
 
 
 def test_probabilities_sum_to_one():
-    _, p, uni = brute(rows(), lm.PRIOR)
-    for u in ["<s>", "the", "cat", "unknown"]:
+    _, p, uni = brute(rows(), lm.PRIORS)
+    for u in [("<s>",), ("the",), ("the", "cat"), ("unknown", "cat"), ("<s>", "the")]:
         assert sum(p(u, w) for w in [*uni, "unknown"]) == pytest.approx(1)
 
 
+def test_words_with_like_hashes_are_different(spark):
+    from tests.llm.test_linerules import twins
+
+    a, b = twins()
+    df = spark.createDataFrame([(1, a, True), (2, b, False)], "doc_id long, text string, train boolean")
+    assert sorted((r.doc_id, r.n_known) for r in lm.scored(df, F.col("train")).collect()) == [(1, 2), (2, 1)]
+
+
 def test_no_training_and_empty(spark):
     df = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, train boolean")
     r = lm.scored(df, F.col("train")).first()
