@@ -41,7 +41,7 @@ from kinset.llm.common import fold_of, ship, stored
 FOLDS, HELD_OUT = 7, 2
 ORDER = 3
 #: Weight (K above) of the lower order in the probability of an n-gram of two, three, .. words.
-PRIORS = (400.0, 400.0)
+PRIORS = (1000.0, 10.0)
 #: Bytes of text in a block and n-grams in a range, on average.
 BLOCK_BYTES = 12 << 20
 RANGE_KEYS = 3_000_000
