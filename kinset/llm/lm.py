@@ -43,7 +43,7 @@ ORDER = 3
 #: Weight (K above) of the lower order in the probability of an n-gram of two, three, .. words.
 PRIORS = (1000.0, 10.0)
 #: Bytes of text in a block and n-grams in a range, on average.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 RANGE_KEYS = 3_000_000
 #: Tokens that a walker takes.
 WALK = 256
@@ -92,6 +92,7 @@ class Block:
         h, self.first = tokens(column)
         n = len(h)
         keys, self.word = np.unique(h >> _TWO, return_inverse=True)
+        self.word = self.word.astype(np.int32)  # local numbers of a block's n-grams are small
         self.words, self.order = len(keys), order
         used = np.repeat(train, np.diff(self.first)).astype(np.float64)
         at = np.arange(n) - np.repeat(self.first[:-1], np.diff(self.first))
@@ -107,10 +108,10 @@ class Block:
             if k > 2:
                 some = np.flatnonzero(at >= k - 2)
                 context = self.gram[k - 1][some - 1]
-            pairs, first, inverse = np.unique(context * self.words + self.word[some], return_index=True, return_inverse=True)
-            self.parent[k], self.last[k] = np.divmod(pairs, max(self.words, 1))
+            pairs, first, inverse = np.unique(context.astype(np.int64) * self.words + self.word[some], return_index=True, return_inverse=True)
+            self.parent[k], self.last[k] = (x.astype(np.int32) for x in np.divmod(pairs, max(self.words, 1)))
             self.suffix[k] = self.gram[k - 1][some[first]]
-            self.gram[k] = np.full(n, -1)
+            self.gram[k] = np.full(n, -1, np.int32)
             self.gram[k][some] = inverse
             ends = (bt.chain(ends[self.parent[k]], keys[self.last[k]]) >> _TWO) | np.uint64((2 if k == 2 else 3) << 62)
             self.keys.append(ends)
@@ -158,7 +159,7 @@ class Slice:
             parent, last, suffix = block.parent[k], block.last[k], block.suffix[k]
             p = (count + prior * lower[suffix]) / (size[parent] + prior)
             seen = count > 0
-            self.arcs[k] = (parent * block.words + last)[seen]
+            self.arcs[k] = (parent.astype(np.int64) * block.words + last)[seen]
             self.weight[k] = np.log10(p[seen])
             if k < block.order:
                 self.begin[k] = self.begin[k - 1] + len(size)
