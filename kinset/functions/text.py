@@ -16,7 +16,19 @@ from pyspark.sql.types import StringType
 from kinset.functions.expressions import let
 
 SHINGLE_SEPARATOR = "\x1f"
-TAIL_MARKS = ("original message",)
+#: What ends a message's own text: a line of only these (fixed values).
+TAIL = r"(?iuU)^\s*(?:[-_ \t]*original[ \t]+message[-_ \t]*|on[ \t][^\n]+[ \t]+wrote:[ \t]*)\s*$"
+
+
+@F.pandas_udf(StringType())
+def _fold_unicode(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def folded(text: Column) -> Column:
+    """NFKC and case folding; only texts that are not ASCII leave the JVM for it."""
+    plain = text.rlike("^[\\x00-\\x7F]*$")
+    return F.coalesce(F.when(plain, F.lower(text)), _fold_unicode(F.when(~plain, text)))
 
 
 def normalize_ascii(text: Column) -> Column:
@@ -62,19 +74,26 @@ def shingles(words: Column, n: int = 5) -> Column:
 
 
 def canonical_subject(subject: Column) -> Column:
-    """Words of a subject without its reply and forward marks."""
-    bare = F.regexp_replace(F.trim(F.lower(subject)), r"^(?:(?:re(?:\[[0-9]+\])?|fw|fwd):[ \t]*)+", "")
+    """Words of a subject, folded, without its reply and forward marks."""
+    # a possessive group is matched in a loop: any number of marks, no deep stack
+    bare = F.regexp_replace(folded(subject), r"^(?U:\s*)(?:(?:re(?:\[[0-9]+\])?|fw|fwd):[ \t]*)*+", "")
     return F.array_join(tokens(bare), " ")
 
 
 def without_quotes(body: Column) -> Column:
-    """The lines before a quoted tail, without those that begin with '>'."""
-    lines = F.split(body, "\n")
-    line = lambda x: F.trim(F.lower(x))
-    stops = lambda x: F.contains(line(x), F.lit(TAIL_MARKS[0])) | line(x).rlike("^on .* wrote:$")
-    first = F.array_position(F.transform(lines, stops), True)
-    kept = F.when(first > 0, F.slice(lines, F.lit(1), (first - 1).cast("int"))).otherwise(lines)
-    return F.array_join(F.filter(kept, lambda x: ~F.startswith(F.ltrim(x), F.lit(">"))), "\n")
+    """The lines of a body but for those that begin with '>', up to a quoted tail.
+
+    A quoted line is no tail. Line breaks become \\n; breaks at the end become one, if any.
+    """
+    lines = F.filter(F.split(F.regexp_replace(body, "\r\n?", "\n"), "\n"), lambda x: ~x.rlike(r"(?U)^\s*>"))
+
+    def cut(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda x: x.rlike(TAIL)), True)
+        kept = F.when(first > 0, F.slice(lines, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int"))).otherwise(lines)
+        return F.regexp_replace(F.array_join(kept, "\n"), "\n+\\z", "")
+
+    ended = F.endswith(body, F.lit("\n")) | F.endswith(body, F.lit("\r"))
+    return let(let(lines, cut), lambda text: F.when(ended & (text != ""), F.concat(text, F.lit("\n"))).otherwise(text))
 
 
 def message_id(header: Column) -> Column:

@@ -119,36 +119,29 @@ def str3_field_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("hash", H.feature_hash(F.col("feature")))
 
 
-WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+# case folding differs from lower case by ß in these texts, which have no compatibility signs
+FOLDED = "replace(lower(coalesce(text, '')), 'ß', 'ss')"
+WORDS = f"regexp_extract_all({FOLDED}, '[a-z0-9]+')"
 
 
 @query(f"SELECT doc_id, len({WORDS})::BIGINT AS n_tokens, len(list_distinct({WORDS}))::BIGINT AS n_distinct FROM documents")
 def str4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = T.tokens(F.coalesce("text", F.lit("")))
+    words = T.tokens(T.folded(F.coalesce("text", F.lit(""))))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(words)).cast("bigint").alias("n_distinct"))
 
 
 @query(f"""SELECT doc_id, count(*) AS n_shingles, count(DISTINCT s) AS n_distinct, min({top(sha(H.FEATURE, 'encode(s)', zero=True))}) AS least_feature
 FROM (SELECT doc_id, array_to_string(w[i:i + 4], chr(31)) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents))) GROUP BY doc_id""")
 def str5_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = T.shingles(T.tokens(F.coalesce("text", F.lit(""))))
+    s = T.shingles(T.tokens(T.folded(F.coalesce("text", F.lit("")))))
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     # the array is made once and then taken apart: a filter on it would make it again
     rows = docs.select("doc_id", s.alias("s")).select("doc_id", "s", F.array_distinct("s").alias("d")).where(F.size("s") > 0)
     return rows.select("doc_id", F.size("s").cast("bigint").alias("n_shingles"), F.size("d").cast("bigint").alias("n_distinct"), F.array_min(F.transform("d", lambda x: H.feature_hash(x))).alias("least_feature"))
 
 
-_SUBJECT = "(CASE turn % 4 WHEN 0 THEN 'Re: ' WHEN 1 THEN 'RE[2]: Fwd: ' WHEN 2 THEN 'fw:' ELSE '' END || substr(coalesce(text, ''), 1, 40))"
-
-
 def _canonical(subject: str) -> str:
-    return f"SELECT conv_id, turn, array_to_string(regexp_extract_all(regexp_replace(trim(lower({subject})), '^(?:(?:re(?:\\[[0-9]+\\])?|fw|fwd):[ \\t]*)+', ''), '[a-z0-9]+'), ' ') AS subject FROM conversations"
-
-
-@query(_canonical(_SUBJECT))
-def str6_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 40 characters, as its SQL says; str6_subject_all has whole texts."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.canonical_subject(F.expr(_SUBJECT)).alias("subject"))
+    return f"SELECT conv_id, turn, array_to_string(regexp_extract_all(regexp_replace(trim(replace(lower({subject}), 'ß', 'ss')), '^(?:(?:re(?:\\[[0-9]+\\])?|fw|fwd):[ \\t]*)+', ''), '[a-z0-9]+'), ' ') AS subject FROM conversations"
 
 
 _SUBJECT_ALL = "(CASE turn % 4 WHEN 0 THEN 'Re: ' WHEN 1 THEN 'RE[2]: Fwd: ' WHEN 2 THEN 'fw:' ELSE '' END || coalesce(text, ''))"
@@ -159,14 +152,18 @@ def str6_subject_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.canonical_subject(F.expr(_SUBJECT_ALL)).alias("subject"))
 
 
-_BODY = "(coalesce(text, '') || chr(10) || '> quoted' || chr(10) || 'after' || chr(10) || CASE turn % 3 WHEN 0 THEN '-----Original Message-----' WHEN 1 THEN 'On Monday, Ann wrote:' ELSE 'no tail' END || chr(10) || 'tail')"
+_BODY = """(coalesce(text, '') || chr(10) || '> quoted' || chr(13) || chr(10) || 'see my original message below' || chr(10) || '  > -----Original Message-----' || chr(10) || 'after' || chr(10)
+  || CASE turn % 3 WHEN 0 THEN ' ----- ORIGINAL  Message_--' WHEN 1 THEN 'On Monday, Ann wrote: ' ELSE 'no tail' END || chr(10) || 'tail' || CASE turn % 2 WHEN 0 THEN chr(10) || chr(10) ELSE '' END)"""
 
 
-@query(f"""WITH l AS (SELECT conv_id, turn, string_split({_BODY}, chr(10)) AS lines FROM conversations),
-p AS (SELECT *, list_position([contains(lower(x), 'original message') OR regexp_matches(trim(lower(x)), '^on .* wrote:$') for x in lines], true) AS stop FROM l)
-SELECT conv_id, turn, array_to_string([x for x in (CASE WHEN stop > 0 THEN lines[1:stop - 1] ELSE lines END) if NOT starts_with(ltrim(x), '>')], chr(10)) AS body FROM p""")
+@query(f"""WITH b AS (SELECT conv_id, turn, {_BODY} AS body FROM conversations),
+l AS (SELECT *, [x for x in string_split(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) if NOT regexp_matches(x, '^\\s*>')] AS lines FROM b),
+p AS (SELECT *, list_position([regexp_matches(x, '(?i)^\\s*([-_ \\t]*original[ \\t]+message[-_ \\t]*|on[ \\t].+[ \\t]+wrote:[ \\t]*)\\s*$') for x in lines], true) AS stop FROM l),
+c AS (SELECT *, rtrim(array_to_string(CASE WHEN stop > 0 THEN lines[1:stop - 1] ELSE lines END, chr(10)), chr(10)) AS text FROM p)
+SELECT conv_id, turn, CASE WHEN text <> '' AND (ends_with(body, chr(10)) OR ends_with(body, chr(13))) THEN text || chr(10) ELSE text END AS body FROM c""")
 def str7_quote_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.without_quotes(F.expr(_BODY)).alias("body"))
+    body = F.expr(_BODY.replace("chr(13)", "'\\r'").replace("chr(10)", "'\\n'"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.without_quotes(body).alias("body"))
 
 
 _ID = "CASE c_custkey % 4 WHEN 0 THEN ' <' || c_name || '@x> ' WHEN 1 THEN '<a b>' WHEN 2 THEN c_name ELSE '<' || replace(c_name, ' ', '') || '>' END"

@@ -82,10 +82,11 @@ def test_grams_and_shingles(spark):
 
 
 def test_subjects_and_quotes(spark):
-    subjects = {"Re: Fwd: RE[2]: x Y": "x y", "re:re: ": "", "Regarding: z": "regarding z", "FW:\ta-b": "a b"}
+    subjects = {"Re: Fwd: RE[2]: x Y": "x y", "re:re: ": "", "Regarding: z": "regarding z", "FW:\ta-b": "a b", "\u00a0Re: Straße ﬁx ２０": "strasse fix 20", "re:" * 20000 + "x": "x"}
+    assert one(spark, s="Straße ﬁx ２０").select(T.tokens(T.folded(F.col("s")))).first()[0] == ["strasse", "fix", "20"]
     for s, want in subjects.items():
         assert one(spark, s=s).select(T.canonical_subject(F.col("s"))).first()[0] == want
-    bodies = {"a\n> q\nb": "a\nb", "a\n-----Original Message-----\nb": "a", "On Monday, Ann wrote:\nb": "", "a\nOn we go": "a\nOn we go", "  > q\nc": "c"}
+    bodies = {"a\n> q\nb": "a\nb", "a\n-----Original Message-----\nb": "a", "On Monday, Ann wrote:\nb": "", "a\nOn we go": "a\nOn we go", "  > q\nc": "c", "please see my original message below\nb": "please see my original message below\nb", "> -----Original Message-----\nb": "b", "a\r\nb\r\n\r\n": "a\nb\n", "a\n\n": "a\n", " __ ORIGINAL\tmessage --\nx": "", "on it wrote: x\ny": "on it wrote: x\ny"}
     for b, want in bodies.items():
         assert one(spark, b=b).select(T.without_quotes(F.col("b"))).first()[0] == want
 
