@@ -20,6 +20,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from kinset.functions import hashing as H
 from kinset.functions import text as T
+from kinset.sources.readers import all_files
 
 FIELDS = {"date": "Date", "from_header": "From", "to": "To", "cc": "Cc", "bcc": "Bcc", "subject": "Subject", "message_id": "Message-ID", "x_folder": "X-Folder", "x_origin": "X-Origin", "x_filename": "X-FileName"}
 MESSAGE = StructType([StructField(n, StringType()) for n in (*FIELDS, "body", "error")])
@@ -78,10 +79,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
     def parsed(content: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse(c) for c in content], columns=MESSAGE.names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString()
-    return files.select(F.substr("path", F.lit(len(root) + 2)).alias("path"), parsed("content").alias("m")).select("path", "m.*")
+    return all_files(spark, folder).select("path", parsed("content").alias("m")).select("path", "m.*")
 
 
 def candidates(mail: DataFrame) -> DataFrame:
@@ -91,7 +89,7 @@ def candidates(mail: DataFrame) -> DataFrame:
     are of the body without them.
     """
     body = T.without_quotes(F.col("body"))
-    words = T.tokens(body)
+    words = T.tokens(T.folded(body))
     envelope = [F.coalesce(c, F.lit("")) for c in ("date", "from_header", "to", "cc", "bcc", "subject", "body")]
     features = F.array_sort(F.array_distinct(F.transform(T.shingles(words), lambda s: H.feature_hash(s))))
     return mail.where("error IS NULL").select(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -121,12 +125,46 @@ def processed(spark: SparkSession, folder: str) -> tuple[dict[str, str], DataFra
     return manifest, records, pairs
 
 
+def all_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, content) of all files below a folder; paths are relative.
+
+    Spark's own listing leaves out names that begin with a dot or an underscore. The folder
+    is listed once more, by name only, and files that Spark left out are read by name; a
+    link or anything else that is no regular file is an error.
+    """
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(folder)
+    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+    root = fs.makeQualified(root)
+    skip = len(root.toString()) + 1
+    listing, left_out = fs.listFiles(root, True), []
+    while listing.hasNext():
+        status = listing.next()
+        if not status.isFile() or status.isSymlink():
+            raise ValueError(f"{status.getPath()} is no regular file")
+        path = status.getPath().toString()
+        if any(part[:1] in "._" for part in path[skip:].split("/")):
+            left_out.append(path)
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "content")
+    if left_out:
+
+        def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for path in b.column(0).to_pylist():
+                    source, name = pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                    with source.open_input_stream(name, compression=None) as f:
+                        raw = f.read()
+                    yield pa.record_batch([pa.array([path]), pa.array([len(raw)], pa.int64()), pa.array([raw], pa.binary())], names=["path", "length", "content"])
+
+        named = spark.createDataFrame([(p,) for p in left_out], "path string").mapInArrow(contents, "path string, length long, content binary")
+        seen = seen.join(named, "path", "left_anti").unionByName(named)
+    return seen.withColumn("path", F.substr("path", F.lit(skip + 1)))
+
+
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
     """(path, size, sha256) of all files below a folder; paths are relative."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString()
-    return files.select(F.substr("path", F.lit(len(root) + 2)).alias("path"), F.col("length").cast(LongType()).alias("size"), F.sha2("content", 256).alias("sha256"))
+    return all_files(spark, folder).select("path", F.col("length").cast(LongType()).alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def tree_digest(files: DataFrame) -> str:

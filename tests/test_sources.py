@@ -111,5 +111,15 @@ def test_mail(spark, tmp_path):
     assert {p for p, r in rows.items() if r.error} == {"charset", "base64", "word"}
     got = {r.path: r for r in mail.candidates(mail.messages(spark, str(tmp_path / "in"))).collect()}
     assert got["plain"].n_tokens == 6 and len(got["plain"].features) == 2 and got["plain"].message_id == "1@x"
-    assert got["plain"].subject == "gr e" and got["empty"].n_tokens == 0
+    assert got["plain"].subject == "gr sse" and got["empty"].n_tokens == 0
     assert got["plain"].record_id == "mail:" + hashlib.sha256(b"plain").hexdigest()
+
+
+def test_hidden_names_are_read(spark, tmp_path):
+    for name in ("1.", "_2", ".3", "sub/_deep/4"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(name.encode())
+    got = {r.path: bytes(r.content) for r in readers.all_files(spark, str(tmp_path)).collect()}
+    assert got == {n: n.encode() for n in ("1.", "_2", ".3", "sub/_deep/4")}
+    assert readers.inventory(spark, str(tmp_path)).count() == 4
