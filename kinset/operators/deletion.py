@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinset.functions import hashing as H
-
 
 def exhaustion(n: Column, d: int, r: Column) -> Column:
     """Probability that r of n deletions take all d members of one coordinate."""
@@ -36,16 +34,21 @@ def deletion_limits(curve: DataFrame, required: float) -> DataFrame:
 def simulate(spark: SparkSession, n: int, d: int, k: int, trials: int, seed: int = 42) -> DataFrame:
     """(trial, failure): deletions until some coordinate has lost its d least members.
 
-    In each trial every member gets an order of deletion by hash and, at each coordinate,
-    d members by hash; a coordinate fails when the last of these goes. Trials are
-    independent rows, so the simulation spreads over tasks.
+    Members go in a random order, so the times at which a coordinate's d members go are d
+    different numbers of 1..n, drawn here by keyed hashes without the members themselves. A
+    coordinate fails at the greatest of them, a trial at the least of its coordinates. Trials
+    are independent rows, which are made and reduced in the same task.
     """
-    draw = lambda *c: H.rank_hex(H.TRIAL, F.lit(seed.to_bytes(8, "big")), *c)
-    members = spark.range(trials).withColumnRenamed("id", "trial").withColumn("member", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
-    order = members.withColumn("gone", F.row_number().over(Window.partitionBy("trial").orderBy(draw(H.be64(F.col("trial")), H.be64(F.col("member"))), "member")))
-    kept = order.withColumn("coord", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("rank", draw(H.be64(F.col("trial")), H.be32(F.col("coord")), H.be64(F.col("member")), F.lit(b"c")))
-    kept = kept.withColumn("pos", F.row_number().over(Window.partitionBy("trial", "coord").orderBy("rank"))).where(F.col("pos") <= d)
-    return kept.groupBy("trial", "coord").agg(F.max("gone").alias("gone")).groupBy("trial").agg(F.min("gone").alias("failure"))
+    cells = spark.range(trials * k).select(F.floor(F.col("id") / k).alias("trial"), F.col("id").alias("cell"))
+
+    def take(times: Column, i: Column) -> Column:
+        # the i-th draw is among the n - i numbers that are left, which the taken ones shift
+        left = F.pmod(F.xxhash64(F.lit(seed), F.col("cell"), i), F.lit(n) - i) + 1
+        one = F.aggregate(times, left, lambda x, t: x + F.when(x >= t, 1).otherwise(0))
+        return F.array_sort(F.concat(times, F.array(one)))
+
+    times = F.aggregate(F.sequence(F.lit(0), F.lit(min(d, n) - 1)), F.array().cast("array<bigint>"), take)
+    return cells.select("trial", F.element_at(times, -1).alias("gone")).groupBy("trial").agg(F.min("gone").cast("int").alias("failure"))
 
 
 def failure_histogram(failures: DataFrame) -> DataFrame:

@@ -46,6 +46,40 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).unionAll(b.exceptAll(a))
 
 
+def recomputed(stated: DataFrame, again: DataFrame, keys: list[str], tolerance: float = 0.0) -> DataFrame:
+    """(keys.., field, stated, again): where stated rows and recomputed ones differ.
+
+    Rows that only one frame has differ in the field ``row``. Numbers may differ by tolerance,
+    NaN equals NaN, null equals null; all else is compared as text. A repeated key is an error.
+    """
+    for df in (stated, again):
+        demand(repeated(df, *keys), "a key stands twice")
+    kinds = dict(stated.dtypes)
+    fields = [c for c in stated.columns if c not in keys]
+    a, b = (df.select(*keys, F.struct(*fields).alias(name)) for df, name in ((stated, "__stated"), (again, "__again")))
+    both = a.join(b, keys, "full")
+
+    def entry(name: str, x: Column, y: Column, wrong: Column) -> Column:
+        return F.struct(F.lit(name).alias("field"), x.cast("string").alias("stated"), y.cast("string").alias("again"), wrong.alias("wrong"))
+
+    alone = F.col("__stated").isNull() != F.col("__again").isNull()
+    entries = [entry("row", F.col("__stated").isNotNull(), F.col("__again").isNotNull(), alone)]
+    for name in fields:
+        x, y = F.col("__stated")[name], F.col("__again")[name]
+        number = kinds[name] in ("double", "float", "int", "bigint", "smallint", "tinyint") or kinds[name].startswith("decimal")
+        far = ~x.eqNullSafe(y) & ~F.coalesce(F.abs(x.cast("double") - y.cast("double")) <= tolerance, F.lit(False)) if number else ~x.cast("string").eqNullSafe(y.cast("string"))
+        entries.append(entry(name, x, y, ~alone & far))
+    found = both.select(*keys, F.explode(F.filter(F.array(*entries), lambda e: e["wrong"])).alias("e"))
+    return found.select(*keys, "e.field", "e.stated", "e.again")
+
+
+def inconsistent_decisions(rows: DataFrame, score: str, threshold: str, decision: str, margin: float = 1e-12) -> DataFrame:
+    """Rows whose decision is not (score >= threshold); within margin of it either will do."""
+    s, t, d = F.col(score), F.col(threshold), F.col(decision).cast("boolean")
+    bad = s.isNull() | t.isNull() | d.isNull() | F.isnan(s) | F.isnan(t) | (t < 0) | (t > 1)
+    return rows.where(bad | ((F.abs(s - t) > margin) & (d != (s >= t))))
+
+
 def report(**rules: DataFrame) -> DataFrame:
     """(rule, offending): how many rows break each rule."""
     return reduce(DataFrame.unionAll, [rows.agg(F.count("*").alias("offending")).select(F.lit(name).alias("rule"), "offending") for name, rows in rules.items()])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType
@@ -105,3 +105,55 @@ def replace_versions(store: DataFrame, updates: DataFrame) -> DataFrame:
         return F.struct(epoch.alias("epoch"), payload.alias("payload"), F.concat(acc["log"], F.array(entry)).alias("log"))
 
     return rows.select("owner", F.explode(F.aggregate("ops", start, step, lambda a: a["log"])).alias("e")).select("owner", "e.*")
+
+
+def signature(state: Column) -> Column:
+    """The signature's value at a coordinate: the first rank of its state; null where there is none."""
+    return F.get(state, F.lit(0))
+
+
+def rebuilt(states: DataFrame, members: DataFrame, by: list[str], d: int) -> DataFrame:
+    """states (by.., ranks, rebuild, refused), those that ask for a rebuild made anew.
+
+    members (by.., rank) are the current ones; the d least different ranks of a group become
+    its state. A group without members has an empty state and asks on.
+    """
+    asks = states.where("rebuild").select(*by)
+    least = members.join(asks, by, "left_semi").select(*by, "rank").distinct()
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("rank"))
+    made = least.withColumn("__place", place).where(F.col("__place") <= d).groupBy(*by).agg(F.array_sort(F.collect_list("rank")).alias("__made"))
+    none = F.array().cast("array<string>")
+    joined = states.join(made, by, "left")
+    ranks = F.when(F.col("rebuild"), F.coalesce("__made", none)).otherwise(F.col("ranks"))
+    return joined.select(*by, ranks.alias("ranks"), (F.col("rebuild") & F.col("__made").isNull()).alias("rebuild"), F.when(F.col("rebuild"), F.lit(0).cast("bigint")).otherwise(F.col("refused")).alias("refused"))
+
+
+def same_seed(sketches: DataFrame, seed: int, column: str = "seed") -> DataFrame:
+    """sketches as they are; reading a row that was made under another seed is an error."""
+    other = ~F.col(column).eqNullSafe(F.lit(seed))
+    checked = F.when(other, F.raise_error(F.concat(F.lit(f"made under another seed than {seed}: "), F.coalesce(F.col(column).cast("string"), F.lit("none"))))).otherwise(F.col(column))
+    return sketches.withColumn(column, checked.cast(sketches.schema[column].dataType))
+
+
+def latest(store: DataFrame) -> DataFrame:
+    """(owner, epoch, payload): each owner's version of the greatest epoch."""
+    return store.groupBy("owner").agg(F.max(F.struct("epoch", "payload")).alias("v")).select("owner", "v.epoch", "v.payload")
+
+
+def snapshot(store: DataFrame, a: str, b: str) -> DataFrame:
+    """One row (epoch_a, payload_a, epoch_b, payload_b): both owners' latest versions, read at once.
+
+    Where an owner has no version there is no row.
+    """
+    of = lambda owner, name: F.max(F.when(F.col("owner") == owner, F.struct("epoch", "payload"))).alias(name)
+    both = store.where(F.col("owner").isin(a, b)).agg(of(a, "a"), of(b, "b")).where("a IS NOT NULL AND b IS NOT NULL")
+    return both.select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("epoch", "payload")])
+
+
+def refreshed(store: DataFrame, owner: str, expected: int, payload: str) -> tuple[DataFrame, DataFrame]:
+    """(store, status): one owner's version replaced by its successor, all others unchanged."""
+    now = latest(store)
+    update = store.sparkSession.createDataFrame([(owner, 0, expected, expected + 1, payload)], "owner string, seq bigint, expected bigint, epoch bigint, payload string")
+    status = replace_versions(now.where(F.col("owner") == owner), update)
+    new = status.where(F.col("status") == APPLIED).select("owner", "epoch", "payload")
+    return now.join(new, "owner", "left_anti").unionByName(new.select(*[F.col(c).cast(now.schema[c].dataType) for c in now.columns])), status

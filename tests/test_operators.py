@@ -264,3 +264,15 @@ def test_t_interval_query_keeps_large_groups(spark, tmp_path):
     want = sorted(con.execute(catalogue.ORACLES["ag18_t_interval_all"]).fetchall())
     assert [r[:2] for r in got] == [r[:2] for r in want] == [(1, 40), (2, 2), (3, 1)]
     assert got[0][2:] == pytest.approx(want[0][2:]) and got[1][2:] == pytest.approx(want[1][2:])
+
+
+def test_recomputed_rows(spark):
+    a = spark.createDataFrame([(1, 0.5, "x"), (2, 1.0, "y"), (3, float("nan"), None), (4, 2.0, "z")], "k int, v double, t string")
+    b = spark.createDataFrame([(1, 0.5 + 1e-13, "x"), (2, 1.1, "q"), (3, float("nan"), None), (5, 2.0, "z")], "k int, v double, t string")
+    got = sorted((r.k, r.field) for r in V.recomputed(a, b, ["k"], 1e-12).collect())
+    assert got == [(2, "t"), (2, "v"), (4, "row"), (5, "row")]
+
+
+def test_decisions_follow_their_thresholds(spark):
+    rows = spark.createDataFrame([(1, 0.5, 0.5, True), (2, 0.5, 0.5, False), (3, 0.4, 0.5, True), (4, 0.6, 0.5, False), (5, None, 0.5, True), (6, 0.6, 1.5, True)], "k int, s double, tau double, d boolean")
+    assert sorted(r.k for r in V.inconsistent_decisions(rows, "s", "tau", "d").collect()) == [3, 4, 5, 6]

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 
 from kinset.streaming import dynamic
 
@@ -63,3 +66,24 @@ def test_epoch_store(spark):
         ("b", 1): ("applied", 6, "q6"),
         ("c", 1): ("unknown_owner", None, None),
     }
+
+
+def test_rebuild_signature_and_seed(spark):
+    states = spark.createDataFrame([(1, [], True, 2), (2, ["b", "c"], False, 1), (3, [], True, 0)], "g int, ranks array<string>, rebuild boolean, refused bigint")
+    members = spark.createDataFrame([(1, "d"), (1, "a"), (1, "a"), (1, "c"), (2, "a")], "g int, rank string")
+    got = {r.g: r for r in dynamic.rebuilt(states, members, ["g"], 2).withColumn("sign", dynamic.signature(F.col("ranks"))).collect()}
+    assert [(got[g].ranks, got[g].rebuild, got[g].refused, got[g].sign) for g in (1, 2, 3)] == [(["a", "c"], False, 0, "a"), (["b", "c"], False, 1, "b"), ([], True, 0, None)]
+    sketches = spark.createDataFrame([(1, 42), (2, 42)], "g int, seed bigint")
+    assert dynamic.same_seed(sketches, 42).count() == 2
+    with pytest.raises(Exception, match="another seed"):
+        dynamic.same_seed(sketches, 7).collect()
+
+
+def test_snapshot_and_refresh(spark):
+    store = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 5, "z")], "owner string, epoch bigint, payload string")
+    assert tuple(dynamic.snapshot(store, "a", "b").first()) == (2, "y", 5, "z")
+    assert dynamic.snapshot(store, "a", "c").collect() == []
+    for expected, status, epoch in ((2, "applied", 3), (1, "stale_epoch", 2), (4, "future_epoch", 2)):
+        new, told = dynamic.refreshed(store, "a", expected, "w")
+        assert told.first().status == status
+        assert sorted((r.owner, r.epoch) for r in new.collect()) == [("a", epoch), ("b", 5)]
