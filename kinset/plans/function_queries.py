@@ -144,12 +144,12 @@ def _canonical(subject: str) -> str:
     return f"SELECT conv_id, turn, array_to_string(regexp_extract_all(regexp_replace(trim(replace(lower({subject}), 'ß', 'ss')), '^(?:(?:re(?:\\[[0-9]+\\])?|fw|fwd):[ \\t]*)+', ''), '[a-z0-9]+'), ' ') AS subject FROM conversations"
 
 
-_SUBJECT_ALL = "(CASE turn % 4 WHEN 0 THEN 'Re: ' WHEN 1 THEN 'RE[2]: Fwd: ' WHEN 2 THEN 'fw:' ELSE '' END || coalesce(text, ''))"
+_SUBJECT = "(CASE turn % 4 WHEN 0 THEN 'Re: ' WHEN 1 THEN 'RE[2]: Fwd: ' WHEN 2 THEN 'fw:' ELSE '' END || coalesce(text, ''))"
 
 
-@query(_canonical(_SUBJECT_ALL))
-def str6_subject_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.canonical_subject(F.expr(_SUBJECT_ALL)).alias("subject"))
+@query(_canonical(_SUBJECT))
+def str6_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.canonical_subject(F.expr(_SUBJECT)).alias("subject"))
 
 
 _BODY = """(coalesce(text, '') || chr(10) || '> quoted' || chr(13) || chr(10) || 'see my original message below' || chr(10) || '  > -----Original Message-----' || chr(10) || 'after' || chr(10)

@@ -27,27 +27,13 @@ def ag28_minhash_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.minhash_intersection(16)(sets(spark, sf_dir), pairs(spark, sf_dir))
 
 
-_LINES = "ls AS (SELECT l_suppkey AS set_id, l_partkey AS element FROM lineitem WHERE l_partkey < 1024)"
-
-
-def _indicator(lines: str) -> str:
-    return f"WITH {lines}, {PAIRS}, ds AS (SELECT DISTINCT * FROM ls), i AS (SELECT a, b, count(*) AS inter FROM pairs JOIN ds x ON x.set_id = a JOIN ds y ON y.set_id = b AND y.element = x.element GROUP BY ALL), n AS (SELECT set_id, count(*) AS n FROM ls GROUP BY 1), z AS (SELECT a, b, coalesce(inter, 0) AS inter, coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(inter, 0) AS uni FROM pairs LEFT JOIN i USING (a, b) LEFT JOIN n x ON x.set_id = a LEFT JOIN n y ON y.set_id = b) SELECT a, b, CASE WHEN uni > 0 THEN inter / uni ELSE 1 END AS jaccard FROM z"
-
-
-@query(_indicator(_LINES))
+@query(f"WITH ls AS (SELECT l_suppkey AS set_id, l_partkey AS element FROM lineitem), {PAIRS}, ds AS (SELECT DISTINCT * FROM ls), i AS (SELECT a, b, count(*) AS inter FROM pairs JOIN ds x ON x.set_id = a JOIN ds y ON y.set_id = b AND y.element = x.element GROUP BY ALL), n AS (SELECT set_id, count(*) AS n FROM ls GROUP BY 1), z AS (SELECT a, b, coalesce(inter, 0) AS inter, coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(inter, 0) AS uni FROM pairs LEFT JOIN i USING (a, b) LEFT JOIN n x ON x.set_id = a LEFT JOIN n y ON y.set_id = b) SELECT a, b, CASE WHEN uni > 0 THEN inter / uni ELSE 1 END AS jaccard FROM z")
 def fh7_indicator_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indicator vectors over the universe 0..1023; repeated list entries count in the sizes.
+    """Indicator vectors over the universe of the table, up to its largest element.
 
-    Part of the table only, as its SQL says; fh7_indicator_jaccard_all has all of it.
+    Repeated list entries count in the sizes.
     """
     line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("element"))
-    return M.indicator(1024)(line.where("element < 1024"), pairs(spark, sf_dir))
-
-
-@query(_indicator("ls AS (SELECT l_suppkey AS set_id, l_partkey AS element FROM lineitem)"))
-def fh7_indicator_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indicator vectors over the universe of the table, up to its largest element."""
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("element"))
     return M.indicator((line.agg(F.max("element")).first()[0] or 0) + 1)(line, pairs(spark, sf_dir))
 
 

@@ -107,5 +107,5 @@ def test_subject_query_takes_whole_texts(spark, tmp_path):
 
     text = "re: " + "word " * 30 + "\nlast"
     spark.createDataFrame([(1, 0, text), (1, 1, None)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.turn: r.subject for r in catalogue.QUERIES["str6_subject_all"](spark, str(tmp_path)).collect()}
+    got = {r.turn: r.subject for r in catalogue.QUERIES["str6_subject"](spark, str(tmp_path)).collect()}
     assert got == {0: "word " * 30 + "last", 1: ""}
