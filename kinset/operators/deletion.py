@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinset.operators import ordered
+
 
 def exhaustion(n: Column, d: int, r: Column) -> Column:
     """Probability that r of n deletions take all d members of one coordinate."""
@@ -53,6 +55,5 @@ def simulate(spark: SparkSession, n: int, d: int, k: int, trials: int, seed: int
 
 def failure_histogram(failures: DataFrame) -> DataFrame:
     """(failure, n, survivors): trials that fail at a count of deletions, and those that outlive it."""
-    after = Window.orderBy(F.desc("failure")).rowsBetween(Window.unboundedPreceding, -1)
     counts = failures.groupBy("failure").agg(F.count("*").alias("n"))
-    return counts.withColumn("survivors", F.coalesce(F.sum("n").over(after), F.lit(0)))
+    return ordered.running(counts, [], "failure", {"n": "to"}).select("failure", "n", (F.col("to_all") - F.col("to")).alias("survivors"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinset.operators import ordered
+
 #: Two-sided 97.5 % points of Student's t for 1 to 30 degrees of freedom (fixed values).
 STUDENT_T = (
     12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163, 2.228138852,
@@ -25,15 +27,8 @@ STUDENT_SERIES = (
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, share_percent: int, name: str) -> DataFrame:
-    """The value at rank ceil(share * n) of each group, counted with integers.
-
-    Values are counted first, so equal values of a large group move once.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = counts.withColumn("__to", F.sum("__n").over(w)).withColumn("__all", F.sum("__n").over(Window.partitionBy(*by)))
-    at = F.ceil(F.col("__all") * share_percent / 100)
-    return ranked.where((F.col("__to") >= at) & (F.col("__to") - F.col("__n") < at)).select(*by, F.col(value).alias(name))
+    """The value at rank ceil(share * n) of each group, counted with integers."""
+    return ordered.ranks(df, by, value, {}, {name: share_percent})
 
 
 def error_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -41,10 +36,10 @@ def error_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
     One row gives null for deviation and interval. The interval is not clipped.
     """
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mae"), F.when(F.count(value) > 1, F.stddev_samp(value)).alias("sample_sd"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("max"))
-    out = out.join(nearest_rank(df, by, value, 95, "p95"), by, "left") if by else out.crossJoin(nearest_rank(df, by, value, 95, "p95"))
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mae"), F.when(F.count(value) > 1, F.stddev_samp(value)).alias("sample_sd"), F.max(value).alias("max"))
+    out = ordered.attach(out, ordered.ranks(df, by, value, {"median": 0.5}, {"p95": 95}), by)
     margin = 1.96 * F.col("sample_sd") / F.sqrt("n")
-    return out.withColumn("ci95_low", F.col("mae") - margin).withColumn("ci95_high", F.col("mae") + margin)
+    return out.select(*by, "n", "mae", "sample_sd", "median", "max", "p95", (F.col("mae") - margin).alias("ci95_low"), (F.col("mae") + margin).alias("ci95_high"))
 
 
 def scaffold(summary: DataFrame, groups: DataFrame, category: str, values: tuple[str, ...]) -> DataFrame:
@@ -84,6 +79,32 @@ def linear_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count("*").alias("n"))
 
 
+def residual_gate(df: DataFrame, by: list[str], x: str, y: str, held: float, limit: float = 0.10) -> DataFrame:
+    """A line through the medians of y at each x but held, and its relative error there.
+
+    (by.., slope, intercept, r2, points, measured, predicted, residual, gate). The gate is
+    PASS where the residual is below limit. A median at held that is missing or not above
+    zero, and fewer than two values of x, have residual 1 or no fit and FAIL.
+    """
+    medians = ordered.ranks(df.where(F.col(x).isNotNull()), [*by, x], y, {"__y": 0.5})
+    train = F.col(x) != held
+    fit = medians.groupBy(*by).agg(
+        F.regr_slope(F.when(train, F.col("__y")), x).alias("slope"),
+        F.regr_intercept(F.when(train, F.col("__y")), x).alias("intercept"),
+        F.regr_r2(F.when(train, F.col("__y")), x).alias("r2"),
+        F.count_if(train).alias("points"),
+        F.max(F.when(~train, F.col("__y"))).alias("measured"),
+    )
+    fit = fit.withColumn("predicted", F.col("slope") * held + F.col("intercept"))
+    fit = fit.withColumn("residual", F.when(F.col("measured") > 0, F.abs(F.col("measured") - F.col("predicted")) / F.col("measured")).otherwise(1.0))
+    return fit.withColumn("gate", F.when(F.col("residual") < limit, "PASS").otherwise("FAIL"))
+
+
+def extrapolated(fit: DataFrame, at: float) -> DataFrame:
+    """fit with the line's value at a point as extrapolated; null where the gate is not PASS."""
+    return fit.withColumn("extrapolated", F.when(F.col("gate") == "PASS", F.col("slope") * at + F.col("intercept")))
+
+
 def ordered_digest(df: DataFrame, by: list[str], order: list[str], row: Column) -> DataFrame:
     """SHA-256 over the rows' texts in order, for groups of a bounded size."""
     rows = F.array_sort(F.collect_list(F.struct(*order, row.alias("__row"))))

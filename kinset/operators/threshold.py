@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from kinset.operators import ordered
+
 
 def jaccard_of_tau(tau: Column, k: Column, m: int) -> Column:
     """The Jaccard value at which tau of k matches are expected; not clamped."""
@@ -51,24 +53,24 @@ def gaussian_error(z: pd.Series) -> pd.Series:
 
 def candidates(values: DataFrame, j: str) -> DataFrame:
     """Distinct values and the midpoints of neighbours, as threshold."""
-    one = values.select(F.col(j).alias("threshold")).distinct()
-    # the neighbour below: one order over distinct values, which a calibration set keeps few
-    below = F.lag("threshold").over(Window.orderBy("threshold"))
-    middle = one.select(((F.col("threshold") + below) / 2).alias("threshold")).where("threshold IS NOT NULL")
-    return one.union(middle).distinct()
+    one = ordered.running(values.select(F.col(j).alias("threshold")).distinct(), [], "threshold", {}, "below")
+    marks = one.select(F.explode(F.array("threshold", (F.col("threshold") + F.col("below")) / 2)).alias("threshold"))
+    return marks.where("threshold IS NOT NULL").distinct()
 
 
 def calibrate(rows: DataFrame, j: str, label: str) -> DataFrame:
     """(threshold, tp, fp, fpr, fnr, balanced) of each candidate, deciding j >= threshold.
 
-    Instead of a candidates x rows join, rows are counted by value and summed from above:
-    what a threshold accepts are the counts at it and over it.
+    Instead of a candidates x rows join, rows are counted by value and summed in order: what
+    a threshold accepts are all rows but those below it. A midpoint accepts what its upper
+    neighbour does. Rows without a value are not accepted by any threshold.
     """
     counts = rows.groupBy(F.col(j).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    marks = candidates(rows, j).join(counts, "threshold", "left").na.fill(0, ["p", "n"])
-    above = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    out = marks.withColumn("tp", F.sum("p").over(above)).withColumn("fp", F.sum("n").over(above)).crossJoin(F.broadcast(total))
+    marks = ordered.running(counts, [], "threshold", {"p": "to_p", "n": "to_n"}, "below").crossJoin(F.broadcast(total))
+    marks = marks.select("*", (F.col("to_p_all") - F.col("to_p") + F.col("p")).alias("tp"), (F.col("to_n_all") - F.col("to_n") + F.col("n")).alias("fp"))
+    both = F.explode(F.array_distinct(F.array("threshold", (F.col("threshold") + F.col("below")) / 2)))
+    out = marks.select(both.alias("threshold"), "tp", "fp", "all_p", "all_n").where("threshold IS NOT NULL")
     out = out.withColumn("fpr", F.try_divide("fp", "all_n")).withColumn("fnr", F.try_divide(F.col("all_p") - F.col("tp"), "all_p"))
     return out.select("threshold", "tp", "fp", "fpr", "fnr", ((F.col("fpr") + F.col("fnr")) / 2).alias("balanced"))
 

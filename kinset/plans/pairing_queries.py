@@ -101,7 +101,7 @@ _SPLIT = sha(H.SPLIT, "encode('doc:' || doc_id)", zero=True)
 @query(f"SELECT doc_id, quality, r::INT AS rank, CASE WHEN r % 2 = 0 THEN 'calibration' ELSE 'evaluation' END AS split FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_SPLIT}, doc_id) - 1 AS r FROM labels)")
 def wn1_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return P.split_by_rank(rows, "quality", F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).select("doc_id", "quality", "rank", "split")
+    return P.split_by_rank(rows, "quality", F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).select("doc_id", "quality", F.col("rank").cast("int").alias("rank"), "split")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS r FROM orders) WHERE r = 1")

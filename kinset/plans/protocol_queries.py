@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinset.operators import ordered
 from kinset.operators import pairing as P
 from kinset.operators import protocols as M
 from kinset.operators import similarity as S
@@ -48,7 +49,7 @@ def ag10_summary_with_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = accuracy(spark, sf_dir)
     records = rows.select(F.col("a").alias("id"), F.col("size_a").alias("n")).union(rows.select("b", "size_b")).distinct()
     V.demand(V.one_to_many(records, "id", "n"), "a record with several sizes")
-    sizes = records.agg(F.min("n").alias("size_min"), F.percentile("n", 0.5).alias("size_median"), F.max("n").alias("size_max"))
+    sizes = records.agg(F.min("n").alias("size_min"), F.max("n").alias("size_max")).crossJoin(F.broadcast(ordered.ranks(records, [], "n", {"size_median": 0.5})))
     every = spark.createDataFrame([(b,) for b in S.BUCKETS], "bucket string")
     summary = every.join(stats.error_summary(rows, ["bucket"], "abs_error"), "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rounded(summary, *_ROUNDED).crossJoin(F.broadcast(sizes))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinset.functions import hashing as H
+from kinset.operators import ordered
 from kinset.operators import similarity as S
 from kinset.operators import sketch as K
 from kinset.operators import stats
@@ -120,8 +121,8 @@ def ag9_bucket_scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT min(n) AS min, quantile_cont(n, 0.5) AS median, list_sort(list(n))[ceil(count(n) * 95 / 100)::BIGINT] AS p95, max(n) AS max FROM (SELECT count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY l_suppkey)")
 def ag13_set_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = sets(spark, sf_dir).groupBy("set_id").agg(F.count("*").alias("n"))
-    out = sizes.agg(F.min("n").alias("min"), F.percentile("n", 0.5).alias("median"), F.max("n").alias("max"))
-    return out.crossJoin(stats.nearest_rank(sizes, [], "n", 95, "p95"))
+    ranks = ordered.ranks(sizes, [], "n", {"median": 0.5}, {"p95": 95})
+    return sizes.agg(F.min("n").alias("min"), F.max("n").alias("max")).crossJoin(F.broadcast(ranks)).select("min", "median", "p95", "max")
 
 
 @query(f"WITH {_sig()}, d AS (SELECT set_id, coord, (('0x' || rank)::UBIGINT % {M}::UBIGINT)::BIGINT AS x FROM sig), q AS (SELECT a, b, count(*) FILTER (x.x % 8 = y.x % 8 AND x.x // 8 = y.x // 8) AS v FROM pairs JOIN d x ON x.set_id = a JOIN d y ON y.set_id = b AND y.coord = x.coord GROUP BY ALL) SELECT * FROM q")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinset.functions import hashing as H
 from kinset.operators import deletion as D
 from kinset.operators import generators as G
+from kinset.operators import ordered
 from kinset.operators import similarity as S
 from kinset.operators import sketch as K
 from kinset.operators import stats
@@ -21,15 +22,17 @@ from kinset.streaming import dynamic
 @query("SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 9) AS mean, round(stddev_samp(c_acctbal), 9) AS sd, round(quantile_cont(c_acctbal, 0.5), 9) AS median FROM customer GROUP BY 1")
 def ag14_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = "c_acctbal"
-    return rounded(table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.percentile(v, 0.5).alias("median")), "mean", "sd", "median")
+    rows = table(spark, sf_dir, "customer")
+    out = rows.groupBy("c_mktsegment").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
+    return rounded(ordered.attach(out, ordered.ranks(rows, ["c_mktsegment"], v, {"median": 0.5}), ["c_mktsegment"]), "mean", "sd", "median")
 
 
 @query("SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p / 100}), 6) AS p{p}" for p in (25, 50, 75, 95)) + ", max(l_extendedprice) AS max, round(quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25), 6) AS iqr FROM lineitem GROUP BY 1")
 def ag15_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear interpolation at p * (n - 1)."""
     v = "l_extendedprice"
-    q = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile(v, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95)))).alias("p"), F.max(v).alias("max"))
-    return q.select("l_returnflag", *[F.round(F.col("p")[i], 6).alias(f"p{p}") for i, p in enumerate((25, 50, 75, 95))], "max", F.round(F.col("p")[2] - F.col("p")[0], 6).alias("iqr"))
+    q = ordered.ranks(table(spark, sf_dir, "lineitem"), ["l_returnflag"], v, {f"p{p}": p / 100 for p in (25, 50, 75, 95)}, {"max": 100})
+    return q.select("l_returnflag", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in (25, 50, 75, 95)], "max", F.round(F.col("p75") - F.col("p25"), 6).alias("iqr"))
 
 
 _T = "[" + ", ".join(map(str, stats.STUDENT_T)) + "]"
@@ -51,6 +54,18 @@ def ag19_linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("l_returnflag", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 9).alias("r2"), "n", F.when(passes, "PASS").otherwise("FAIL").alias("gate"), F.when(passes, F.round(F.col("slope") * 100 + F.col("intercept"), 3)).alias("at_100"))
 
 
+_MEDIANS = "m AS (SELECT l_linestatus, l_quantity AS x, quantile_cont(l_extendedprice, 0.5) AS y FROM lineitem GROUP BY ALL), f AS (SELECT l_linestatus, regr_slope(y, x) FILTER (x <> 50) AS slope, regr_intercept(y, x) FILTER (x <> 50) AS intercept, regr_r2(y, x) FILTER (x <> 50) AS r2, count(*) FILTER (x <> 50) AS points, max(y) FILTER (x = 50) AS measured FROM m GROUP BY 1), g AS (SELECT *, slope * 50 + intercept AS predicted FROM f), h AS (SELECT *, CASE WHEN measured > 0 THEN abs(measured - predicted) / measured ELSE 1.0::DOUBLE END AS residual FROM g)"
+
+
+@query(f"WITH {_MEDIANS} SELECT l_linestatus, points, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(measured, 4) AS measured, round(predicted, 4) AS predicted, round(residual, 9) AS residual, CASE WHEN residual < 0.1 THEN 'PASS' ELSE 'FAIL' END AS gate, CASE WHEN residual < 0.1 THEN round(slope * 100 + intercept, 3) END AS extrapolated FROM h")
+def ag19_residual_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices by quantity, held out at 50 (ag19); beyond it only where the gate passes (ag31)."""
+    fit = stats.residual_gate(table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_quantity", "l_extendedprice", 50.0)
+    out = stats.extrapolated(fit, 100.0)
+    places = {"slope": 6, "intercept": 4, "measured": 4, "predicted": 4, "residual": 9, "extrapolated": 3}
+    return out.select("l_linestatus", "points", "gate", *[F.round(c, n).alias(c) for c, n in places.items()])
+
+
 # A value per labelled document to decide on: its words per character, in hundredths.
 _VALUE = "v AS (SELECT doc_id, quality, floor(100.0 * length(regexp_replace(coalesce(text, ''), '[^ ]', '', 'g')) / greatest(1, length(coalesce(text, '')))) / 100 AS j FROM documents JOIN labels USING (doc_id))"
 _CAND = "d AS (SELECT DISTINCT j AS threshold FROM v), c AS (SELECT DISTINCT threshold FROM (SELECT threshold FROM d UNION ALL SELECT (threshold + lag(threshold) OVER (ORDER BY threshold)) / 2 FROM d) WHERE threshold IS NOT NULL), cal AS (SELECT threshold, count(*) FILTER (j >= threshold AND quality = 1) AS tp, count(*) FILTER (j >= threshold AND quality = 0) AS fp, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS n FROM c, v GROUP BY 1), e AS (SELECT threshold, tp, fp, fp / n AS fpr, (p - tp) / p AS fnr, (fp / n + (p - tp) / p) / 2 AS balanced FROM cal)"

@@ -276,3 +276,49 @@ def test_recomputed_rows(spark):
 def test_decisions_follow_their_thresholds(spark):
     rows = spark.createDataFrame([(1, 0.5, 0.5, True), (2, 0.5, 0.5, False), (3, 0.4, 0.5, True), (4, 0.6, 0.5, False), (5, None, 0.5, True), (6, 0.6, 1.5, True)], "k int, s double, tau double, d boolean")
     assert sorted(r.k for r in V.inconsistent_decisions(rows, "s", "tau", "d").collect()) == [3, 4, 5, 6]
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_running_totals_over_ranges(spark, few, monkeypatch):
+    from kinset.operators import ordered
+
+    monkeypatch.setattr(ordered.cuts, "__defaults__", (ordered.RANGES, few))
+    monkeypatch.setattr(ordered.running, "__defaults__", (None, 7, few))
+    rows = [(g, v, v % 5) for g in ("a", None, "b") for v in range(0, 300, 3 if g == "a" else 7)] + [("c", None, 1)]
+    df = spark.createDataFrame(rows, "g string, v long, n long")
+    got = {(r.g, r.v): (r.to, r.to_all, r.below) for r in ordered.running(df, ["g"], "v", {"n": "to"}, "below").collect()}
+    for g in ("a", None, "b"):
+        mine = sorted(v for h, v, _ in rows if h == g)
+        for i, v in enumerate(mine):
+            assert got[g, v] == (sum(x % 5 for x in mine[: i + 1]), sum(x % 5 for x in mine), mine[i - 1] if i else None)
+    assert len(got) == len(rows) - 1
+    again = spark.createDataFrame([(g, float(v)) for g, v, _ in rows[:-1] for _ in range(v % 3 + 1)] + [("c", None)], "g string, v double")
+    got = {r.g: r for r in ordered.ranks(again, ["g"], "v", {"mid": 0.5, "low": 0.1}, {"p95": 95}).collect()}
+    for g in ("a", None, "b"):
+        mine = sorted(float(v) for h, v, _ in rows if h == g for _ in range(v % 3 + 1))
+        assert got[g].p95 == mine[math.ceil(95 * len(mine) / 100) - 1]
+        at = 0.1 * (len(mine) - 1)
+        low = mine[math.floor(at)] + (mine[math.ceil(at)] - mine[math.floor(at)]) * (at - math.floor(at))
+        assert got[g].low == pytest.approx(low) and got[g].mid == pytest.approx(float(__import__("statistics").median(mine)))
+    empty = ordered.ranks(again.where("v < 0"), [], "v", {"mid": 0.5}, {"p95": 95}).collect()
+    assert [tuple(r) for r in empty] == [(None, None)]
+
+
+def test_split_ranks_are_those_of_one_order(spark):
+    rows = spark.createDataFrame([(i, (None, 0, 1)[i % 3]) for i in range(300)], "id long, label int")
+    got = P.split_by_rank(rows, "label", F.col("id").cast("string")).collect()
+    for label in (None, 0, 1):
+        mine = [r for r in got if r.label == label]
+        assert sorted(r["rank"] for r in mine) == list(range(100))
+        assert all((r.split == "calibration") == (r["rank"] % 2 == 0) for r in mine)
+
+
+def test_residual_gate(spark):
+    good = [("good", float(x), 2.0 * x + 1 + e) for x in (1, 2, 3, 10) for e in (-0.1, 0, 0.1)]
+    bad = [("bad", float(x), float(x * x)) for x in (1, 2, 3, 10)]
+    other = [("one", 1.0, 5.0), ("one", 10.0, 5.0), ("zero", 1.0, 0.0), ("zero", 2.0, 0.0), ("zero", 10.0, 0.0), ("none", 1.0, 1.0), ("none", 2.0, 2.0), ("none", None, 3.0)]
+    df = spark.createDataFrame(good + bad + other, "g string, x double, y double")
+    got = {r.g: r for r in stats.extrapolated(stats.residual_gate(df, ["g"], "x", "y", 10.0), 20.0).collect()}
+    assert {g: r.gate for g, r in got.items()} == {"good": "PASS", "bad": "FAIL", "one": "FAIL", "zero": "FAIL", "none": "FAIL"}
+    assert got["good"].extrapolated == pytest.approx(41.0) and got["bad"].extrapolated is None
+    assert got["zero"].residual == got["none"].residual == 1.0
