@@ -9,6 +9,8 @@ take.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -143,6 +145,28 @@ def indexed_seed(root: int, index32: Column, trial: Column, domain: str = TRIAL)
     return rank_hex(domain, F.lit(root.to_bytes(8, "big")), be32(index32), be64(trial), zero=True)
 
 
+def kind_seed(root: int, kind: int, index: Column | None, domain: str = TRIAL) -> Column:
+    """Seed of a trial of a kind (one byte) at an index (32 bits); without index, of the kind."""
+    fields = [F.lit(root.to_bytes(8, "big")), F.lit(bytes([kind]))]
+    return rank_hex(domain, *fields, *([] if index is None else [be32(index)]), zero=True)
+
+
+def hash_seed(root: int, index: Column | None = None, domain: str = TRIAL) -> Column:
+    """Seed of the hashes of a run, or of one of its indexes (32 bits) where one is given."""
+    return rank_hex(domain, F.lit(root.to_bytes(8, "big")), *([] if index is None else [be32(index)]), zero=True)
+
+
+def run_seed(root: int, manifest_sha256: Column, k: Column, m: Column, profile: Column, method: Column | None = None, domain: str = TRIAL) -> Column:
+    """Seed of a timing run over a dataset (64 digits), or with method of an encoding run."""
+    fields = [F.lit(root.to_bytes(8, "big")), F.unhex(manifest_sha256), be32(k), be32(m), prefixed(profile)]
+    return rank_hex(domain, *fields, *([] if method is None else [prefixed(method)]), zero=True)
+
+
+def json_digest(value: object) -> str:
+    """SHA-256 of canonical JSON: sorted keys, no blanks, UTF-8 as it is."""
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
 def item_encoding(element: Column, tag: int = 1, index: Column | None = None) -> Column:
     """Set-intersection items: a tag byte, the element, and the coordinate where given."""
     return F.concat(F.lit(bytes([tag])), be64(element), *([] if index is None else [be32(index)]))

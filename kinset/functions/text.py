@@ -114,3 +114,14 @@ def split_numbers(text: Column) -> Column:
 
 def slug(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def strict_integer(text: Column) -> Column:
+    """A BIGINT of digits with an optional minus; else null."""
+    return F.when(text.rlike("^-?[0-9]{1,19}$"), text.try_cast("bigint"))
+
+
+def strict_double(text: Column) -> Column:
+    """A finite decimal number, all of the text; else null."""
+    value = F.when(text.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    return F.when(F.abs(value) < float("inf"), value)

@@ -81,6 +81,19 @@ def flt4_table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where("p_brand = 'Brand#12' AND p_size >= 20").select("p_partkey", "p_brand", "p_size", "p_retailprice").orderBy("p_retailprice", "p_partkey").limit(1)
 
 
+_KEYED = "k AS (SELECT p_partkey, p_brand, p_type, split_part(p_name, ' ', 1) AS colour, p_size % 5 AS class, p_size, p_retailprice FROM part), w AS (SELECT p_partkey AS id, p_brand, p_type, colour, (class + p_partkey // 1000) % 5 AS class, p_size + 7 AS need FROM k)"
+
+
+@query(f"WITH {_KEYED}, j AS (SELECT w.*, k.p_partkey, k.p_size, k.p_retailprice FROM w LEFT JOIN k ON k.p_brand = w.p_brand AND k.p_type = w.p_type AND k.colour = w.colour AND k.class = w.class) SELECT id, CASE WHEN count(*) FILTER (p_size >= need) > 0 THEN 'found' WHEN count(p_partkey) > 0 THEN 'infeasible' ELSE 'missing' END AS status, max(p_size) AS best_capacity, arg_min(p_partkey, (p_retailprice, p_partkey)) FILTER (p_size >= need) AS part, min(p_retailprice) FILTER (p_size >= need) AS price FROM j GROUP BY id")
+def flt4_cheapest_feasible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part's wish the cheapest part that has four keys and is large enough."""
+    k = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.substring_index("p_name", " ", 1).alias("colour"), (F.col("p_size") % 5).alias("class"), "p_size", "p_retailprice")
+    shifted = ((F.col("class") + F.floor(F.col("p_partkey") / 1000)) % 5).alias("class")
+    wanted = k.select(F.col("p_partkey").alias("id"), "p_brand", "p_type", "colour", shifted, (F.col("p_size") + 7).alias("need"))
+    out = P.looked_up(k, wanted, ["p_brand", "p_type", "colour", "class"], "p_size", "need", ["p_retailprice", "p_partkey"])
+    return out.select("id", "status", "best_capacity", F.col("chosen.p_partkey").alias("part"), F.col("chosen.p_retailprice").alias("price"))
+
+
 @query("SELECT o_orderkey, o_custkey, trial::BIGINT AS trial_index FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100), range(3) t(trial)")
 def tk4_prefix_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 100 rows in order, each with its trials."""

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from kinset.functions import hashing as H
 from kinset.operators import validate as V
+from kinset.sources import readers
+
+SEAL, SEAL_SUM = "seal.json", "seal.sha256"
 
 
 def number_text(x: float | None) -> str | None:
@@ -87,3 +94,82 @@ def manifest(values: dict[str, str], path: str) -> None:
         os.fsync(f.fileno())
     os.link(part, path)
     os.unlink(part)
+
+
+def published(spark: SparkSession, path: str, write: Callable[[str], dict[str, str] | None], overwrite: bool = False) -> None:
+    """A folder that appears whole or not at all, on any file system that Spark writes to.
+
+    write fills a sibling folder whose name it is given, and may return the SHA-256 of files
+    by relative path, which are compared with what was stored. Then the folder is renamed. An
+    existing target is an error, or with overwrite is set aside until the new one stands and
+    comes back if that fails.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path.rstrip("/"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staged, aside = (hadoop.Path(f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
+    if fs.exists(target) and not overwrite:
+        raise FileExistsError(path)
+    try:
+        expected = write(staged.toString()) or {}
+        if expected:
+            stored = {r.path: r.sha256 for r in readers.inventory(spark, staged.toString()).where(F.col("path").isin(*expected)).collect()}
+            wrong = sorted(name for name, digest in expected.items() if stored.get(name) != digest)
+            if wrong:
+                raise OSError(f"{path}: not what was written: {wrong}")
+        replaced = fs.exists(target)
+        if replaced and not overwrite:
+            raise FileExistsError(path)
+        if replaced and not fs.rename(target, aside):
+            raise OSError(f"{path} cannot be set aside")
+        try:
+            # a rename onto a folder that came in between would go into it
+            if fs.exists(target) or not fs.rename(staged, target):
+                raise OSError(f"{path} cannot be published")
+        except BaseException:
+            if replaced and not fs.exists(target):
+                fs.rename(aside, target)
+            raise
+        if replaced:
+            fs.delete(aside, True)
+    finally:
+        fs.delete(staged, True)
+
+
+def sealed(spark: SparkSession, folder: str, facts: dict[str, str] | None = None) -> dict:
+    """Seal a local folder: number, bytes and digest of its files, and facts, in two new files.
+
+    A sealed folder is not sealed again.
+    """
+    for name in (SEAL, SEAL_SUM):
+        if os.path.lexists(f"{folder}/{name}"):
+            raise FileExistsError(f"{folder}/{name}")
+    seal = {"facts": facts or {}} | _state(spark, folder)
+    body = json.dumps(seal, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+    for name, raw in ((SEAL, body), (SEAL_SUM, f"{H.json_digest(seal)}  {SEAL}\n".encode())):
+        with open(f"{folder}/{name}", "xb") as f:
+            f.write(raw)
+            f.flush()
+            os.fsync(f.fileno())
+    return seal
+
+
+def verified(spark: SparkSession, folder: str) -> dict:
+    """The seal of a folder whose files, and the seal itself, are as they were sealed."""
+    with open(f"{folder}/{SEAL}", "rb") as f:
+        body = f.read()
+    with open(f"{folder}/{SEAL_SUM}", encoding="ascii") as f:
+        if f.read() != f"{hashlib.sha256(body).hexdigest()}  {SEAL}\n":
+            raise ValueError(f"{folder}: the seal was changed")
+    seal = json.loads(body)
+    now = _state(spark, folder)
+    changed = [k for k, v in now.items() if seal.get(k) != v]
+    if changed:
+        raise ValueError(f"{folder}: {', '.join(changed)} changed since it was sealed")
+    return seal
+
+
+def _state(spark: SparkSession, folder: str) -> dict:
+    files = readers.inventory(spark, folder).where(~F.col("path").isin(SEAL, SEAL_SUM))
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return {"files": n, "bytes": size, "tree_sha256": readers.tree_digest(files)}

@@ -109,3 +109,28 @@ def test_subject_query_takes_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, 0, text), (1, 1, None)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.turn: r.subject for r in catalogue.QUERIES["str6_subject"](spark, str(tmp_path)).collect()}
     assert got == {0: "word " * 30 + "last", 1: ""}
+
+
+def test_strict_numbers(spark):
+    whole = {"0": 0, "-7": -7, "007": 7, "+1": None, "": None, "1 ": None, "9223372036854775808": None, "1e3": None}
+    real = {"0.5": 0.5, "-1e-3": -0.001, ".5": 0.5, "5.": 5.0, "nan": None, "inf": None, "1e999": None, " 1": None, "1_0": None, "": None, "0x1": None, "1d": None}
+    for strict, cases in ((T.strict_integer, whole), (T.strict_double, real)):
+        for text, want in cases.items():
+            assert one(spark, t=text).select(strict(F.col("t"))).first()[0] == want
+
+
+def test_seed_layouts(spark):
+    import hashlib
+
+    def first8(*parts):
+        return hashlib.sha256(b"".join(parts)).hexdigest()[:16]
+
+    root, sha = (5).to_bytes(8, "big"), "ab" * 32
+    index = F.lit(9)
+    got = one(spark, t="x").select(
+        H.kind_seed(5, 2, index, "d"), H.hash_seed(5, None, "d"), H.hash_seed(5, index, "d"), H.run_seed(5, F.lit(sha), F.lit(128), F.lit(64), F.lit("pé"), domain="d"), H.run_seed(5, F.lit(sha), F.lit(128), F.lit(64), F.lit("pé"), F.lit("m"), "d")
+    ).first()
+    run = (b"d\0", root, bytes.fromhex(sha), (128).to_bytes(4, "big"), (64).to_bytes(4, "big"), (3).to_bytes(4, "big"), "pé".encode())
+    nine = (9).to_bytes(4, "big")
+    assert list(got) == [first8(b"d\0", root, b"\2", nine), first8(b"d\0", root), first8(b"d\0", root, nine), first8(*run), first8(*run, (1).to_bytes(4, "big"), b"m")]
+    assert H.json_digest({"b": 1, "a": "é"}) == hashlib.sha256('{"a":"é","b":1}'.encode()).hexdigest()

@@ -322,3 +322,12 @@ def test_residual_gate(spark):
     assert {g: r.gate for g, r in got.items()} == {"good": "PASS", "bad": "FAIL", "one": "FAIL", "zero": "FAIL", "none": "FAIL"}
     assert got["good"].extrapolated == pytest.approx(41.0) and got["bad"].extrapolated is None
     assert got["zero"].residual == got["none"].residual == 1.0
+
+
+def test_lookup_by_keys_and_capacity(spark):
+    table = spark.createDataFrame([("a", 1, 1, 1, 10, 5.0, "x"), ("a", 1, 1, 1, 20, 6.0, "y"), ("a", 1, 1, 1, 20, 7.0, "z"), (None, 1, 1, 1, 90, 1.0, "n")], "c string, d int, e int, f int, cap int, cost double, need string")
+    wanted = spark.createDataFrame([(1, "a", 1, 1, 1, 5), (2, "a", 1, 1, 1, 15), (3, "a", 1, 1, 1, 30), (4, "b", 1, 1, 1, 1), (5, None, 1, 1, 1, 1), (6, "a", 1, 1, 1, 15), (7, "a", 1, 1, 1, None)], "id int, c string, d int, e int, f int, at_least int")
+    got = {r.id: (r.status, r.best_capacity, r.chosen and r.chosen.need) for r in P.looked_up(table, wanted, list("cdef"), "cap", "at_least", ["cost", "need"]).collect()}
+    assert got == {1: ("found", 20, "x"), 2: ("found", 20, "y"), 3: ("infeasible", 20, None), 4: ("missing", None, None), 5: ("missing", None, None), 6: ("found", 20, "y"), 7: ("infeasible", 20, None)}
+    with pytest.raises(ValueError):
+        P.looked_up(table, wanted, list("cde"), "cap", "at_least", ["cost"])

@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from kinset.sources import mail, readers, writers
+from kinset.sources import mail, manifests, readers, results, writers
 
 
 def write(path, text):
@@ -123,3 +123,116 @@ def test_hidden_names_are_read(spark, tmp_path):
     got = {r.path: bytes(r.content) for r in readers.all_files(spark, str(tmp_path)).collect()}
     assert got == {n: n.encode() for n in ("1.", "_2", ".3", "sub/_deep/4")}
     assert readers.inventory(spark, str(tmp_path)).count() == 4
+
+
+def test_published_folders(spark, tmp_path):
+    target = str(tmp_path / "out")
+
+    def fill(text, digest=None):
+        def write_to(path):
+            spark.createDataFrame([(text,)], "t string").write.parquet(f"{path}/rows")
+            (tmp_path / path.rpartition("/")[2] / "note").write_text(text)
+            return {"note": digest or hashlib.sha256(text.encode()).hexdigest()}
+
+        return write_to
+
+    def held():
+        return spark.read.parquet(f"{target}/rows").first().t
+
+    writers.published(spark, target, fill("one"))
+    assert held() == "one" and [p.name for p in tmp_path.iterdir()] == ["out"]
+    with pytest.raises(FileExistsError):
+        writers.published(spark, target, fill("two"))
+    with pytest.raises(OSError, match="note"):
+        writers.published(spark, target, fill("two", "0" * 64), overwrite=True)
+
+    def fails(path):
+        fill("two")(path)
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        writers.published(spark, target, fails, overwrite=True)
+    assert held() == "one" and [p.name for p in tmp_path.iterdir()] == ["out"]
+    writers.published(spark, target, fill("two"), overwrite=True)
+    assert held() == "two" and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_seals(spark, tmp_path):
+    write(tmp_path / "a", "x")
+    write(tmp_path / "_b", "y")
+    seal = writers.sealed(spark, str(tmp_path), {"run": "1"})
+    assert (seal["files"], seal["bytes"]) == (2, 2) and writers.verified(spark, str(tmp_path)) == seal
+    with pytest.raises(FileExistsError):
+        writers.sealed(spark, str(tmp_path))
+    write(tmp_path / "a", "z")
+    with pytest.raises(ValueError, match="tree_sha256"):
+        writers.verified(spark, str(tmp_path))
+    write(tmp_path / "a", "x")
+    write(tmp_path / "seal.json", (tmp_path / "seal.json").read_text().replace('"1"', '"2"'))
+    with pytest.raises(ValueError, match="seal was changed"):
+        writers.verified(spark, str(tmp_path))
+
+
+def test_source_manifests(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    write(tmp_path / "tree" / "f", "1")
+    write(tmp_path / "file", "2")
+    (tmp_path / "link").symlink_to(tmp_path / "file")
+    stated = {"schema_version": "v1", "dataset": "d", "parsing_schema": "p", "preprocessing_profile": "q"}
+    roles = [("one", "file"), ("all", "folder")]
+    tree = readers.tree_digest(readers.inventory(spark, str(tmp_path / "tree")))
+    good = stated | {k: "said" for k in manifests.DESCRIBED} | {"input.0.role": "one", "input.0.path": "file", "input.0.sha256": hashlib.sha256(b"2").hexdigest(), "input.1.role": "all", "input.1.path": "tree", "input.1.sha256": tree}
+
+    def read(**over):
+        values = {k: v for k, v in (good | {k.replace("__", "."): v for k, v in over.items()}).items() if v is not None}
+        path = write(tmp_path / "m.tsv", "key\tvalue\n" + "".join(f"{k}\t{v}\n" for k, v in values.items()))
+        return manifests.source_manifest(spark, path, stated, roles)
+
+    values, inputs = read()
+    assert values == good and inputs == [("one", tmp_path / "file"), ("all", tmp_path / "tree")]
+    faults = [{"dataset": "other"}, {"citation": "TBD"}, {"citation": " "}, {"citation": None}, {"more": "x"}, {"input__2__role": "x"}, {"input__0__role": "all"}, {"input__0__sha256": "unknown"}, {"input__0__sha256": "0" * 64}, {"input__0__path": "tree"}]
+    faults += [{"input__0__path": p} for p in ("/file", "../file", "./file", "tree//f", "a\\b", "link")]
+    for over in faults:
+        with pytest.raises(ValueError):
+            read(**over)
+    with pytest.raises(FileNotFoundError):
+        read(input__0__path="none")
+
+
+def csv_of(path, header, rows):
+    return write(path, "\n".join(",".join(r.get(h, "") for h in header) for r in [dict(zip(header, header)), *rows]) + "\n")
+
+
+def test_accuracy_rows(spark, tmp_path):
+    assert len(results.ACCURACY_HEADER) == 73
+    sizes = dict(zip(results.SIZES, "1234"))
+    plain = {"dataset": "d", "variant": "v", "exact_jaccard_bucketed": "0.5", "abs_error": "1e-3"}
+    full = plain | {"dataset": "enron", "record_a": "x", "record_b": "y"} | sizes
+    rows = results.accuracy_rows(spark, csv_of(tmp_path / "a.csv", results.ACCURACY_HEADER, [plain, full])).orderBy("dataset").collect()
+    assert rows[0].set_size_a_raw is None and rows[0].abs_error == 0.001 and rows[1].set_size_b_bucketed == 4
+    bad = [plain | {"abs_error": "nan"}, plain | {"abs_error": ""}, full | {"record_a": ""}, full | {"set_size_a_raw": "-1"}, full | {"set_size_b_raw": "x"}]
+    for i, row in enumerate(bad):
+        with pytest.raises(ValueError):
+            results.accuracy_rows(spark, csv_of(tmp_path / f"b{i}.csv", results.ACCURACY_HEADER, [plain, row]))
+    with pytest.raises(Exception):
+        results.accuracy_rows(spark, csv_of(tmp_path / "h.csv", results.ACCURACY_HEADER[:-1], [plain]))
+
+
+def test_threshold_rows(spark, tmp_path):
+    # tau of 0.5 at k = 128, m = 64 is 128 * (1 / 64 + 63 / 64 * 0.5) = 65
+    row = {"dataset": "d", "variant": "v", "pair_id": "p", "pair_kind": "known_match", "label": "1", "record_a": "a", "record_b": "b", "k": "128", "m": "64", "root_seed": "18446744073709551615", "hash_seed": "3", "split": "evaluation", "rank_position": "0", "threshold_trial_index": "0"}
+    row |= {"match_count": "70", "decision": "1", "label_truth": "1", "label_outcome": "TP", "exact_j_truth": "1", "exact_j_outcome": "TP", "exact_jaccard_bucketed": "0.75", "requested_j_threshold": "0.5", "tau_count": "65", "realized_j_tau": repr((65 / 128 - 1 / 64) / (1 - 1 / 64))}
+    second = row | {"threshold_trial_index": "1", "match_count": "3", "decision": "0", "label_outcome": "FN", "exact_j_outcome": "FN"}
+
+    def read(*rows):
+        return results.threshold_rows(spark, csv_of(tmp_path / "t.csv", results.THRESHOLD_HEADER, rows))
+
+    assert read(row, second).count() == 2
+    faults = {"decision": "1", "label": "2", "label_truth": "0", "label_outcome": "FP", "exact_j_truth": "0", "exact_j_outcome": "TN", "tau_count": "64", "realized_j_tau": "0.500001", "k": "64", "m": "8", "match_count": "129", "threshold_trial_index": "0", "exact_jaccard_bucketed": "1.5", "split": "calibration", "root_seed": "-1", "dataset": "other", "record_a": "z"}
+    for field, value in faults.items():
+        with pytest.raises(ValueError):
+            read(row, second | {field: value})
+    with pytest.raises(ValueError, match="trials"):
+        read(row, second, row | {"pair_id": "q"})
+    with pytest.raises(ValueError, match="no evaluation rows"):
+        read()
