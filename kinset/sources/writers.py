@@ -9,6 +9,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -173,3 +174,51 @@ def _state(spark: SparkSession, folder: str) -> dict:
     files = readers.inventory(spark, folder).where(~F.col("path").isin(SEAL, SEAL_SUM))
     n, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     return {"files": n, "bytes": size, "tree_sha256": readers.tree_digest(files)}
+
+
+def archived(folder: str, path: str, level: int = 19) -> dict[str, str]:
+    """A local folder as one tar file in zstd whose bytes depend on names and contents only.
+
+    The SHA-256 of each file by relative path, as read again from the archive and compared
+    with the folder. Links and special files are errors, as is a path that exists.
+    """
+    import tarfile
+
+    import zstandard
+
+    root = Path(folder)
+    found = sorted(root.rglob("*"), key=lambda p: p.relative_to(root).as_posix())
+    odd = [str(p) for p in found if p.is_symlink() or not (p.is_file() or p.is_dir())]
+    if odd:
+        raise ValueError(f"no regular files: {odd}")
+    files = {p.relative_to(root).as_posix(): p for p in found if p.is_file()}
+    part = f"{path}.part"
+    with open(part, "xb") as raw:
+        try:
+            with zstandard.ZstdCompressor(level=level).stream_writer(raw, closefd=False) as packed, tarfile.open(fileobj=packed, mode="w|", format=tarfile.PAX_FORMAT) as tar:
+                for name, source in files.items():
+                    entry = tarfile.TarInfo(name)
+                    entry.size, entry.mode = source.stat().st_size, 0o644
+                    with source.open("rb") as f:
+                        tar.addfile(entry, f)
+            raw.flush()
+            os.fsync(raw.fileno())
+            stored = unpacked_digests(part)
+            for name, source in files.items():
+                with source.open("rb") as f:
+                    if stored.get(name) != hashlib.file_digest(f, "sha256").hexdigest():
+                        raise OSError(f"{name} is not what was archived")
+            os.link(part, path)
+        finally:
+            os.unlink(part)
+    return stored
+
+
+def unpacked_digests(path: str) -> dict[str, str]:
+    """The SHA-256 of each file of a tar file in zstd, read as a stream."""
+    import tarfile
+
+    import zstandard
+
+    with open(path, "rb") as raw, zstandard.ZstdDecompressor().stream_reader(raw) as plain, tarfile.open(fileobj=plain, mode="r|") as tar:
+        return {e.name: hashlib.file_digest(tar.extractfile(e), "sha256").hexdigest() for e in tar if e.isfile()}

@@ -1,7 +1,9 @@
 import hashlib
+import os
 
 import pytest
 
+from kinset.plans import campaign
 from kinset.sources import mail, manifests, readers, results, writers
 
 
@@ -236,3 +238,49 @@ def test_threshold_rows(spark, tmp_path):
         read(row, second, row | {"pair_id": "q"})
     with pytest.raises(ValueError, match="no evaluation rows"):
         read()
+
+
+def test_archives_do_not_depend_on_time(spark, tmp_path):
+    digests = []
+    for k in (1, 2):
+        root = tmp_path / f"in{k}"
+        (root / "sub").mkdir(parents=True)
+        for name in ("b", "sub/a") if k == 1 else ("sub/a", "b"):
+            write(root / name, name * 1000)
+            os.utime(root / name, (k, k))
+        stored = writers.archived(str(root), str(tmp_path / f"{k}.tar.zst"))
+        assert stored == {n: hashlib.sha256((n * 1000).encode()).hexdigest() for n in ("b", "sub/a")} == writers.unpacked_digests(str(tmp_path / f"{k}.tar.zst"))
+        digests.append((tmp_path / f"{k}.tar.zst").read_bytes())
+    assert digests[0] == digests[1]
+    with pytest.raises(FileExistsError):
+        writers.archived(str(tmp_path / "in1"), str(tmp_path / "1.tar.zst"))
+    (tmp_path / "in1" / "link").symlink_to(tmp_path / "in1" / "b")
+    with pytest.raises(ValueError):
+        writers.archived(str(tmp_path / "in1"), str(tmp_path / "3.tar.zst"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["1.tar.zst", "2.tar.zst", "in1", "in2"]
+
+
+def test_campaigns_go_on(spark, tmp_path):
+    runs, broken = [], [True]
+
+    def cell(n):
+        def rows(s):
+            runs.append(n)
+            if n == 2 and broken:
+                raise RuntimeError("stopped")
+            return s.range(n)
+
+        return rows
+
+    cells = {f"c{n}": cell(n) for n in (1, 2, 3)}
+    with pytest.raises(RuntimeError):
+        campaign.run(spark, str(tmp_path), cells, "b1")
+    broken.clear()
+    with pytest.raises(ValueError, match="build"):
+        campaign.run(spark, str(tmp_path), cells, "b2")
+    assert campaign.run(spark, str(tmp_path), cells, "b1") == ["c2", "c3"] and runs == [1, 2, 2, 3]
+    assert campaign.run(spark, str(tmp_path), cells, "b1") == []
+    assert [spark.read.parquet(f"{tmp_path}/cells/c{n}").count() for n in (1, 2, 3)] == [1, 2, 3]
+    log = [(r.event, r.cell) for r in campaign.events(spark, str(tmp_path)).orderBy("seq").collect()]
+    assert log[:5] == [("begun", ""), ("started", "c1"), ("completed", "c1"), ("started", "c2"), ("failed", "c2")]
+    assert log[5:] == [("resumed", ""), ("started", "c2"), ("completed", "c2"), ("started", "c3"), ("completed", "c3"), ("ended", ""), ("resumed", ""), ("ended", "")]
