@@ -71,3 +71,17 @@ def signature_pattern(spark: SparkSession, k: int, kind: str, seed: int = 42) ->
     a = rank(b"a")
     b = {"all": a, "none": a.bitwiseXOR(F.lit(1)), "random": rank(b"b")}[kind]
     return spark.range(k).select(F.col("id").alias("coord"), a.alias("a"), b.alias("b"))
+
+
+def cell_matrix(spark: SparkSession, families: dict[str, dict[str, tuple[str, ...]]], version: str) -> DataFrame:
+    """(cell_id, family, axis, value): every value of every axis of every family, once.
+
+    An id is version::family::axis=value. A cell named twice, and a name or value that holds
+    a separator, are errors.
+    """
+    rows = [(f"{version}::{family}::{axis}={value}", family, axis, value) for family, axes in families.items() for axis, values in axes.items() for value in values]
+    twice = {r[0] for r in rows if sum(r[0] == o[0] for o in rows) > 1}
+    odd = {x for r in rows for x in (version, *r[1:]) if not x or "::" in x or "=" in x}
+    if twice or odd:
+        raise ValueError(f"cells that stand twice: {sorted(twice)}, names with separators: {sorted(odd)}")
+    return spark.createDataFrame(rows, "cell_id string, family string, axis string, value string")

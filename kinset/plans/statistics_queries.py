@@ -13,7 +13,7 @@ from kinset.operators import similarity as S
 from kinset.operators import sketch as K
 from kinset.operators import stats
 from kinset.operators import threshold as R
-from kinset.plans.function_queries import be64, sha, top
+from kinset.plans.function_queries import be64, minhash, sha, top
 from kinset.plans.registry import query, table
 from kinset.plans.similarity_queries import rounded
 from kinset.streaming import dynamic
@@ -173,6 +173,23 @@ def gen9_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.threshold_sweep(spark), "target", "overlap")
 
 
+#: Axes of a sweep beside its default cell.
+_SWEEP = {"k": ("16", "32", "64", "128", "256", "512"), "m": ("16", "32", "64", "128", "256"), "n": ("100", "1000", "10000", "100000")}
+FAMILIES = {
+    **{f: {"control": ("default",), **_SWEEP} for f in ("dynamic_timing", "dynamic_accuracy")},
+    **{f: {"control": ("default",)} for f in ("dynamic_refresh", "deletion_exact", "deletion_mc")},
+    "estimator_accuracy": {"j": tuple(f"{i / 10:.1f}" for i in range(11)), "k": _SWEEP["k"]},
+    **{f: {"k": _SWEEP["m"]} for f in ("threshold_timing", "threshold_spec", "threshold_agreement")},
+    "threshold_synthetic_fpfn": {"point": tuple(f"k{k}_j{i}" for k in (64, 128, 256, 512) for i in range(-10, 11))},
+}
+
+
+@query("WITH s AS (SELECT 'k' AS axis, unnest(['16', '32', '64', '128', '256', '512']) AS value UNION ALL SELECT 'm', unnest(['16', '32', '64', '128', '256']) UNION ALL SELECT 'n', unnest(['100', '1000', '10000', '100000'])), r AS (SELECT unnest(['dynamic_timing', 'dynamic_accuracy', 'dynamic_refresh', 'deletion_exact', 'deletion_mc']) AS family, 'control' AS axis, 'default' AS value UNION ALL SELECT f, axis, value FROM s, (SELECT unnest(['dynamic_timing', 'dynamic_accuracy']) AS f) UNION ALL SELECT 'estimator_accuracy', 'j', printf('%.1f', i / 10) FROM range(11) t(i) UNION ALL SELECT 'estimator_accuracy', axis, value FROM s WHERE axis = 'k' UNION ALL SELECT f, 'k', value FROM s, (SELECT unnest(['threshold_timing', 'threshold_spec', 'threshold_agreement']) AS f) WHERE axis = 'm' UNION ALL SELECT 'threshold_synthetic_fpfn', 'point', 'k' || k || '_j' || i FROM (SELECT unnest([64, 128, 256, 512]) AS k), range(-10, 11) t(i)) SELECT 'v1::' || family || '::' || axis || '=' || value AS cell_id, family, axis, value FROM r")
+def gen6_cell_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the families that have a plaintext result."""
+    return G.cell_matrix(spark, FAMILIES, "v1")
+
+
 @query(f"SELECT i AS element, {top(sha(H.DOCUMENT, be64('9'), be64('i')))} AS rank FROM range(20000) t(i) ORDER BY rank, i LIMIT 100")
 def tk6_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.sampled(spark, 20_000, 100, 9)
@@ -218,18 +235,27 @@ def ag17_estimator_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnose(estimator_trials(spark, 40, 20, 32, 64, 20)), "mean", "bias", "mae", "sd", "se")
 
 
-@query()
+_OPS = f"e AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN 'delete' ELSE 'insert' END AS op, {minhash('event_id % 40', '0')} AS rank, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)"
+_FOLD = "f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::VARCHAR[] AS ranks, false AS rebuild, 0::BIGINT AS refused FROM e UNION ALL SELECT f.user_id, f.i + 1, CASE WHEN f.rebuild THEN f.ranks WHEN op = 'delete' THEN [x for x in f.ranks if x <> rank] WHEN NOT list_contains(f.ranks, rank) AND (len(f.ranks) < 5 OR rank < f.ranks[-1]) THEN list_sort(list_append(f.ranks, rank))[1:5] ELSE f.ranks END, f.rebuild OR (op = 'delete' AND f.ranks = [rank]), f.refused + f.rebuild::BIGINT FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)"
+
+
+@query(f"WITH RECURSIVE {_OPS}, {_FOLD} SELECT user_id, ranks, rebuild, refused FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1")
 def st1_bottom_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts and deletes of the event stream, folded per user; held against plain Python."""
+    """Inserts and deletes of the event stream, folded per user."""
     e = table(spark, sf_dir, "events")
     op = F.when(F.col("event_id") % 3 == 0, "delete").otherwise("insert")
     rank = H.minhash_rank(F.col("event_id") % 40, F.lit(0))
     return dynamic.folded(e.select("user_id", F.col("event_id").alias("seq"), op.alias("op"), rank.alias("rank")), ["user_id"], 5)
 
 
-@query()
+_UPDATES = "u AS (SELECT user_id AS owner, event_id AS seq, floor(event_id / 400)::BIGINT % 4 AS expected, expected + CASE WHEN event_id % 13 = 0 THEN 2 ELSE 1 END AS successor, 'v' || event_id AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)"
+_STATUS = "CASE WHEN f.epoch IS NULL THEN 'unknown_owner' WHEN successor <> expected + 1 THEN 'not_successor' WHEN expected < f.epoch THEN 'stale_epoch' WHEN expected > f.epoch THEN 'future_epoch' ELSE 'applied' END"
+_STORE = f"f AS (SELECT DISTINCT owner, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS status, CASE WHEN owner % 11 <> 0 THEN 0 END::BIGINT AS epoch, CASE WHEN owner % 11 <> 0 THEN 'start' END AS payload FROM u UNION ALL SELECT f.owner, f.i + 1, u.seq, {_STATUS}, CASE WHEN {_STATUS} = 'applied' THEN successor ELSE f.epoch END, CASE WHEN {_STATUS} = 'applied' THEN text ELSE f.payload END FROM f JOIN u ON u.owner = f.owner AND u.i = f.i + 1)"
+
+
+@query(f"WITH RECURSIVE {_UPDATES}, {_STORE} SELECT owner, seq, status, epoch, payload FROM f WHERE i > 0")
 def st6_epoch_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compare-and-set updates per owner in order; held against plain Python."""
+    """Compare-and-set updates per owner in order."""
     e = table(spark, sf_dir, "events")
     store = e.select(F.col("user_id").alias("owner")).distinct().where("owner % 11 <> 0").select("owner", F.lit(0).cast("bigint").alias("epoch"), F.lit("start").alias("payload"))
     expected = F.floor(F.col("event_id") / 400) % 4

@@ -331,3 +331,10 @@ def test_lookup_by_keys_and_capacity(spark):
     assert got == {1: ("found", 20, "x"), 2: ("found", 20, "y"), 3: ("infeasible", 20, None), 4: ("missing", None, None), 5: ("missing", None, None), 6: ("found", 20, "y"), 7: ("infeasible", 20, None)}
     with pytest.raises(ValueError):
         P.looked_up(table, wanted, list("cde"), "cap", "at_least", ["cost"])
+
+
+def test_cells_stand_once(spark):
+    assert [r.cell_id for r in G.cell_matrix(spark, {"f": {"a": ("1", "2")}}, "v").collect()] == ["v::f::a=1", "v::f::a=2"]
+    for bad in ({"f": {"a": ("1", "1")}}, {"f": {"a=b": ("1",)}}, {"f": {"": ("1",)}}):
+        with pytest.raises(ValueError):
+            G.cell_matrix(spark, bad, "v")
