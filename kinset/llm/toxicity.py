@@ -42,7 +42,9 @@ def labelled_sample(labels: DataFrame, label: str, folds: int = FOLDS, held_out:
     rows = rows.where(fold_of(F.col("label_id"), folds) != held_out).groupBy("label_id").agg(F.max("label").alias("label"))
     n = rows.count()
     if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("label_id", F.lit(11)), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+        # 40 bits of the hash, so that the share stays exact for any number of labels
+        h, part = F.xxhash64("label_id", F.lit(11)), F.lit(1 << 20)
+        rows = rows.where(F.pmod(h, part) * part + F.pmod(F.shiftright(h, 20), part) < int((1 << 40) * max_rows / n))
     return rows.withColumn("part", F.pmod(F.xxhash64("label_id", F.lit(12)), F.lit(2)).cast("int"))
 
 

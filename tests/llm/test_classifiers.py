@@ -171,3 +171,11 @@ def test_isotonic_against_the_min_max_formula():
     sizes = np.unique(np.round(want, 9), return_counts=True)
     # a block's value has a pseudo-count each way
     assert np.sort(iso.y) == pytest.approx([(m * n + 0.1) / (n + 0.2) for m, n in zip(*sizes)], abs=1e-6)
+
+
+def test_labelled_sample_keeps_its_share(spark):
+    labels = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    whole = labels.where(fold_of(F.col("doc_id"), 4) != 2).count()
+    for most in (3, 300, 5000, 100_000):
+        n = toxicity.labelled_sample(labels, "toxic", max_rows=most).count()
+        assert abs(n - min(most, whole)) <= 4 * most**0.5
