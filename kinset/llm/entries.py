@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinset.llm import decontam, linerules, lm, mixing, quality, simhash, surrogates, tokencount, toxicity, warc
+from kinset.llm import decontam, linerules, lm, mixing, quality, simhash, surrogates, tokencount, toxicity, urlfilter, warc
 from kinset.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,11 @@ ORACLES["op4_warc_capture_index"] = warc.ORACLE
 @_query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.query(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op12_url_filters"] = urlfilter.ORACLE
