@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinset.llm import decontam, linerules, lm, mixing, quality, simhash, surrogates, tokencount, toxicity, urlfilter, warc
+from kinset.llm import conversation, decontam, linerules, lm, mixing, quality, resample, simhash, surrogates, tokencount, toxicity, urlfilter, warc
 from kinset.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,16 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_url_filters"] = urlfilter.ORACLE
+
+
+@_query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_importance_resampling"] = resample.ORACLE
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.query(table(spark, sf_dir, "conversations"))
