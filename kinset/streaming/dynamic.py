@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType
 
-APPLIED, STALE, FUTURE = "applied", "stale_epoch", "future_epoch"
+from kinset.streaming.versions import APPLIED, FUTURE, STALE, replace_versions
+
+__all__ = ["APPLIED", "FUTURE", "STALE", "replace_versions"]
 
 
 def fold(ops: Column, d: int) -> Column:
@@ -79,34 +81,6 @@ def stream(events: DataFrame, by: list[str], d: int, time: str = "ts") -> DataFr
     return events.groupBy(*by).applyInPandasWithState(step, schema, state, "update", GroupStateTimeout.NoTimeout)
 
 
-def replace_versions(store: DataFrame, updates: DataFrame) -> DataFrame:
-    """Updates (owner, seq, expected, epoch, payload) against store (owner, epoch, payload).
-
-    In order of seq, an update is applied where expected is the owner's epoch and its own
-    epoch is the next; else it is stale or from the future. One row per update, with the
-    status and the owner's epoch and payload after it. Unknown owners are unknown_owner,
-    epochs that do not follow are not_successor.
-    """
-    ops = F.array_sort(F.collect_list(F.struct("seq", "expected", F.col("new_epoch"), F.col("new_payload"))))
-    rows = updates.select("owner", "seq", "expected", F.col("epoch").alias("new_epoch"), F.col("payload").alias("new_payload")).groupBy("owner").agg(ops.alias("ops")).join(store, "owner", "left")
-    start = F.struct(F.col("epoch").cast("bigint").alias("epoch"), F.col("payload").alias("payload"), F.array().cast("array<struct<seq:bigint,status:string,epoch:bigint,payload:string>>").alias("log"))
-
-    def step(acc: Column, o: Column) -> Column:
-        status = (
-            F.when(acc["epoch"].isNull(), "unknown_owner")
-            .when(o["new_epoch"] != o["expected"] + 1, "not_successor")
-            .when(o["expected"] < acc["epoch"], STALE)
-            .when(o["expected"] > acc["epoch"], FUTURE)
-            .otherwise(APPLIED)
-        )
-        epoch = F.when(status == APPLIED, o["new_epoch"]).otherwise(acc["epoch"])
-        payload = F.when(status == APPLIED, o["new_payload"]).otherwise(acc["payload"])
-        entry = F.struct(o["seq"].cast("bigint").alias("seq"), status.alias("status"), epoch.alias("epoch"), payload.alias("payload"))
-        return F.struct(epoch.alias("epoch"), payload.alias("payload"), F.concat(acc["log"], F.array(entry)).alias("log"))
-
-    return rows.select("owner", F.explode(F.aggregate("ops", start, step, lambda a: a["log"])).alias("e")).select("owner", "e.*")
-
-
 def signature(state: Column) -> Column:
     """The signature's value at a coordinate: the first rank of its state; null where there is none."""
     return F.get(state, F.lit(0))
