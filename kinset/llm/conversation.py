@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinset.llm.common import ship
+from kinset.llm.resample import crc_sql
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1
 SPACE = " \t\n\x0b\x0c\r"
@@ -385,3 +386,39 @@ def damaged(convs: DataFrame) -> DataFrame:
 def query(convs: DataFrame) -> DataFrame:
     """The digest of op13: a row for each conversation of the table, after the query's damage."""
     return digested(damaged(convs))
+
+
+def _oracle() -> str:
+    """The same result in SQL, for tables without two unlike rows of one turn.
+
+    Paths to the four states go on row by row, each the least by cost and letters.
+    """
+    far = "struct_pack(c := 1000000000::BIGINT, l := '', t := []::VARCHAR[])"
+    go = lambda p, cost, letter, turn="": f"struct_pack(c := {p}.c + {cost}, l := {p}.l || '{letter}', t := {p}.t || {f'[{turn}]' if turn else '[]::VARCHAR[]'})"
+    least = lambda *paths: f"list_sort([{', '.join(paths)}])[1]"
+    kept = lambda p, i: f"CASE WHEN i = '{i}' AND stays THEN {go(p, 'cut', 'K', 'line')} ELSE {far} END"
+    named = lambda p, role: f"CASE WHEN stays THEN {go(p, '2 + cut', 'R', f"'{role}:' || txt")} ELSE {far} END"
+    onto = {2: ("u", "user", (0, 1, 3)), 3: ("a", "assistant", (2,))}
+    ways = {0: [], 1: [kept("s0", "s")]} | {q: [f(f"s{p}", x) for p in ps for f, x in ((kept, i), (named, role))] for q, (i, role, ps) in onto.items()}
+    over = ", ".join(f"{least(go(f's{q}', 3, 'D'), *ways[q])} AS s{q}" for q in range(4))
+    user = least("s2", *[go(f"s{p}", 2, "I", "'user:'") for p in (0, 1, 3)])
+    closed = lambda source, keys: f"SELECT {keys}, s0, s1, s2, {least('s3', go('s2', 2, 'I', chr(39) + 'assistant:' + chr(39)))} AS s3 FROM (SELECT * REPLACE ({user} AS s2) FROM ({source}))"
+    begin = f"SELECT c, 0::BIGINT AS pos, struct_pack(c := 0::BIGINT, l := '', t := []::VARCHAR[]) AS s0, {far} AS s1, {far} AS s2, {far} AS s3 FROM convs"
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    return rf"""
+WITH RECURSIVE a AS (SELECT conv_id, coalesce('s' || conv_id::VARCHAR, 't') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt, {crc_sql(key)} % 20 AS f FROM conversations),
+convs AS (SELECT c, any_value(conv_id) AS conv_id FROM a GROUP BY c),
+b AS (SELECT c, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(txt, '{"".join(STOPS)}', '') ELSE txt END AS txt, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM a WHERE f <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST) AS pos, rtrim(txt, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, role || ':' || txt AS line, left(role, 1) AS i FROM b),
+q AS (SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY c, role, txt ORDER BY pos) > 1 AS again, lag(i) OVER (PARTITION BY c ORDER BY pos) || i AS pair FROM o),
+g AS (SELECT *, NOT blank AND NOT again AS stays, (NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?'))::BIGINT AS cut FROM q),
+n AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank)::BIGINT AS blank, count(*) FILTER (again)::BIGINT AS duplicate, sum(cut)::BIGINT AS truncated,
+  count(*) FILTER (pos > 1 AND pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(pos) AS rows FROM g GROUP BY c),
+r AS ({closed(begin, "c, pos")} UNION ALL {closed(f"SELECT r.c, g.pos, {over} FROM r JOIN g ON r.c = g.c AND g.pos = r.pos + 1", "c, pos")}),
+w AS (SELECT convs.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, {least("s0", "s3")} AS p
+  FROM convs LEFT JOIN n USING (c) JOIN r ON r.c = convs.c AND r.pos = coalesce(n.rows, 0))
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, p.c AS cost, p.l AS audit, sha256(array_to_string(p.t, chr(10))) AS repaired_sha256 FROM w
+"""
+
+
+ORACLE = _oracle()

@@ -99,3 +99,6 @@ ORACLES["op11_importance_resampling"] = resample.ORACLE
 @_query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.query(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_conversation_repair"] = conversation.ORACLE
