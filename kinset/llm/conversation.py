@@ -182,11 +182,14 @@ def prepared(convs: DataFrame, present: Column | None = None) -> DataFrame:
 def coded(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, digest, code) with LATER on rows whose digest came in an earlier turn."""
     narrow = rows.select("conv_id", "turn", "digest", "code")
-    whole = narrow.where(F.col("digest").isNotNull() & (F.col("code").bitwiseAND(12) != BLANK))
+    compared = F.col("digest").isNotNull() & (F.col("code").bitwiseAND(12) != BLANK)
+    # lost and blank rows repeat nothing: they are no hot group of the join
+    whole, rest = narrow.where(compared), narrow.where(~compared)
     again = whole.groupBy("digest").agg(F.count("*").alias("n"), F.count_if(F.col("turn").isNull()).alias("nulls"), F.min("turn").alias("low")).where("n > 1")
-    joined = narrow.join(again, "digest", "left")
+    joined = whole.join(again, "digest", "left")
     later = F.col("n").isNotNull() & F.col("turn").isNotNull() & ((F.col("nulls") > 0) | (F.col("turn") > F.col("low")))
-    return joined.select("conv_id", "turn", "digest", (F.col("code") + F.when(later, F.lit(LATER)).otherwise(F.lit(0))).cast("tinyint").alias("code"))
+    marked = joined.select("conv_id", "turn", "digest", (F.col("code") + F.when(later, F.lit(LATER)).otherwise(F.lit(0))).alias("code"))
+    return marked.unionByName(rest).withColumn("code", F.col("code").cast("tinyint"))
 
 
 def _runs(column: pa.Array) -> list[tuple[int, int]]:
