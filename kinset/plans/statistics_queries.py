@@ -16,7 +16,8 @@ from kinset.operators import threshold as R
 from kinset.plans.function_queries import be64, minhash, sha, top
 from kinset.plans.registry import query, table
 from kinset.plans.similarity_queries import rounded
-from kinset.streaming import dynamic
+from kinset.sources import workspace
+from kinset.streaming import dynamic, stateful, store
 
 
 @query("SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 9) AS mean, round(stddev_samp(c_acctbal), 9) AS sd, round(quantile_cont(c_acctbal, 0.5), 9) AS median FROM customer GROUP BY 1")
@@ -239,13 +240,23 @@ _OPS = f"e AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN 'delete' ELSE 'in
 _FOLD = "f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::VARCHAR[] AS ranks, false AS rebuild, 0::BIGINT AS refused FROM e UNION ALL SELECT f.user_id, f.i + 1, CASE WHEN f.rebuild THEN f.ranks WHEN op = 'delete' THEN [x for x in f.ranks if x <> rank] WHEN NOT list_contains(f.ranks, rank) AND (len(f.ranks) < 5 OR rank < f.ranks[-1]) THEN list_sort(list_append(f.ranks, rank))[1:5] ELSE f.ranks END, f.rebuild OR (op = 'delete' AND f.ranks = [rank]), f.refused + f.rebuild::BIGINT FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)"
 
 
+def _bottom_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, seq, op, rank) of the event stream."""
+    op = F.when(F.col("event_id") % 3 == 0, "delete").otherwise("insert")
+    rank = H.minhash_rank(F.col("event_id") % 40, F.lit(0))
+    return table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), op.alias("op"), rank.alias("rank"))
+
+
 @query(f"WITH RECURSIVE {_OPS}, {_FOLD} SELECT user_id, ranks, rebuild, refused FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1")
 def st1_bottom_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts and deletes of the event stream, folded per user."""
-    e = table(spark, sf_dir, "events")
-    op = F.when(F.col("event_id") % 3 == 0, "delete").otherwise("insert")
-    rank = H.minhash_rank(F.col("event_id") % 40, F.lit(0))
-    return dynamic.folded(e.select("user_id", F.col("event_id").alias("seq"), op.alias("op"), rank.alias("rank")), ["user_id"], 5)
+    return dynamic.folded(_bottom_ops(spark, sf_dir), ["user_id"], 5)
+
+
+@query(f"WITH RECURSIVE {_OPS}, {_FOLD} SELECT user_id, ranks, rebuild, refused, 0::BIGINT AS late, i AS ops FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1")
+def st2_bottom_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as keyed state of a stream that is stopped in the middle and started again."""
+    return stateful.replayed(_bottom_ops(spark, sf_dir), ["user_id"], 5)
 
 
 _UPDATES = "u AS (SELECT user_id AS owner, event_id AS seq, floor(event_id / 400)::BIGINT % 4 AS expected, expected + CASE WHEN event_id % 13 = 0 THEN 2 ELSE 1 END AS successor, 'v' || event_id AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)"
@@ -253,16 +264,38 @@ _STATUS = "CASE WHEN f.epoch IS NULL THEN 'unknown_owner' WHEN successor <> expe
 _STORE = f"f AS (SELECT DISTINCT owner, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS status, CASE WHEN owner % 11 <> 0 THEN 0 END::BIGINT AS epoch, CASE WHEN owner % 11 <> 0 THEN 'start' END AS payload FROM u UNION ALL SELECT f.owner, f.i + 1, u.seq, {_STATUS}, CASE WHEN {_STATUS} = 'applied' THEN successor ELSE f.epoch END, CASE WHEN {_STATUS} = 'applied' THEN text ELSE f.payload END FROM f JOIN u ON u.owner = f.owner AND u.i = f.i + 1)"
 
 
-@query(f"WITH RECURSIVE {_UPDATES}, {_STORE} SELECT owner, seq, status, epoch, payload FROM f WHERE i > 0")
-def st6_epoch_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compare-and-set updates per owner in order."""
+def _owners(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A store of users and updates made of the event stream."""
     e = table(spark, sf_dir, "events")
     store = e.select(F.col("user_id").alias("owner")).distinct().where("owner % 11 <> 0").select("owner", F.lit(0).cast("bigint").alias("epoch"), F.lit("start").alias("payload"))
     expected = F.floor(F.col("event_id") / 400) % 4
     updates = e.select(F.col("user_id").alias("owner"), F.col("event_id").alias("seq"), expected.alias("expected"), (expected + F.when(F.col("event_id") % 13 == 0, 2).otherwise(1)).alias("epoch"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("payload"))
+    return store, updates
+
+
+@query(f"WITH RECURSIVE {_UPDATES}, {_STORE} SELECT owner, seq, status, epoch, payload FROM f WHERE i > 0")
+def st6_epoch_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compare-and-set updates per owner in order."""
+    store, updates = _owners(spark, sf_dir)
     return dynamic.replace_versions(store, updates)
 
 
+@query(f"WITH RECURSIVE {_UPDATES}, {_STORE}, z AS (SELECT owner, count(*) FILTER (status = 'applied') AS versions, max(epoch) AS epoch FROM f GROUP BY owner) SELECT z.owner, z.epoch, any_value(f.payload) AS payload, versions FROM z JOIN f ON f.owner = z.owner AND f.epoch = z.epoch GROUP BY ALL")
+def st7_committed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same updates as batches committed to a store, each of them twice, as after a failure."""
+    initial, updates = _owners(spark, sf_dir)
+    kept = store.VersionStore(spark, workspace.folder(spark, "versions"))
+    kept.create(initial)
+    # four batches in order of seq
+    cut = [-1, *updates.agg(F.percentile_approx("seq", [0.25, 0.5, 0.75], 10_000)).first()[0], 1 << 62]
+    for number, (lo, hi) in enumerate(zip(cut, cut[1:])):
+        batch = updates.where((F.col("seq") > lo) & (F.col("seq") <= hi))
+        for _ in range(2):
+            kept.apply(batch, number)
+    applied = kept.log().where(F.col("status") == "applied").groupBy("owner").agg(F.count("*").alias("versions"))
+    return kept.read().join(applied, "owner", "left").select("owner", "epoch", "payload", F.coalesce("versions", F.lit(0)).alias("versions"))
+
+
 @query("SELECT 'orders_without_customer' AS rule, count(*) AS offending FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'repeated_line', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'status_outside_enum', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'part_in_two_brands', count(*) FROM (SELECT 1 FROM part GROUP BY p_partkey HAVING count(DISTINCT p_brand) > 1) UNION ALL SELECT 'unordered_lines', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey HAVING list(l_linenumber ORDER BY l_linenumber) <> range(1, count(*) + 1))")
 def val3_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys, enumerations, one-to-one mappings and complete sequences, as counts of offenders."""
