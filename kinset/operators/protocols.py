@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinset.operators import bitmaps as B
 from kinset.operators import similarity as S
 from kinset.operators import sketch as K
 
@@ -26,14 +27,12 @@ def exact(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 def indicator(universe: int) -> Method:
     """Indicator vectors over a universe; sizes are those of the lists, duplicates included.
 
-    An element outside the universe is an error.
+    The vectors are made and multiplied in chunks. An element outside the universe is an error.
     """
 
     def method(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-        known = (F.col("element") >= 0) & (F.col("element") < universe)
-        inside = sets.select("set_id", F.when(known, F.col("element")).otherwise(F.raise_error(F.lit("an element outside the universe")).cast(sets.schema["element"].dataType)).alias("element"))
-        o = S.overlaps(inside.distinct(), pairs).select("a", "b", "inter")
-        n = inside.groupBy("set_id").agg(F.count("*").alias("n"))
+        o = B.overlaps(B.chunked(sets, universe), pairs).select("a", "b", "inter")
+        n = sets.groupBy("set_id").agg(F.count("element").alias("n"))
         for side in "ab":
             o = o.join(n.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}")), side, "left")
         sizes = [F.coalesce(f"n_{s}", F.lit(0)) for s in "ab"]

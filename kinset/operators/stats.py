@@ -105,6 +105,28 @@ def extrapolated(fit: DataFrame, at: float) -> DataFrame:
     return fit.withColumn("extrapolated", F.when(F.col("gate") == "PASS", F.col("slope") * at + F.col("intercept")))
 
 
+def cheapest(df: DataFrame, by: list[str], cost: list[str]) -> DataFrame:
+    """The row of least cost of each group, the numbers in cost compared in order.
+
+    Equal rows of the least cost are one; unlike ones are a conflict, and reading it is an
+    error. Both ends of the rows at the least cost, the least and the greatest row, are kept
+    in one aggregate that sums up before rows move. Rows with a null cost are not candidates;
+    null is a value of the other columns like any.
+    """
+    rest = [c for c in df.columns if c not in cost and c not in by]
+    row = F.struct(*[F.col(c) for c in rest])
+    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in cost))
+    low = F.min(F.struct(F.struct(*cost).alias("cost"), row.alias("row"))).alias("__low")
+    high = F.max(F.struct(F.struct(*[(-F.col(c)).alias(c) for c in cost]).alias("cost"), row.alias("row"))).alias("__high")
+    both = rows.groupBy(*by).agg(low, high)
+    clash = ~F.col("__low.row").eqNullSafe(F.col("__high.row"))
+    name = F.concat(F.lit("unlike rows of least cost in group "), F.to_json(F.struct(*by)))
+    one = F.when(clash, F.raise_error(name).cast(both.schema["__low"].dataType)).otherwise(F.col("__low"))
+    checked = both.select(*by, one.alias("__one"))
+    at = {c: F.col(f"__one.cost.`{c}`") for c in cost} | {c: F.col(f"__one.row.`{c}`") for c in rest}
+    return checked.select(*[F.col(c) if c in by else at[c].alias(c) for c in df.columns])
+
+
 def ordered_digest(df: DataFrame, by: list[str], order: list[str], row: Column) -> DataFrame:
     """SHA-256 over the rows' texts in order, for groups of a bounded size."""
     rows = F.array_sort(F.collect_list(F.struct(*order, row.alias("__row"))))

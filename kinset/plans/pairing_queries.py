@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from kinset.functions import hashing as H
 from kinset.functions import text as T
+from kinset.operators import bitmaps as B
 from kinset.operators import pairing as P
 from kinset.operators import similarity as S
 from kinset.plans.function_queries import be8, be64, prefixed, sha
 from kinset.plans.registry import query, table
-from kinset.plans.similarity_queries import PAIRS, SETS, pairs, sets
+from kinset.plans.similarity_queries import _EXACT, PAIRS, SETS, pairs, sets
 
 _CAST = "CAST({} AS VARCHAR)"
 
@@ -52,6 +53,13 @@ def jn4_related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.related(turns, "subject")
 
 
+@query(f"WITH {_THREADS}, {_CLOSE} SELECT x.subject, x.members, count(*) AS links FROM (SELECT subject, count(*) AS members FROM rec GROUP BY 1) x JOIN rec y ON y.subject = x.subject JOIN close ON close.a = y.id GROUP BY ALL")
+def jn4_related_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with their numbers of turns and of pairs of turns."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").cast("string").alias("subject"))
+    return P.related_classes(turns, "subject")
+
+
 @query(f"WITH {_REC}, {_FAR} SELECT * FROM far ORDER BY digest, a, b LIMIT 300")
 def jn5_unrelated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.unrelated(_records(spark, sf_dir), "subject", 300)
@@ -60,7 +68,7 @@ def jn5_unrelated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_REC}, {_CLOSE}, {_FAR} (SELECT a, b, 'thread_related' AS kind, -1 AS label FROM close ORDER BY digest, a, b LIMIT 40) UNION ALL (SELECT a, b, 'cross_thread', -1 FROM far ORDER BY digest, a, b LIMIT 60)")
 def tk3_pair_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _records(spark, sf_dir)
-    return P.pair_union(P.related(r, "subject"), P.unrelated(r, "subject", 60), 40, 100)
+    return P.pair_union(P.related(r, "subject"), P.unrelated(r, "subject", 60), 40, 100, fill=True)
 
 
 @query("SELECT count(*) AS missing FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
@@ -81,9 +89,17 @@ def jn9_tag_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SETS}, {PAIRS} SELECT a, b, sum(x.bit * y.bit)::BIGINT AS inter FROM pairs JOIN (SELECT set_id, element % 512 AS u, 1 AS bit FROM sets GROUP BY ALL) x ON x.set_id = a JOIN (SELECT set_id, element % 512 AS u, 1 AS bit FROM sets GROUP BY ALL) y ON y.set_id = b AND y.u = x.u GROUP BY ALL")
 def jn10_indicator_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inner product of indicator vectors over a universe of 512, in sparse form."""
-    bits = sets(spark, sf_dir).select("set_id", (F.col("element") % 512).alias("element")).distinct()
-    return S.overlaps(bits, pairs(spark, sf_dir)).where("inter > 0").select("a", "b", "inter")
+    """Inner product of indicator vectors over a universe of 512, in chunks of 64 bits."""
+    bits = sets(spark, sf_dir).select("set_id", (F.col("element") % 512).alias("element"))
+    return B.products(B.chunked(bits, 512), pairs(spark, sf_dir)).select("a", "b", "inter")
+
+
+@query(f"WITH {SETS}, {PAIRS}, {_EXACT}, c AS (SELECT set_id, count(DISTINCT element // 64) AS n FROM sets GROUP BY 1) SELECT a, b, inter, size_a, size_b, c.n AS chunks_a FROM ex LEFT JOIN c ON c.set_id = a")
+def jn10_chunked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact overlaps of all pairs from chunks of the universe, and how many chunks a set has."""
+    chunks = B.chunked(sets(spark, sf_dir))
+    n = B.sizes(chunks).select(F.col("set_id").alias("a"), F.col("chunks").alias("chunks_a"))
+    return B.overlaps(chunks, pairs(spark, sf_dir)).join(n, "a", "left").select("a", "b", "inter", "size_a", "size_b", "chunks_a")
 
 
 @query("WITH e AS (SELECT DISTINCT n_nationkey AS nation, m AS kind FROM nation, (SELECT unnest(['AUTOMOBILE', 'BUILDING', 'MACHINERY', 'NONE']) AS m)), a AS (SELECT c_nationkey AS nation, c_mktsegment AS kind, count(*) AS n FROM customer GROUP BY ALL) SELECT coalesce(e.nation, a.nation) AS nation, coalesce(e.kind, a.kind) AS kind, CASE WHEN a.n IS NULL THEN 'missing' WHEN e.kind IS NULL THEN 'extra' ELSE 'present' END AS status FROM e FULL JOIN a ON e.nation = a.nation AND e.kind = a.kind")

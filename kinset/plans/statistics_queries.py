@@ -122,6 +122,13 @@ def ag25_cheapest_feasible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("p_brand").agg(F.min_by(F.struct("p_partkey", "p_retailprice"), F.struct("p_retailprice", "p_partkey")).alias("r")).select("p_brand", "r.*")
 
 
+@query("SELECT l_suppkey, l_extendedprice, l_discount, l_orderkey, l_linenumber, l_partkey, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_discount, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")
+def ag25_cheapest_of_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's cheapest line, all lines standing twice; equal rows are no conflict."""
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice", "l_discount", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    return stats.cheapest(line.unionAll(line), ["l_suppkey"], ["l_extendedprice", "l_discount", "l_orderkey", "l_linenumber"])
+
+
 @query("SELECT c_nationkey, round(avg(CASE WHEN c_acctbal > 0 THEN abs(c_acctbal - 4500) / c_acctbal END), 9) AS rel, count(*) FILTER (c_acctbal > 0) AS eligible FROM customer GROUP BY 1")
 def ag29_eligible_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mean over eligible rows only; null where a group has none."""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinset.functions import hashing as H
+from kinset.operators import bitmaps as B
 from kinset.operators import deletion as D
 from kinset.operators import generators as G
 from kinset.operators import pairing as P
@@ -137,6 +138,36 @@ def test_negative_sample_is_the_sorted_prefix(spark, seed):
     assert got == [(r.a, r.b) for r in sorted(every, key=lambda r: r.d) if (r.a, r.b) not in {(1, 51), (2, 52)}][:20]
 
 
+def test_a_negative_sample_reaches_past_its_first_cut(spark):
+    """Nearly all pairs are matches, and repeated; the cut is raised until enough remain."""
+    left, right = spark.range(60).select(F.col("id").alias("a")), spark.range(50).select((F.col("id") + 100).alias("b"))
+    every = left.crossJoin(right).withColumn("d", H.negative_rank(F.col("a").cast("string"), F.col("b").cast("string"), 7)).collect()
+    known = {(r.a, r.b) for r in every if (r.a + r.b) % 40}
+    matches = spark.createDataFrame([k for k in known for _ in range(2)], "a long, b long")
+    want = [(r.a, r.b) for r in sorted(every, key=lambda r: r.d) if (r.a, r.b) not in known]
+    for keep in (1, 30, len(want), len(want) + 9):
+        got = [(r.a, r.b) for r in P.nonmatches(left, right, matches, keep).orderBy("digest").collect()]
+        assert got == want[:keep]
+    assert P.nonmatches(left.where("a < 0"), right, matches, 5).collect() == []
+
+
+def test_unrelated_pairs_are_the_sorted_prefix(spark):
+    """One key has most records, so few pairs are unrelated."""
+    rows = [(i, "hot" if i < 70 else "" if i < 75 else f"k{i % 3}") for i in range(90)]
+    records = spark.createDataFrame(rows, "id long, subject string")
+    pairs = [(a, b) for a, ka in rows for b, kb in rows if a < b and ka and kb and ka != kb]
+    ranked = spark.createDataFrame(pairs, "a long, b long").withColumn("d", H.pair_rank(F.col("a").cast("string"), F.col("b").cast("string"), 7)).orderBy("d").collect()
+    for keep in (7, 400, 5000):
+        assert [(r.a, r.b) for r in P.unrelated(records, "subject", keep).orderBy("digest").collect()] == [(r.a, r.b) for r in ranked][:keep]
+    assert {r.subject: (r.members, r.links) for r in P.related_classes(records, "subject").collect()}["hot"] == (70, 70 * 69 // 2)
+    close, far = P.related(records, "subject"), P.unrelated(records, "subject", 10)
+    union = P.pair_union(close, far, 5, 15).groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in union} == {"thread_related": 5, "cross_thread": 10}
+    with pytest.raises(ValueError, match="11 unrelated pairs asked for, 10 available"):
+        P.pair_union(close, far, 5, 16)
+    assert P.pair_union(close, far, 5, 16, fill=True).count() == 15
+
+
 def test_split_alternates_within_labels(spark):
     for n in (3, 4):
         rows = spark.createDataFrame([(f"p{i}", i % 2) for i in range(2 * n)], "pair string, label int")
@@ -333,6 +364,50 @@ def test_lookup_by_keys_and_capacity(spark):
         P.looked_up(table, wanted, list("cde"), "cap", "at_least", ["cost"])
 
 
+def test_lookup_at_hot_keys_against_plain_search(spark, monkeypatch):
+    rng = random.Random(4)
+    key = lambda: ("h", 1, 1, 1) if rng.random() < 0.5 else (rng.choice("hx"), rng.randrange(2), 1, rng.choice([1, None]))
+    offers = [(*key(), rng.choice([None, *range(40)]), rng.randrange(9), i) for i in range(400)]
+    wishes = [(i, *key(), rng.choice([None, *range(45)])) for i in range(300)]
+    table = spark.createDataFrame(offers, "c string, d int, e int, f int, cap int, cost int, n int")
+    wanted = spark.createDataFrame(wishes, "id int, c string, d int, e int, f int, at_least int")
+    monkeypatch.setattr(P.ordered.cuts, "__defaults__", (16, 10))
+    got = {r.id: (r.status, r.best_capacity, r.chosen and r.chosen.n) for r in P.looked_up(table, wanted, list("cdef"), "cap", "at_least", ["cost", "n"]).collect()}
+    for i, *k, need in wishes:
+        same = [o for o in offers if None not in k and list(o[:4]) == k]
+        most = max((o[4] for o in same if o[4] is not None), default=None)
+        fits = [o for o in same if o[4] is not None and need is not None and o[4] >= need]
+        assert got[i] == (("found", most, min(fits, key=lambda o: o[5:])[6]) if fits else ("infeasible" if same else "missing", most, None)), (i, k, need)
+
+
+def test_chunked_vectors_against_sets(spark):
+    """A set with a third of all rows, repeated and negative elements, nulls and both ends of a chunk."""
+    rng = random.Random(6)
+    rows = [(0, k) for k in range(2000)] + [(rng.randrange(1, 12), rng.choice([rng.randrange(3000), -rng.randrange(200), 63, 64, -1, -64, -65, (1 << 63) - 1, -(1 << 63)])) for _ in range(2500)] + [(3, None), (20, None)]
+    sets, plain = spark.createDataFrame(rows, "set_id long, element long"), {}
+    for s, e in rows:
+        plain.setdefault(s, set()).update([] if e is None else [e])
+    pairs = spark.createDataFrame([(a, b) for a in [*range(12), 20, 99] for b in (0, 1, 5, 20, 98)], "a long, b long")
+    got = {(r.a, r.b): (r.inter, r.size_a, r.size_b) for r in B.overlaps(B.chunked(sets), pairs).collect()}
+    of = lambda s: plain.get(s, set())
+    assert got == {(a, b): (len(of(a) & of(b)), len(of(a)), len(of(b))) for a, b in got}
+    assert {r.set_id: (r.n, r.chunks) for r in B.sizes(B.chunked(sets)).collect()} == {s: (len(e), len({x // 64 for x in e})) for s, e in plain.items() if e}
+    with pytest.raises(Exception, match="outside the universe of 3000"):
+        B.chunked(sets, 3000).collect()
+
+
+def test_cheapest_row_and_conflicts(spark):
+    rows = [("a", 2, 1.0, "x", None), ("a", 2, 1.0, "x", None), ("a", 2, 3.0, "y", 1), ("b", 1, 5.0, "z", 2), ("b", None, 0.0, "w", 3), (None, 7, 7.0, "n", 4)] + [("hot", 9, 9.0, "h", 9)] * 500
+    df = spark.createDataFrame(rows, "g string, cost int, second double, name string, n int")
+    got = {r.g: tuple(r)[1:] for r in stats.cheapest(df, ["g"], ["cost", "second"]).collect()}
+    assert got == {"a": (2, 1.0, "x", None), "b": (1, 5.0, "z", 2), None: (7, 7.0, "n", 4), "hot": (9, 9.0, "h", 9)}
+    planted = df.unionAll(spark.createDataFrame([("b", 1, 5.0, "z", None)], df.schema))
+    with pytest.raises(Exception, match="unlike rows of least cost in group"):
+        stats.cheapest(planted, ["g"], ["cost", "second"]).collect()
+    # a tie that is not of the least cost is none
+    assert stats.cheapest(df.unionAll(spark.createDataFrame([("a", 2, 3.0, "other", 1)], df.schema)), ["g"], ["cost", "second"]).count() == 4
+
+
 def test_cells_stand_once(spark):
     assert [r.cell_id for r in G.cell_matrix(spark, {"f": {"a": ("1", "2")}}, "v").collect()] == ["v::f::a=1", "v::f::a=2"]
     for bad in ({"f": {"a": ("1", "1")}}, {"f": {"a=b": ("1",)}}, {"f": {"": ("1",)}}):
