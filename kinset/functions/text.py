@@ -1,7 +1,8 @@
 """Text normalisation, grams, shingles, subjects and quoted tails.
 
-The ASCII forms are column expressions. Full Unicode normalisation (NFKC and case folding),
-which Spark has no function for, is an Arrow-batched UDF.
+All but `folded` are column expressions. Spark has no function for Unicode normalisation (NFKC
+and case folding); what it leaves in letters and digits of ASCII is made from tables in the
+JVM (`folding`), the whole folded text by an Arrow-batched UDF.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from kinset.functions.expressions import let
+from kinset.functions.folding import folded_ascii
 
 SHINGLE_SEPARATOR = "\x1f"
 #: What ends a message's own text: a line of only these (fixed values).
@@ -26,7 +28,10 @@ def _fold_unicode(text: pd.Series) -> pd.Series:
 
 
 def folded(text: Column) -> Column:
-    """NFKC and case folding; only texts that are not ASCII leave the JVM for it."""
+    """NFKC and case folding of whole texts; those that are not ASCII leave the JVM for it.
+
+    Where only letters and digits of ASCII count, `folded_ascii` gives the same without that.
+    """
     plain = text.rlike("^[\\x00-\\x7F]*$")
     return F.coalesce(F.when(plain, F.lower(text)), _fold_unicode(F.when(~plain, text)))
 
@@ -36,11 +41,9 @@ def normalize_ascii(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf(StringType())
-def normalize_unicode(text: pd.Series) -> pd.Series:
+def normalize_unicode(text: Column | str) -> Column:
     """NFKC and case folding before the ASCII rule; accents are dropped with their letters."""
-    folded = text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
-    return folded.str.replace("[^a-z0-9]+", " ", regex=True).str.strip(" ")
+    return normalize_ascii(folded_ascii(F.col(text) if isinstance(text, str) else text))
 
 
 def grams(text: Column, n: int = 3) -> Column:

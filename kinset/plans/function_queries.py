@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinset.functions import hashing as H
 from kinset.functions import text as T
+from kinset.functions.expressions import once
 from kinset.plans.registry import query, spread, table
 
 
@@ -126,17 +127,16 @@ WORDS = f"regexp_extract_all({FOLDED}, '[a-z0-9]+')"
 
 @query(f"SELECT doc_id, len({WORDS})::BIGINT AS n_tokens, len(list_distinct({WORDS}))::BIGINT AS n_distinct FROM documents")
 def str4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = T.tokens(T.folded(F.coalesce("text", F.lit(""))))
+    words = T.tokens(T.folded_ascii(F.coalesce("text", F.lit(""))))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(words)).cast("bigint").alias("n_distinct"))
 
 
 @query(f"""SELECT doc_id, count(*) AS n_shingles, count(DISTINCT s) AS n_distinct, min({top(sha(H.FEATURE, 'encode(s)', zero=True))}) AS least_feature
 FROM (SELECT doc_id, array_to_string(w[i:i + 4], chr(31)) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents))) GROUP BY doc_id""")
 def str5_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = T.shingles(T.tokens(T.folded(F.coalesce("text", F.lit("")))))
+    s = T.shingles(T.tokens(T.folded_ascii(F.coalesce("text", F.lit("")))))
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    # the array is made once and then taken apart: a filter on it would make it again
-    rows = docs.select("doc_id", s.alias("s")).select("doc_id", "s", F.array_distinct("s").alias("d")).where(F.size("s") > 0)
+    rows = once(once(docs, "s", s).select("doc_id", "s").where(F.size("s") > 0), "d", F.array_distinct("s"))
     return rows.select("doc_id", F.size("s").cast("bigint").alias("n_shingles"), F.size("d").cast("bigint").alias("n_distinct"), F.array_min(F.transform("d", lambda x: H.feature_hash(x))).alias("least_feature"))
 
 

@@ -20,7 +20,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     Features are made distinct inside each document, so no row moves. Documents without a
     shingle have no set.
     """
-    shingles = T.shingles(T.tokens(T.folded(F.coalesce("text", F.lit("")))))
+    shingles = T.shingles(T.tokens(T.folded_ascii(F.coalesce("text", F.lit("")))))
     hashed = F.array_distinct(F.transform(shingles, lambda s: H.hex_to_signed(H.feature_hash(s))))
     # explode_outer: for explode the planner would make the array once more, to test it
     rows = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("set_id"), F.explode_outer(hashed).alias("element"))

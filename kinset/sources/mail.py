@@ -89,7 +89,7 @@ def candidates(mail: DataFrame) -> DataFrame:
     are of the body without them.
     """
     body = T.without_quotes(F.col("body"))
-    words = T.tokens(T.folded(body))
+    words = T.tokens(T.folded_ascii(body))
     envelope = [F.coalesce(c, F.lit("")) for c in ("date", "from_header", "to", "cc", "bcc", "subject", "body")]
     features = F.array_sort(F.array_distinct(F.transform(T.shingles(words), lambda s: H.feature_hash(s))))
     return mail.where("error IS NULL").select(

@@ -1,8 +1,12 @@
 import hashlib
 import random
+import string
+import sys
+import unicodedata
 
 from pyspark.sql import functions as F
 
+from kinset.functions import folding
 from kinset.functions import hashing as H
 from kinset.functions import text as T
 
@@ -134,3 +138,23 @@ def test_seed_layouts(spark):
     nine = (9).to_bytes(4, "big")
     assert list(got) == [first8(b"d\0", root, b"\2", nine), first8(b"d\0", root), first8(b"d\0", root, nine), first8(*run), first8(*run, (1).to_bytes(4, "big"), b"m")]
     assert H.json_digest({"b": 1, "a": "é"}) == hashlib.sha256('{"a":"é","b":1}'.encode()).hexdigest()
+
+
+def test_folding_of_all_code_points_and_marks(spark):
+    """Runs of a-z and 0-9 are those of the text folded in full by Python."""
+    rng = random.Random(8)
+    points = [chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in points if unicodedata.combining(c)]
+    texts = [" ".join(f"{a}{c}{a}" for c in points[k : k + 500]) for a in ("", "b", "H7") for k in range(0, len(points), 500)]
+    texts += [" ".join(f"{a}{m}c" for m in marks) for a in string.ascii_letters + "09"]
+    latin = [m for m in marks if any(len(unicodedata.normalize("NFC", a + m)) == 1 for a in string.ascii_letters)]
+    odd = [c for c in points[:0xFFFF] if any(x in string.ascii_letters for x in unicodedata.normalize("NFKD", c).casefold())]
+    pool = [*latin, *latin, *rng.sample(marks, 40), *rng.sample(odd, 300), *"hHtTjwyIaeis7", "ß", "ẖ", "ḣ", "İ", "ǰ", "ẗ", "\u0344", "\u034f", "\u200d", "ſ", "ŉ"]
+    texts += [" ".join("".join(rng.choices(pool, k=rng.randrange(1, 7))) for _ in range(60)) for _ in range(600)]
+    texts += ["PLAIN Ascii 9", "", "Straße ﬁne ½ ㎏ Ⅷ Ａ１ 𝐀𝟗 é e\u0301"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(8)
+    got = {r.k: r.w for r in rows.select("k", T.tokens(folding.folded_ascii(F.col("t"))).alias("w")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == folding.plain_runs(t), ascii(t[:80])
+    assert rows.select(folding.folded_ascii(F.lit(None).cast("string"))).first()[0] is None
+    assert "Python" not in rows.select(T.tokens(folding.folded_ascii(F.col("t"))))._jdf.queryExecution().toString()
