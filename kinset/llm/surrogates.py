@@ -64,6 +64,17 @@ GIVEN = {
     ("greek", "m"): "Γεώργιος Ιωάννης Κωνσταντίνος Δημήτριος Νικόλαος Παναγιώτης Βασίλειος Χρήστος Αθανάσιος Ευάγγελος".split(),
 }
 
+#: Parts that make given names by script and gender: beginnings, middles, endings (fixed values);
+#: they find no names and only replace them.
+MADE = {
+    ("latin", "f"): ("Ad Am Ar Bel Bri Cas Cor Dar El Fel Gis Hel Il Jen Kar Lor Mel Nad Or Ros Sel Tal Val Wen Zel".split(), "a e i o an el is or".split(), "abelle alia anda ara elia ena essa etta iana ida ina isa ita ora una".split()),
+    ("latin", "m"): ("Ad Al Ar Bar Ber Car Con Dar Ed Fer Gar Hal Ir Jor Ken Lor Mar Ned Or Per Rod Sim Tor Val Wil".split(), "a e i o an el is or".split(), "ald ander ard aro bert do ek er ian im mund o rick ton vin".split()),
+    ("cyrillic", "f"): ("Ал Бел Вел Дар Зар Кар Лор Мел Нор Рад Сел Тал".split(), "а е и ан ел".split(), "ана ара елла ина ислава иса ора".split()),
+    ("cyrillic", "m"): ("Ал Бор Вел Дар Гор Кар Лор Мир Нор Рад Сел Тим".split(), "а е и ан ел".split(), "ан ей ий ил имир ислав ор".split()),
+    ("greek", "f"): ("Αλ Βερ Δαν Ερ Καλ Λυ Μελ Νικ Ρο Σελ Φιλ".split(), "α ε ι ο".split(), "άνα ίνα ένια ίκη όπη ούλα".split()),
+    ("greek", "m"): ("Αλ Βερ Δαν Ερ Καλ Λυ Μελ Νικ Ρο Σελ Φιλ".split(), "α ε ι ο".split(), "ανδρος ένης ίας ιος ίωνας όδωρος".split()),
+}
+
 #: Parts that make family names, by script: beginnings, middles, endings (fixed values).
 FAMILY = {
     "latin": ("Al Bar Bren Cal Dal El Fen Gar Hal Hart Kel Lan Mar Nor Or Pel Ral Sel Tor Ul Ver Wal Wes Zel".split(), "a de en er i li man o ri sen ta va".split(), "berg brook by dale ford gate ham land ley mann mont quist ridge sten stone ton vale ward well wick wood worth".split()),
@@ -112,7 +123,7 @@ _HEX = "[0-9A-Fa-f]"
 
 #: (kind, pattern) in order of precedence.
 KINDS = (
-    ("email", r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+\-]{0,63}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,61}[\p{L}\p{N}])?\.){1,126}(?:xn--[a-z0-9\-]{1,58}[a-z0-9]|\p{L}{2,63})"),
+    ("email", r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+\-]{0,63}+@(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}\-]{0,61}[\p{L}\p{M}\p{N}])?\.){1,126}(?:xn--[a-z0-9\-]{1,58}[a-z0-9]|\p{L}[\p{L}\p{M}]{1,62})"),
     ("secret", r"(?=[Agsx0-9a-fA-F])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|[0-9a-f]{64}|[0-9A-F]{64}|[0-9a-f]{40}|[0-9A-F]{40})" + _STOP),
     ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _STOP),
     ("ssn", r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])"),
@@ -210,6 +221,22 @@ def _byte(i: Column, seed: Column) -> Column:
     return F.conv(F.substr(block, (4 * (i % 16) + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
 
 
+#: Code points from which letters of these scripts are drawn: from, to, step (fixed values).
+SCRIPTS = {
+    "Han": (0x4E00, 0x9F00, 97),
+    "Hebrew": (0x5D0, 0x5EB),
+    "Arabic": (0x628, 0x63B),
+    "Devanagari": (0x915, 0x93A),
+    "Bengali": (0x995, 0x9A9),
+    "Tamil": (0xBAE, 0xBB6),
+    "Thai": (0xE01, 0xE2F),
+    "Hangul": (0xAC00, 0xD7A4, 588),
+    "Hiragana": (0x304B, 0x3063),
+    "Katakana": (0x30AB, 0x30C3),
+    "Armenian": (0x561, 0x587),
+    "Georgian": (0x10D0, 0x10F1),
+}
+
 _ALPHABETS = (
     ("[0-9]", "0123456789"),
     ("[a-z]", "abcdefghijklmnopqrstuvwxyz"),
@@ -217,6 +244,11 @@ _ALPHABETS = (
     ("\\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшэюя"),
     ("\\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"),
     ("\\p{IsLatin}", "àáâäåçèéêëìíîïñòóôöùúûü"),
+    *[(f"\\p{{Is{script}}}", "".join(map(chr, range(*span)))) for script, span in SCRIPTS.items()],
+    # letters and digits of all other scripts; marks go with the letters that they stood on
+    ("\\p{N}", "0123456789"),
+    ("\\p{L}", "abcdefghijklmnopqrstuvwxyz"),
+    ("\\p{M}", ""),
 )
 
 
@@ -238,7 +270,7 @@ def _drawn(text: Column, seed: Column, hexadecimal: Column | None) -> Column:
         if hexadecimal is not None:
             out = out.when(hexadecimal & c.rlike("[a-f]"), F.substr(F.lit("abcdef"), n % 6 + 1, F.lit(1))).when(hexadecimal & c.rlike("[A-F]"), F.substr(F.lit("ABCDEF"), n % 6 + 1, F.lit(1)))
         for pattern, letters in _ALPHABETS[1:]:
-            out = out.when(c.rlike(pattern), F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1)))
+            out = out.when(c.rlike(pattern), F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1)) if letters else F.lit(""))
         return out.otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), draw), "")
@@ -287,8 +319,14 @@ def _surrogate(kind: Column, canon: Column, seed: Column, attempt: int) -> Colum
         name = F.concat(_pick(first, at(0)), *[_pick(middle, at(2 + i)) for i in range(more)], _pick(end, at(1)))
         out = out.when(kind == f"family:{script}", F.lower(name))
         for gender in "fmn":
-            pool = [n for (sc, g), names in GIVEN.items() if sc == script and gender in (g, "n") for n in names]
-            out = out.when(kind == f"given:{script}:{gender}", F.lower(F.concat_ws("-", *[_pick(pool, at(i)) for i in range(1 + more)])))
+            if more:
+                # where listed names are taken, made ones; there are always longer ones
+                ways = [parts for (sc, g), parts in MADE.items() if sc == script and gender in (g, "n")]
+                made = [F.concat(_pick(begin, at(0)), *[_pick(inner, at(2 + i)) for i in range(more - 1)], _pick(last, at(1))) for begin, inner, last in ways]
+                name = made[0] if len(made) == 1 else F.when(at(99) % 2 == 0, made[0]).otherwise(made[1])
+            else:
+                name = _pick([n for (sc, g), names in GIVEN.items() if sc == script and gender in (g, "n") for n in names], at(0))
+            out = out.when(kind == f"given:{script}:{gender}", F.lower(name))
     return out.otherwise(digits)
 
 
@@ -331,7 +369,9 @@ def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
     waiting, attempt, done = pending, 0, None
     while True:
         tried = stored(waiting.select("kind", "canon", "space", "own", "seed", _surrogate(F.col("kind"), F.col("canon"), F.col("seed"), attempt).alias("s")), "tried")
-        first = tried.groupBy("space", "s").agg(F.min(F.struct("canon", "kind")).alias("first")).join(known, ["space", "s"], "left_anti")
+        # what still reads as the original is no surrogate
+        reads = (F.length("own") > 2) & F.col("own").rlike(r"[\p{L}\p{N}]") & F.contains(F.lower("s"), F.lower("own"))
+        first = tried.where(~reads).groupBy("space", "s").agg(F.min(F.struct("canon", "kind")).alias("first")).join(known, ["space", "s"], "left_anti")
         if done is not None:
             first = first.join(done.select("space", "s"), ["space", "s"], "left_anti")
         won = stored(tried.join(first, ["space", "s"]).where(F.struct("canon", "kind") == F.col("first")).select("kind", "canon", "space", "s"), "won")

@@ -192,3 +192,32 @@ def test_detection_against_a_plain_scan(spark):
         parts = {w for e in here for w in f"{e};".split(" ")}
         assert all(a == b for a, b in zip(old, new) if a not in parts)
         assert not any(e in got[k].text for e in here)
+
+
+def test_nothing_is_left_in_any_script(spark):
+    """Mail addresses in scripts with and without an alphabet of their own, marks and digits included."""
+    mails = ["张三丰@例子.公司", "מרים@דואר.קום", "محمد@مثال.com", "प्रिया.शर्मा@उदाहरण.भारत", "たなか@例え.jp", "タナカ@例え.jp", "김철수@회사.한국", "สมชาย@ตัวอย่าง.ไทย", "Գոհար@օրինակ.am", "გიორგი@მაგალითი.ge", "ᏣᎳᎩ@ᏓᎪᎯ.com", "አበበ@ምሳሌ.et", "முருகன்@எடுத்து.in", "৪৫রহিম@উদা.bd", "ñandú@peña.es", "Ωμέγα@λόγος.gr", "Ёлка@пример.рф"]
+    docs = spark.createDataFrame([(k, f"write to {m} now") for k, m in enumerate(mails)], "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.query(docs).collect()}
+    for k, mail in enumerate(mails):
+        new = regex.fullmatch(r"write to (\S+) now", got[k].text).group(1)
+        assert got[k].n_entities == 1, mail
+        local, old = new.split("@")[0], mail.split("@")[0]
+        # single letters may be drawn again; no two neighbours, no word and no domain stay
+        assert not any(old[i : i + 2] in local for i in range(len(old) - 1)), (mail, new)
+        assert mail.split("@")[1] not in new
+        assert len({regex.sub(r"\P{L}", "", local) == "" for _ in new}) == 1
+    for k, script in {0: "Han", 1: "Hebrew", 2: "Arabic", 3: "Devanagari", 6: "Hangul", 7: "Thai", 12: "Tamil"}.items():
+        assert regex.fullmatch(rf"[\p{{{script}}}.]+@.*", got[k].text.split()[2]), got[k].text
+
+
+def test_names_beyond_the_list_keep_their_format(spark):
+    """More people than listed names: single words, distinct, of the right script and gender."""
+    listed = [("given:latin:f", n.lower()) for n in surrogates.GIVEN["latin", "f"]] + [("given:cyrillic:m", f"имя{k}") for k in range(50)]
+    table = {(r.kind, r.canon): r.surrogate for r in surrogates.surrogate_table(spark.createDataFrame(listed, "kind string, canon string"), KEY).collect()}
+    assert len({(k[0], s) for k, s in table.items()}) == len(listed)
+    for (kind, canon), name in table.items():
+        assert regex.fullmatch(r"\p{L}+", name) and canon not in name
+        begin, inner, last = surrogates.MADE[tuple(kind.split(":")[1:])]
+        made = any(name.startswith(b.lower()) for b in begin) and any(name.endswith(e) for e in last)
+        assert made or name in [n.lower() for n in surrogates.GIVEN[tuple(kind.split(":")[1:])]]
