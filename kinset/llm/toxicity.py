@@ -26,8 +26,8 @@ from kinset.llm.learn import BoostedTrees, Isotonic
 
 #: Labelled rows that a fit uses at most.
 MAX_ROWS = 24_000
-#: Entries of the learned lexicon at most, the heaviest first.
-MAX_ENTRIES = 4_000
+#: Log odds from which a word is an entry of the learned lexicon.
+LEAST_WEIGHT = 1.2
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 
@@ -77,15 +77,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x[k : k + 50_000]) for x in (key.view(np.int64), toxic, clean)], names=["key", "toxic", "clean"])
 
 
-def learn_lexicon(texts: DataFrame, max_entries: int = MAX_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, weights) of the words and stems whose log odds for label 1 are high."""
+def learn_lexicon(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, weights) of all words and stems whose log odds for label 1 are high.
+
+    Each stands in at least `least` texts of the bounded sample, which bounds their number.
+    """
     counts = texts.select("text", "label").mapInArrow(_word_counts, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     whole = counts.where("key = 0").first()
     if whole is None or not whole.toxic or not whole.clean:
         return np.zeros(0, np.uint64), np.zeros(0)
     least = max(3, whole.toxic // 250)
     odds = F.log((F.col("toxic") + 0.5) / (whole.toxic + 1)) - F.log((F.col("clean") + 1.0) / (whole.clean + 1))
-    kept = counts.where((F.col("key") != 0) & (F.col("toxic") >= least)).withColumn("weight", odds).where("weight > 1.2").orderBy(F.desc("weight"), "key").limit(max_entries).select("key", "weight").collect()
+    kept = counts.where((F.col("key") != 0) & (F.col("toxic") >= least)).withColumn("weight", odds).where(F.col("weight") > LEAST_WEIGHT).select("key", "weight").collect()
     key = np.array([r.key for r in kept], np.int64).view(np.uint64)
     order = np.argsort(key)
     return key[order], np.array([r.weight for r in kept])[order]
