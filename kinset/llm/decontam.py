@@ -33,6 +33,8 @@ from kinset.llm.common import shared_dir, ship, stored, uri
 WINDOW = 10
 #: Words of the items of one automaton, about: some 300 MB in a task.
 MODEL_WORDS = 200_000
+#: Words of an item above which it is cut into overlapping pieces.
+PIECE_WORDS = 20_000
 #: Bytes of text that are held while several automata pass over them.
 HELD_BYTES = 16 << 20
 
@@ -227,6 +229,33 @@ def _model(path: str) -> Model:
     return _held[path]
 
 
+def _item_pieces(window: int, most: int):
+    """A function that cuts items of more than `most` words into pieces under the same id.
+
+    Neighbours share window - 1 words, so every window of the item stands in a piece, and a
+    piece has at least one. An automaton so holds no item whole, however long it is.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0), b.column(1)
+            for slab in bt.slabs(texts):
+                words = Words(slab)
+                size = np.diff(words.first)
+                if size.max(initial=0) <= most:
+                    yield pa.record_batch([c.slice(slab.lo, slab.n) for c in (ids, texts)], ["id", "text"])
+                    continue
+                for k, (a, z) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist()), slab.lo):
+                    if z - a <= most:
+                        yield pa.record_batch([c.slice(k, 1) for c in (ids, texts)], ["id", "text"])
+                        continue
+                    for at in range(a, z - window + 1, most - window + 1):
+                        piece = words.lower[words.start[at] : words.end[min(at + most, z) - 1]].tobytes().decode()
+                        yield pa.record_batch([ids.slice(k, 1), pa.array([piece], texts.type)], ["id", "text"])
+
+    return cut
+
+
 def build_models(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> list[str]:
     """Files in the shared folder, each the pickled Model of a part of the items.
 
@@ -239,6 +268,7 @@ def build_models(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # two bytes a word at least
     parts = max(1, -(-size // (2 * words_each)))
+    items = items.mapInArrow(_item_pieces(window, max(PIECE_WORDS, 2 * window)), "id string, text string")
     items = items.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:

@@ -87,3 +87,26 @@ def test_words_with_like_hashes_are_different(spark, monkeypatch):
     words = decontam.Words(next(bt.slabs(__import__("pyarrow").array(["delta alphb gamma"]))))
     monkeypatch.setattr(bt, "found_in", lambda keys, table: np.zeros(len(keys), np.int64))
     assert (model._numbers(words) >= 0).sum() <= 1
+
+
+def test_long_items_are_cut_without_losing_a_window(spark, monkeypatch):
+    """One item of many pieces, hit at the seams of its pieces, beside short ones and a null id."""
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 25)
+    rng = random.Random(31)
+    long = [f"w{rng.randrange(400)}" for _ in range(400)]
+    items = [("long", " ".join(long)), ("short", "q1 q2 q3"), (None, "n1 " * 30), ("again", " ".join(long[100:140]))]
+    docs = [(k, "pad " + " ".join(long[k : k + 10]) + " pad") for k in range(0, 391)] + [(900, " ".join(long)), (901, "q1 q2 q3"), (902, " ".join(long[5:14])), (903, "n1 " * 12)]
+    got = {r.doc_id: r for r in decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    for k in range(391):
+        assert got[k].n_hit == 10 and got[k].n_items == (2 if 100 <= k <= 130 else 1), k
+    assert (got[900].n_hit, got[900].n_items) == (400, 2) and got[901].n_items == 1
+    assert not got[902].contaminated and got[903].n_hit == 12 and got[903].n_items == 0
+
+
+def test_an_item_of_a_million_words_is_bounded(spark):
+    long = " ".join(f"v{k % 49_999} w{k % 1_013}" for k in range(500_000))
+    words = long.split(" ")
+    docs = spark.createDataFrame([(1, " ".join(words[700_000:700_060])), (2, "v1 w2 v3")], "doc_id long, text string")
+    items = spark.createDataFrame([("x", long)], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.contamination(docs, items).collect()}
+    assert got == {1: (60, 1), 2: (0, 0)}
