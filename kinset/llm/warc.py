@@ -26,7 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -76,6 +76,14 @@ def _record_id(page_id: object, payload_digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{payload_digest}')}>"
 
 
+def _escaped(page_id: object) -> str:
+    return quote(str(page_id), safe="!\"#$&'()*+,/:;<=>?@[\\]^`{|}")
+
+
+def _id(head: dict[str, str], name: str) -> str | None:
+    return None if name not in head else unquote(head[name])
+
+
 def record(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object, has_first: bool) -> bytes:
     """One WARC record; has_first says that the payload stands in the record of refers_to."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -84,10 +92,11 @@ def record(page_id: object, url: str | None, payload: bytes, digest: str, refers
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if has_first else 'response'}", f"WARC-Record-ID: {_record_id(page_id, digest)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     head += [f"WARC-Target-URI: {safe}"] if safe else []
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
-    head += [] if page_id is None else [f"WARC-Page-ID: {page_id}"]
+    # an id may hold anything; its bytes outside visible ASCII are escaped, so it stays one header's value
+    head += [] if page_id is None else [f"WARC-Page-ID: {_escaped(page_id)}"]
     if has_first:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}"]
-        head += [] if refers_to is None else [f"WARC-Refers-To-Page-ID: {refers_to}"]
+        head += [] if refers_to is None else [f"WARC-Refers-To-Page-ID: {_escaped(refers_to)}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -378,7 +387,7 @@ def _read(fs: pafs.FileSystem, root: str, todo: list[dict]) -> pa.RecordBatch:
             own = hashlib.sha256(payload).hexdigest()
             if own != stated or len(payload) != size:
                 raise ValueError(f"record at {r['file']}:{r['offset']} differs from what was written")
-        for column, value in zip(out, (head.get("warc-page-id"), size, own, head["warc-type"], head.get("warc-refers-to-page-id"), stated)):
+        for column, value in zip(out, (_id(head, "warc-page-id"), size, own, head["warc-type"], _id(head, "warc-refers-to-page-id"), stated)):
             column.append(value)
     return pa.record_batch([pa.array(c, pa.int64() if i == 1 else pa.string()) for i, c in enumerate(out)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "stated"])
 

@@ -70,3 +70,13 @@ def test_only_wanted_keys_are_found(spark, monkeypatch):
     urls = spark.createDataFrame([("http://h7.example.org",), ("http://H31.example.org/",), ("http://none.example.org",)], "url string")
     got = warc.read_back(warc.wanted_keys(urls), directory, folder, "bigint").collect()
     assert sorted(r.page_id for r in got) == [k for k in range(200) if k % 40 in (7, 31)]
+
+
+def test_ids_may_hold_anything(spark):
+    ids = [" a ", "c\r\nEvil: 1", "", "%41", "é\u0000", "plain", None, "tab\t", "a:b"]
+    pages = spark.createDataFrame([(i, f"http://h.org/{k}", "same payload " * 20 if k % 2 else f"own {k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r.page_id: r for r in warc.query(pages).collect()}
+    assert set(got) == set(ids)
+    first = min(i for k, i in enumerate(ids) if k % 2)
+    for k, i in enumerate(ids):
+        assert got[i].refers_to == (first if k % 2 and i != first else None)
