@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinset.sources.workspace import stored
+
 #: Ranges of an order, and the rows up to which one range holds them all.
 RANGES, FEW = 256, 10_000
 
@@ -73,8 +75,20 @@ def ranks(df: DataFrame, by: list[str], value: str, between: dict[str, float], n
     integers. Equal values are counted first, so those of a large group move once. Without
     by there is one row, of nulls where no row has a value.
     """
+    return ranks_of_counts(counted(df, by, value), by, between, nearest)
+
+
+def counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by.., __value, __n): how often a group has each value, stored; nulls are left out.
+
+    What reads it more than once, as cuts and the ranks do, does not make df again.
+    """
+    return stored(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__value")).agg(F.count("*").alias("__n")), "counted")
+
+
+def ranks_of_counts(counts: DataFrame, by: list[str], between: dict[str, float], nearest: dict[str, int] | None = None) -> DataFrame:
+    """`ranks` from what `counted` gives."""
     nearest = nearest or {}
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
     rows = running(counts, by, "__value", {"__n": "__to"})
     n = F.col("__to_all")
 

@@ -21,29 +21,47 @@ def coordinates(k: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("coord")
 
 
+def rank_array(element: Column, k: int, seed: int = 42, domain: str = H.MINHASH) -> Column:
+    """The k ranks of an element, one for each coordinate, as one array of ordered BIGINTs."""
+    return F.array(*[H.hex_to_ordered(H.minhash_rank(element, F.lit(c), seed, domain)) for c in range(k)])
+
+
 def element_ranks(elements: DataFrame, k: int, seed: int = 42, domain: str = H.MINHASH) -> DataFrame:
     """(element, coord, rank) with rank an ordered BIGINT, for every element of elements."""
     spread = elements.select("element", coordinates(k))
     return spread.select("element", "coord", H.hex_to_ordered(H.minhash_rank(F.col("element"), F.col("coord"), seed, domain)).alias("rank"))
 
 
+def _ranked(sets: DataFrame, k: int, seed: int, domain: str, shared: bool) -> DataFrame:
+    """(set_id, block, ranks): each row of sets once for each block of coordinates, with its ranks there."""
+    blocks = [(c, min(WIDE_SLOTS, k - c)) for c in range(0, k, WIDE_SLOTS)]
+    hashed = lambda c, n: F.array(*[H.hex_to_ordered(H.minhash_rank(F.col("element"), F.lit(c + i), seed, domain)) for i in range(n)])
+    if len(blocks) == 1:
+        ranks = hashed(0, k)
+        if not shared:
+            return sets.select("set_id", F.lit(0).alias("block"), ranks.alias("ranks"))
+        return sets.join(sets.select("element").distinct().select("element", ranks.alias("ranks")), "element").select("set_id", F.lit(0).alias("block"), "ranks")
+    # more coordinates than stand side by side: a row for each block, not for each coordinate
+    each = lambda df: df.select("*", F.explode(F.array(*[F.struct(F.lit(c).alias("at"), F.lit(n).alias("n")) for c, n in blocks])).alias("b"))
+    ranks = F.transform(F.sequence(F.col("b.at"), F.col("b.at") + F.col("b.n") - 1), lambda c: H.hex_to_ordered(H.minhash_rank(F.col("element"), c, seed, domain)))
+    made = lambda df: each(df).withColumn("ranks", ranks).withColumn("block", F.col("b.at"))
+    if not shared:
+        return made(sets).select("set_id", "block", "ranks")
+    return sets.join(made(sets.select("element").distinct()).select("element", "block", "ranks"), "element").select("set_id", "block", "ranks")
+
+
 def minhash(sets: DataFrame, k: int, seed: int = 42, domain: str = H.MINHASH, shared: bool = True) -> DataFrame:
     """(set_id, coord, rank): the least rank of each set at each of k coordinates.
 
     shared: hash distinct elements once and join. Without it every row is hashed where it
-    stands, which moves less where few sets share elements.
+    stands, which moves less where few sets share elements. Either way an element's ranks are
+    one array and a set's minima stand side by side, so no row is multiplied by k.
     """
-    if not shared and k <= WIDE_SLOTS:
-        # one aggregate with k minima: no row is multiplied by k
-        least = [F.min(H.hex_to_ordered(H.minhash_rank(F.col("element"), F.lit(c), seed, domain))).alias(f"r{c}") for c in range(k)]
-        wide = sets.groupBy("set_id").agg(*least)
-        return wide.select("set_id", F.posexplode(F.array(*[F.col(f"r{c}") for c in range(k)])).alias("coord", "rank")).select("set_id", F.col("coord").cast("bigint").alias("coord"), "rank")
-    if shared:
-        ranks = element_ranks(sets.select("element").distinct(), k, seed, domain)
-        rows = sets.join(ranks, "element")
-    else:
-        rows = sets.select("set_id", "element", coordinates(k)).withColumn("rank", H.hex_to_ordered(H.minhash_rank(F.col("element"), F.col("coord"), seed, domain)))
-    return rows.groupBy("set_id", "coord").agg(F.min("rank").alias("rank"))
+    rows = _ranked(sets, k, seed, domain, shared)
+    least = [F.min(F.get("ranks", F.lit(c))).alias(f"r{c}") for c in range(min(k, WIDE_SLOTS))]
+    wide = rows.groupBy("set_id", "block").agg(*least)
+    slots = F.posexplode(F.array(*[F.col(f"r{c}") for c in range(min(k, WIDE_SLOTS))])).alias("at", "rank")
+    return wide.select("set_id", "block", slots).where("rank IS NOT NULL").select("set_id", (F.col("block") + F.col("at")).cast("bigint").alias("coord"), "rank")
 
 
 def bucketed(signature: DataFrame, m: int) -> DataFrame:
@@ -53,10 +71,12 @@ def bucketed(signature: DataFrame, m: int) -> DataFrame:
 
 def bottom(sets: DataFrame, k: int, d: int, seed: int = 42, domain: str = H.MINHASH) -> DataFrame:
     """(set_id, coord, pos, rank): the d least distinct ranks of each set at each coordinate."""
-    ranks = element_ranks(sets.select("element").distinct(), k, seed, domain)
     order = Window.partitionBy("set_id", "coord").orderBy("rank")
-    rows = sets.join(ranks, "element").select("set_id", "coord", "rank").distinct()
-    return rows.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= d).select("set_id", "coord", "pos", "rank")
+    ranks = sets.select("element").distinct().select("element", rank_array(F.col("element"), k, seed, domain).alias("ranks"))
+    rows = sets.join(ranks, "element").select("set_id", F.posexplode("ranks").alias("coord", "rank"))
+    # the rank limit goes below the exchange; equal ranks share a place and are one row after it
+    placed = rows.withColumn("pos", F.dense_rank().over(order)).where(F.col("pos") <= d)
+    return placed.select("set_id", F.col("coord").cast("bigint").alias("coord"), "pos", "rank").distinct()
 
 
 def onehot(buckets: Column, m: int) -> Column:

@@ -34,10 +34,18 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, share_percent: int, n
 def error_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, sample deviation, median, nearest-rank p95, max and 95 % interval of the mean.
 
-    One row gives null for deviation and interval. The interval is not clipped.
+    One row gives null for deviation and interval. The interval is not clipped. df is made
+    once, as counts of equal values, which everything else reads; groups whose values are all
+    null have no row.
     """
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mae"), F.when(F.count(value) > 1, F.stddev_samp(value)).alias("sample_sd"), F.max(value).alias("max"))
-    out = ordered.attach(out, ordered.ranks(df, by, value, {"median": 0.5}, {"p95": 95}), by)
+    counts = ordered.counted(df, by, value)
+    v, n = F.col("__value").cast("double"), F.col("__n")
+    first = counts.groupBy(*by).agg(F.sum("__n").alias("n"), (F.sum(v * n) / F.sum("__n")).alias("mae"), F.max("__value").alias("max"))
+    # deviations from the mean, which are summed without cancelling
+    spread = ordered.attach(counts, first.select(*by, F.col("mae").alias("__mean")), by)
+    spread = spread.groupBy(*by).agg(F.sum(n * (v - F.col("__mean")) * (v - F.col("__mean"))).alias("__square"))
+    out = ordered.attach(ordered.attach(first, spread, by), ordered.ranks_of_counts(counts, by, {"median": 0.5}, {"p95": 95}), by)
+    out = out.withColumn("sample_sd", F.when(F.col("n") > 1, F.sqrt(F.col("__square") / (F.col("n") - 1))))
     margin = 1.96 * F.col("sample_sd") / F.sqrt("n")
     return out.select(*by, "n", "mae", "sample_sd", "median", "max", "p95", (F.col("mae") - margin).alias("ci95_low"), (F.col("mae") + margin).alias("ci95_high"))
 

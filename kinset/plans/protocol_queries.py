@@ -15,6 +15,7 @@ from kinset.plans.pipelines import document_sets
 from kinset.plans.registry import query, table
 from kinset.plans.similarity_queries import _EXACT, _MATCH, _SUMMARY, PAIRS, SETS, accuracy, pairs, rounded, sets
 from kinset.plans.similarity_queries import _EST, _ROUNDED, _sig
+from kinset.sources.workspace import stored
 
 
 @query(f"WITH {SETS}, {PAIRS}, {_EXACT} SELECT a, b, CASE WHEN size_a + size_b > inter THEN inter / (size_a + size_b - inter) ELSE 1 END AS jaccard FROM ex")
@@ -46,7 +47,7 @@ def fh4_threshold_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_sig()}, {_MATCH}, {_EXACT}, {_EST}, r AS (SELECT a AS id, size_a AS n FROM f UNION SELECT b, size_b FROM f), z AS (SELECT min(n) AS size_min, quantile_cont(n, 0.5) AS size_median, max(n) AS size_max FROM r), s AS (SELECT bucket, {_SUMMARY} FROM (SELECT *, abs_error AS x FROM f) GROUP BY 1) SELECT v.bucket, coalesce(n, 0) AS n, mae, sample_sd, median, p95, max, ci95_low, ci95_high, size_min, size_median, size_max FROM (SELECT unnest(['b00_10', 'b10_30', 'b30_60', 'b60_100']) AS bucket) v CROSS JOIN z LEFT JOIN s USING (bucket)")
 def ag10_summary_with_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error summary per class with sizes over distinct records of both sides."""
-    rows = accuracy(spark, sf_dir)
+    rows = stored(accuracy(spark, sf_dir).select("a", "b", "size_a", "size_b", "bucket", "abs_error"), "accuracy")
     records = rows.select(F.col("a").alias("id"), F.col("size_a").alias("n")).union(rows.select("b", "size_b")).distinct()
     V.demand(V.one_to_many(records, "id", "n"), "a record with several sizes")
     sizes = records.agg(F.min("n").alias("size_min"), F.max("n").alias("size_max")).crossJoin(F.broadcast(ordered.ranks(records, [], "n", {"size_median": 0.5})))

@@ -12,6 +12,7 @@ from kinset.operators import sketch as K
 from kinset.operators import stats
 from kinset.plans.function_queries import minhash
 from kinset.plans.registry import query, table
+from kinset.sources.workspace import stored
 
 SETS = "sets AS (SELECT DISTINCT l_suppkey AS set_id, l_partkey AS element FROM lineitem)"
 PAIRS = "pairs AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON b.s_suppkey > a.s_suppkey AND b.s_suppkey <= a.s_suppkey + 6)"
@@ -113,7 +114,7 @@ def ag8_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_sig()}, {_MATCH}, {_EXACT}, {_EST}, g AS (SELECT DISTINCT a % 3 AS variant FROM f), bk AS (SELECT unnest(['b00_10', 'b10_30', 'b30_60', 'b60_100']) AS bucket), s AS (SELECT a % 3 AS variant, bucket, {_SUMMARY} FROM (SELECT *, abs_error AS x FROM f) GROUP BY 1, 2) SELECT variant, bucket, coalesce(n, 0) AS n, mae, sample_sd, median, p95, max, ci95_low, ci95_high FROM g CROSS JOIN bk LEFT JOIN s USING (variant, bucket)")
 def ag9_bucket_scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = accuracy(spark, sf_dir).withColumn("variant", F.col("a") % 3)
+    rows = stored(accuracy(spark, sf_dir).select((F.col("a") % 3).alias("variant"), "bucket", "abs_error"), "accuracy")
     summary = stats.error_summary(rows, ["variant", "bucket"], "abs_error")
     return rounded(stats.scaffold(summary, rows.select("variant"), "bucket", S.BUCKETS), *_ROUNDED)
 
