@@ -23,7 +23,6 @@ CELLS = {
     "estimator_accuracy_j05": lambda s: statistics_queries.diagnose(statistics_queries.estimator_trials(s, 1000, 666, 128, 64, 50)),
     "deletion_exact": lambda s: deletion.deletion_limits(deletion.survival_curve(s, 1000, 5, 128), 0.99),
     "deletion_mc": lambda s: deletion.failure_histogram(deletion.simulate(s, 1000, 5, 128, 1000)),
-    "threshold_grid": lambda s: statistics_queries.gen4_threshold_grid(s, SF_DIR),
 }
 TABLES = (
     "document_accuracy",
@@ -38,6 +37,13 @@ TABLES = (
     "flt2_dedup_messages",
     "st1_bottom_fold",
     "str5_shingles",
+    "ag17_estimator_diagnostics",
+    "ma7_deletion_limits",
+    "gen4_threshold_grid",
+    "jn5_unrelated_pairs",
+    "jn10_chunked_vectors",
+    "flt4_cheapest_feasible",
+    "st6_epoch_store",
 )
 
 

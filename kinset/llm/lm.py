@@ -20,10 +20,8 @@ walkers; all but the first begin in the state in which the words before leave it
 pruned, capped or sampled, and rows that are equal may stand in different blocks.
 
 Rows that are shuffled: at most one for each block and range that share a key, so never more
-than there are distinct n-grams in blocks. Words are told apart by 62 bits of a non-linear hash.
-Longer n-grams are by as many bits as keep those that share a key with another below some
-0.001 % at every size: 16 more than the logarithm of the corpus' bytes, 48 at least. N-grams
-that share a key have their counts added up.
+than there are distinct n-grams in blocks. Words and longer n-grams are told apart by 62 bits of a non-linear hash,
+whatever the size of the corpus; in 10^11 n-grams some thousand would share a key.
 """
 
 from __future__ import annotations
@@ -46,8 +44,6 @@ PRIORS = (1000.0, 10.0)
 #: Bytes of text in a block and n-grams in a range, on average.
 BLOCK_BYTES = 6 << 20
 RANGE_KEYS = 1_500_000
-#: Bits of an n-gram's key: this many, or SPARE more than the logarithm of the corpus' bytes.
-KEY_BITS, SPARE = 48, 16
 #: Tokens that a walker takes.
 WALK = 256
 
@@ -91,7 +87,7 @@ class Block:
     it begins with, and its last word; suffix[k]: the n-gram of a level less that it ends in.
     """
 
-    def __init__(self, column: pa.ChunkedArray, train: np.ndarray, order: int, bits: int = 62):
+    def __init__(self, column: pa.ChunkedArray, train: np.ndarray, order: int):
         h, self.first = tokens(column)
         n = len(h)
         keys, self.word = np.unique(h >> _TWO, return_inverse=True)
@@ -107,7 +103,6 @@ class Block:
         self.gram, self.parent, self.last, self.suffix = {1: self.word}, {}, {}, {}
         self.keys, counts = [keys, np.array([_BEGIN])], [np.bincount(self.word, used, len(keys)), np.array([train.sum()])]
         some = np.arange(n)
-        cut = np.uint64(62 - bits)
         for k in range(2, order + 1):
             if k > 2:
                 some = np.flatnonzero(at >= k - 2)
@@ -117,7 +112,7 @@ class Block:
             self.suffix[k] = self.gram[k - 1][some[first]]
             self.gram[k] = np.full(n, -1, np.int32)
             self.gram[k][some] = inverse
-            ends = (bt.chain(ends[self.parent[k]], keys[self.last[k]]) >> (_TWO + cut) << cut) | np.uint64((2 if k == 2 else 3) << 62)
+            ends = (bt.chain(ends[self.parent[k]], keys[self.last[k]]) >> _TWO) | np.uint64((2 if k == 2 else 3) << 62)
             self.keys.append(ends)
             counts.append(np.bincount(inverse, used[some], len(pairs)))
         self.cut = np.cumsum([0, *map(len, self.keys)])
@@ -285,11 +280,9 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     # a text has about an n-gram of each length for 8 bytes
     edges = _edges(max(1, -(-size * (order - 1) // 8 // range_keys)), order)
 
-    bits = min(62, max(KEY_BITS, SPARE + int(size).bit_length()))
-
     def block_of(data: bytes) -> tuple[pa.Table, Block]:
         table = pa.ipc.open_stream(data).read_all()
-        return table, Block(table["text"], table["train"].combine_chunks().to_numpy(zero_copy_only=False), order, bits)
+        return table, Block(table["text"], table["train"].combine_chunks().to_numpy(zero_copy_only=False), order)
 
     def cuts(b: Block) -> tuple[np.ndarray, np.ndarray]:
         """Where each range ends among the keys, and the ranges that have any."""
@@ -338,7 +331,8 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             totals[cut[r] : cut[r + 1]] = _unpack(raw.as_buffer(), cut[r + 1] - cut[r])
         model = Slice(b, totals, facts, priors)
         base = np.log10(model.count + 1) - np.log10(whole + distinct + 1)
-        sums = lambda x: bt.segment_sums(x, b.first)
+        # each text summed up alone, so that equal texts have equal sums; none is without a token
+        sums = lambda x: np.add.reduceat(x, b.first[:-1])
         return pa.table(
             {
                 "doc_id": table["doc_id"].combine_chunks(),

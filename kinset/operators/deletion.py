@@ -20,17 +20,28 @@ def survival(q: Column, k: int) -> Column:
     return F.when(q >= 1, 0.0).otherwise(F.exp(F.lit(float(k)) * F.log1p(-q)))
 
 
-def survival_curve(spark: SparkSession, n: int, d: int, k: int) -> DataFrame:
-    """(r, exhaustion, survival, bound) for 0..n deletions; bound is the union bound."""
-    rows = spark.range(n + 1).select(F.col("id").alias("r"))
-    rows = rows.withColumn("exhaustion", exhaustion(F.lit(n), d, F.col("r")))
+def survival_curves(sizes: DataFrame, d: int, k: int) -> DataFrame:
+    """(n, r, exhaustion, survival, bound) for 0..n deletions from sets of each size n in sizes.
+
+    bound is the union bound.
+    """
+    rows = sizes.select("n").withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint"))))
+    rows = rows.withColumn("exhaustion", exhaustion(F.col("n"), d, F.col("r")))
     return rows.withColumn("survival", survival(F.col("exhaustion"), k)).withColumn("bound", F.greatest(F.lit(0.0), 1 - k * F.col("exhaustion")))
 
 
-def deletion_limits(curve: DataFrame, required: float) -> DataFrame:
-    """(max_safe, expected_first_failure) of a survival curve."""
-    last = curve.agg(F.max("r")).first()[0]
-    return curve.agg(F.max(F.when(F.col("survival") >= required, F.col("r"))).alias("max_safe"), F.sum(F.when(F.col("r") < last, F.col("survival")).otherwise(0.0)).alias("expected_first_failure"))
+def survival_curve(spark: SparkSession, n: int, d: int, k: int) -> DataFrame:
+    """(r, exhaustion, survival, bound) of one size."""
+    return survival_curves(spark.range(n, n + 1).withColumnRenamed("id", "n"), d, k).drop("n")
+
+
+def deletion_limits(curve: DataFrame, required: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., max_safe, expected_first_failure) of survival curves, in one pass.
+
+    The last point of a curve, all members gone, is not counted.
+    """
+    safe = F.max(F.when(F.col("survival") >= required, F.col("r"))).alias("max_safe")
+    return curve.groupBy(*by).agg(safe, (F.sum("survival") - F.max_by("survival", "r")).alias("expected_first_failure"))
 
 
 def simulate(spark: SparkSession, n: int, d: int, k: int, trials: int, seed: int = 42) -> DataFrame:

@@ -28,23 +28,34 @@ def set_pair(spark: SparkSession, n: int, inter: int) -> DataFrame:
     return rows.select(F.explode(side).alias("side"), "element")
 
 
+def sampled_rows(df: DataFrame, element: Column, keep: int, seed: int) -> DataFrame:
+    """(element, rank) of keep rows of df, the least by the element's hash: sampling without replacement."""
+    rank = H.rank_hex(H.DOCUMENT, F.lit(seed.to_bytes(8, "big")), H.be64(F.col("element")))
+    return df.select(element.cast("bigint").alias("element")).withColumn("rank", rank).orderBy("rank", "element").limit(keep)
+
+
 def sampled(spark: SparkSession, universe: int, keep: int, seed: int) -> DataFrame:
-    """keep elements of 0..universe-1, the least by hash: sampling without replacement."""
-    rank = H.rank_hex(H.DOCUMENT, F.lit(seed.to_bytes(8, "big")), H.be64(F.col("id")))
-    return spark.range(universe).withColumn("rank", rank).orderBy("rank", "id").limit(keep).select(F.col("id").alias("element"), "rank")
+    """keep elements of 0..universe-1."""
+    return sampled_rows(spark.range(universe), F.col("id"), keep, seed)
 
 
 #: Matches that decide, by number of slots (fixed values).
 GRID_TAU = {64: 38, 128: 76, 256: 153, 512: 307}
 
 
-def threshold_grid(spark: SparkSession, n: int = 1000, m: int = 64) -> DataFrame:
-    """(k, tau, grid_index, target, inter, uni): 21 points within 0.10 of each k's boundary."""
-    rows = spark.createDataFrame(list(GRID_TAU.items()), "k bigint, tau bigint").withColumn("grid_index", F.explode(F.sequence(F.lit(-10), F.lit(10))))
+def threshold_grids(sizes: DataFrame, m: int = 64) -> DataFrame:
+    """(n, k, tau, grid_index, target, inter, uni): for sets of each size n, 21 points within 0.10 of each k's boundary."""
+    points = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(t).cast("bigint").alias("tau"), F.lit(i).alias("grid_index")) for k, t in GRID_TAU.items() for i in range(-10, 11)])
+    rows = sizes.select("n", F.explode(points).alias("p")).select("n", "p.*")
     centre = (F.col("tau") / F.col("k") - 1.0 / m) / (1.0 - 1.0 / m)
     rows = rows.withColumn("target", F.least(F.lit(1.0), F.greatest(F.lit(0.0), centre + 0.01 * F.col("grid_index"))))
-    inter = F.floor(n * (2.0 * F.col("target") / (1.0 + F.col("target")))).cast("bigint")
-    return rows.withColumn("inter", inter).withColumn("uni", F.lit(2 * n) - F.col("inter"))
+    inter = F.floor(F.col("n") * (2.0 * F.col("target") / (1.0 + F.col("target")))).cast("bigint")
+    return rows.withColumn("inter", inter).withColumn("uni", 2 * F.col("n") - F.col("inter"))
+
+
+def threshold_grid(spark: SparkSession, n: int = 1000, m: int = 64) -> DataFrame:
+    """(k, tau, grid_index, target, inter, uni) of one size."""
+    return threshold_grids(spark.range(n, n + 1).withColumnRenamed("id", "n"), m).drop("n")
 
 
 def rotation(methods: Column, seed: Column) -> Column:

@@ -64,6 +64,22 @@ def minhash(sets: DataFrame, k: int, seed: int = 42, domain: str = H.MINHASH, sh
     return wide.select("set_id", "block", slots).where("rank IS NOT NULL").select("set_id", (F.col("block") + F.col("at")).cast("bigint").alias("coord"), "rank")
 
 
+def minhash_trials(sets: DataFrame, k: int, trials: int, domain: str = H.MINHASH) -> DataFrame:
+    """(set_id, trial, coord, rank): signatures under the seeds 0..trials - 1, k slots each.
+
+    An element's ranks of one trial are one array, so a row is multiplied by the trials but not
+    by the slots, whose minima stand side by side; k is at most WIDE_SLOTS.
+    """
+    if k > WIDE_SLOTS:
+        raise ValueError(f"at most {WIDE_SLOTS} slots")
+    seed = H.be64(F.col("trial"))
+    ranks = F.array(*[H.hex_to_ordered(H.rank_hex(domain, seed, H.be32(F.lit(c)), H.be64(F.col("element")))) for c in range(k)])
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trials - 1).cast("bigint"))).alias("trial")
+    elements = sets.select("element").distinct().select("element", every).withColumn("ranks", ranks)
+    wide = sets.join(elements, "element").groupBy("set_id", "trial").agg(*[F.min(F.get("ranks", F.lit(c))).alias(f"r{c}") for c in range(k)])
+    return wide.select("set_id", "trial", F.posexplode(F.array(*[F.col(f"r{c}") for c in range(k)])).alias("coord", "rank")).withColumn("coord", F.col("coord").cast("bigint"))
+
+
 def bucketed(signature: DataFrame, m: int) -> DataFrame:
     """(set_id, coord, bucket): the one-hot position of each slot of a signature."""
     return signature.select("set_id", "coord", H.ordered_mod(F.col("rank"), m).alias("bucket"))

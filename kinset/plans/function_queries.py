@@ -80,14 +80,15 @@ def hs9_trial_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _M = "18446744073709551616::HUGEINT"
 
 
-@query(f"""WITH a AS (SELECT i::BIGINT AS trial, ((i + 1)::HUGEINT * (11400714819323198485::HUGEINT % 4294967296) + (((i + 1)::HUGEINT * (11400714819323198485::HUGEINT // 4294967296)) % 4294967296) * 4294967296 + 42) % {_M} AS z FROM range(500) t(i)),
+@query(f"""WITH a AS (SELECT i::BIGINT AS trial, ((i + 1)::HUGEINT * (11400714819323198485::HUGEINT % 4294967296) + (((i + 1)::HUGEINT * (11400714819323198485::HUGEINT // 4294967296)) % 4294967296) * 4294967296 + 42) % {_M} AS z FROM (SELECT o_orderkey AS i FROM orders) t),
 b AS (SELECT trial, xor(z::UBIGINT, z::UBIGINT >> 30)::HUGEINT AS z FROM a),
 c AS (SELECT trial, ((z % 4294967296) * 484763065 + (((z // 4294967296) * 484763065 + (z % 4294967296) * 3210233709) % 4294967296) * 4294967296) % {_M} AS z FROM b),
 d AS (SELECT trial, xor(z::UBIGINT, z::UBIGINT >> 27)::HUGEINT AS z FROM c),
 e AS (SELECT trial, ((z % 4294967296) * 321982955 + (((z // 4294967296) * 321982955 + (z % 4294967296) * 2496678331) % 4294967296) * 4294967296) % {_M} AS z FROM d)
 SELECT trial, printf('%016x', xor(z::UBIGINT, z::UBIGINT >> 31)) AS seed FROM e""")
 def hs15_mixed_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(500).select(F.col("id").alias("trial"), H.mixed_seed(42, F.col("id")).alias("seed"))
+    """A seed for each order's key."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trial"), H.mixed_seed(42, F.col("o_orderkey")).alias("seed"))
 
 
 @query(f"SELECT p_partkey, lower(hex({be8(1)} || {be64('p_partkey')})) AS item, lower(hex({be8(2)} || {be64('p_partkey')} || {be32('p_size')})) AS indexed_item FROM part")

@@ -15,7 +15,7 @@ from kinset.operators import stats
 from kinset.operators import threshold as R
 from kinset.plans.function_queries import be64, minhash, sha, top
 from kinset.plans.registry import query, table
-from kinset.plans.similarity_queries import rounded
+from kinset.plans.similarity_queries import _EXACT, PAIRS, SETS, SLOTS, pairs, rounded, sets
 from kinset.sources import workspace
 from kinset.streaming import dynamic, stateful, store
 
@@ -136,52 +136,61 @@ def ag29_eligible_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.avg(F.when(b > 0, F.abs(b - 4500) / b)), 9).alias("rel"), F.count_if(b > 0).alias("eligible"))
 
 
-_SLOTS = "(SELECT unnest([64, 128, 256, 512])::BIGINT AS k)"
 
 
-@query(f"WITH g AS (SELECT k, t AS tau, (t / k - 1.0::DOUBLE / 64) / (1.0::DOUBLE - 1.0::DOUBLE / 64) AS j FROM {_SLOTS}, range(10, 60, 10) r(t)) SELECT k, tau, round(j, 9) AS j, least(k, greatest(1, ceil(k * (1.0::DOUBLE / 64 + (1.0::DOUBLE - 1.0::DOUBLE / 64) * round(j, 4)))::BIGINT)) AS back, round(sqrt((1.0::DOUBLE / 64 + (1.0::DOUBLE - 1.0::DOUBLE / 64) * j) * (1 - (1.0::DOUBLE / 64 + (1.0::DOUBLE - 1.0::DOUBLE / 64) * j)) / k) / (1.0::DOUBLE - 1.0::DOUBLE / 64), 9) AS sigma FROM g")
+@query(f"WITH t AS (SELECT (64 * 2 ** (l_linenumber % 4))::BIGINT AS k, l_quantity::BIGINT AS tau, count(*) AS n FROM lineitem GROUP BY ALL), g AS (SELECT *, (tau / k - 1.0::DOUBLE / 64) / (1.0::DOUBLE - 1.0::DOUBLE / 64) AS j FROM t) SELECT k, tau, n, round(j, 9) AS j, least(k, greatest(1, ceil(k * (1.0::DOUBLE / 64 + (1.0::DOUBLE - 1.0::DOUBLE / 64) * round(j, 4)))::BIGINT)) AS back, round(sqrt(greatest((1.0::DOUBLE / 64 + (1.0::DOUBLE - 1.0::DOUBLE / 64) * j) * (1 - (1.0::DOUBLE / 64 + (1.0::DOUBLE - 1.0::DOUBLE / 64) * j)), 0) / k) / (1.0::DOUBLE - 1.0::DOUBLE / 64), 9) AS sigma FROM g")
 def ma1_threshold_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k,) for k in (64, 128, 256, 512)], "k bigint").withColumn("tau", F.explode(F.array(*[F.lit(t).cast("bigint") for t in range(10, 60, 10)])))
+    """What each number of matches that lines have for a quantity stands for, among 64 to 512 slots."""
+    slots = (64 * F.pow(F.lit(2), F.col("l_linenumber") % 4)).cast("bigint").alias("k")
+    rows = table(spark, sf_dir, "lineitem").groupBy(slots, F.col("l_quantity").cast("bigint").alias("tau")).agg(F.count("*").alias("n"))
     rows = rows.withColumn("j", R.jaccard_of_tau(F.col("tau"), F.col("k"), 64))
     return rounded(rows.withColumn("back", R.tau_of_jaccard(F.round("j", 4), F.col("k"), 64)).withColumn("sigma", R.sigma(F.col("j"), F.col("k"), 64)), "j", "sigma")
 
 
-@query("WITH t AS (SELECT k, tau, p, i, lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + i * ln(p) + (k - i) * ln(1 - p) AS l FROM (SELECT unnest([64, 128, 256])::BIGINT AS k), (SELECT unnest([20, 76])::BIGINT AS tau), (SELECT unnest([0.2, 0.5, 0.59375])::DOUBLE AS p), range(0, 257) r(i) WHERE i <= k) SELECT k, tau, p, round(coalesce(sum(exp(l)) FILTER (i >= tau), 0), 7) AS survival FROM t GROUP BY ALL")
+@query("WITH g AS (SELECT (64 * 2 ** (l_linenumber % 3))::BIGINT AS k, l_quantity::BIGINT AS tau, (1 + round(l_discount * 100)::BIGINT) / 16.0::DOUBLE AS p, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT *, lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + i * ln(p) + (k - i) * ln(1 - p) AS l FROM g, range(0, 257) r(i) WHERE i <= k) SELECT k, tau, p, n, round(coalesce(sum(exp(l)) FILTER (i >= tau), 0), 7) AS survival FROM t GROUP BY ALL")
 def ma4_binomial_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, t, p) for k in (64, 128, 256) for t in (20, 76) for p in (0.2, 0.5, 0.59375)], "k bigint, tau bigint, p double")
+    """Chances of as many matches as a line's quantity, at a chance made of its discount."""
+    slots = (64 * F.pow(F.lit(2), F.col("l_linenumber") % 3)).cast("bigint").alias("k")
+    chance = ((F.round(F.col("l_discount") * 100).cast("bigint") + 1) / 16.0).alias("p")
+    rows = table(spark, sf_dir, "lineitem").groupBy(slots, F.col("l_quantity").cast("bigint").alias("tau"), chance).agg(F.count("*").alias("n"))
     return rows.withColumn("survival", F.round(R.binomial_survival(F.col("k"), F.col("tau"), F.col("p")), 7))
 
 
-_CURVE = "c AS (SELECT r, CASE WHEN r < 5 THEN 0.0::DOUBLE ELSE (r / 1024) * ((r - 1) / 1023) * ((r - 2) / 1022) * ((r - 3) / 1021) * ((r - 4) / 1020) END AS q FROM range(1025) t(r)), s AS (SELECT r, q, CASE WHEN q >= 1 THEN 0.0::DOUBLE ELSE exp(128 * ln(1 - q)) END AS survival FROM c)"
+_SIZES = "z AS (SELECT DISTINCT n FROM (SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1))"
+_CURVE = f"{_SIZES}, c AS (SELECT n, r, CASE WHEN r < 5 THEN 0.0::DOUBLE WHEN n <= 5 THEN CASE WHEN r >= n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE (r / n) * ((r - 1) / (n - 1)) * ((r - 2) / (n - 2)) * ((r - 3) / (n - 3)) * ((r - 4) / (n - 4)) END AS q FROM (SELECT n, unnest(range(n + 1)) AS r FROM z)), s AS (SELECT n, r, q, CASE WHEN q >= 1 THEN 0.0::DOUBLE ELSE exp(128 * ln(1 - q)) END AS survival FROM c)"
 
 
-@query(f"WITH {_CURVE} SELECT r, round(q, 9) AS exhaustion, round(survival, 9) AS survival, round(greatest(0.0, 1 - 128 * q), 9)::DOUBLE AS bound FROM s")
-def ma6_survival_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.survival_curve(spark, 1024, 5, 128), "exhaustion", "survival", "bound")
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n): the sizes that suppliers' sets of parts have."""
+    return sets(spark, sf_dir).groupBy("set_id").agg(F.count("*").alias("n")).select("n").distinct()
 
 
-@query(f"WITH {_CURVE} SELECT max(r) FILTER (survival >= 0.99) AS max_safe, round(sum(survival) FILTER (r < 1024), 6) AS expected_first_failure FROM s")
-def ma7_deletion_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.deletion_limits(D.survival_curve(spark, 1024, 5, 128), 0.99), "expected_first_failure").withColumn("expected_first_failure", F.round("expected_first_failure", 6))
+@query(f"WITH {_CURVE} SELECT n, r, round(q, 9) AS exhaustion, round(survival, 9) AS survival, round(greatest(0.0, 1 - 128 * q), 9)::DOUBLE AS bound FROM s")
+def ma6_survival_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of sketches of suppliers' sets, by the deletions that they saw."""
+    return rounded(D.survival_curves(_sizes(spark, sf_dir), 5, 128), "exhaustion", "survival", "bound")
 
 
-@query()
-def ag23_failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simulated first failures; the tests hold their mean against the exact one."""
-    return D.failure_histogram(D.simulate(spark, 64, 3, 8, 200))
+@query(f"WITH {_CURVE} SELECT n, max(r) FILTER (survival >= 0.99) AS max_safe, round(sum(survival) FILTER (r < n), 6) AS expected_first_failure FROM s GROUP BY n")
+def ma7_deletion_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = D.deletion_limits(D.survival_curves(_sizes(spark, sf_dir), 5, 128), 0.99, ("n",))
+    return limits.withColumn("expected_first_failure", F.round("expected_first_failure", 6))
 
 
-@query("WITH g AS (SELECT k, tau, i AS grid_index, least(1.0, greatest(0.0, (tau / k - 1.0::DOUBLE / 64) / (1.0::DOUBLE - 1.0::DOUBLE / 64) + 0.01::DOUBLE * i))::DOUBLE AS target FROM (VALUES (64::BIGINT, 38::BIGINT), (128, 76), (256, 153), (512, 307)) v(k, tau), (SELECT unnest(range(-10, 11))::INT AS i)), h AS (SELECT *, floor(1000 * (2.0::DOUBLE * target / (1.0 + target)))::BIGINT AS inter FROM g) SELECT k, tau, grid_index, round(target, 9) AS target, inter, 2000 - inter AS uni FROM h")
+@query(f"WITH {_SIZES}, g AS (SELECT n, k, tau, i AS grid_index, least(1.0, greatest(0.0, (tau / k - 1.0::DOUBLE / 64) / (1.0::DOUBLE - 1.0::DOUBLE / 64) + 0.01::DOUBLE * i))::DOUBLE AS target FROM z, (VALUES (64::BIGINT, 38::BIGINT), (128, 76), (256, 153), (512, 307)) v(k, tau), (SELECT unnest(range(-10, 11))::INT AS i)), h AS (SELECT *, floor(n * (2.0::DOUBLE * target / (1.0 + target)))::BIGINT AS inter FROM g) SELECT n, k, tau, grid_index, round(target, 9) AS target, inter, 2 * n - inter AS uni FROM h")
 def gen4_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.threshold_grid(spark), "target")
+    """Overlaps round each threshold for sets as large as suppliers' sets are."""
+    return rounded(G.threshold_grids(_sizes(spark, sf_dir)), "target")
 
 
-@query("WITH g AS (SELECT k, k * 6 // 10 AS tau, i AS point, ((k * 6 // 10) / k - 1.0::DOUBLE / 64) / (1.0::DOUBLE - 1.0::DOUBLE / 64) AS j FROM (SELECT unnest([16, 32, 64, 128, 256, 512])::BIGINT AS k), (SELECT unnest(range(21))::INT AS i)), s AS (SELECT *, 1.0::DOUBLE / 64 + (1.0::DOUBLE - 1.0::DOUBLE / 64) * j AS p FROM g), t AS (SELECT *, greatest(0.02, least(0.98, j + 3.0::DOUBLE * (2.0::DOUBLE * point / 20 - 1.0) * sqrt(p * (1 - p) / k) / (1.0::DOUBLE - 1.0::DOUBLE / 64)))::DOUBLE AS target FROM s) SELECT k, tau, point, round(target, 9) AS target, round(2.0 * target / (1.0 + target), 9) AS overlap FROM t")
+@query(f"WITH {_SIZES}, g AS (SELECT k, k * 6 // 10 AS tau, i AS point, ((k * 6 // 10) / k - 1.0::DOUBLE / 64) / (1.0::DOUBLE - 1.0::DOUBLE / 64) AS j FROM (SELECT unnest([16, 32, 64, 128, 256, 512])::BIGINT AS k), (SELECT unnest(range(21))::INT AS i)), s AS (SELECT *, 1.0::DOUBLE / 64 + (1.0::DOUBLE - 1.0::DOUBLE / 64) * j AS p FROM g), t AS (SELECT *, greatest(0.02, least(0.98, j + 3.0::DOUBLE * (2.0::DOUBLE * point / 20 - 1.0) * sqrt(p * (1 - p) / k) / (1.0::DOUBLE - 1.0::DOUBLE / 64)))::DOUBLE AS target FROM s) SELECT n, k, tau, point, round(target, 9) AS target, round(2.0 * target / (1.0 + target), 9) AS overlap, floor(round(2.0 * target / (1.0 + target), 9) * n)::BIGINT AS inter FROM t, z")
 def gen9_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.threshold_sweep(spark), "target", "overlap")
+    """Overlaps within three deviations of each threshold for sets as large as suppliers' sets are."""
+    points = rounded(G.threshold_sweep(spark), "target", "overlap")
+    return _sizes(spark, sf_dir).crossJoin(F.broadcast(points)).withColumn("inter", F.floor(F.col("overlap") * F.col("n")))
 
 
-#: Axes of a sweep beside its default cell.
+#: Axes of a sweep beside its default cell, their names and values (fixed values).
 _SWEEP = {"k": ("16", "32", "64", "128", "256", "512"), "m": ("16", "32", "64", "128", "256"), "n": ("100", "1000", "10000", "100000")}
 FAMILIES = {
     **{f: {"control": ("default",), **_SWEEP} for f in ("dynamic_timing", "dynamic_accuracy")},
@@ -192,26 +201,28 @@ FAMILIES = {
 }
 
 
-@query("WITH s AS (SELECT 'k' AS axis, unnest(['16', '32', '64', '128', '256', '512']) AS value UNION ALL SELECT 'm', unnest(['16', '32', '64', '128', '256']) UNION ALL SELECT 'n', unnest(['100', '1000', '10000', '100000'])), r AS (SELECT unnest(['dynamic_timing', 'dynamic_accuracy', 'dynamic_refresh', 'deletion_exact', 'deletion_mc']) AS family, 'control' AS axis, 'default' AS value UNION ALL SELECT f, axis, value FROM s, (SELECT unnest(['dynamic_timing', 'dynamic_accuracy']) AS f) UNION ALL SELECT 'estimator_accuracy', 'j', printf('%.1f', i / 10) FROM range(11) t(i) UNION ALL SELECT 'estimator_accuracy', axis, value FROM s WHERE axis = 'k' UNION ALL SELECT f, 'k', value FROM s, (SELECT unnest(['threshold_timing', 'threshold_spec', 'threshold_agreement']) AS f) WHERE axis = 'm' UNION ALL SELECT 'threshold_synthetic_fpfn', 'point', 'k' || k || '_j' || i FROM (SELECT unnest([64, 128, 256, 512]) AS k), range(-10, 11) t(i)) SELECT 'v1::' || family || '::' || axis || '=' || value AS cell_id, family, axis, value FROM r")
-def gen6_cell_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells of the families that have a plaintext result."""
+def gen6_cell_matrix(spark: SparkSession) -> DataFrame:
+    """The cells of the families that have a plaintext result; no query, as it reads no table."""
     return G.cell_matrix(spark, FAMILIES, "v1")
 
 
-@query(f"SELECT i AS element, {top(sha(H.DOCUMENT, be64('9'), be64('i')))} AS rank FROM range(20000) t(i) ORDER BY rank, i LIMIT 100")
+@query(f"SELECT i AS element, {top(sha(H.DOCUMENT, be64('9'), be64('i')))} AS rank FROM (SELECT o_orderkey AS i FROM orders) ORDER BY rank, i LIMIT 100")
 def tk6_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.sampled(spark, 20_000, 100, 9)
+    """A sample of a hundred orders without replacement."""
+    return G.sampled_rows(table(spark, sf_dir, "orders"), F.col("o_orderkey"), 100, 9)
 
 
-@query("WITH r AS (SELECT n, j, 2.0 * n * j / (1.0 + j) AS x FROM (SELECT unnest([10, 999, 1000])::BIGINT AS n), (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.9, 1.0])::DOUBLE AS j)) SELECT n, j, ceil(x - 0.5)::BIGINT AS half_down, floor(x)::BIGINT AS floor, floor(x + 0.5)::BIGINT AS half_up, floor(x)::BIGINT AS truncate FROM r")
+@query(f"WITH {_SIZES}, r AS (SELECT n, j, 2.0 * n * j / (1.0 + j) AS x FROM z, (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.9, 1.0])::DOUBLE AS j)) SELECT n, j, ceil(x - 0.5)::BIGINT AS half_down, floor(x)::BIGINT AS floor, floor(x + 0.5)::BIGINT AS half_up, floor(x)::BIGINT AS truncate FROM r")
 def gen1_target_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(n, j) for n in (10, 999, 1000) for j in (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)], "n bigint, j double")
+    rows = _sizes(spark, sf_dir).select("n", F.explode(F.array(*map(F.lit, (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)))).alias("j"))
     return rows.select("n", "j", *[G.target_intersection(F.col("n"), F.col("j"), r).alias(r) for r in G.ROUNDING])
 
 
-@query("SELECT t AS trial, [(['a', 'b', 'c', 'd'])[((t * 31) % 4 + i) % 4 + 1] for i in range(4)] AS methods FROM range(100) r(t)")
+@query("SELECT o_orderkey AS trial, [(['a', 'b', 'c', 'd'])[((o_orderkey * 31) % 4 + i) % 4 + 1] for i in range(4)] AS methods FROM orders")
 def wn9_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(100).select(F.col("id").alias("trial"), G.rotation(F.array(*map(F.lit, "abcd")), F.col("id") * 31).alias("methods"))
+    """The order of four methods for each order's key."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(key.alias("trial"), G.rotation(F.array(*map(F.lit, "abcd")), key * 31).alias("methods"))
 
 
 def estimator_trials(spark: SparkSession, n: int, inter: int, k: int, m: int, trials: int) -> DataFrame:
@@ -228,6 +239,17 @@ def estimator_trials(spark: SparkSession, n: int, inter: int, k: int, m: int, tr
     return v.select("trial", F.lit(inter / (2 * n - inter)).alias("exact"), "raw", (F.col("v") / k).alias("bucket"), S.corrected(F.col("v"), F.lit(k), m).alias("corrected"))
 
 
+def pair_trials(members: DataFrame, of: DataFrame, k: int, m: int, trials: int) -> DataFrame:
+    """(a, b, trial, exact, raw, bucket, corrected): estimates of each pair under each trial's seed."""
+    signature = K.minhash_trials(members, k, trials)
+    side = lambda s: signature.select(F.col("set_id").alias(s), "trial", "coord", F.col("rank").alias(f"r_{s}"))
+    both = of.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "trial", "coord"])
+    same = H.ordered_mod(F.col("r_a"), m) == H.ordered_mod(F.col("r_b"), m)
+    v = both.groupBy("a", "b", "trial").agg(F.avg((F.col("r_a") == F.col("r_b")).cast("double")).alias("raw"), F.count_if(same).alias("v"))
+    exact = S.overlaps(members, of).select("a", "b", S.jaccard(F.col("inter"), F.col("size_a"), F.col("size_b")).alias("exact"))
+    return v.join(exact, ["a", "b"]).select("a", "b", "trial", "exact", "raw", (F.col("v") / k).alias("bucket"), S.corrected(F.col("v"), F.lit(k), m).alias("corrected"))
+
+
 def diagnose(trials: DataFrame) -> DataFrame:
     """(estimator, n, mean, bias, mae, sd, se, passes): passes if |bias| <= max(0.01, 4 se)."""
     rows = trials.select("exact", F.explode(F.create_map(*[x for c in ("raw", "bucket", "corrected") for x in (F.lit(c), F.col(c))])).alias("estimator", "e"))
@@ -235,12 +257,15 @@ def diagnose(trials: DataFrame) -> DataFrame:
     return out.withColumn("se", F.col("sd") / F.sqrt("n")).withColumn("passes", F.abs("bias") <= F.greatest(F.lit(0.01), 4 * F.col("se")))
 
 
+#: Seeds under which estimators are looked at.
+TRIALS = 8
 _RANK = top(f"sha256(encode({H.MINHASH!r}) || {be64('trial')} || unhex(printf('%08x', c::BIGINT)) || {be64('element')})")
 
 
-@query(f"WITH x AS (SELECT element, trial, c, {_RANK} AS rank FROM range(60) e(element), range(20) t(trial), range(32) s(c)), l AS (SELECT trial, c, min(rank) FILTER (element < 40) AS a, min(rank) FILTER (element < 20 OR element >= 40) AS b FROM x GROUP BY ALL), v AS (SELECT trial, avg((a = b)::INT) AS raw, count(*) FILTER (('0x' || a)::UBIGINT % 64::UBIGINT = ('0x' || b)::UBIGINT % 64::UBIGINT) / 32 AS bucket FROM l GROUP BY 1), e AS (SELECT 'raw' AS estimator, raw AS e FROM v UNION ALL SELECT 'bucket', bucket FROM v UNION ALL SELECT 'corrected', least(1.0, greatest(0.0, (bucket - 1.0::DOUBLE / 64) / (1.0::DOUBLE - 1.0::DOUBLE / 64)))::DOUBLE FROM v), s AS (SELECT estimator, count(*) AS n, avg(e) AS mean, avg(e - 1.0::DOUBLE / 3) AS bias, avg(abs(e - 1.0::DOUBLE / 3)) AS mae, stddev_samp(e) AS sd FROM e GROUP BY 1) SELECT estimator, n, round(mean, 9) AS mean, round(bias, 9) AS bias, round(mae, 9) AS mae, round(sd, 9) AS sd, round(sd / sqrt(n), 9) AS se, abs(bias) <= greatest(0.01, 4 * sd / sqrt(n)) AS passes FROM s")
+@query(f"WITH {SETS}, {PAIRS}, {_EXACT}, x AS (SELECT element, trial, c, {_RANK} AS rank FROM (SELECT DISTINCT element FROM sets), range({TRIALS}) t(trial), range({SLOTS}) s(c)), l AS (SELECT set_id, trial, c, min(rank) AS rank FROM sets JOIN x USING (element) GROUP BY ALL), v AS (SELECT a, b, l.trial, avg((l.rank = r.rank)::INT) AS raw, count(*) FILTER (('0x' || l.rank)::UBIGINT % 64::UBIGINT = ('0x' || r.rank)::UBIGINT % 64::UBIGINT) / {SLOTS} AS bucket FROM pairs JOIN l ON l.set_id = a JOIN l r ON r.set_id = b AND r.trial = l.trial AND r.c = l.c GROUP BY ALL), w AS (SELECT v.*, exact FROM v JOIN j USING (a, b)), e AS (SELECT 'raw' AS estimator, exact, raw AS e FROM w UNION ALL SELECT 'bucket', exact, bucket FROM w UNION ALL SELECT 'corrected', exact, least(1.0, greatest(0.0, (bucket - 1.0::DOUBLE / 64) / (1.0::DOUBLE - 1.0::DOUBLE / 64)))::DOUBLE FROM w), s AS (SELECT estimator, count(*) AS n, avg(e) AS mean, avg(e - exact) AS bias, avg(abs(e - exact)) AS mae, stddev_samp(e) AS sd FROM e GROUP BY 1) SELECT estimator, n, round(mean, 9) AS mean, round(bias, 9) AS bias, round(mae, 9) AS mae, round(sd, 9) AS sd, round(sd / sqrt(n), 9) AS se, abs(bias) <= greatest(0.01, 4 * sd / sqrt(n)) AS passes FROM s")
 def ag17_estimator_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(diagnose(estimator_trials(spark, 40, 20, 32, 64, 20)), "mean", "bias", "mae", "sd", "se")
+    """Bias of three estimators over all pairs of suppliers' sets, under several seeds."""
+    return rounded(diagnose(pair_trials(sets(spark, sf_dir), pairs(spark, sf_dir), SLOTS, 64, TRIALS)), "mean", "bias", "mae", "sd", "se")
 
 
 _OPS = f"e AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN 'delete' ELSE 'insert' END AS op, {minhash('event_id % 40', '0')} AS rank, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)"

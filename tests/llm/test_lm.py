@@ -68,6 +68,16 @@ def test_against_dictionaries(spark, block_bytes, range_keys, priors):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
+def test_equal_texts_have_equal_scores_at_every_size(spark):
+    """The same texts in blocks of other sizes, beside other texts: the same bits."""
+    data = [(k, t, u) for k, t, u in rows()] + [(500 + k, "the cat sat on a mat, ran " * 300, False) for k in range(9)] + [(600 + k, "a cat sat", False) for k in range(50)]
+    df = spark.createDataFrame(data, "doc_id long, text string, train boolean")
+    for block_bytes, range_keys in ((1 << 24, 1 << 20), (9000, 60), (2000, 400)):
+        got = lm.scored(df, F.col("train"), block_bytes=block_bytes, range_keys=range_keys).where("doc_id >= 500").collect()
+        for low in (500, 600):
+            assert len({(r.base_score, r.score) for r in got if low <= r.doc_id < low + 100}) == 1
+
+
 def test_probabilities_sum_to_one():
     _, p, uni = brute(rows(), lm.PRIORS)
     for u in [("<s>",), ("the",), ("the", "cat"), ("unknown", "cat"), ("<s>", "the")]:

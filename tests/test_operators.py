@@ -380,6 +380,28 @@ def test_lookup_at_hot_keys_against_plain_search(spark, monkeypatch):
         assert got[i] == (("found", most, min(fits, key=lambda o: o[5:])[6]) if fits else ("infeasible" if same else "missing", most, None)), (i, k, need)
 
 
+def test_trials_are_signatures_under_their_seeds(spark):
+    rng = random.Random(1)
+    s = spark.createDataFrame([(k, rng.randrange(60)) for k in range(9) for _ in range(20)] + [(9, rng.randrange(900)) for _ in range(90)], "set_id long, element long").distinct()
+    got = {(r.set_id, r.trial, r.coord): r["rank"] for r in K.minhash_trials(s, 5, 3).collect()}
+    want = {(r.set_id, t, r.coord): r["rank"] for t in range(3) for r in K.minhash(s, 5, t).collect()}
+    assert got == want
+    with pytest.raises(ValueError):
+        K.minhash_trials(s, 33, 1)
+    # more slots than stand side by side
+    wide = {(r.set_id, r.coord): r["rank"] for r in K.minhash(s, 70).collect()}
+    assert len(wide) == 700 and wide == {(r.set_id, r.coord): r["rank"] for r in K.minhash(s, 70, shared=False).collect()}
+    assert {k: v for k, v in wide.items() if k[1] < 5} == {(r.set_id, r.coord): r["rank"] for r in K.minhash(s, 5).collect()}
+    least = {(r.set_id, r.coord): r["rank"] for r in K.element_ranks(s.select("element").distinct(), 70).join(s, "element").groupBy("set_id", "coord").agg(F.min("rank").alias("rank")).collect()}
+    assert wide == least
+
+
+def test_failures_counted_and_outlived(spark):
+    times = [r.failure for r in D.simulate(spark, 20, 2, 3, 80).collect()]
+    got = {r.failure: (r.n, r.survivors) for r in D.failure_histogram(D.simulate(spark, 20, 2, 3, 80)).collect()}
+    assert got == {t: (times.count(t), sum(x > t for x in times)) for t in times}
+
+
 def test_chunked_vectors_against_sets(spark):
     """A set with a third of all rows, repeated and negative elements, nulls and both ends of a chunk."""
     rng = random.Random(6)
