@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinset.operators import bitmaps as B
 from kinset.operators import ordered
 from kinset.operators import pairing as P
 from kinset.operators import protocols as M
@@ -15,6 +16,7 @@ from kinset.plans.pipelines import document_sets
 from kinset.plans.registry import query, table
 from kinset.plans.similarity_queries import _EXACT, _MATCH, _SUMMARY, PAIRS, SETS, accuracy, pairs, rounded, sets
 from kinset.plans.similarity_queries import _EST, _ROUNDED, _sig
+from kinset.sources import sidecars, workspace
 from kinset.sources.workspace import stored
 
 
@@ -115,3 +117,25 @@ def val8_grid_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = line.select("l_suppkey").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))))
     have = line.select("l_suppkey", (F.col("l_quantity").cast("bigint") % 4).alias("k")).distinct()
     return V.differing(grid, have).agg(F.count("*").alias("differing"))
+
+
+@query("SELECT 'c' || o_custkey % 20 AS cell_id, count(*) AS measured_count, round(avg(o_totalprice / 1000), 9) AS mean_ms, round(stddev_samp(o_totalprice / 1000), 9) AS sample_sd_ms, round(median(o_totalprice / 1000), 9) AS median_ms FROM orders GROUP BY 1")
+def src12_timing_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' prices as timings of twenty cells, written as sidecars, read back, checked and summed up again."""
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), (F.col("o_custkey") % 20).cast("string")).alias("cell_id"), "o_orderkey", (F.col("o_totalprice") / 1000).alias("raw_ms"))
+    index = (F.row_number().over(Window.partitionBy("cell_id").orderBy("o_orderkey")) - 1).cast("bigint")
+    samples = orders.select(F.lit("orders").alias("producer_id"), F.lit("whole").alias("profile_id"), "cell_id", F.lit("none").alias("warmup_policy"), F.lit("total").alias("phase"), F.lit(sidecars.MEASURED).alias("sample_kind"), index.alias("trial_index"), F.col("o_orderkey").cast("string").alias("seed"), "raw_ms")
+    home = workspace.folder(spark, "sidecars")
+    sidecars.write_sidecars(samples, home)
+    read = sidecars.read_sidecars(spark, home).where("section = 'sample'")
+    return rounded(sidecars.aggregates(read), "mean_ms", "sample_sd_ms", "median_ms").select("cell_id", "measured_count", "mean_ms", "sample_sd_ms", "median_ms")
+
+
+@query("WITH s AS (SELECT DISTINCT l_suppkey AS set_id, l_partkey AS element FROM lineitem), n AS (SELECT set_id, count(*) AS n FROM s GROUP BY 1) SELECT set_id, n AS stated, n AS again, false AS differs FROM n")
+def val9_recomputed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of suppliers' sets, and what they are when they are made again from bitmaps."""
+    members = sets(spark, sf_dir)
+    stated = members.groupBy("set_id").agg(F.count("*").alias("stated"))
+    again = B.sizes(B.chunked(members)).select("set_id", F.col("n").alias("again"))
+    both = stated.join(again, "set_id", "full")
+    return both.select("set_id", "stated", "again", (~F.col("stated").eqNullSafe(F.col("again"))).alias("differs"))
