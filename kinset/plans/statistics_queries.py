@@ -17,6 +17,7 @@ from kinset.plans.function_queries import be64, minhash, sha, top
 from kinset.plans.registry import query, table
 from kinset.plans.similarity_queries import _EXACT, PAIRS, SETS, SLOTS, pairs, rounded, sets
 from kinset.sources import workspace
+from kinset.sources.workspace import stored
 from kinset.streaming import dynamic, stateful, store
 
 
@@ -291,6 +292,17 @@ def st2_bottom_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.replayed(_bottom_ops(spark, sf_dir), ["user_id"], 5)
 
 
+_FOLD_ONE = _FOLD.replace("< 5", "< 1").replace("[1:5]", "[1:1]")
+
+
+@query(f"WITH RECURSIVE {_OPS}, {_FOLD_ONE}, z AS (SELECT user_id, ranks, rebuild, refused FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1), m AS (SELECT user_id, min(rank) AS least FROM e WHERE op = 'insert' GROUP BY 1) SELECT user_id, CASE WHEN rebuild THEN CASE WHEN least IS NULL THEN []::VARCHAR[] ELSE [least] END ELSE ranks END AS ranks, rebuild AND least IS NULL AS rebuild, CASE WHEN rebuild THEN 0 ELSE refused END AS refused FROM z LEFT JOIN m USING (user_id)")
+def st4_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of one rank: those that a deletion emptied are made anew from the members."""
+    ops = stored(_bottom_ops(spark, sf_dir), "ops")
+    members = ops.where("op = 'insert'").select("user_id", "rank")
+    return dynamic.rebuilt(dynamic.folded(ops, ["user_id"], 1), members, ["user_id"], 1)
+
+
 _UPDATES = "u AS (SELECT user_id AS owner, event_id AS seq, floor(event_id / 400)::BIGINT % 4 AS expected, expected + CASE WHEN event_id % 13 = 0 THEN 2 ELSE 1 END AS successor, 'v' || event_id AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)"
 _STATUS = "CASE WHEN f.epoch IS NULL THEN 'unknown_owner' WHEN successor <> expected + 1 THEN 'not_successor' WHEN expected < f.epoch THEN 'stale_epoch' WHEN expected > f.epoch THEN 'future_epoch' ELSE 'applied' END"
 _STORE = f"f AS (SELECT DISTINCT owner, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS status, CASE WHEN owner % 11 <> 0 THEN 0 END::BIGINT AS epoch, CASE WHEN owner % 11 <> 0 THEN 'start' END AS payload FROM u UNION ALL SELECT f.owner, f.i + 1, u.seq, {_STATUS}, CASE WHEN {_STATUS} = 'applied' THEN successor ELSE f.epoch END, CASE WHEN {_STATUS} = 'applied' THEN text ELSE f.payload END FROM f JOIN u ON u.owner = f.owner AND u.i = f.i + 1)"
