@@ -22,8 +22,12 @@ def coordinates(k: int) -> Column:
 
 
 def rank_array(element: Column, k: int, seed: int = 42, domain: str = H.MINHASH) -> Column:
-    """The k ranks of an element, one for each coordinate, as one array of ordered BIGINTs."""
-    return F.array(*[H.hex_to_ordered(H.minhash_rank(element, F.lit(c), seed, domain)) for c in range(k)])
+    """The k ranks of an element, one for each coordinate, as one array of ordered BIGINTs.
+
+    One expression over the coordinates: k of them side by side take longer to compile than
+    many elements take to hash.
+    """
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: H.hex_to_ordered(H.minhash_rank(element, c, seed, domain)))
 
 
 def element_ranks(elements: DataFrame, k: int, seed: int = 42, domain: str = H.MINHASH) -> DataFrame:
@@ -32,22 +36,36 @@ def element_ranks(elements: DataFrame, k: int, seed: int = 42, domain: str = H.M
     return spread.select("element", "coord", H.hex_to_ordered(H.minhash_rank(F.col("element"), F.col("coord"), seed, domain)).alias("rank"))
 
 
+def _distinct(sets: DataFrame) -> DataFrame:
+    """The elements of all sets, once each.
+
+    As a column of its own: a lambda over a column that both sides of a join share is bound to
+    the wrong side by the planner.
+    """
+    return sets.groupBy(F.col("element").alias("__e")).agg(F.first("element").alias("element")).select("element")
+
+
+def _joined(sets: DataFrame, elements: DataFrame) -> DataFrame:
+    """sets with what elements says of each element."""
+    named = elements.withColumnRenamed("element", "__element")
+    return sets.join(named, F.col("element") == F.col("__element")).drop("__element")
+
+
 def _ranked(sets: DataFrame, k: int, seed: int, domain: str, shared: bool) -> DataFrame:
     """(set_id, block, ranks): each row of sets once for each block of coordinates, with its ranks there."""
     blocks = [(c, min(WIDE_SLOTS, k - c)) for c in range(0, k, WIDE_SLOTS)]
-    hashed = lambda c, n: F.array(*[H.hex_to_ordered(H.minhash_rank(F.col("element"), F.lit(c + i), seed, domain)) for i in range(n)])
     if len(blocks) == 1:
-        ranks = hashed(0, k)
+        ranks = rank_array(F.col("element"), k, seed, domain)
         if not shared:
             return sets.select("set_id", F.lit(0).alias("block"), ranks.alias("ranks"))
-        return sets.join(sets.select("element").distinct().select("element", ranks.alias("ranks")), "element").select("set_id", F.lit(0).alias("block"), "ranks")
+        return _joined(sets, _distinct(sets).select("element", ranks.alias("ranks"))).select("set_id", F.lit(0).alias("block"), "ranks")
     # more coordinates than stand side by side: a row for each block, not for each coordinate
     each = lambda df: df.select("*", F.explode(F.array(*[F.struct(F.lit(c).alias("at"), F.lit(n).alias("n")) for c, n in blocks])).alias("b"))
     ranks = F.transform(F.sequence(F.col("b.at"), F.col("b.at") + F.col("b.n") - 1), lambda c: H.hex_to_ordered(H.minhash_rank(F.col("element"), c, seed, domain)))
     made = lambda df: each(df).withColumn("ranks", ranks).withColumn("block", F.col("b.at"))
     if not shared:
         return made(sets).select("set_id", "block", "ranks")
-    return sets.join(made(sets.select("element").distinct()).select("element", "block", "ranks"), "element").select("set_id", "block", "ranks")
+    return _joined(sets, made(_distinct(sets)).select("element", "block", "ranks")).select("set_id", "block", "ranks")
 
 
 def minhash(sets: DataFrame, k: int, seed: int = 42, domain: str = H.MINHASH, shared: bool = True) -> DataFrame:
@@ -73,10 +91,10 @@ def minhash_trials(sets: DataFrame, k: int, trials: int, domain: str = H.MINHASH
     if k > WIDE_SLOTS:
         raise ValueError(f"at most {WIDE_SLOTS} slots")
     seed = H.be64(F.col("trial"))
-    ranks = F.array(*[H.hex_to_ordered(H.rank_hex(domain, seed, H.be32(F.lit(c)), H.be64(F.col("element")))) for c in range(k)])
+    ranks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: H.hex_to_ordered(H.rank_hex(domain, seed, H.be32(c), H.be64(F.col("element")))))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trials - 1).cast("bigint"))).alias("trial")
-    elements = sets.select("element").distinct().select("element", every).withColumn("ranks", ranks)
-    wide = sets.join(elements, "element").groupBy("set_id", "trial").agg(*[F.min(F.get("ranks", F.lit(c))).alias(f"r{c}") for c in range(k)])
+    elements = _distinct(sets).select("element", every).withColumn("ranks", ranks)
+    wide = _joined(sets, elements).groupBy("set_id", "trial").agg(*[F.min(F.get("ranks", F.lit(c))).alias(f"r{c}") for c in range(k)])
     return wide.select("set_id", "trial", F.posexplode(F.array(*[F.col(f"r{c}") for c in range(k)])).alias("coord", "rank")).withColumn("coord", F.col("coord").cast("bigint"))
 
 
@@ -88,8 +106,8 @@ def bucketed(signature: DataFrame, m: int) -> DataFrame:
 def bottom(sets: DataFrame, k: int, d: int, seed: int = 42, domain: str = H.MINHASH) -> DataFrame:
     """(set_id, coord, pos, rank): the d least distinct ranks of each set at each coordinate."""
     order = Window.partitionBy("set_id", "coord").orderBy("rank")
-    ranks = sets.select("element").distinct().select("element", rank_array(F.col("element"), k, seed, domain).alias("ranks"))
-    rows = sets.join(ranks, "element").select("set_id", F.posexplode("ranks").alias("coord", "rank"))
+    ranks = _distinct(sets).select("element", rank_array(F.col("element"), k, seed, domain).alias("ranks"))
+    rows = _joined(sets, ranks).select("set_id", F.posexplode("ranks").alias("coord", "rank"))
     # the rank limit goes below the exchange; equal ranks share a place and are one row after it
     placed = rows.withColumn("pos", F.dense_rank().over(order)).where(F.col("pos") <= d)
     return placed.select("set_id", F.col("coord").cast("bigint").alias("coord"), "pos", "rank").distinct()
