@@ -20,8 +20,9 @@ walkers; all but the first begin in the state in which the words before leave it
 pruned, capped or sampled, and rows that are equal may stand in different blocks.
 
 Rows that are shuffled: at most one for each block and range that share a key, so never more
-than there are distinct n-grams in blocks. Words and longer n-grams are told apart by 62 bits of a non-linear hash,
-whatever the size of the corpus; in 10^11 n-grams some thousand would share a key.
+than there are distinct n-grams in blocks. Words are told apart by 62 bits of a non-linear hash, longer n-grams by 58,
+whatever the size of the corpus: of 10^11 n-grams less than one in a million would share a key
+with another and have its count added to that one's.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ END = np.uint64(0x6A09E667F3BCC909)
 #: Keys of words stand below this one, which counts the texts; n-grams stand from twice it on.
 _BEGIN = np.uint64(1 << 62)
 _TWO = np.uint64(2)
+#: Bits of the 62 that keys of two and more words leave out, at every size.
+_CUT = np.uint64(4)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -114,7 +117,7 @@ class Block:
             self.suffix[k] = self.gram[k - 1][some[first]]
             self.gram[k] = np.full(n, -1, np.int32)
             self.gram[k][some] = inverse
-            ends = (bt.chain(ends[self.parent[k]], keys[self.last[k]]) >> _TWO) | np.uint64((2 if k == 2 else 3) << 62)
+            ends = (bt.chain(ends[self.parent[k]], keys[self.last[k]]) >> (_TWO + _CUT) << _CUT) | np.uint64((2 if k == 2 else 3) << 62)
             self.keys.append(ends)
             counts.append(np.bincount(inverse, used[some], len(pairs)))
         self.cut = np.cumsum([0, *map(len, self.keys)])
