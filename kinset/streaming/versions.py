@@ -93,12 +93,13 @@ def block_entries(ends: DataFrame, maps: DataFrame, store: DataFrame, span: int)
     """(owner, block, entry): the epoch with which each block of the owners in ends begins.
 
     ends holds (owner, lo, hi), the first and last block of owners that span several, and span
-    is the most blocks that one spans; owners that the store lacks have no row.
+    is the most blocks that one spans; for owners that the store lacks entry is null, so that
+    each of their blocks has its row, too.
     """
     levels = [stored(maps, "maps")]
     while 1 << len(levels) < span:
         levels.append(stored(composed(levels[-1]), "maps"))
-    now = ends.join(store.select("owner", F.col("epoch").cast("bigint").alias("entry")), "owner").select("owner", F.lit(0).cast("bigint").alias("node"), "entry")
+    now = ends.join(store.select("owner", F.col("epoch").cast("bigint").alias("entry")), "owner", "left").select("owner", F.lit(0).cast("bigint").alias("node"), "entry")
     for level in reversed(levels):
         left = level.where("node % 2 = 0").select("owner", F.floor(F.col("node") / 2).alias("node"), "entry", "leaves")
         right = now.join(left, ["owner", "node", "entry"], "left").select("owner", (F.col("node") * 2 + 1).alias("node"), F.coalesce("leaves", "entry").alias("entry"))
@@ -179,6 +180,7 @@ def replace_versions(store: DataFrame, updates: DataFrame, blocks: int | None =
     last = played.join(F.broadcast(ends), "owner").where(F.col("status") == APPLIED).groupBy("owner", "block").agg(F.max_by("payload", "epoch").alias("payload"), F.max("epoch").alias("epoch"))
     start = ends.join(store, "owner").select("owner", (F.col("lo") - 1).alias("block"), F.col("payload").cast(heads.schema["payload"].dataType).alias("payload"), long("epoch").alias("epoch"))
     # the payload of an epoch: an owner reaches each epoch once
-    reached = last.unionByName(start).select("owner", "epoch", F.col("payload").alias("__earlier"))
-    taken = played.where("inherits").join(reached, ["owner", "epoch"], "left").select("owner", "seq", "status", "epoch", F.col("__earlier").alias("payload"))
+    reached = last.unionByName(start).select(F.col("owner").alias("__owner"), F.col("epoch").alias("__epoch"), F.col("payload").alias("__earlier"))
+    same = (F.col("owner") == F.col("__owner")) & F.col("epoch").eqNullSafe(F.col("__epoch"))
+    taken = played.where("inherits").join(reached, same, "left").select("owner", "seq", "status", "epoch", F.col("__earlier").alias("payload"))
     return played.where("NOT inherits").select(*names).unionByName(taken)

@@ -68,3 +68,24 @@ def test_maps_compose_in_any_grouping(spark):
             for e in block:
                 at += e == at
         assert whole.get(epoch, epoch) == at
+
+
+@pytest.fixture
+def apart(spark):
+    """Small partitions stay apart, so blocks of an owner follow blocks of others."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def unknown(n=150):
+    """Every second owner is unknown, and each spans several blocks; the known ones stop at epoch 2."""
+    store = [(f"o{k}", k % 4, f"s{k}") for k in range(0, 8, 2)]
+    expected = lambda k, q: q % 4 if k % 2 else q % 2
+    return store, [(f"o{k}", q, expected(k, q), expected(k, q) + 1, f"v{k}-{q}") for k in range(8) for q in range(n)]
+
+
+def test_unknown_owners_over_several_blocks(spark, apart):
+    store, updates = unknown()
+    got = versions.replace_versions(spark.createDataFrame(store, "owner string, epoch long, payload string"), spark.createDataFrame(updates, UPDATES), 24)
+    assert sorted(str(tuple(r)) for r in got.collect()) == plain(store, updates)
