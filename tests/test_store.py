@@ -5,8 +5,9 @@ import pytest
 from kinset.plans import catalogue
 from kinset.sources import workspace
 from kinset.streaming import dynamic, stateful, store
+from kinset.streaming.versions import replace_versions
 
-from tests.test_versions import UPDATES, made, plain
+from tests.test_versions import UPDATES, apart, made, plain, unknown  # noqa: F401
 
 STORE = "owner string, epoch long, payload string"
 
@@ -46,6 +47,14 @@ def test_batches_and_replays(spark, monkeypatch):
     assert len(s.pointer().parts) <= 3
 
 
+def test_unknown_owners_bring_no_version(spark, apart, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(store, "replace_versions", lambda now, updates: replace_versions(now, updates, 24))
+    rows, updates = unknown()
+    s = opened(spark, rows)
+    assert s.apply(spark.createDataFrame(updates, UPDATES), 0)
+    assert read(s) == final(rows, updates)
+
+
 def test_a_killed_batch_leaves_nothing(spark, monkeypatch):
     rows, updates = made(6, 300)
     s, batch = opened(spark, rows), spark.createDataFrame(updates, UPDATES)
