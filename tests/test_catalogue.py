@@ -5,8 +5,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from kinset.functions import hashing as H
 from kinset.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +61,40 @@ def test_words_in_lower_case_without_folding(spark, tmp_path):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{docs}/*.parquet'")
     want = sorted(c.execute(catalogue.ORACLES["flt1_empty_features"]).fetchall())
     assert sorted(tuple(r) for r in catalogue.QUERIES["flt1_empty_features"](spark, str(tmp_path)).collect()) == want
+
+
+@pytest.fixture
+def draws(monkeypatch):
+    """How many tasks make each product that the least pairs are drawn from."""
+    from kinset.operators import pairing
+
+    tasks, least = [], pairing._least
+
+    def counted(draw, *rest):
+        tasks.append(draw(F.lit(True)).rdd.getNumPartitions())
+        return least(draw, *rest)
+
+    monkeypatch.setattr(pairing, "_least", counted)
+    return tasks
+
+
+@pytest.mark.parametrize("name,products", [("jn2_jn3_negative_sample", 1), ("jn5_unrelated_pairs", 1), ("tk3_pair_union", 2)])
+def test_products_are_made_on_all_cores(spark, draws, name, products):
+    """A small table is one file and one task; the pairs made of it are hashed by many."""
+    catalogue.QUERIES[name](spark, SF).collect()
+    assert len(draws) == products and min(draws) >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_least_pairs_however_the_sides_are_dealt(spark, monkeypatch, sent):
+    from kinset.operators import pairing
+
+    monkeypatch.setattr(pairing, "SENT", sent)
+    r = spark.createDataFrame([(k, f"s{k % 3}" if k % 11 else "") for k in range(90)], "id long, subject string")
+    want = pairing.related(r, "subject").orderBy("digest", "a", "b").limit(25).collect()
+    assert pairing.least_related(r, "subject", 25).collect() == want
+    x, y = r.select(F.col("id").alias("a"), F.col("subject").alias("k")).where("k <> ''"), r.select(F.col("id").alias("b"), F.col("subject").alias("l")).where("l <> ''")
+    far = x.join(y, F.expr("a < b AND k <> l")).select("a", "b", H.pair_rank(F.col("a").cast("string"), F.col("b").cast("string")).alias("digest"))
+    assert pairing.unrelated(r, "subject", 25).collect() == far.orderBy("digest", "a", "b").limit(25).collect()
+    none = pairing.least_related(r.where("id < 0"), "subject", 5)
+    assert none.collect() == []
