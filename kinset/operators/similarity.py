@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Sets up to which an element's holders are compared with each other in place.
+HOLDERS = 256
+#: Sets up to which their partners are sent to every task.
+SENT = 1 << 20
+
 
 def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b, ..) with inter, size_a, size_b, joined on elements; sets has distinct rows."""
@@ -17,6 +22,23 @@ def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select(*pairs.columns, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("inter", "size_a", "size_b")])
 
 
+def common(sets: DataFrame, pairs: DataFrame, holders: int = HOLDERS) -> DataFrame:
+    """(a, b, inter) of the distinct pairs that share elements; sets has distinct rows.
+
+    For sets with few partners each and long elements. Rows move to their element's task once, not
+    once for each pair; there an element's holders are compared with each other and with
+    their partners. Elements of more holders than that are joined pair by pair (`overlaps`).
+    """
+    partners = pairs.groupBy(F.col("a").alias("set_id")).agg(F.collect_set("b").alias("partners"))
+    partners = F.broadcast(partners) if partners.count() <= SENT else partners
+    held = sets.select("set_id", "element").withColumn("holders", F.count("*").over(Window.partitionBy("element")))
+    few, many = held.where(F.col("holders") <= holders), held.where(F.col("holders") > holders)
+    side = lambda rows, s: rows.select(F.col("set_id").alias(s), "element")
+    near = few.join(partners, "set_id").select(F.col("set_id").alias("a"), "element", "partners").join(side(few, "b"), "element").where(F.array_contains("partners", F.col("b"))).select("a", "b")
+    far = pairs.select("a", "b").join(side(many, "a"), "a").join(side(many, "b"), ["b", "element"]).select("a", "b")
+    return near.unionByName(far).groupBy("a", "b").agg(F.count("*").alias("inter"))
+
+
 def jaccard(inter: Column, size_a: Column, size_b: Column, on_empty: float | None = 0.0) -> Column:
     """Exact Jaccard; on_empty is its value for two empty sets (None: null)."""
     union = size_a + size_b - inter

@@ -98,3 +98,14 @@ def test_least_pairs_however_the_sides_are_dealt(spark, monkeypatch, sent):
     assert pairing.unrelated(r, "subject", 25).collect() == far.orderBy("digest", "a", "b").limit(25).collect()
     none = pairing.least_related(r.where("id < 0"), "subject", 5)
     assert none.collect() == []
+
+
+@pytest.mark.parametrize("holders", [0, 3, 1000])
+def test_common_elements_however_many_hold_them(spark, holders):
+    from kinset.operators import similarity
+
+    rows = [(s, e) for s in range(12) for e in range(40) if e == 0 or (s * 7 + e) % (e % 5 + 2) == 0]
+    sets = spark.createDataFrame(rows, "set_id long, element long")
+    pairs = spark.createDataFrame([(a, b) for a in range(12) for b in range(a + 1, min(a + 4, 13))], "a long, b long")
+    want = {tuple(r) for r in similarity.overlaps(sets, pairs).where("inter > 0").select("a", "b", "inter").collect()}
+    assert {tuple(r) for r in similarity.common(sets, pairs, holders).collect()} == want
