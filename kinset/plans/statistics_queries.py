@@ -330,10 +330,11 @@ def st7_committed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     initial, updates = _owners(spark, sf_dir)
     kept = store.VersionStore(spark, workspace.folder(spark, "versions"))
     kept.create(initial)
-    # four batches in order of seq
-    cut = [-1, *updates.agg(F.percentile_approx("seq", [0.25, 0.5, 0.75], 10_000)).first()[0], 1 << 62]
-    for number, (lo, hi) in enumerate(zip(cut, cut[1:])):
-        batch = updates.where((F.col("seq") > lo) & (F.col("seq") <= hi))
+    # four batches in order of seq, open at both ends; one where there is no seq to cut at
+    cuts = updates.agg(F.percentile_approx("seq", [0.25, 0.5, 0.75], 10_000)).first()[0] or []
+    number_of = sum((F.coalesce(F.col("seq") > c, F.lit(True)).cast("int") for c in cuts), F.lit(0))
+    for number in range(len(cuts) + 1):
+        batch = updates.where(number_of == number)
         for _ in range(2):
             kept.apply(batch, number)
     applied = kept.log().where(F.col("status") == "applied").groupBy("owner").agg(F.count("*").alias("versions"))

@@ -109,3 +109,16 @@ def test_common_elements_however_many_hold_them(spark, holders):
     pairs = spark.createDataFrame([(a, b) for a in range(12) for b in range(a + 1, min(a + 4, 13))], "a long, b long")
     want = {tuple(r) for r in similarity.overlaps(sets, pairs).where("inter > 0").select("a", "b", "inter").collect()}
     assert {tuple(r) for r in similarity.common(sets, pairs, holders).collect()} == want
+
+
+@pytest.mark.parametrize("ids", [range(-5000, -10, 7), ()], ids=["negative", "none"])
+def test_batches_take_updates_of_any_number(spark, tmp_path, ids):
+    """Every update goes into one batch, also those numbered below 0; no updates are no error."""
+    rows = [(k, k % 23) for k in ids]
+    events = f"{tmp_path}/events.parquet"
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(events)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{events}/*.parquet'")
+    want = sorted(c.execute(catalogue.ORACLES["st7_committed_store"]).fetchall())
+    got = catalogue.QUERIES["st7_committed_store"](spark, str(tmp_path)).select("owner", "epoch", "payload", "versions")
+    assert sorted(tuple(r) for r in got.collect()) == want
