@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinset.functions import hashing as H
+from kinset.sources.workspace import stored
 
 
 #: Slots that are made side by side in one aggregate at most; more would outgrow generated code.
 WIDE_SLOTS = 32
+#: Digests of a set that are read as numbers for one minimum, on average; one set in 10 million has none that low.
+READ = 16
 
 
 def coordinates(k: int) -> Column:
@@ -82,6 +85,41 @@ def minhash(sets: DataFrame, k: int, seed: int = 42, domain: str = H.MINHASH, sh
     return wide.select("set_id", "block", slots).where("rank IS NOT NULL").select("set_id", (F.col("block") + F.col("at")).cast("bigint").alias("coord"), "rank")
 
 
+def array_minima(sets: DataFrame, k: int, seed: int = 42, domain: str = H.MINHASH, read: int = READ) -> DataFrame:
+    """(set_id, sketch): the k least ranks of each set (set_id, elements) among those below a bound.
+
+    To read a digest as a number takes longer than to make it. The bound lets read of a set's
+    digests pass, on average; where none is below it, the rank is null. A set stands in one
+    row, so only minima move.
+    """
+    if k > WIDE_SLOTS:
+        raise ValueError(f"at most {WIDE_SLOTS} slots")
+    bounded = sets.select("set_id", "elements", H.share_bound(F.size("elements"), read).alias("bound"))
+    rows = bounded.select("set_id", "bound", F.explode("elements").alias("element")).select("set_id", "bound", H.be64(F.col("element")).alias("raw"))
+
+    def least(c: int) -> Column:
+        made = H.digest(domain, F.lit(seed.to_bytes(8, "big") + c.to_bytes(4, "big")), F.col("raw"))
+        return F.min(F.when(made < F.col("bound"), H.hex_to_ordered(F.substr(made, F.lit(1), F.lit(16)))))
+
+    wide = rows.groupBy("set_id").agg(*[least(c).alias(f"r{c}") for c in range(k)])
+    return wide.select("set_id", F.array(*[F.col(f"r{c}") for c in range(k)]).alias("sketch"))
+
+
+def array_minhash(sets: DataFrame, k: int, seed: int = 42, domain: str = H.MINHASH, read: int = READ) -> DataFrame:
+    """(set_id, sketch): the k least ranks of each set (set_id, elements), as one array.
+
+    Ranks that `array_minima` leaves null are made from all elements of their sets.
+    """
+    found = stored(array_minima(sets, k, seed, domain, read), "minima")
+    lacking = F.exists("sketch", F.isnull)
+    rest = found.where(lacking)
+    if rest.isEmpty():
+        return found
+    least = lambda c: F.array_min(F.transform("elements", lambda e: H.hex_to_ordered(H.minhash_rank(e, c, seed, domain))))
+    whole = sets.join(rest, "set_id").select("set_id", F.transform("sketch", lambda r, c: F.coalesce(r, least(c))).alias("sketch"))
+    return found.where(~lacking).unionByName(whole)
+
+
 def minhash_trials(sets: DataFrame, k: int, trials: int, domain: str = H.MINHASH) -> DataFrame:
     """(set_id, trial, coord, rank): signatures under the seeds 0..trials - 1, k slots each.
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import statistics
@@ -15,6 +16,7 @@ from kinset.operators import sketch as K
 from kinset.operators import stats
 from kinset.operators import threshold as R
 from kinset.operators import validate as V
+from kinset.plans import pipelines
 
 
 def sets(spark):
@@ -31,6 +33,28 @@ def test_minhash_forms_agree(spark):
     assert want == sorted(map(tuple, K.bottom(s, 6, 3).where("pos = 1").select("set_id", "coord", "rank").collect()))
 
 
+@pytest.mark.parametrize("read", [1, 16])
+def test_array_minhash_whatever_is_read(spark, read):
+    """Ranks of sets that have no digest below their bound are those of all their digests."""
+    rng = random.Random(8)
+    members = {n: [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)] for n in (1, 2, 15, 16, 17, 90, 700)}
+    rows = spark.createDataFrame(list(members.items()), "set_id long, elements array<long>")
+    rank = lambda c, e: int.from_bytes(hashlib.sha256(H.MINHASH.encode() + (42).to_bytes(8, "big") + c.to_bytes(4, "big") + e.to_bytes(8, "big", signed=True)).digest()[:8], "big") - (1 << 63)
+    want = {n: [min(rank(c, e) for e in m) for c in range(12)] for n, m in members.items()}
+    assert {r.set_id: r.sketch for r in K.array_minhash(rows, 12, read=read).collect()} == want
+    some = {r.set_id: r.sketch for r in K.array_minima(rows, 12, read=read).collect()}
+    assert all(x in (None, y) for n in want for x, y in zip(some[n], want[n]))
+    assert (None in some[90] + some[700]) == (read == 1)
+
+
+def test_overlaps_at_steps_across_blocks(spark):
+    rng = random.Random(9)
+    members = {i: rng.sample(range(30), rng.randrange(1, 20)) for i in [*range(-140, 140), 1 << 40, (1 << 40) + 11, (1 << 40) + 63] if i % 7 != 3}
+    rows = spark.createDataFrame(list(members.items()), "set_id long, elements array<long>")
+    want = [(a, a + s, len({*members[a]} & {*members[a + s]}), len(members[a]), len(members[a + s])) for a in members for s in (1, 2, 11) if a + s in members]
+    assert sorted(map(tuple, pipelines.overlaps(rows, (1, 2, 11)).collect())) == sorted(want)
+
+
 def test_sketch_merges(spark):
     """The signature of a union is the element-wise minimum of its parts' signatures."""
     _, s = sets(spark)
