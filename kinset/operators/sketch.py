@@ -18,6 +18,8 @@ from kinset.sources.workspace import stored
 WIDE_SLOTS = 32
 #: Digests of a set that are read as numbers for one minimum, on average; one set in 10 million has none that low.
 READ = 16
+#: Sketches with such a minimum that are broadcast at most.
+FEW = 10_000
 
 
 def coordinates(k: int) -> Column:
@@ -113,8 +115,11 @@ def array_minhash(sets: DataFrame, k: int, seed: int = 42, domain: str = H.MINHA
     found = stored(array_minima(sets, k, seed, domain, read), "minima")
     lacking = F.exists("sketch", F.isnull)
     rest = found.where(lacking)
-    if rest.isEmpty():
+    count = rest.count()
+    if not count:
         return found
+    if count <= FEW:
+        rest = F.broadcast(rest)  # so few need not move all sets
     least = lambda c: F.array_min(F.transform("elements", lambda e: H.hex_to_ordered(H.minhash_rank(e, c, seed, domain))))
     whole = sets.join(rest, "set_id").select("set_id", F.transform("sketch", lambda r, c: F.coalesce(r, least(c))).alias("sketch"))
     return found.where(~lacking).unionByName(whole)
