@@ -85,6 +85,18 @@ def test_products_are_made_on_all_cores(spark, draws, name, products):
     assert len(draws) == products and min(draws) >= spark.sparkContext.defaultParallelism
 
 
+def test_tasks_of_a_product_fill_whole_rounds(spark, draws, monkeypatch):
+    """One task more than the cores have places for would leave all but one core idle."""
+    from kinset.operators import pairing
+
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(pairing, "TASK", 1000)
+    left, right = spark.range(2 * cores + 1).withColumnRenamed("id", "a"), spark.range(1000).withColumnRenamed("id", "b")
+    known = spark.createDataFrame([(0, 0)], "a long, b long")
+    assert pairing.nonmatches(left, right, known, 5).count() == 5
+    assert draws == [3 * cores]
+
+
 @pytest.mark.parametrize("sent", [0, 1 << 20])
 def test_least_pairs_however_the_sides_are_dealt(spark, monkeypatch, sent):
     from kinset.operators import pairing
